@@ -1,0 +1,7 @@
+"""Streaming.
+
+The workload this library rebuilds has no stream source, watermark, window or
+state: every input is a finished table.  No streaming operator is offered;
+the batch operators work unchanged on the micro-batches of a
+``foreachBatch`` sink if a caller wants to feed them incrementally.
+"""
