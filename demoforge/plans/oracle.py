@@ -65,3 +65,88 @@ FROM pairs WHERE rn <= 3 GROUP BY idx HAVING count(*) = 3"""
 
 def oracle_sql() -> dict[str, str]:
     return {k: with_fixtures(v) for k, v in ORACLE.items()}
+
+_WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+def words(x: str) -> str:
+    return _WORDS.format(x=x)
+
+
+def _fewshot_sql(src: str) -> str:
+    return f"""WITH {demo_pairs(src, 'cluster-random')},
+pr AS (
+  SELECT p.idx, string_agg(concat('Input: ', s2.input, ' Prediction: ', p.label), '\n' ORDER BY p.rn) AS body
+  FROM pairs p JOIN {src} s2 ON s2.idx = p.last WHERE p.rn <= 3 GROUP BY p.idx HAVING count(*) = 3)
+SELECT pr.idx, concat(pr.body, '\nInput: ', s.input, ' Prediction:') AS prompt FROM pr JOIN {src} s USING (idx)"""
+
+
+ORACLE["first_n"] = "SELECT idx, label FROM fx_samples ORDER BY idx LIMIT 50"
+ORACLE["max_chars"] = "SELECT idx, length(input) AS n_chars FROM fx_samples WHERE length(input) < 2000"
+ORACLE["max_words"] = f"""WITH f AS ({_fewshot_sql('fx_samples')})
+SELECT idx, len({words('prompt')}) AS n_words FROM f WHERE len({words('prompt')}) <= 2000"""
+ORACLE["filter_questions"] = "SELECT question_id FROM fx_questions WHERE explanation IS NOT NULL AND arcset = 'Easy'"
+_FLAT = """array_to_string(list_transform(answers, lambda a: CASE WHEN coalesce(a.number, '') <> '' THEN a.number
+  WHEN a.date IS NOT NULL AND {test} THEN concat_ws(' ', a.date.day, a.date.month, a.date.year)
+  ELSE array_to_string(coalesce(a.spans, []), ' ') END), ' ')"""
+FLAT_AS_WRITTEN = _FLAT.format(test="concat_ws(' ', a.date.day, a.date.month, a.date.year) <> ''")
+FLAT_SKIP = _FLAT.format(test="trim(concat_ws(' ', a.date.day, a.date.month, a.date.year)) <> ''")
+ORACLE["non_blank_answers"] = f"""SELECT qid, answer FROM (SELECT qid, {FLAT_AS_WRITTEN} AS answer FROM fx_answers)
+WHERE answer IS NOT NULL AND trim(answer) <> ''"""
+ORACLE["select_tasks"] = """SELECT t.task_id, min(p.p_name) AS p_name
+FROM part p JOIN (VALUES ('ring'), ('blue'), ('zzz')) t(task_id) ON strpos(p.p_name, t.task_id) > 0
+GROUP BY t.task_id"""
+ORACLE["name_filter"] = "SELECT event_id, model, dataset FROM fx_results WHERE strpos(model, 'click') > 0 AND dataset = 'd1'"
+ORACLE["wh_category"] = f"""SELECT idx, CASE WHEN starts_with(input, 'To') THEN array_to_string({words('input')}[1:2], ' ')
+ ELSE {words('input')}[1] END AS category FROM fx_samples"""
+ORACLE["first_token"] = f"SELECT idx, {words('input')}[1] AS token, lower({words('input')}[1]) AS token_lower FROM fx_samples"
+_PREM = f"list_distinct({words('lower(premise)')})"
+ORACLE["overlap_bucket"] = f"""SELECT conv_id, turn, cast(floor(greatest(
+  len(list_intersect(list_distinct({words('lower(choice1)')}), {_PREM})) / len({_PREM}),
+  len(list_intersect(list_distinct({words('lower(choice2)')}), {_PREM})) / len({_PREM})) * 10) / 10 AS DOUBLE)::VARCHAR AS bucket
+FROM fx_choices"""
+ORACLE["bag_key"] = f"SELECT idx, concat(logic, array_to_string(list_sort({words('premise')}), ' ')) AS bag_key FROM fx_nli"
+_IDS = """list_filter(list_transform(string_split(explanation, '|'), lambda p: regexp_split_to_array(trim(p), '\\s+')[-1]),
+  lambda x: x IS NOT NULL AND x <> '' AND NOT (x = upper(x) AND x <> lower(x)))"""
+ORACLE["parse_fact_ids"] = f"SELECT question_id, array_to_string({_IDS}, ' ') AS fact_ids FROM fx_questions"
+ORACLE["answer_by_key"] = """SELECT question_id, CASE WHEN strpos(question, concat(' (', answer_key, ') ')) > 0 THEN
+ regexp_replace(split_part(split_part(question, concat(' (', answer_key, ') '), 2),
+   CASE answer_key WHEN 'A' THEN '(B)' WHEN 'B' THEN '(C)' WHEN 'C' THEN '(D)' WHEN 'D' THEN '(E)' WHEN 'E' THEN '(XX)'
+   WHEN 'XX' THEN '(0)' WHEN '0' THEN '(1)' WHEN '1' THEN '(2)' WHEN '2' THEN '(3)' WHEN '3' THEN '(4)'
+   WHEN '4' THEN '(5)' WHEN '5' THEN '(XX)' END, 1), '^\\s+|\\s+$', '', 'g') END AS answer
+FROM fx_questions"""
+ORACLE["rewrite_text"] = """SELECT idx, replace(input, ' -> ', '. ') AS context,
+ replace(replace(concat('Context: ', input), chr(10) || 'Answer', '? Yes, or No? ' || chr(10) || 'Answer'), chr(10), ' ') AS yesno
+FROM fx_samples"""
+ORACLE["flatten_answer"] = f"SELECT qid, {FLAT_AS_WRITTEN} AS answer FROM fx_answers"
+ORACLE["flatten_answer_skip"] = f"SELECT qid, {FLAT_SKIP} AS answer FROM fx_answers"
+ORACLE["concept_string"] = "SELECT user_id, day, array_to_string(program_modules, ' ') AS concept FROM fx_concepts"
+REASONING = """l1 AS (
+  SELECT l_orderkey, l_linestatus,
+   list([[cast(l_linenumber AS VARCHAR)], CASE WHEN l_linenumber % 4 = 0 THEN [l_returnflag]
+        ELSE [l_returnflag, l_linestatus, cast(l_partkey AS VARCHAR)] END]
+     ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS expl
+  FROM lineitem GROUP BY l_orderkey, l_linestatus),
+fx_reasoning AS (SELECT l_orderkey AS idx, list(expl ORDER BY l_linestatus) AS reasoning FROM l1 GROUP BY l_orderkey)"""
+TAILS = "list_transform(flatten(reasoning), lambda r: array_to_string(r[-1][-2:], ' '))"
+ORACLE["relation_tails"] = f"WITH {REASONING} SELECT idx, array_to_string({TAILS}, '|') AS tails FROM fx_reasoning"
+ORACLE["first_answer"] = "SELECT idx, category[1] AS answer FROM fx_samples_multi"
+ORACLE["label_code"] = "SELECT idx, CASE WHEN strpos(label, 'not') > 0 THEN 0 ELSE 1 END AS code FROM fx_nli"
+ORACLE["default_category"] = """SELECT idx, coalesce(category, 'None') AS cat_none, coalesce(category, '') AS cat_blank,
+ category IS NULL AS is_null FROM fx_samples_null"""
+ORACLE["qa_prompt"] = "SELECT idx, concat('Question: ', category, ' Context: ', input, ' Answer:') AS prompt FROM fx_samples"
+ORACLE["fewshot_prompt"] = _fewshot_sql("fx_samples")
+ORACLE["render_templates"] = """
+SELECT idx, 'gpt3' AS template, concat(premise, chr(10) || 'Question: ', logic, ' True, False or Neither?') AS input,
+ CASE WHEN label = 'entailment' THEN 'True' ELSE 'False' END AS label FROM fx_nli
+UNION ALL
+SELECT idx, 'plain' AS template, premise AS input, label FROM fx_nli WHERE logic <> ''"""
+ORACLE["cut_at_marker"] = f"""WITH f AS ({_fewshot_sql('fx_samples')})
+SELECT idx, CASE WHEN idx % 2 = 0 THEN 'davinci' ELSE 'text-davinci-003' END AS model,
+ CASE WHEN idx % 2 = 0 THEN split_part(prompt, 'Input', 1) ELSE prompt END AS cut FROM f"""
+ORACLE["run_key"] = """SELECT page_id, concat_ws('-', string_split(url, '/')[-1], string_split(concat('tasks/', url), '/')[-1],
+ 'cluster-random') AS run_key FROM pages"""
+ORACLE["mark_seen"] = """WITH a AS (SELECT event_id, dataset, CASE WHEN dataset IN ('d1', 'd2') AND strpos(model, 'click') > 0
+   THEN concat('$^*$', model) ELSE model END AS m FROM fx_results),
+b AS (SELECT event_id, dataset, CASE WHEN dataset IN ('d1', 'd2') AND strpos(m, 'ick') > 0 THEN concat('$^*$', m) ELSE m END AS m FROM a)
+SELECT event_id, CASE WHEN dataset IN ('d1', 'd2') AND strpos(m, 'view') > 0 THEN concat('$^*$', m) ELSE m END AS model FROM b"""

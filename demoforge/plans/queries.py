@@ -54,3 +54,210 @@ def demos_null_category(spark, sf):
 @query
 def demos_overlap(spark, sf):
     return _demos_out(D.select_demos_overlap(fixture(spark, sf, "fx_samples_multi"), 3))
+
+
+# ---- filters and limits (2.B) ---------------------------------------------
+from demoforge.functions import text as T  # noqa: E402
+from demoforge.operators import filters as FL  # noqa: E402
+
+
+@query
+def first_n(spark, sf):
+    return FL.first_n(fixture(spark, sf, "fx_samples"), 50).select("idx", "label")
+
+
+@query
+def max_chars(spark, sf):
+    s = FL.max_chars(fixture(spark, sf, "fx_samples"), "input", 2000)
+    return s.select("idx", F.char_length("input").alias("n_chars"))
+
+
+@query
+def max_words(spark, sf):
+    s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random")
+    s = s.withColumn("prompt", D.fewshot_prompt("demos"))
+    s = FL.max_words(s, "prompt", 2000)
+    return s.select("idx", F.size(T.py_words("prompt")).alias("n_words"))
+
+
+@query
+def filter_questions(spark, sf):
+    q = FL.filter_questions(fixture(spark, sf, "fx_questions"), "Easy")
+    return q.select("question_id")
+
+
+@query
+def non_blank_answers(spark, sf):
+    a = fixture(spark, sf, "fx_answers").select("qid", T.flatten_answer("answers").alias("answer"))
+    return FL.non_blank(a, "answer")
+
+
+@query
+def select_tasks(spark, sf):
+    part = fixture_table(spark, sf, "part")
+    return FL.select_tasks(part, "p_name", ["ring", "blue", "zzz"], first=True)
+
+
+@query
+def name_filter(spark, sf):
+    r = fixture(spark, sf, "fx_results")
+    r = FL.where_contains(r, "model", "click").where(F.col("dataset") == "d1")
+    return r.select("event_id", "model", "dataset")
+
+
+# ---- scalar, string, nested (2.C) ------------------------------------------
+
+def fixture_table(spark, sf, name):
+    from demoforge.session import read_table
+    return read_table(spark, sf, name)
+
+
+@query
+def wh_category(spark, sf):
+    return fixture(spark, sf, "fx_samples").select("idx", T.wh_category("input").alias("category"))
+
+
+@query
+def first_token(spark, sf):
+    s = fixture(spark, sf, "fx_samples")
+    return s.select("idx", T.first_token("input").alias("token"), T.first_token("input", True).alias("token_lower"))
+
+
+@query
+def overlap_bucket(spark, sf):
+    c = fixture(spark, sf, "fx_choices")
+    return c.select("conv_id", "turn", T.overlap_bucket("premise", ["choice1", "choice2"]).alias("bucket"))
+
+
+@query
+def bag_key(spark, sf):
+    n = fixture(spark, sf, "fx_nli")
+    return n.select("idx", T.bag_key("logic", "premise").alias("bag_key"))
+
+
+@query
+def parse_fact_ids(spark, sf):
+    q = fixture(spark, sf, "fx_questions")
+    return q.select("question_id", F.array_join(T.parse_fact_ids("explanation"), " ").alias("fact_ids"))
+
+
+@query
+def answer_by_key(spark, sf):
+    q = fixture(spark, sf, "fx_questions")
+    return q.select("question_id", T.answer_by_key("question", "answer_key").alias("answer"))
+
+
+@query
+def rewrite_text(spark, sf):
+    s = fixture(spark, sf, "fx_samples")
+    return s.select(
+        "idx",
+        T.rewrite("input", T.CONTEXT_REWRITES).alias("context"),
+        T.rewrite("input", T.YESNO_REWRITES, prefix="Context: ").alias("yesno"),
+    )
+
+
+@query
+def flatten_answer(spark, sf):
+    return fixture(spark, sf, "fx_answers").select("qid", T.flatten_answer("answers").alias("answer"))
+
+
+@query
+def flatten_answer_skip(spark, sf):
+    return fixture(spark, sf, "fx_answers").select("qid", T.flatten_answer("answers", "skip").alias("answer"))
+
+
+@query
+def concept_string(spark, sf):
+    return fixture(spark, sf, "fx_concepts").select("user_id", "day", T.concept("program_modules").alias("concept"))
+
+
+_REASONING_SQL = """
+WITH l1 AS (
+  SELECT l_orderkey, l_linestatus,
+   transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_returnflag, l_linestatus))),
+     x -> array(array(cast(x.l_linenumber AS STRING)),
+                CASE WHEN x.l_linenumber % 4 = 0 THEN array(x.l_returnflag)
+                     ELSE array(x.l_returnflag, x.l_linestatus, cast(x.l_partkey AS STRING)) END)) AS expl
+  FROM {lineitem} GROUP BY l_orderkey, l_linestatus)
+SELECT l_orderkey AS idx, transform(array_sort(collect_list(struct(l_linestatus, expl))), y -> y.expl) AS reasoning
+FROM l1 GROUP BY l_orderkey
+"""
+
+
+def fx_reasoning(spark, sf):
+    return spark.sql(_REASONING_SQL, lineitem=fixture_table(spark, sf, "lineitem"))
+
+
+@query
+def relation_tails(spark, sf):
+    r = fx_reasoning(spark, sf)
+    return r.select("idx", F.array_join(T.relation_tails("reasoning"), "|").alias("tails"))
+
+
+@query
+def first_answer(spark, sf):
+    return fixture(spark, sf, "fx_samples_multi").select("idx", T.first_answer("category").alias("answer"))
+
+
+@query
+def label_code(spark, sf):
+    return fixture(spark, sf, "fx_nli").select("idx", T.label_code("label").alias("code"))
+
+
+@query
+def default_category(spark, sf):
+    s = fixture(spark, sf, "fx_samples_null")
+    return s.select(
+        "idx",
+        T.default_category("category", "none_string").alias("cat_none"),
+        T.default_category("category", "blank").alias("cat_blank"),
+        T.default_category("category", "null").isNull().alias("is_null"),
+    )
+
+
+@query
+def qa_prompt(spark, sf):
+    s = fixture(spark, sf, "fx_samples")
+    return s.select("idx", T.qa_prompt("category", "input").alias("prompt"))
+
+
+@query
+def fewshot_prompt(spark, sf):
+    s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random")
+    return s.select("idx", D.fewshot_prompt("demos").alias("prompt"))
+
+
+NLI_TEMPLATES = {
+    "gpt3": ("concat(premise, '\\nQuestion: ', logic, ' True, False or Neither?')",
+             "CASE WHEN label = 'entailment' THEN 'True' ELSE 'False' END"),
+    "plain": ("CASE WHEN logic <> '' THEN premise END", "label"),
+}
+
+
+@query
+def render_templates(spark, sf):
+    n = fixture(spark, sf, "fx_nli")
+    return T.render_templates(n, NLI_TEMPLATES, keep=["idx"])
+
+
+@query
+def cut_at_marker(spark, sf):
+    from demoforge.operators.predict import cut_at
+    s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random")
+    s = s.select("idx", D.fewshot_prompt("demos").alias("prompt"),
+                 F.when(F.col("idx") % 2 == 0, "davinci").otherwise("text-davinci-003").alias("model"))
+    return s.select("idx", "model", cut_at("prompt", "Input", "model", "davinci").alias("cut"))
+
+
+@query
+def run_key(spark, sf):
+    p = fixture_table(spark, sf, "pages")
+    return p.select("page_id", T.run_key("url", F.concat(F.lit("tasks/"), F.col("url")), F.lit("cluster-random"))
+                    .alias("run_key"))
+
+
+@query
+def mark_seen(spark, sf):
+    r = fixture(spark, sf, "fx_results")
+    return r.select("event_id", T.mark_seen("model", "dataset", ["d1", "d2"], ["click", "ick", "view"]).alias("model"))
