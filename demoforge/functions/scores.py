@@ -28,9 +28,7 @@ def folded_match(expected, predicted) -> Column:
     return F.lower(_c(expected)).eqNullSafe(F.lower(_c(predicted))).cast("double")
 
 
-def words(text) -> Column:
-    """``str.split()``: runs of white space, ends trimmed, no empty word."""
-    return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda w: w != "")
+from demoforge.functions.text import PY_WS, py_words as words  # noqa: E402
 
 
 def _f_from_sets(expected_set: Column, predicted_words: Column) -> Column:
@@ -48,7 +46,7 @@ def char_f1(expected, predicted, fold: bool = True) -> Column:
     e, p = _c(expected), _c(predicted)
     if fold:
         e, p = F.lower(e), F.lower(p)
-    chars = F.array_distinct(F.filter(F.split(e, ""), lambda ch: F.trim(ch) != ""))
+    chars = F.array_distinct(F.filter(F.split(e, ""), lambda ch: (ch != "") & ~ch.rlike(f"^{PY_WS}$")))
     return _f_from_sets(chars, words(p))
 
 
@@ -72,14 +70,15 @@ def _lcs_fold(exp_tokens: Column, pred_tokens: Column) -> Column:
     V = ((V + (V & M)) | (V & ~M)) & full.  LCS = m - popcount(V).
     """
     m = F.size(exp_tokens)
-    full = F.shiftleft(F.lit(1).cast("bigint"), m) - 1
+    one = F.lit(1).cast("bigint")
+    full = F.call_function("shiftleft", one, m) - 1
 
     def mask(w):
         return F.aggregate(
             F.sequence(F.lit(0), m - 1),
             F.lit(0).cast("bigint"),
             lambda acc, i: acc.bitwiseOR(
-                F.when(F.element_at(exp_tokens, i + 1) == w, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(
+                F.when(F.element_at(exp_tokens, i + 1) == w, F.call_function("shiftleft", one, i)).otherwise(
                     F.lit(0).cast("bigint")
                 )
             ),
@@ -87,7 +86,7 @@ def _lcs_fold(exp_tokens: Column, pred_tokens: Column) -> Column:
 
     def step(v, w):
         mk = mask(w)
-        return ((v + v.bitwiseAND(mk)).bitwiseOR(v.bitwiseAND(~mk))).bitwiseAND(full)
+        return ((v + v.bitwiseAND(mk)).bitwiseOR(v.bitwiseAND(F.bitwise_not(mk)))).bitwiseAND(full)
 
     v = F.aggregate(pred_tokens, full, step)
     return m - F.bit_count(v)

@@ -21,6 +21,8 @@ YESNO_REWRITES = [("\nAnswer", "? Yes, or No? \nAnswer"), ("\n", " ")]
 CONTEXT_REWRITES = [(" -> ", ". ")]
 # Prefix of models marked as having seen a dataset in training.
 SEEN_PREFIX = "$^*$"
+# White space as Python's str.split() / str.isspace() see it.
+PY_WS = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # -------------------------------------------------------------------------
 
 
@@ -30,12 +32,12 @@ def _c(x) -> Column:
 
 def py_words(text) -> Column:
     """``str.split()``: runs of white space, ends trimmed, no empty word."""
-    return F.filter(F.split(_c(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_c(text), PY_WS + "+"), lambda w: w != "")
 
 
 def py_strip(text) -> Column:
     """``str.strip()``: white space (not only blanks) off both ends."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(text), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
 def py_str(col) -> Column:
@@ -79,7 +81,7 @@ def _is_upper(x: Column) -> Column:
 
 def parse_fact_ids(explanation) -> Column:
     """Split on ``|``, last word of each part, drop the all-upper-case ones."""
-    lasts = F.transform(F.split(_c(explanation), r"\|"), lambda p: F.element_at(F.split(F.trim(p), r"\s+"), -1))
+    lasts = F.transform(F.split(_c(explanation), r"\|"), lambda p: F.element_at(py_words(p), -1))
     return F.filter(lasts, lambda x: x.isNotNull() & (x != "") & ~_is_upper(x))
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demoforge.functions.text import py_words
 from demoforge.operators.joins import keyed_join
 
 STRATEGIES = ("random", "cluster-random")
@@ -133,7 +134,7 @@ def fewshot_prompt(demos: str | Column = "demos", input_col: str | Column = "inp
 def word_count(col: str | Column) -> Column:
     """``len(text.split())``: runs of white space, ends trimmed."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
+    return F.size(py_words(c))
 
 
 def demo_idx_string(demos: str = "demos") -> Column:

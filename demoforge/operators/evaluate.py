@@ -96,14 +96,14 @@ def bootstrap(
     pos = dense_index(scored.select(order_col, score_col), order_col, out="_pos")
     n = pos.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not n:
-        return spark.createDataFrame([], "round BIGINT, score DOUBLE")
+        return spark.createDataFrame([], "round_id BIGINT, score DOUBLE")
     picks = (
         spark.range(rounds * size)
-        .select(F.floor(F.col("id") / size).alias("round"), F.pmod(F.col("id"), F.lit(size)).alias("j"))
-        .withColumn("_pos", draw(F.lit(str(seed)), stream, F.col("round"), F.col("j"), n=n))
+        .select(F.floor(F.col("id") / size).alias("round_id"), F.pmod(F.col("id"), F.lit(size)).alias("j"))
+        .withColumn("_pos", draw(F.lit(str(seed)), stream, F.col("round_id"), F.col("j"), n=n))
     )
-    counts = picks.groupBy("round", "_pos").agg(F.count(F.lit(1)).alias("_c"))
+    counts = picks.groupBy("round_id", "_pos").agg(F.count(F.lit(1)).alias("_c"))
     joined = pos.join(F.broadcast(counts), "_pos")
-    return joined.groupBy("round").agg(
+    return joined.groupBy("round_id").agg(
         F.round(F.sum(F.col(score_col) * F.col("_c")) / F.lit(size), ROUND).alias("score")
     )

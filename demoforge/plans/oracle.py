@@ -66,11 +66,12 @@ FROM pairs WHERE rn <= 3 GROUP BY idx HAVING count(*) = 3"""
 def oracle_sql() -> dict[str, str]:
     return {k: with_fixtures(v) for k, v in ORACLE.items()}
 
-_WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+PY_WS = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WORDS = "list_filter(regexp_split_to_array(@X@, '" + PY_WS + "+'), lambda w: w <> '')"
 
 
 def words(x: str) -> str:
-    return _WORDS.format(x=x)
+    return _WORDS.replace("@X@", x)
 
 
 def _fewshot_sql(src: str) -> str:
@@ -106,14 +107,14 @@ ORACLE["overlap_bucket"] = f"""SELECT conv_id, turn, cast(floor(greatest(
   len(list_intersect(list_distinct({words('lower(choice2)')}), {_PREM})) / len({_PREM})) * 10) / 10 AS DOUBLE)::VARCHAR AS bucket
 FROM fx_choices"""
 ORACLE["bag_key"] = f"SELECT idx, concat(logic, array_to_string(list_sort({words('premise')}), ' ')) AS bag_key FROM fx_nli"
-_IDS = """list_filter(list_transform(string_split(explanation, '|'), lambda p: regexp_split_to_array(trim(p), '\\s+')[-1]),
+_IDS = """list_filter(list_transform(string_split(explanation, '|'), lambda p: """ + words("p") + """[-1]),
   lambda x: x IS NOT NULL AND x <> '' AND NOT (x = upper(x) AND x <> lower(x)))"""
 ORACLE["parse_fact_ids"] = f"SELECT question_id, array_to_string({_IDS}, ' ') AS fact_ids FROM fx_questions"
 ORACLE["answer_by_key"] = """SELECT question_id, CASE WHEN strpos(question, concat(' (', answer_key, ') ')) > 0 THEN
  regexp_replace(split_part(split_part(question, concat(' (', answer_key, ') '), 2),
    CASE answer_key WHEN 'A' THEN '(B)' WHEN 'B' THEN '(C)' WHEN 'C' THEN '(D)' WHEN 'D' THEN '(E)' WHEN 'E' THEN '(XX)'
    WHEN 'XX' THEN '(0)' WHEN '0' THEN '(1)' WHEN '1' THEN '(2)' WHEN '2' THEN '(3)' WHEN '3' THEN '(4)'
-   WHEN '4' THEN '(5)' WHEN '5' THEN '(XX)' END, 1), '^\\s+|\\s+$', '', 'g') END AS answer
+   WHEN '4' THEN '(5)' WHEN '5' THEN '(XX)' END, 1), '^""" + PY_WS + "+|" + PY_WS + """+$', '', 'g') END AS answer
 FROM fx_questions"""
 ORACLE["rewrite_text"] = """SELECT idx, replace(input, ' -> ', '. ') AS context,
  replace(replace(concat('Context: ', input), chr(10) || 'Answer', '? Yes, or No? ' || chr(10) || 'Answer'), chr(10), ' ') AS yesno
@@ -150,3 +151,99 @@ ORACLE["mark_seen"] = """WITH a AS (SELECT event_id, dataset, CASE WHEN dataset
    THEN concat('$^*$', model) ELSE model END AS m FROM fx_results),
 b AS (SELECT event_id, dataset, CASE WHEN dataset IN ('d1', 'd2') AND strpos(m, 'ick') > 0 THEN concat('$^*$', m) ELSE m END AS m FROM a)
 SELECT event_id, CASE WHEN dataset IN ('d1', 'd2') AND strpos(m, 'view') > 0 THEN concat('$^*$', m) ELSE m END AS model FROM b"""
+
+# ---- metrics -------------------------------------------------------------------
+
+
+def _f1(expected_set: str, pred_words: str) -> str:
+    tp = f"len(list_filter({pred_words}, lambda w: list_contains({expected_set}, w)))"
+    fp = f"(len({pred_words}) - {tp})"
+    fn = f"len(list_filter({expected_set}, lambda e: NOT list_contains({pred_words}, e)))"
+    den = f"({tp} + 0.5 * ({fp} + {fn}))"
+    return f"CASE WHEN {den} > 0 THEN {tp} / {den} END"
+
+
+CHAR_F1 = _f1(
+    "list_distinct(list_filter(string_split(lower(expected), ''), lambda ch: ch <> '' AND NOT regexp_matches(ch, '^"
+    + PY_WS + "$')))",
+    words("lower(predicted)"),
+)
+TOKEN_F1 = _f1(f"list_distinct({words('lower(expected)')})", words("lower(predicted)"))
+_ET = "regexp_extract_all(lower(expected), '[a-z0-9]+')"
+_PT = "regexp_extract_all(lower(predicted), '[a-z0-9]+')"
+_FULL = f"((1::BIGINT << len({_ET})) - 1)"
+_MASKS = (f"list_transform({_PT}, lambda w: coalesce(list_sum(list_transform(range(len({_ET})), "
+          f"lambda i: CASE WHEN {_ET}[i + 1] = w THEN (1::BIGINT << i) ELSE 0::BIGINT END)), 0::BIGINT))")
+_V = (f"list_reduce(list_prepend({_FULL}, {_MASKS}), "
+      f"lambda v, mk: ((v + (v & mk)) | (v & ~mk)) & {_FULL})")
+_LCS = f"(len({_ET}) - bit_count({_V}))"
+ROUGE = (f"CASE WHEN len({_ET}) = 0 OR len({_PT}) = 0 OR {_LCS} = 0 THEN 0.0 "
+         f"ELSE 2.0 * {_LCS} / (len({_ET}) + len({_PT})) END")
+EXACT = "CASE WHEN expected IS NOT DISTINCT FROM predicted THEN 1.0 ELSE 0.0 END"
+FOLDED = "CASE WHEN lower(expected) IS NOT DISTINCT FROM lower(predicted) THEN 1.0 ELSE 0.0 END"
+
+ORACLE["accuracy_folded"] = f"SELECT task, count(*) AS n, round(avg({FOLDED}), 6) AS score FROM fx_predictions GROUP BY task"
+ORACLE["accuracy_exact"] = f"SELECT task, count(*) AS n, round(avg({EXACT}), 6) AS score FROM fx_predictions GROUP BY task"
+ORACLE["char_f1"] = f"SELECT idx, round({CHAR_F1}, 6) AS score FROM fx_predictions"
+ORACLE["token_f1"] = f"SELECT idx, round({TOKEN_F1}, 6) AS score FROM fx_predictions"
+ORACLE["rouge_l"] = f"SELECT idx, round({ROUGE}, 6) AS score FROM fx_predictions"
+
+
+def draw_sql(parts: str, n: str) -> str:
+    return f"(cast(concat('0x', substr(md5(concat_ws('|', {parts})), 1, 12)) AS BIGINT) % {n})"
+
+
+ORACLE["bootstrap_scores"] = f"""
+WITH sc AS (SELECT idx, {ROUGE} AS score FROM fx_predictions),
+pos AS (SELECT score, row_number() OVER (ORDER BY idx) - 1 AS pos FROM sc),
+nn AS (SELECT count(*) AS n FROM sc),
+picks AS (SELECT r // 100 AS round_id, r % 100 AS j FROM range(20000) t(r)),
+pp AS (SELECT round_id, {draw_sql("'0', '', round_id, j", 'nn.n')} AS pos FROM picks, nn)
+SELECT round_id, round(sum(score) / 100, 6) AS score FROM pp JOIN pos USING (pos) GROUP BY round_id"""
+ORACLE["score_tasks"] = f"""SELECT task, count(*) AS n, round(avg({EXACT}), 6) AS accuracy_exact,
+ round(avg({FOLDED}), 6) AS accuracy_folded, round(avg({CHAR_F1}), 6) AS char_f1, round(avg({TOKEN_F1}), 6) AS token_f1,
+ round(avg({ROUGE}), 6) AS rouge_l FROM fx_predictions GROUP BY task"""
+
+MEANS = """SELECT model, dataset, prompt, round(avg(random_demos), 6) AS random_demos,
+ round(avg(informative_demos), 6) AS informative_demos, round(avg(informative_demos - random_demos), 6) AS difference
+FROM fx_results GROUP BY model, dataset, prompt"""
+ORACLE["mean_scores"] = MEANS
+BEST = f"""SELECT model, dataset, prompt, informative_demos FROM (
+ SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY informative_demos DESC, prompt) AS rn
+ FROM ({MEANS}) WHERE informative_demos IS NOT NULL) WHERE rn = 1"""
+ORACLE["best_prompt"] = BEST
+ORACLE["best_prompt_rows"] = f"SELECT event_id FROM fx_results r SEMI JOIN ({BEST}) b USING (model, dataset, prompt)"
+CONCEPT = "array_to_string(program_modules, ' ')"
+ORACLE["value_counts"] = f"SELECT {CONCEPT} AS concept, count(*) AS n FROM fx_concepts GROUP BY 1"
+ORACLE["distinct_concepts"] = f"SELECT DISTINCT {CONCEPT} AS concept FROM fx_concepts"
+ORACLE["category_index"] = """SELECT idx, category, row_number() OVER (PARTITION BY category ORDER BY idx) - 1 AS cat_pos,
+ count(*) OVER (PARTITION BY category) AS cat_size FROM fx_samples"""
+ORACLE["retained_share"] = """SELECT count(*) AS n_before, count(*) FILTER (WHERE length(input) < 1000) AS n_kept,
+ round(avg(CASE WHEN length(input) < 1000 THEN 1.0 ELSE 0.0 END), 6) AS share FROM fx_samples"""
+ORACLE["skip_report"] = f"""WITH f AS ({_fewshot_sql('fx_samples')})
+SELECT count(*) AS n_total, count(*) FILTER (WHERE f.idx IS NULL) AS n_few_demos,
+ count(*) FILTER (WHERE f.idx IS NOT NULL AND len({words('f.prompt')}) > 1500) AS n_too_long,
+ count(*) FILTER (WHERE f.idx IS NOT NULL AND len({words('f.prompt')}) <= 1500) AS n_kept
+FROM fx_samples s LEFT JOIN f USING (idx)"""
+MELT = """SELECT event_id, model, dataset, prompt, 'random' AS type, random_demos AS score FROM fx_results
+UNION ALL SELECT event_id, model, dataset, prompt, 'info' AS type, informative_demos AS score FROM fx_results"""
+ORACLE["melt_strategies"] = MELT
+ORACLE["box_stats"] = f"""WITH m AS ({MELT}),
+q AS (SELECT dataset, model, type, count(score) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
+      quantile_cont(score, 0.75) AS q3 FROM m GROUP BY ALL),
+f AS (SELECT m.dataset, m.model, m.type,
+      min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1)) AS whisker_lo,
+      max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)) AS whisker_hi
+      FROM m JOIN q USING (dataset, model, type) GROUP BY ALL)
+SELECT dataset, model, type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+ round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi FROM q JOIN f USING (dataset, model, type)"""
+_MODELS = ["model-click", "model-error", "model-purchase", "model-signup", "model-view"]
+ORACLE["wide_report"] = "SELECT dataset, prompt, " + ", ".join(
+    f"round(avg(informative_demos) FILTER (WHERE model = '{m}'), 6) AS \"{m}\"" for m in _MODELS
+) + " FROM fx_results GROUP BY dataset, prompt"
+ORACLE["rename_models"] = """SELECT event_id, m.new AS model, m.map_order FROM fx_results r JOIN
+ (VALUES ('model-view', 'View-1B', 0), ('model-click', 'Click-3B', 1), ('model-purchase', 'Buy-11B', 2)) m(model, new, map_order)
+ USING (model)"""
+ORACLE["run_grid"] = """SELECT dataset, prompt, model, strategy FROM (SELECT DISTINCT dataset, prompt FROM fx_results),
+ (VALUES ('m-small'), ('m-large')) a(model), (VALUES ('random'), ('cluster-random')) b(strategy)"""
+ORACLE["tail_means"] = f"SELECT * FROM ({MEANS}) ORDER BY model DESC, dataset DESC, prompt DESC LIMIT 10"

@@ -261,3 +261,148 @@ def run_key(spark, sf):
 def mark_seen(spark, sf):
     r = fixture(spark, sf, "fx_results")
     return r.select("event_id", T.mark_seen("model", "dataset", ["d1", "d2"], ["click", "ick", "view"]).alias("model"))
+
+
+# ---- metrics (2.D) ------------------------------------------------------------
+from demoforge.functions import scores as SC  # noqa: E402
+from demoforge.operators import reports as R  # noqa: E402
+from demoforge.operators import windows as W  # noqa: E402
+
+
+def _per_task(spark, sf, metric):
+    p = fixture(spark, sf, "fx_predictions")
+    return EV.mean_score(p, metric, by=["task"])
+
+
+@query
+def accuracy_folded(spark, sf):
+    return _per_task(spark, sf, "accuracy_folded")
+
+
+@query
+def accuracy_exact(spark, sf):
+    return _per_task(spark, sf, "accuracy_exact")
+
+
+def _per_row(spark, sf, fn):
+    p = fixture(spark, sf, "fx_predictions")
+    return p.select("idx", F.round(fn("expected", "predicted"), 6).alias("score"))
+
+
+@query
+def char_f1(spark, sf):
+    return _per_row(spark, sf, SC.char_f1)
+
+
+@query
+def token_f1(spark, sf):
+    return _per_row(spark, sf, SC.token_f1)
+
+
+@query
+def rouge_l(spark, sf):
+    return _per_row(spark, sf, SC.rouge_l)
+
+
+@query
+def bootstrap_scores(spark, sf):
+    p = fixture(spark, sf, "fx_predictions").select("idx", SC.rouge_l("expected", "predicted").alias("score"))
+    return EV.bootstrap(p, rounds=200, size=100, seed=0)
+
+
+@query
+def score_tasks(spark, sf):
+    p = fixture(spark, sf, "fx_predictions")
+    return p.groupBy("task").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(F.avg(SC.metric_column(m, "expected", "predicted")), 6).alias(m) for m in SC.METRICS],
+    )
+
+
+@query
+def mean_scores(spark, sf):
+    return R.mean_scores(fixture(spark, sf, "fx_results"))
+
+
+@query
+def best_prompt(spark, sf):
+    return R.best_prompt(fixture(spark, sf, "fx_results"))
+
+
+@query
+def best_prompt_rows(spark, sf):
+    r = fixture(spark, sf, "fx_results")
+    return R.best_prompt_rows(r, R.best_prompt(r)).select("event_id")
+
+
+@query
+def value_counts(spark, sf):
+    c = fixture(spark, sf, "fx_concepts").select(T.concept("program_modules").alias("concept"))
+    return R.value_counts(c, "concept")
+
+
+@query
+def distinct_concepts(spark, sf):
+    return fixture(spark, sf, "fx_concepts").select(T.concept("program_modules").alias("concept")).distinct()
+
+
+@query
+def category_index(spark, sf):
+    s = fixture(spark, sf, "fx_samples").select("idx", "category")
+    return W.category_index(s)
+
+
+@query
+def retained_share(spark, sf):
+    s = fixture(spark, sf, "fx_samples")
+    return FL.retained(s, F.char_length("input") < 1000)
+
+
+@query
+def skip_report(spark, sf):
+    s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random", drop_short=False)
+    s = s.withColumn("n_words", F.when(F.size("demos") == 3, F.size(T.py_words(D.fewshot_prompt("demos")))))
+    return R.skip_report(s, 3, 1500)
+
+
+def _melted(spark, sf):
+    return R.melt_strategies(fixture(spark, sf, "fx_results"))
+
+
+@query
+def box_stats(spark, sf):
+    return R.box_stats(_melted(spark, sf), ["dataset", "model", "type"])
+
+
+@query
+def melt_strategies(spark, sf):
+    return _melted(spark, sf)
+
+
+MODEL_IDS = ["model-click", "model-error", "model-purchase", "model-signup", "model-view"]
+
+
+@query
+def wide_report(spark, sf):
+    r = fixture(spark, sf, "fx_results")
+    return R.wide_report(r, ["dataset", "prompt"], "model", MODEL_IDS, "informative_demos")
+
+
+DISPLAY_NAMES = [("model-view", "View-1B"), ("model-click", "Click-3B"), ("model-purchase", "Buy-11B")]
+
+
+@query
+def rename_models(spark, sf):
+    r = fixture(spark, sf, "fx_results").select("event_id", "model")
+    return R.rename_models(r, DISPLAY_NAMES)
+
+
+@query
+def run_grid(spark, sf):
+    tasks = fixture(spark, sf, "fx_results").select("dataset", "prompt").distinct()
+    return R.run_grid(tasks, model=["m-small", "m-large"], strategy=["random", "cluster-random"])
+
+
+@query
+def tail_means(spark, sf):
+    return R.tail(R.mean_scores(fixture(spark, sf, "fx_results")), ["model", "dataset", "prompt"], 10)
