@@ -247,3 +247,64 @@ ORACLE["rename_models"] = """SELECT event_id, m.new AS model, m.map_order FROM f
 ORACLE["run_grid"] = """SELECT dataset, prompt, model, strategy FROM (SELECT DISTINCT dataset, prompt FROM fx_results),
  (VALUES ('m-small'), ('m-large')) a(model), (VALUES ('random'), ('cluster-random')) b(strategy)"""
 ORACLE["tail_means"] = f"SELECT * FROM ({MEANS}) ORDER BY model DESC, dataset DESC, prompt DESC LIMIT 10"
+
+# ---- sources, joins, windows, composed samples ---------------------------------
+ORACLE["scan_jsonl"] = f"SELECT qid, {FLAT_AS_WRITTEN} AS answer, len(answers)::BIGINT AS n_items FROM fx_answers"
+ORACLE["explode_map"] = "SELECT user_id, day, array_to_string(program_modules, ' ') AS concept FROM fx_concepts"
+FACT_TABLES = """ts AS (
+ SELECT concat('f', cast(p_partkey AS VARCHAR)) AS uid, concat_ws(' ', coalesce(p_name, ''), coalesce(p_brand, ''),
+   coalesce(p_type, ''), coalesce(cast(p_size AS VARCHAR), '')) AS text, 0 AS t FROM part
+ UNION ALL SELECT concat('f', cast(s_suppkey AS VARCHAR)), concat_ws(' ', coalesce(s_name, ''),
+   coalesce(cast(s_nationkey AS VARCHAR), '')), 1 FROM supplier
+ UNION ALL SELECT concat('n', cast(n_nationkey AS VARCHAR)), coalesce(n_name, ''), 2 FROM nation),
+tst AS (SELECT uid, arg_min(text, t) AS text FROM ts GROUP BY uid)"""
+ORACLE["table_set_texts"] = f"WITH {FACT_TABLES} SELECT uid, text FROM tst"
+SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END"
+ORACLE["read_split"] = f"SELECT doc_id, split FROM (SELECT doc_id, {SPLIT} AS split FROM documents) WHERE split = 'train'"
+ORACLE["union_splits"] = f"""SELECT doc_id, split FROM (SELECT doc_id, {SPLIT} AS split FROM documents)
+ WHERE split IN ('validation', 'test')"""
+ORACLE["cache_missing"] = "SELECT task, 'cluster-random' AS strategy, idx FROM fx_predictions WHERE idx % 2 <> 0"
+ORACLE["annotated_only"] = "SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id)"
+ORACLE["attach_labels"] = "SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"
+QIDS = f"qi AS (SELECT *, {_IDS} AS fact_ids FROM fx_questions WHERE explanation IS NOT NULL)"
+ORACLE["lookup_facts"] = f"""WITH {QIDS},
+ex AS (SELECT question_id, unnest(fact_ids) AS uid, unnest(range(len(fact_ids))) AS p FROM qi),
+j AS (SELECT ex.question_id, ex.p, f.fact FROM ex LEFT JOIN fx_facts f USING (uid)),
+g AS (SELECT question_id, string_agg(fact, ' | ' ORDER BY p) AS texts, count(*) FILTER (WHERE fact IS NULL) AS n_missing
+      FROM j GROUP BY question_id)
+SELECT qi.question_id, coalesce(g.texts, '') AS texts, coalesce(g.n_missing, 0) AS n_missing
+FROM qi LEFT JOIN g USING (question_id)"""
+ORACLE["block_clusters"] = """SELECT question_id, (count(*) OVER () - row_number() OVER (ORDER BY question_id)) // 4 AS cluster
+FROM fx_questions"""
+STRIP = "regexp_replace(@X@, '^" + PY_WS + "+|" + PY_WS + "+$', '', 'g')"
+CLUSTERED = f"""{QIDS},
+cl AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY question_id)) // 4 AS cluster FROM qi)"""
+ORACLE["cluster_facts"] = f"""WITH {CLUSTERED},
+cu AS (SELECT DISTINCT cluster, unnest(fact_ids) AS uid FROM cl)
+SELECT cluster, count(*) AS n_facts, string_agg({STRIP.replace('@X@', 'f.fact')}, ' | ' ORDER BY uid) AS facts
+FROM cu JOIN fx_facts f USING (uid) GROUP BY cluster"""
+ORACLE["micro_batches"] = "SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id FROM fx_samples"
+ORACLE["running_cost"] = f"""WITH c AS (SELECT conv_id, turn, role, len({words('text')})::BIGINT AS tokens FROM conversations)
+SELECT conv_id, turn, role, tokens, sum(tokens) OVER (PARTITION BY role ORDER BY conv_id, turn) AS cum_tokens,
+ round(sum(tokens) OVER (PARTITION BY role ORDER BY conv_id, turn) / 1000 * 0.02, 6) AS cum_cost FROM c"""
+BAG = f"concat(logic, array_to_string(list_sort({words('premise')}), ' '))"
+DEDUP = f"""dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {BAG} ORDER BY idx) AS rn FROM fx_nli)
+ WHERE rn = 1 AND logic IS NOT NULL AND trim(logic) <> '')"""
+ORACLE["bag_dedup"] = f"WITH {DEDUP} SELECT idx, logic, label FROM dd"
+ORACLE["shuffled"] = "SELECT idx, cast(concat('0x', substr(md5(concat_ws('|', '7', idx)), 1, 12)) AS BIGINT) AS shuffle_key FROM fx_samples"
+ORACLE["eval_cap"] = _demos_sql("fx_samples", "cluster-random").replace("HAVING count(*) = 3", "HAVING count(*) = 3 ORDER BY idx LIMIT 200") \
+    .replace("SELECT idx, string_agg", "SELECT idx FROM (SELECT idx, string_agg").replace("ORDER BY idx LIMIT 200", ") ORDER BY idx LIMIT 200")
+ORACLE["worldtree_samples"] = f"""WITH {FACT_TABLES}, {CLUSTERED},
+cu AS (SELECT DISTINCT cluster, unnest(fact_ids) AS uid FROM cl),
+cf AS (SELECT cluster, string_agg({STRIP.replace('@X@', 'tst.text')}, '. ' ORDER BY uid) AS ctx FROM cu JOIN tst USING (uid)
+       GROUP BY cluster)
+SELECT question_id AS idx, concat(cf.ctx, '. ', ' ', question) AS input,
+ {ORACLE['answer_by_key'].split('SELECT question_id, ')[1].split(' AS answer')[0]} AS label,
+ cast(cluster AS VARCHAR) AS category FROM cl JOIN cf USING (cluster)"""
+ORACLE["nli_samples"] = f"""WITH {DEDUP}
+SELECT idx, 'gpt3' AS template, concat(premise, chr(10) || 'Question: ', logic, ' True, False or Neither?') AS input,
+ CASE WHEN label = 'entailment' THEN 'True' ELSE 'False' END AS label, logic AS category FROM dd
+UNION ALL SELECT idx, 'plain', premise, label, logic FROM dd WHERE logic <> ''"""
+ORACLE["multihop_samples"] = f"""WITH {REASONING}
+SELECT d.doc_id AS idx, concat('Question: ', d.text, ' Context: ', '', ' Answer:') AS input, d.source AS label,
+ array_to_string({TAILS}, '|') AS category FROM documents d JOIN fx_reasoning r ON r.idx = d.doc_id"""

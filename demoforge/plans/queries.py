@@ -406,3 +406,194 @@ def run_grid(spark, sf):
 @query
 def tail_means(spark, sf):
     return R.tail(R.mean_scores(fixture(spark, sf, "fx_results")), ["model", "dataset", "prompt"], 10)
+
+
+# ---- sources as queries (2.A) ---------------------------------------------------
+from demoforge.operators import lookups as L  # noqa: E402
+
+
+@query
+def scan_jsonl(spark, sf):
+    """fx_answers rows through JSON text and back with a declared schema."""
+    a = fixture(spark, sf, "fx_answers")
+    schema = ("qid BIGINT, answers ARRAY<STRUCT<number: STRING, date: STRUCT<day: STRING, month: STRING, "
+              "year: STRING>, spans: ARRAY<STRING>>>")
+    back = a.select(F.from_json(F.to_json(F.struct("qid", "answers")), schema).alias("r")).select("r.*")
+    return back.select("qid", T.flatten_answer("answers").alias("answer"),
+                       F.size("answers").cast("bigint").alias("n_items"))
+
+
+@query
+def explode_map(spark, sf):
+    """fx_concepts as one JSON object per user (day -> modules), exploded."""
+    c = fixture(spark, sf, "fx_concepts")
+    per_user = c.groupBy("user_id").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("day", "program_modules")))).alias("js"))
+    ex = per_user.select("user_id", F.explode(F.from_json("js", "MAP<STRING, ARRAY<STRING>>")).alias("day", "mods"))
+    return ex.select("user_id", "day", T.concept("mods").alias("concept"))
+
+
+def _fact_tables(spark, sf):
+    part = fixture_table(spark, sf, "part").select(
+        F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("[SKIP] UID"), "p_name", "p_brand", "p_type",
+        "p_size")
+    supp = fixture_table(spark, sf, "supplier").select(
+        F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("[SKIP] UID"), "s_name", "s_nationkey")
+    nat = fixture_table(spark, sf, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("[SKIP] UID"), "n_name",
+        F.col("n_regionkey").alias("[SKIP] region"))
+    return [part, supp, nat]
+
+
+@query
+def table_set_texts(spark, sf):
+    return L.table_set_texts(_fact_tables(spark, sf))
+
+
+def _split_col():
+    m = F.col("doc_id") % 10
+    return F.when(m < 8, "train").when(m == 8, "validation").otherwise("test")
+
+
+@query
+def read_split(spark, sf):
+    d = L.with_split(fixture_table(spark, sf, "documents"), _split_col())
+    return d.where(F.col("split") == "train").select("doc_id", "split")
+
+
+@query
+def union_splits(spark, sf):
+    d = L.with_split(fixture_table(spark, sf, "documents"), _split_col())
+    v = d.where(F.col("split") == "validation")
+    t = d.where(F.col("split") == "test")
+    return v.unionByName(t).select("doc_id", "split")
+
+
+@query
+def cache_missing(spark, sf):
+    """Predictions already stored (even rows) against all requested: the
+    missing keys are what the predictor still has to run."""
+    p = fixture(spark, sf, "fx_predictions").withColumn("strategy", F.lit("cluster-random"))
+    stored = p.where(F.col("idx") % 2 == 0)
+    key = ["task", "strategy", "idx"]
+    return p.join(stored.select(*key), key, "left_anti").select(*key)
+
+
+# ---- joins, lookups, windows (2.E, 2.F, 2.G) ---------------------------------
+
+
+@query
+def annotated_only(spark, sf):
+    d = fixture_table(spark, sf, "documents")
+    return L.semi(d, fixture_table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+@query
+def attach_labels(spark, sf):
+    d = fixture_table(spark, sf, "documents").select("doc_id", "n_chars")
+    return L.attach(d, fixture_table(spark, sf, "labels"), "doc_id")
+
+
+def _questions_with_ids(spark, sf):
+    q = FL.filter_questions(fixture(spark, sf, "fx_questions"))
+    return q.withColumn("fact_ids", T.parse_fact_ids("explanation"))
+
+
+@query
+def lookup_facts(spark, sf):
+    q = _questions_with_ids(spark, sf)
+    facts = fixture(spark, sf, "fx_facts")
+    out = L.lookup_list(q, "question_id", "fact_ids", facts, "uid", "fact")
+    return out.select("question_id", F.array_join("texts", " | ").alias("texts"), "n_missing")
+
+
+@query
+def block_clusters(spark, sf):
+    q = fixture(spark, sf, "fx_questions").select("question_id")
+    return W.block_clusters(q, 3, "question_id")
+
+
+@query
+def cluster_facts(spark, sf):
+    q = W.block_clusters(_questions_with_ids(spark, sf), 3, "question_id")
+    cf = L.cluster_facts(q, "fact_ids", fixture(spark, sf, "fx_facts"), "uid", "fact")
+    return cf.select("cluster", F.size("facts").cast("bigint").alias("n_facts"),
+                     F.array_join("facts", " | ").alias("facts"))
+
+
+@query
+def micro_batches(spark, sf):
+    return W.micro_batches(fixture(spark, sf, "fx_samples").select("idx"), 8)
+
+
+PRICE_PER_1K = 0.02
+
+
+@query
+def running_cost(spark, sf):
+    c = fixture_table(spark, sf, "conversations").withColumn("tokens", F.size(T.py_words("text")).cast("bigint"))
+    r = W.running_sum(c, "tokens", ["role"], ["conv_id", "turn"], out="cum_tokens")
+    return r.select("conv_id", "turn", "role", "tokens", "cum_tokens",
+                    F.round(F.col("cum_tokens") / 1000 * PRICE_PER_1K, 6).alias("cum_cost"))
+
+
+@query
+def bag_dedup(spark, sf):
+    n = fixture(spark, sf, "fx_nli").withColumn("bag", T.bag_key("logic", "premise"))
+    first = W.dedup_first(n, "bag", "idx")
+    return FL.non_blank(first, "logic").select("idx", "logic", "label")
+
+
+@query
+def shuffled(spark, sf):
+    return L.shuffled(fixture(spark, sf, "fx_samples").select("idx"), 7)
+
+
+@query
+def eval_cap(spark, sf):
+    s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random")
+    return FL.first_n(s.select("idx"), 200)
+
+
+# ---- composed sample builders (2.K) ------------------------------------------
+
+
+def worldtree_samples_df(spark, sf, k=3, difficulty=None):
+    q = FL.filter_questions(fixture(spark, sf, "fx_questions"), difficulty)
+    q = q.withColumn("fact_ids", T.parse_fact_ids("explanation"))
+    q = W.block_clusters(q, k, "question_id")
+    facts = L.table_set_texts(_fact_tables(spark, sf))
+    cf = L.cluster_facts(q, "fact_ids", facts, "uid", "text")
+    s = q.join(cf, "cluster")
+    return s.select(
+        F.col("question_id").alias("idx"),
+        F.concat(T.context_text("facts"), F.lit(" "), F.col("question")).alias("input"),
+        T.answer_by_key("question", "answer_key").alias("label"),
+        F.col("cluster").cast("string").alias("category"),
+    )
+
+
+@query
+def worldtree_samples(spark, sf):
+    return worldtree_samples_df(spark, sf)
+
+
+@query
+def nli_samples(spark, sf):
+    n = fixture(spark, sf, "fx_nli").withColumn("bag", T.bag_key("logic", "premise"))
+    kept = FL.non_blank(W.dedup_first(n, "bag", "idx"), "logic")
+    r = T.render_templates(kept, NLI_TEMPLATES, keep=["idx", "logic"])
+    return r.select("idx", "template", "input", "label", F.col("logic").alias("category"))
+
+
+@query
+def multihop_samples(spark, sf):
+    ann = fx_reasoning(spark, sf).select(F.col("idx").cast("string").alias("id"), "reasoning")
+    docs = fixture_table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("source").alias("answer"))
+    annotated = L.semi(docs, ann, "id")
+    tails = ann.select("id", T.relation_tails("reasoning").alias("category"))
+    s = L.attach(annotated, tails, "id")
+    s = s.select("id", T.qa_prompt("question", F.lit("")).alias("input"), F.col("answer").alias("label"), "category")
+    return s.select(F.col("id").cast("bigint").alias("idx"), "input", "label",
+                    F.array_join("category", "|").alias("category"))
