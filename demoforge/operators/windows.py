@@ -34,9 +34,11 @@ def dense_index(
     by: Sequence[str] = (),
     out: str = "pos",
     size_out: str | None = None,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``out`` = 0-based position by ``order_col`` (unique, integral)
-    within ``by`` groups (whole table if empty); ``size_out`` = group size."""
+    """Add ``out`` = 0-based position by ``order_col`` (integral; ties
+    ordered by ``tiebreak``) within ``by`` groups (whole table if empty);
+    ``size_out`` = group size."""
     by = list(by)
     width = _bucket_width(df, order_col)
     b = F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
@@ -49,7 +51,7 @@ def dense_index(
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
         F.sum("_c").over(total).alias("_size"),
     )
-    inner = Window.partitionBy(*by, "_b").orderBy(order_col)
+    inner = Window.partitionBy(*by, "_b").orderBy(order_col, *tiebreak)
     ranked = dfb.withColumn("_rn", F.row_number().over(inner))
     offsets = F.broadcast(offsets) if not by else offsets  # <= MAX_BUCKETS rows when global
     res = ranked.join(offsets, [*by, "_b"]).withColumn(out, F.col("_off") + F.col("_rn") - 1)

@@ -308,3 +308,28 @@ UNION ALL SELECT idx, 'plain', premise, label, logic FROM dd WHERE logic <> ''""
 ORACLE["multihop_samples"] = f"""WITH {REASONING}
 SELECT d.doc_id AS idx, concat('Question: ', d.text, ' Context: ', '', ' Answer:') AS input, d.source AS label,
  array_to_string({TAILS}, '|') AS category FROM documents d JOIN fx_reasoning r ON r.idx = d.doc_id"""
+
+# ---- concepts --------------------------------------------------------------------
+MINDIST = """dc AS (SELECT DISTINCT array_to_string(program_modules, ' ') AS concept FROM fx_concepts),
+md AS (SELECT a.concept, min(levenshtein(a.concept, b.concept)) AS min_dist
+       FROM dc a LEFT JOIN dc b ON a.concept <> b.concept GROUP BY a.concept)"""
+DRAWS = f"""{MINDIST},
+ib AS (SELECT concept, min_dist AS band,
+       row_number() OVER (PARTITION BY min_dist ORDER BY {draw_sql("'order', concept", '1').replace(' % 1', '')}, concept) - 1 AS pos,
+       count(*) OVER (PARTITION BY min_dist) AS n FROM md WHERE min_dist IN (4, 6, 10)),
+sz AS (SELECT DISTINCT band, n FROM ib),
+pk AS (SELECT [4, 6, 10][r // 200 + 1] AS band, r % 200 AS j FROM range(600) t(r)),
+dr AS (SELECT pk.band, pk.j, ib.concept FROM pk JOIN sz USING (band)
+       JOIN ib ON ib.band = pk.band AND ib.pos = {draw_sql("'0', pk.band, pk.j", 'sz.n')})"""
+SPLIT_SQL = f"""{DRAWS},
+held AS (SELECT DISTINCT concept FROM dr),
+sp AS (SELECT md.concept, md.min_dist, CASE WHEN held.concept IS NOT NULL THEN 'heldout' ELSE 'train' END AS split
+       FROM md LEFT JOIN held USING (concept))"""
+ORACLE["min_edit_distance"] = f"WITH {MINDIST} SELECT concept, min_dist FROM md"
+ORACLE["draw_concepts"] = f"WITH {DRAWS} SELECT band, j, concept FROM dr"
+ORACLE["concept_split"] = f"WITH {SPLIT_SQL} SELECT concept, min_dist, split FROM sp"
+ORACLE["train_concepts"] = f"WITH {SPLIT_SQL} SELECT concept FROM sp WHERE split = 'train'"
+ORACLE["concept_dataset"] = f"""WITH {SPLIT_SQL}
+SELECT user_id, day, CASE WHEN user_id % 5 = 0 THEN 'dev' ELSE 'train' END AS role,
+ array_to_string(program_modules, ' ') AS concept FROM fx_concepts
+WHERE array_to_string(program_modules, ' ') IN (SELECT concept FROM sp WHERE split = 'train')"""

@@ -597,3 +597,44 @@ def multihop_samples(spark, sf):
     s = s.select("id", T.qa_prompt("question", F.lit("")).alias("input"), F.col("answer").alias("label"), "category")
     return s.select(F.col("id").cast("bigint").alias("idx"), "input", "label",
                     F.array_join("category", "|").alias("category"))
+
+
+# ---- concepts, distances, split (2.E8, 2.H1-H2, 2.G6, K8) ------------------
+from demoforge.operators import concepts as CN  # noqa: E402
+
+CONCEPT_BANDS = (4, 6, 10)
+HELD_OUT_DRAWS = 200
+
+
+def _concepts(spark, sf):
+    return fixture(spark, sf, "fx_concepts").select("user_id", "day", T.concept("program_modules").alias("concept"))
+
+
+@query
+def min_edit_distance(spark, sf):
+    return CN.min_edit_distance(_concepts(spark, sf), "concept")
+
+
+@query
+def draw_concepts(spark, sf):
+    c = _concepts(spark, sf)
+    return CN.draw_concepts(CN.min_edit_distance(c), CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0)
+
+
+@query
+def concept_split(spark, sf):
+    return CN.concept_split(_concepts(spark, sf), CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0)
+
+
+@query
+def train_concepts(spark, sf):
+    s = CN.concept_split(_concepts(spark, sf), CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0)
+    return s.where(F.col("split") == "train").select("concept")
+
+
+@query
+def concept_dataset(spark, sf):
+    c = _concepts(spark, sf).withColumn("role", F.when(F.col("user_id") % 5 == 0, "dev").otherwise("train"))
+    split = CN.concept_split(c, CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0)
+    keep = split.where(F.col("split") == "train").select("concept")
+    return L.semi(c, keep, "concept").select("user_id", "day", "role", "concept")
