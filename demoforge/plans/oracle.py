@@ -333,3 +333,61 @@ ORACLE["concept_dataset"] = f"""WITH {SPLIT_SQL}
 SELECT user_id, day, CASE WHEN user_id % 5 = 0 THEN 'dev' ELSE 'train' END AS role,
  array_to_string(program_modules, ' ') AS concept FROM fx_concepts
 WHERE array_to_string(program_modules, ' ') IN (SELECT concept FROM sp WHERE split = 'train')"""
+
+# ---- training sets -----------------------------------------------------------------
+N_DEMOS = "(2 + " + draw_sql("'0', 'n', idx", "4") + ")"
+CI = """ci AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY idx) - 1 AS cat_pos,
+ count(*) OVER (PARTITION BY category) AS cat_size FROM @SRC@)"""
+
+
+def _sets_sql(kind: str, max_chars: int = 8000) -> str:
+    if kind == "informative":
+        base = CI.replace("@SRC@", "fx_samples") + f""",
+st AS (SELECT idx, category, cat_pos AS p, cat_size AS n, {N_DEMOS} AS n_demos FROM ci WHERE cat_size > 1),
+rows AS (SELECT idx, category, cat_pos AS p, input, label FROM ci)"""
+        tag = "'informative'"
+    else:
+        base = """ci AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS p, count(*) OVER () AS n FROM fx_samples)""" + f""",
+st AS (SELECT idx, 0 AS category, p, n, {N_DEMOS} AS n_demos FROM ci),
+rows AS (SELECT idx, 0 AS category, p, input, label FROM ci)"""
+        tag = "'random'"
+    return f"""WITH {base},
+sl AS (SELECT st.*, unnest(range(n_demos)) AS slot FROM st),
+se AS (SELECT sl.*, 1 + {draw_sql("'0', " + tag + ", idx, slot", '(n - 1)')} AS sel0 FROM sl),
+se2 AS (SELECT *, CASE WHEN sel0 = p THEN sel0 - 1 ELSE sel0 END AS sel FROM se),
+pk AS (SELECT se2.idx, se2.n_demos, se2.slot, d.idx AS demo_idx, length(d.input) + length(d.label) + 2 AS demo_len
+       FROM se2 JOIN rows d ON d.category = se2.category AND d.p = se2.sel),
+g AS (SELECT idx, n_demos, list(demo_idx ORDER BY slot) AS ids, list(demo_len ORDER BY slot) AS lens
+      FROM pk GROUP BY idx, n_demos)
+SELECT idx, n_demos, array_to_string(ids, ' ') AS demo_idxs, list_sum(lens)::BIGINT AS demos_chars FROM g
+WHERE len(ids) = n_demos AND coalesce(list_sum(lens[1:n_demos - 1]), 0) <= {max_chars}"""
+
+
+ORACLE["demo_counts"] = f"SELECT idx, {N_DEMOS} AS n_demos FROM fx_samples"
+ORACLE["train_informative"] = _sets_sql("informative")
+ORACLE["train_random"] = _sets_sql("random")
+ORACLE["train_length_guard"] = _sets_sql("informative", 3000)
+ORACLE["train_hard"] = f"""WITH {CI.replace('@SRC@', 'fx_labelled')},
+cw AS (SELECT idx, category, cat_pos, list_concat({words('input')}, {words('label')}) AS w FROM ci),
+st AS (SELECT idx, category, cat_size, {N_DEMOS} AS n_demos, {words('input')} AS pw, {words('label')} AS tw
+       FROM ci WHERE cat_size > 1),
+dr AS (SELECT st.*, r, {draw_sql("'0', 'hard', idx, 0, r", 'cat_size')} AS cpos FROM st, range(20) t(r)),
+pp AS (SELECT dr.idx, dr.n_demos, dr.r, c.idx AS cid, list_concat(c.w, dr.pw) AS pr, dr.tw
+       FROM dr JOIN cw c ON c.category = dr.category AND c.cat_pos = dr.cpos),
+sc AS (SELECT idx, n_demos, r, cid, list_sum(list_transform(tw, lambda w:
+         ln((len(list_filter(pr, lambda x: x = w)) + 1) / (len(pr) + len(list_distinct(pr)) + 1)))) AS s FROM pp)
+SELECT idx, n_demos, cid AS first_demo FROM (
+ SELECT *, row_number() OVER (PARTITION BY idx ORDER BY s, r) AS rn FROM sc) WHERE rn = 1"""
+ORACLE["argmin_candidate"] = f"""SELECT task, idx, round(score, 6) AS score FROM (
+ SELECT task, idx, {ROUGE} AS score, row_number() OVER (PARTITION BY task ORDER BY {ROUGE}, idx) AS rn FROM fx_predictions)
+WHERE rn = 1"""
+ORACLE["unigram_score"] = f"""SELECT idx, round(list_sum(list_transform({words('label')}, lambda w:
+  ln((len(list_filter(pw, lambda x: x = w)) + 1) / (len(pw) + len(list_distinct(pw)) + 1)))), 6) AS log_score
+FROM (SELECT *, {words('input')} AS pw FROM fx_labelled)"""
+_MAJ = """WITH {pairs},
+v AS (SELECT idx, label, count(*) AS c, max(last) AS m FROM pairs WHERE rn <= 3 GROUP BY idx, label),
+k AS (SELECT idx FROM pairs WHERE rn <= 3 GROUP BY idx HAVING count(*) = 3)"""
+ORACLE["predict_mock"] = _MAJ.format(pairs=demo_pairs("fx_labelled", "cluster-random")) + \
+    "\nSELECT idx, 'mock text' AS predicted FROM k"
+ORACLE["predict_majority"] = _MAJ.format(pairs=demo_pairs("fx_labelled", "cluster-random")) + """
+SELECT idx, arg_max(label, c * 1000000000000 + m) AS predicted FROM v SEMI JOIN k USING (idx) GROUP BY idx"""

@@ -638,3 +638,91 @@ def concept_dataset(spark, sf):
     split = CN.concept_split(c, CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0)
     keep = split.where(F.col("split") == "train").select("concept")
     return L.semi(c, keep, "concept").select("user_id", "day", "role", "concept")
+
+
+# ---- training sets (2.H), predictors and scorer (2.J) ------------------------
+from demoforge.operators import predict as P  # noqa: E402
+from demoforge.operators import training as TR  # noqa: E402
+
+
+def _sets_out(df):
+    return df.select("idx", "n_demos", F.array_join(F.transform("demo_idxs", lambda x: x.cast("string")), " ")
+                     .alias("demo_idxs"), "demos_chars")
+
+
+@query
+def demo_counts(spark, sf):
+    return TR.demo_counts(fixture(spark, sf, "fx_samples").select("idx")).select("idx", "n_demos")
+
+
+@query
+def train_informative(spark, sf):
+    return _sets_out(TR.informative_sets(fixture(spark, sf, "fx_samples")))
+
+
+@query
+def train_random(spark, sf):
+    return _sets_out(TR.random_sets(fixture(spark, sf, "fx_samples")))
+
+
+@query
+def train_length_guard(spark, sf):
+    return _sets_out(TR.informative_sets(fixture(spark, sf, "fx_samples"), max_chars=3000))
+
+
+@query
+def train_hard(spark, sf):
+    """Hardest first demonstration (20 candidates, as in the training runs)."""
+    h = TR.hard_sets(fixture(spark, sf, "fx_labelled"), candidates=20, max_slots=1)
+    return h.select("idx", "n_demos", F.get("demo_idxs", 0).alias("first_demo"))
+
+
+@query
+def train_hard_sets(spark, sf):
+    return _sets_out(TR.hard_sets(fixture(spark, sf, "fx_labelled"), candidates=20))
+
+
+@query
+def argmin_candidate(spark, sf):
+    p = fixture(spark, sf, "fx_predictions").withColumn("score", SC.rouge_l("expected", "predicted"))
+    return TR.argmin_candidate(p, "task", "idx", "score", "idx").select("task", "idx", F.round("score", 6)
+                                                                        .alias("score"))
+
+
+@query
+def unigram_score(spark, sf):
+    s = fixture(spark, sf, "fx_labelled")
+    return s.select("idx", F.round(TR.unigram_log_score(T.py_words("input"), T.py_words("label")), 6)
+                    .alias("log_score"))
+
+
+def _predicted(spark, sf, predictor):
+    s = D.select_demos(fixture(spark, sf, "fx_labelled"), 3, "cluster-random")
+    s = s.withColumn("prompt", D.fewshot_prompt("demos"))
+    return P.predict(s, predictor).select("idx", "predicted")
+
+
+@query
+def predict_mock(spark, sf):
+    return _predicted(spark, sf, "mock")
+
+
+@query
+def predict_majority(spark, sf):
+    return _predicted(spark, sf, "demo_majority")
+
+
+@query
+def training_table(spark, sf):
+    """Question-answer training table: length filter, question-word category,
+    QA prompt, informative demonstrations, character guard, primed prompt,
+    micro-batches of 8."""
+    d = fixture_table(spark, sf, "documents")
+    s = FL.max_chars(d.select(F.col("doc_id").alias("idx"), "text", "source"), "text", 2000)
+    s = s.select("idx", T.wh_category("text").alias("category"), T.qa_prompt("text", "source").alias("prompt"),
+                 F.col("source").alias("answer"))
+    sets = TR.informative_sets(s, prompt="prompt", answer="answer")
+    primed = TR.with_primed_prompt(sets, s, "prompt", "answer")
+    b = W.micro_batches(primed.select("idx", "n_demos", "primed"), 8)
+    return b.select("idx", "batch_id", "n_demos", F.char_length("primed").alias("primed_chars"),
+                    F.md5("primed").alias("primed_md5"))
