@@ -19,6 +19,8 @@ filter and slice over at most K(K+1) array elements: no sample-side shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +32,18 @@ STRATEGIES = ("random", "cluster-random")
 DEMO_FIELDS = ("idx", "input", "label")
 
 
-def _category_key(strategy: str) -> Column:
+def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
+    """Non-null string key of the candidate pool a sample draws from: its
+    task (``by`` columns) and, for ``cluster-random``, its category (NULL is
+    its own group, as None == None)."""
+    task = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by]
     if strategy == "random":
-        return F.lit("*")
-    if strategy == "cluster-random":
-        # non-null join key; NULL category is its own group (None == None)
-        return F.coalesce(F.concat(F.lit("v:"), F.col("category").cast("string")), F.lit("null"))
-    raise ValueError(f"Demo selection strategy {strategy} unknown.")
+        cat = F.lit("*")
+    elif strategy == "cluster-random":
+        cat = F.coalesce(F.concat(F.lit("v:"), F.col("category").cast("string")), F.lit("null"))
+    else:
+        raise ValueError(f"Demo selection strategy {strategy} unknown.")
+    return F.concat_ws("\u0001", *task, cat) if task else cat
 
 
 def candidate_lists(pool: DataFrame, k: int, key: Column) -> DataFrame:
@@ -73,15 +80,17 @@ def select_demos(
     pool: DataFrame | None = None,
     out: str = "demos",
     drop_short: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``out`` = the K chosen demos (ARRAY<STRUCT<idx, input, label>>).
 
     ``pool`` is where demos come from (default: the samples themselves).
+    ``by`` names task columns: demos come from the sample's own task.
     Scalar categories only; list categories go through ``select_demos_overlap``.
     """
     pool = samples if pool is None else pool
-    key = _category_key(strategy)
-    lists = candidate_lists(pool.select("idx", "input", "label", "category"), k, key)
+    key = _category_key(strategy, by)
+    lists = candidate_lists(pool.select("idx", "input", "label", "category", *by), k, key)
     joined = keyed_join(
         samples.withColumn("_ck", key), lists, "_ck", weight="_w", salt_by=F.col("idx"),
         how="inner" if drop_short else "left",

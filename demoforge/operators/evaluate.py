@@ -21,6 +21,12 @@ from demoforge.operators.windows import dense_index
 ROUND = 6
 
 
+def r6(c) -> "Column":
+    """Round to 6 decimals, with a signed zero printed as 0.0."""
+    x = F.round(F.col(c) if isinstance(c, str) else c, ROUND)
+    return F.when(x == 0, F.lit(0.0)).otherwise(x)
+
+
 def score(df: DataFrame, metric: str, expected: str = "label", predicted: str = "predicted",
           out: str = "score") -> DataFrame:
     return df.withColumn(out, metric_column(metric, expected, predicted))
@@ -32,7 +38,7 @@ def mean_score(df: DataFrame, metric: str, by: Sequence[str] = (), expected: str
     s = metric_column(metric, expected, predicted)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(s), ROUND).alias("score"),
+        r6(F.avg(s)).alias("score"),
     )
 
 
@@ -44,6 +50,9 @@ def strategy_gap(
     max_words: int | None = None,
     by: Sequence[str] = (),
     model_name: str | None = None,
+    bootstrap_rounds: int = 0,
+    bootstrap_size: int = 100,
+    seed: int | str = 0,
 ) -> DataFrame:
     """Random against informative (same category) demos on one sample set.
 
@@ -52,14 +61,18 @@ def strategy_gap(
     the word limit.  Both runs are columns of the same rows, so they are
     aligned without a join.
     """
-    info = select_demos(samples, k, "cluster-random", out="demos_info")
+    info = select_demos(samples, k, "cluster-random", out="demos_info", by=by)
     if max_words is not None:
         info = info.where(word_count(fewshot_prompt("demos_info")) <= max_words)
-    both = select_demos(info, k, "random", pool=samples, out="demos_rand")
+    both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by)
     both = predict(both, predictor, demos_col="demos_info", out="pred_info")
     both = predict(both, predictor, demos_col="demos_rand", out="pred_rand")
     s_info = metric_column(metric, "label", "pred_info")
     s_rand = metric_column(metric, "label", "pred_rand")
+    if bootstrap_rounds:
+        scored = both.select(*by, "idx", s_rand.alias("s_rand"), s_info.alias("s_info"))
+        return _bootstrap_gap(scored, by, bootstrap_rounds, bootstrap_size, seed,
+                              model_name or (predictor if isinstance(predictor, str) else "custom"))
     agg = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.avg(s_rand).alias("r"),
@@ -69,9 +82,9 @@ def strategy_gap(
         *by,
         F.lit(model_name or (predictor if isinstance(predictor, str) else "custom")).alias("model"),
         "n_samples",
-        F.round("r", ROUND).alias("random_demos"),
-        F.round("i", ROUND).alias("informative_demos"),
-        F.round(F.col("i") - F.col("r"), ROUND).alias("difference"),
+        r6("r").alias("random_demos"),
+        r6("i").alias("informative_demos"),
+        r6(F.col("i") - F.col("r")).alias("difference"),
     )
     return res
 
@@ -107,3 +120,27 @@ def bootstrap(
     return joined.groupBy("round_id").agg(
         F.round(F.sum(F.col(score_col) * F.col("_c")) / F.lit(size), ROUND).alias("score")
     )
+
+
+def _bootstrap_gap(scored: DataFrame, by: Sequence[str], rounds: int, size: int, seed, model: str) -> DataFrame:
+    """Per task and round: mean of ``size`` draws with replacement, random
+    and informative each from its own draw stream, then the difference."""
+    by = list(by)
+    pos = dense_index(scored, "idx", by=by, out="_pos", size_out="_n")
+    sizes = pos.select(*by, "_n").distinct()
+    picks = sizes.withColumn(
+        "_rj", F.explode(F.sequence(F.lit(0), F.lit(rounds * size - 1)))).select(
+        *by, "_n", F.floor(F.col("_rj") / size).alias("round_id"), F.pmod(F.col("_rj"), F.lit(size)).alias("j"))
+    parts = []
+    for stream, col in (("random", "s_rand"), ("informative", "s_info")):
+        p = picks.withColumn("_pos", draw(F.lit(str(seed)), F.concat_ws("/", *[F.col(c).cast("string") for c in by],
+                                                                        F.lit(stream)),
+                                          F.col("round_id"), F.col("j"), n=F.col("_n")))
+        c = p.groupBy(*by, "round_id", "_pos").agg(F.count(F.lit(1)).alias("_c"))
+        m = pos.select(*by, "_pos", col).join(c, [*by, "_pos"]).groupBy(*by, "round_id").agg(
+            (F.sum(F.col(col) * F.col("_c")) / F.lit(size)).alias(col))
+        parts.append(m)
+    g = parts[0].join(parts[1], [*by, "round_id"])
+    return g.select(*by, F.lit(model).alias("model"), "round_id",
+                    r6("s_rand").alias("random_demos"), r6("s_info").alias("informative_demos"),
+                    r6(F.col("s_info") - F.col("s_rand")).alias("difference"))

@@ -47,7 +47,7 @@ SELECT 'demo_majority' AS model, count(*) AS n_samples,
  round(avg(CASE WHEN pr IS NOT DISTINCT FROM label THEN 1.0 ELSE 0.0 END), 6) AS random_demos,
  round(avg(CASE WHEN pi IS NOT DISTINCT FROM label THEN 1.0 ELSE 0.0 END), 6) AS informative_demos,
  round(avg(CASE WHEN pi IS NOT DISTINCT FROM label THEN 1.0 ELSE 0.0 END)
-     - avg(CASE WHEN pr IS NOT DISTINCT FROM label THEN 1.0 ELSE 0.0 END), 6) AS difference
+     - avg(CASE WHEN pr IS NOT DISTINCT FROM label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS difference
 FROM j
 """
 
@@ -391,3 +391,93 @@ ORACLE["predict_mock"] = _MAJ.format(pairs=demo_pairs("fx_labelled", "cluster-ra
     "\nSELECT idx, 'mock text' AS predicted FROM k"
 ORACLE["predict_majority"] = _MAJ.format(pairs=demo_pairs("fx_labelled", "cluster-random")) + """
 SELECT idx, arg_max(label, c * 1000000000000 + m) AS predicted FROM v SEMI JOIN k USING (idx) GROUP BY idx"""
+
+# ---- composed evaluation jobs -------------------------------------------------------
+
+
+def _gap_sql(src: str, by: str, metric: str, max_words: int | None, boot: bool = False) -> str:
+    """Strategy gap per task ``by`` with the majority predictor; a sample is
+    keyed by (task, idx)."""
+    word_filter = ""
+    if max_words is not None:
+        word_filter = f"""
+  pt AS (SELECT p.{by}, p.idx, concat(string_agg(concat('Input: ', x.input, ' Prediction: ', p.label), chr(10) ORDER BY p.rn),
+         chr(10) || 'Input: ', any_value(s.input), ' Prediction:') AS prompt
+         FROM pi p JOIN s x ON x.{by} = p.{by} AND x.idx = p.last JOIN s ON s.{by} = p.{by} AND s.idx = p.idx
+         WHERE p.rn <= 3 GROUP BY p.{by}, p.idx),
+  keptw AS (SELECT {by}, idx FROM pt WHERE len({words('prompt')}) <= {max_words}),"""
+    kept_src = "keptw" if max_words is not None else "kept0"
+    score_i = metric.replace("expected", "j.label").replace("predicted", "j.pi")
+    score_r = metric.replace("expected", "j.label").replace("predicted", "j.pr")
+    body = f"""WITH s AS (SELECT * FROM {src}),
+t AS (SELECT {by}, input, label, category, max(idx) AS last FROM s GROUP BY {by}, input, label, category),
+pi AS (SELECT s.{by}, s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.{by}, s.idx ORDER BY t.last DESC) AS rn
+       FROM s JOIN t ON t.{by} = s.{by} AND t.input <> s.input AND s.category IS NOT DISTINCT FROM t.category),
+kept0 AS (SELECT {by}, idx FROM pi WHERE rn <= 3 GROUP BY {by}, idx HAVING count(*) = 3),{word_filter}
+pr AS (SELECT s.{by}, s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.{by}, s.idx ORDER BY t.last DESC) AS rn
+       FROM s JOIN {kept_src} USING ({by}, idx) JOIN t ON t.{by} = s.{by} AND t.input <> s.input),
+keptr AS (SELECT {by}, idx FROM pr WHERE rn <= 3 GROUP BY {by}, idx HAVING count(*) = 3),
+vi AS (SELECT {by}, idx, label, count(*) AS c, max(last) AS m FROM pi WHERE rn <= 3 GROUP BY {by}, idx, label),
+vr AS (SELECT {by}, idx, label, count(*) AS c, max(last) AS m FROM pr WHERE rn <= 3 GROUP BY {by}, idx, label),
+mi AS (SELECT {by}, idx, arg_max(label, c * 1000000000000 + m) AS pred FROM vi GROUP BY {by}, idx),
+mr AS (SELECT {by}, idx, arg_max(label, c * 1000000000000 + m) AS pred FROM vr GROUP BY {by}, idx),
+j AS (SELECT s.{by}, s.idx, s.label, mi.pred AS pi, mr.pred AS pr FROM s JOIN {kept_src} USING ({by}, idx)
+      JOIN keptr USING ({by}, idx) JOIN mi USING ({by}, idx) JOIN mr USING ({by}, idx)),
+sc AS (SELECT j.{by}, j.idx, {score_r} AS s_rand, {score_i} AS s_info FROM j)"""
+    if not boot:
+        return body + f"""
+SELECT {by}, 'demo_majority' AS model, count(*) AS n_samples, round(avg(s_rand), 6) AS random_demos,
+ round(avg(s_info), 6) AS informative_demos, (round(avg(s_info) - avg(s_rand), 6) + 0.0) AS difference FROM sc GROUP BY {by}"""
+    return body + f""",
+pos AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM sc),
+sz AS (SELECT DISTINCT {by}, n FROM pos),
+pk AS (SELECT sz.*, r // 100 AS round_id, r % 100 AS j FROM sz, range(20000) t(r)),
+br AS (SELECT pk.{by}, pk.round_id, sum(pos.s_rand) / 100 AS s_rand FROM pk JOIN pos ON pos.{by} = pk.{by}
+       AND pos.pos = {draw_sql(f"'0', concat_ws('/', pk.{by}, 'random'), pk.round_id, pk.j", 'pk.n')} GROUP BY ALL),
+bi AS (SELECT pk.{by}, pk.round_id, sum(pos.s_info) / 100 AS s_info FROM pk JOIN pos ON pos.{by} = pk.{by}
+       AND pos.pos = {draw_sql(f"'0', concat_ws('/', pk.{by}, 'informative'), pk.round_id, pk.j", 'pk.n')} GROUP BY ALL)
+SELECT {by}, 'demo_majority' AS model, round_id, round(s_rand, 6) AS random_demos, round(s_info, 6) AS informative_demos,
+ (round(s_info - s_rand, 6) + 0.0) AS difference FROM br JOIN bi USING ({by}, round_id)"""
+
+
+NLI_SAMPLES = f"""nli AS (
+ SELECT idx, 'gpt3' AS template, concat(premise, chr(10) || 'Question: ', logic, ' True, False or Neither?') AS input,
+  CASE WHEN label = 'entailment' THEN 'True' ELSE 'False' END AS label, logic AS category FROM dd
+ UNION ALL SELECT idx, 'plain', premise, label, logic FROM dd WHERE logic <> '')"""
+_K1 = _gap_sql("nli", "template", ROUGE, 2000)
+ORACLE["concept_eval"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1[len("WITH "):]
+_K1B = _gap_sql("nli", "template", ROUGE, 2000, boot=True)
+ORACLE["concept_eval_bootstrap"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1B[len("WITH "):]
+SUITE = """suite AS (SELECT d.source AS task, d.doc_id AS idx, d.text AS input,
+ concat(d.lang, '-', cast(l.quality AS VARCHAR)) AS label, d.lang AS category
+ FROM documents d JOIN labels l USING (doc_id) WHERE strpos(d.source, 'src1') > 0)"""
+ORACLE["suite_eval"] = f"WITH {SUITE}, " + _gap_sql("suite", "task", EXACT, None)[len("WITH "):]
+_WH = f"""CASE WHEN starts_with(text, 'To') THEN array_to_string({words('text')}[1:2], ' ') ELSE {words('text')}[1] END"""
+ORACLE["instruction_eval"] = f"""WITH s AS (SELECT source AS task, doc_id AS idx, text AS input, {_WH} AS label FROM documents),
+t AS (SELECT task, input, label, max(idx) AS last FROM s GROUP BY task, input, label),
+p AS (SELECT s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.idx ORDER BY t.last DESC) AS rn
+      FROM s JOIN t ON t.task = s.task AND t.input <> s.input),
+k AS (SELECT idx FROM p WHERE rn <= 3 GROUP BY idx HAVING count(*) = 3),
+v AS (SELECT idx, label, count(*) AS c, max(last) AS m FROM p WHERE rn <= 3 GROUP BY idx, label),
+mj AS (SELECT idx, arg_max(label, c * 1000000000000 + m) AS predicted FROM v SEMI JOIN k USING (idx) GROUP BY idx),
+sc AS (SELECT s.task, s.label AS expected, mj.predicted FROM s JOIN mj USING (idx))
+SELECT task, round(avg({ROUGE}), 6) AS demo_majority FROM sc GROUP BY task"""
+ORACLE["result_report"] = f"""WITH b AS ({BEST}),
+rows AS (SELECT r.* FROM fx_results r SEMI JOIN b USING (model, dataset, prompt)),
+m0 AS (SELECT event_id, model, dataset, prompt, 'random' AS type, random_demos AS score FROM rows
+       UNION ALL SELECT event_id, model, dataset, prompt, 'info' AS type, informative_demos AS score FROM rows),
+mp AS (SELECT * FROM (VALUES ('model-view', 'View-1B', 0), ('model-click', 'Click-3B', 1), ('model-purchase', 'Buy-11B', 2))
+       v(model, new, map_order)),
+m1 AS (SELECT m0.dataset, m0.type, m0.score, mp.new AS model FROM m0 JOIN mp USING (model)),
+m2 AS (SELECT dataset, type, score, CASE WHEN dataset IN ('d1', 'd2') AND strpos(model, 'Click') > 0
+       THEN concat('$^*$', model) ELSE model END AS model FROM m1),
+m AS (SELECT dataset, type, score, CASE WHEN dataset IN ('d1', 'd2') AND strpos(model, 'View') > 0
+       THEN concat('$^*$', model) ELSE model END AS model FROM m2),
+q AS (SELECT dataset, model, type, count(score) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
+      quantile_cont(score, 0.75) AS q3 FROM m GROUP BY ALL),
+f AS (SELECT m.dataset, m.model, m.type,
+      min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1)) AS whisker_lo,
+      max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)) AS whisker_hi
+      FROM m JOIN q USING (dataset, model, type) GROUP BY ALL)
+SELECT dataset, model, type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+ round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi FROM q JOIN f USING (dataset, model, type)"""

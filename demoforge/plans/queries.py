@@ -726,3 +726,66 @@ def training_table(spark, sf):
     b = W.micro_batches(primed.select("idx", "n_demos", "primed"), 8)
     return b.select("idx", "batch_id", "n_demos", F.char_length("primed").alias("primed_chars"),
                     F.md5("primed").alias("primed_md5"))
+
+
+# ---- composed evaluation jobs (2.K) ------------------------------------------
+
+
+def _nli_task_samples(spark, sf):
+    return nli_samples(spark, sf)
+
+
+@query
+def concept_eval(spark, sf):
+    """Per template: same-category against latest demonstrations, majority
+    predictor, ROUGE-L, prompts over 2000 words dropped."""
+    s = _nli_task_samples(spark, sf)
+    return EV.strategy_gap(s, 3, "demo_majority", "rouge_l", max_words=2000, by=["template"])
+
+
+@query
+def concept_eval_bootstrap(spark, sf):
+    s = _nli_task_samples(spark, sf)
+    return EV.strategy_gap(s, 3, "demo_majority", "rouge_l", max_words=2000, by=["template"],
+                           bootstrap_rounds=200, bootstrap_size=100, seed=0)
+
+
+def _suite(spark, sf):
+    d = fixture_table(spark, sf, "documents").join(fixture_table(spark, sf, "labels"), "doc_id")
+    d = FL.select_tasks(d, "source", ["src1"])
+    return d.select(F.col("source").alias("task"), F.col("doc_id").alias("idx"), F.col("text").alias("input"),
+                    F.concat(F.col("lang"), F.lit("-"), F.col("quality").cast("string")).alias("label"),
+                    F.col("lang").alias("category"))
+
+
+@query
+def suite_eval(spark, sf):
+    return EV.strategy_gap(_suite(spark, sf), 3, "demo_majority", "accuracy_exact", by=["task"])
+
+
+@query
+def instruction_eval(spark, sf):
+    """Instruction tasks: NULL category, latest demonstrations only, ROUGE-L
+    per task, one column per model."""
+    d = fixture_table(spark, sf, "documents")
+    s = d.select(F.col("source").alias("task"), F.col("doc_id").alias("idx"), F.col("text").alias("input"),
+                 T.wh_category("text").alias("label"), F.lit(None).cast("string").alias("category"))
+    sel = D.select_demos(s, 3, "random", by=["task"])
+    pred = P.predict(sel, "demo_majority")
+    per = pred.select("task", F.lit("demo_majority").alias("model"), SC.rouge_l("label", "predicted").alias("score"))
+    return R.wide_report(per, ["task"], "model", ["demo_majority"], "score")
+
+
+SEEN_DATASETS = ["d1", "d2"]
+SEEN_FAMILIES = ["Click", "View"]
+
+
+@query
+def result_report(spark, sf):
+    r = fixture(spark, sf, "fx_results")
+    best = R.best_prompt(r)
+    rows = R.best_prompt_rows(r, best)
+    melted = R.melt_strategies(rows)
+    named = R.rename_models(melted, DISPLAY_NAMES)
+    named = named.withColumn("model", T.mark_seen("model", "dataset", SEEN_DATASETS, SEEN_FAMILIES))
+    return R.box_stats(named, ["dataset", "model", "type"])

@@ -67,7 +67,7 @@ def check(spark, con, sf_dir, name, qfn, sql, verbose=True):
     dc, dr = rows_of(d_cols, d_rows)
     if sc != dc:
         res["status"] = f"COLUMNS {sc} vs {dc}"
-    elif sr != dr:
+    elif [repr(r) for r in sr] != [repr(r) for r in dr]:
         diff = [r for r in sr if r not in set(dr)][:3]
         diff2 = [r for r in dr if r not in set(sr)][:3]
         res["status"] = "VALUES"
