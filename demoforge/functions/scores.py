@@ -66,29 +66,23 @@ def rouge_tokens(text) -> Column:
 def _lcs_fold(exp_tokens: Column, pred_tokens: Column) -> Column:
     """LCS length by the bit-parallel recurrence on one BIGINT.
 
-    V starts with the low m bits set; per predicted token with match mask M:
+    V starts with the low m bits set; per predicted token with match mask M
+    (bit i set where expected token i equals it):
     V = ((V + (V & M)) | (V & ~M)) & full.  LCS = m - popcount(V).
     """
     m = F.size(exp_tokens)
     one = F.lit(1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     full = F.call_function("shiftleft", one, m) - 1
 
     def mask(w):
-        return F.aggregate(
-            F.sequence(F.lit(0), m - 1),
-            F.lit(0).cast("bigint"),
-            lambda acc, i: acc.bitwiseOR(
-                F.when(F.element_at(exp_tokens, i + 1) == w, F.call_function("shiftleft", one, i)).otherwise(
-                    F.lit(0).cast("bigint")
-                )
-            ),
-        )
-
-    def step(v, w):
-        mk = mask(w)
+        bits = F.transform(exp_tokens, lambda x, i: F.when(x == w, F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda a, b: a.bitwiseOR(b))
+
+    def step(v, mk):
         return ((v + v.bitwiseAND(mk)).bitwiseOR(v.bitwiseAND(F.bitwise_not(mk)))).bitwiseAND(full)
 
-    v = F.aggregate(pred_tokens, full, step)
+    v = F.aggregate(F.transform(pred_tokens, mask), full, step)
     return m - F.bit_count(v)
 
 
@@ -154,3 +148,29 @@ def metric_column(name: str, expected, predicted) -> Column:
         return METRICS[name](expected, predicted)
     except KeyError:
         raise ValueError(f"Not implemented metric: {name}") from None
+
+
+def with_score(df, metric: str, expected, predicted, out: str = "score"):
+    """Add ``out`` = per-row ``metric``, staging token arrays as columns first.
+
+    Lambdas of higher-order functions are interpreted, and an expression
+    that names the same token array several times would tokenise it again
+    for each mention; a separate (non-cheap) projection is not inlined by
+    the optimizer, so each array is built once per row."""
+    e, p = _c(expected), _c(predicted)
+    et, pt, lc = f"_et_{out}", f"_pt_{out}", f"_lcs_{out}"
+    if metric == "rouge_l":
+        df = df.withColumn(et, rouge_tokens(e)).withColumn(pt, rouge_tokens(p))
+        df = df.withColumn(lc, lcs_length(F.col(et), F.col(pt)))
+        ne, np_ = F.size(et), F.size(pt)
+        val = F.when((ne == 0) | (np_ == 0) | (F.col(lc) == 0), F.lit(0.0)).otherwise(F.lit(2.0) * F.col(lc) / (ne + np_))
+        return df.withColumn(out, val).drop(et, pt, lc)
+    if metric in ("char_f1", "token_f1"):
+        le, lp = F.lower(e), F.lower(p)
+        if metric == "char_f1":
+            eset = F.array_distinct(F.filter(F.split(le, ""), lambda ch: (ch != "") & ~ch.rlike(f"^{PY_WS}$")))
+        else:
+            eset = F.array_distinct(words(le))
+        df = df.withColumn(et, eset).withColumn(pt, words(lp))
+        return df.withColumn(out, _f_from_sets(F.col(et), F.col(pt))).drop(et, pt)
+    return df.withColumn(out, metric_column(metric, e, p))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw
-from demoforge.functions.scores import metric_column
+from demoforge.functions.scores import metric_column, with_score
 from demoforge.operators.demos import fewshot_prompt, select_demos, word_count
 from demoforge.operators.predict import predict
 from demoforge.operators.windows import dense_index
@@ -29,16 +29,16 @@ def r6(c) -> "Column":
 
 def score(df: DataFrame, metric: str, expected: str = "label", predicted: str = "predicted",
           out: str = "score") -> DataFrame:
-    return df.withColumn(out, metric_column(metric, expected, predicted))
+    return with_score(df, metric, expected, predicted, out)
 
 
 def mean_score(df: DataFrame, metric: str, by: Sequence[str] = (), expected: str = "expected",
                predicted: str = "predicted") -> DataFrame:
     """Metric per group: ``n`` rows and the rounded mean (NULL when n = 0)."""
-    s = metric_column(metric, expected, predicted)
-    return df.groupBy(*by).agg(
+    scored = with_score(df, metric, expected, predicted, "_s")
+    return scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        r6(F.avg(s)).alias("score"),
+        r6(F.avg("_s")).alias("score"),
     )
 
 
@@ -67,10 +67,11 @@ def strategy_gap(
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by)
     both = predict(both, predictor, demos_col="demos_info", out="pred_info")
     both = predict(both, predictor, demos_col="demos_rand", out="pred_rand")
-    s_info = metric_column(metric, "label", "pred_info")
-    s_rand = metric_column(metric, "label", "pred_rand")
+    both = with_score(both, metric, "label", "pred_info", "s_info")
+    both = with_score(both, metric, "label", "pred_rand", "s_rand")
+    s_info, s_rand = F.col("s_info"), F.col("s_rand")
     if bootstrap_rounds:
-        scored = both.select(*by, "idx", s_rand.alias("s_rand"), s_info.alias("s_info"))
+        scored = both.select(*by, "idx", "s_rand", "s_info")
         return _bootstrap_gap(scored, by, bootstrap_rounds, bootstrap_size, seed,
                               model_name or (predictor if isinstance(predictor, str) else "custom"))
     agg = both.groupBy(*by).agg(

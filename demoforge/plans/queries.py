@@ -284,39 +284,38 @@ def accuracy_exact(spark, sf):
     return _per_task(spark, sf, "accuracy_exact")
 
 
-def _per_row(spark, sf, fn):
-    p = fixture(spark, sf, "fx_predictions")
-    return p.select("idx", F.round(fn("expected", "predicted"), 6).alias("score"))
+def _per_row(spark, sf, metric):
+    p = SC.with_score(fixture(spark, sf, "fx_predictions"), metric, "expected", "predicted", "s")
+    return p.select("idx", F.round("s", 6).alias("score"))
 
 
 @query
 def char_f1(spark, sf):
-    return _per_row(spark, sf, SC.char_f1)
+    return _per_row(spark, sf, "char_f1")
 
 
 @query
 def token_f1(spark, sf):
-    return _per_row(spark, sf, SC.token_f1)
+    return _per_row(spark, sf, "token_f1")
 
 
 @query
 def rouge_l(spark, sf):
-    return _per_row(spark, sf, SC.rouge_l)
+    return _per_row(spark, sf, "rouge_l")
 
 
 @query
 def bootstrap_scores(spark, sf):
-    p = fixture(spark, sf, "fx_predictions").select("idx", SC.rouge_l("expected", "predicted").alias("score"))
-    return EV.bootstrap(p, rounds=200, size=100, seed=0)
+    p = SC.with_score(fixture(spark, sf, "fx_predictions"), "rouge_l", "expected", "predicted", "score")
+    return EV.bootstrap(p.select("idx", "score"), rounds=200, size=100, seed=0)
 
 
 @query
 def score_tasks(spark, sf):
     p = fixture(spark, sf, "fx_predictions")
-    return p.groupBy("task").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.round(F.avg(SC.metric_column(m, "expected", "predicted")), 6).alias(m) for m in SC.METRICS],
-    )
+    for m in SC.METRICS:
+        p = SC.with_score(p, m, "expected", "predicted", m)
+    return p.groupBy("task").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in SC.METRICS])
 
 
 @query
@@ -684,7 +683,7 @@ def train_hard_sets(spark, sf):
 
 @query
 def argmin_candidate(spark, sf):
-    p = fixture(spark, sf, "fx_predictions").withColumn("score", SC.rouge_l("expected", "predicted"))
+    p = SC.with_score(fixture(spark, sf, "fx_predictions"), "rouge_l", "expected", "predicted", "score")
     return TR.argmin_candidate(p, "task", "idx", "score", "idx").select("task", "idx", F.round("score", 6)
                                                                         .alias("score"))
 
@@ -772,7 +771,8 @@ def instruction_eval(spark, sf):
                  T.wh_category("text").alias("label"), F.lit(None).cast("string").alias("category"))
     sel = D.select_demos(s, 3, "random", by=["task"])
     pred = P.predict(sel, "demo_majority")
-    per = pred.select("task", F.lit("demo_majority").alias("model"), SC.rouge_l("label", "predicted").alias("score"))
+    per = SC.with_score(pred, "rouge_l", "label", "predicted", "score").select(
+        "task", F.lit("demo_majority").alias("model"), "score")
     return R.wide_report(per, ["task"], "model", ["demo_majority"], "score")
 
 
