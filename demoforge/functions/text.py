@@ -35,6 +35,11 @@ def py_words(text) -> Column:
     return F.filter(F.split(_c(text), PY_WS + "+"), lambda w: w != "")
 
 
+def word_count(text) -> Column:
+    """``len(str(x).split())`` without building the word array."""
+    return F.regexp_count(py_str(text), F.lit("[^" + PY_WS[1:-1] + "]+"))
+
+
 def py_strip(text) -> Column:
     """``str.strip()``: white space (not only blanks) off both ends."""
     return F.regexp_replace(_c(text), f"^{PY_WS}+|{PY_WS}+$", "")

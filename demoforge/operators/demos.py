@@ -24,12 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demoforge.functions.text import py_words
+from demoforge.functions.text import word_count as _wc
 from demoforge.operators.joins import keyed_join
 
 STRATEGIES = ("random", "cluster-random")
 
-DEMO_FIELDS = ("idx", "input", "label")
+DEMO_FIELDS = ("idx", "input", "label", "nw")
 
 
 def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
@@ -49,9 +49,10 @@ def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
 def candidate_lists(pool: DataFrame, k: int, key: Column) -> DataFrame:
     """Per key: the <= K(K+1) candidate tuples, latest first.
 
-    Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label>>, _w)`` where
-    ``idx`` is the tuple's latest position and ``_w`` the pool rows under
-    the key (used to detect hot keys).
+    Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label, nw>>, _w)``
+    where ``idx`` is the tuple's latest position, ``nw`` the word count of
+    its prompt line and ``_w`` the pool rows under the key (used to detect
+    hot keys).
     """
     tuples = pool.groupBy(key.alias("_ck"), "category", "input", "label").agg(
         F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n")
@@ -66,7 +67,8 @@ def candidate_lists(pool: DataFrame, k: int, key: Column) -> DataFrame:
         .where(F.col("_ri") <= k + 1)
         .select("_ck", "input")
     )
-    cands = top_tuples.join(top_inputs, ["_ck", "input"], "left_semi")
+    cands = top_tuples.join(top_inputs, ["_ck", "input"], "left_semi").withColumn(
+        "nw", F.lit(2) + _wc("input") + _wc("label"))
     lists = cands.groupBy("_ck").agg(
         F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in DEMO_FIELDS])), asc=False).alias("_cands")
     )
@@ -142,8 +144,15 @@ def fewshot_prompt(demos: str | Column = "demos", input_col: str | Column = "inp
 
 def word_count(col: str | Column) -> Column:
     """``len(text.split())``: runs of white space, ends trimmed."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.size(py_words(c))
+    return _wc(F.col(col) if isinstance(col, str) else col)
+
+
+def prompt_word_count(demos: str = "demos", input_col: str = "input") -> Column:
+    """Words of ``fewshot_prompt(demos, input)`` without building it: each
+    demo line has ``Input:``, ``Prediction:`` and its two texts (``nw``),
+    the sample line ``Input:``, ``Prediction:`` and the input."""
+    per_demo = F.aggregate(F.col(demos), F.lit(0), lambda a, d: a + d["nw"])
+    return F.lit(2) + _wc(input_col) + per_demo
 
 
 def demo_idx_string(demos: str = "demos") -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw
 from demoforge.functions.scores import metric_column, with_score
-from demoforge.operators.demos import fewshot_prompt, select_demos, word_count
+from demoforge.operators.demos import prompt_word_count, select_demos
 from demoforge.operators.predict import predict
 from demoforge.operators.windows import dense_index
 
@@ -63,7 +63,7 @@ def strategy_gap(
     """
     info = select_demos(samples, k, "cluster-random", out="demos_info", by=by)
     if max_words is not None:
-        info = info.where(word_count(fewshot_prompt("demos_info")) <= max_words)
+        info = info.where(prompt_word_count("demos_info") <= max_words)
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by)
     both = predict(both, predictor, demos_col="demos_info", out="pred_info")
     both = predict(both, predictor, demos_col="demos_rand", out="pred_rand")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.functions.text import py_words
+from demoforge.functions.text import word_count
 
 
 def first_n(df: DataFrame, n: int | None = None, default: int | None = None, order_col: str = "idx") -> DataFrame:
@@ -21,7 +21,7 @@ def max_chars(df: DataFrame, col: str, m: int) -> DataFrame:
 
 
 def max_words(df: DataFrame, col: str, m: int) -> DataFrame:
-    return df.where(F.size(py_words(col)) <= m)
+    return df.where(word_count(col) <= m)
 
 
 def non_blank(df: DataFrame, col: str) -> DataFrame:

@@ -75,9 +75,8 @@ def max_chars(spark, sf):
 @query
 def max_words(spark, sf):
     s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random")
-    s = s.withColumn("prompt", D.fewshot_prompt("demos"))
-    s = FL.max_words(s, "prompt", 2000)
-    return s.select("idx", F.size(T.py_words("prompt")).alias("n_words"))
+    s = s.withColumn("n_words", D.prompt_word_count("demos"))
+    return s.where(F.col("n_words") <= 2000).select("idx", "n_words")
 
 
 @query
@@ -360,7 +359,7 @@ def retained_share(spark, sf):
 @query
 def skip_report(spark, sf):
     s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random", drop_short=False)
-    s = s.withColumn("n_words", F.when(F.size("demos") == 3, F.size(T.py_words(D.fewshot_prompt("demos")))))
+    s = s.withColumn("n_words", F.when(F.size("demos") == 3, D.prompt_word_count("demos")))
     return R.skip_report(s, 3, 1500)
 
 
