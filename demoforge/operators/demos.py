@@ -46,6 +46,16 @@ def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
     return F.concat_ws("\u0001", *task, cat) if task else cat
 
 
+def drop_same_input(cands: Column, value: Column) -> Column:
+    """Candidates whose ``input`` differs from ``value``.
+
+    Written without an outer column inside the lambda (the value is zipped
+    in), so a predicate on the result stays above the join it needs."""
+    n = F.size(cands)
+    paired = F.zip_with(cands, F.array_repeat(value, n), lambda c, v: F.when(c["input"] != v, c))
+    return F.filter(paired, lambda c: c.isNotNull())
+
+
 def candidate_lists(pool: DataFrame, k: int, key: Column) -> DataFrame:
     """Per key: the <= K(K+1) candidate tuples, latest first.
 
@@ -97,7 +107,7 @@ def select_demos(
         samples.withColumn("_ck", key), lists, "_ck", weight="_w", salt_by=F.col("idx"),
         how="inner" if drop_short else "left",
     )
-    chosen = F.slice(F.filter(F.coalesce(F.col("_cands"), F.array()), lambda c: c["input"] != F.col("input")), 1, k)
+    chosen = F.slice(drop_same_input(F.col("_cands"), F.col("input")), 1, k)
     res = joined.withColumn(out, chosen).drop("_cands", "_ck")
     if drop_short:
         res = res.where(F.size(out) == k)
@@ -121,7 +131,7 @@ def select_demos_overlap(
     s_cols = samples.columns
     exploded = samples.select("idx", "input", F.explode(F.array_distinct("category")).alias("_ck"))
     joined = keyed_join(exploded, lists, "_ck", weight="_w", salt_by=F.col("idx"))
-    per_el = joined.select("idx", F.filter("_cands", lambda c: c["input"] != F.col("input")).alias("_c"))
+    per_el = joined.select("idx", drop_same_input(F.col("_cands"), F.col("input")).alias("_c"))
     merged = per_el.groupBy("idx").agg(
         F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_c"))), asc=False), 1, k).alias(out)
     )

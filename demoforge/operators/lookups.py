@@ -56,9 +56,9 @@ def table_set_texts(tables: Sequence[DataFrame], uid_col: str = "[SKIP] UID", sk
     uid wins in table order (then ``row_order`` inside a table)."""
     parts = []
     for i, t in enumerate(tables):
-        cols = [c for c in t.columns if skip_marker not in c]
-        text = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
         order = row_order[i] if row_order and row_order[i] else None
+        cols = [c for c in t.columns if skip_marker not in c and c != order]
+        text = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
         parts.append(t.select(
             F.col(f"`{uid_col}`").alias("uid"), text.alias("text"), F.lit(i).alias("_t"),
             (F.col(order) if order else F.lit(0)).cast("bigint").alias("_r"),
