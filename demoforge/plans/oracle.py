@@ -481,3 +481,11 @@ f AS (SELECT m.dataset, m.model, m.type,
       FROM m JOIN q USING (dataset, model, type) GROUP BY ALL)
 SELECT dataset, model, type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
  round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi FROM q JOIN f USING (dataset, model, type)"""
+ORACLE["overlap_neighbours"] = f"""WITH {QIDS},
+sets AS (SELECT question_id AS q, list_distinct(fact_ids) AS a FROM qi WHERE len(list_distinct(fact_ids)) > 0),
+inc AS (SELECT q, unnest(a) AS f FROM sets),
+pairs AS (SELECT x.q, y.q AS c, count(*) AS shared FROM inc x JOIN inc y ON x.f = y.f AND x.q <> y.q GROUP BY x.q, y.q),
+sc AS (SELECT p.q, p.c, p.shared / greatest(len(s1.a), len(s2.a)) AS score FROM pairs p
+       JOIN sets s1 ON s1.q = p.q JOIN sets s2 ON s2.q = p.c)
+SELECT q AS question_id, rank, c AS other, round(score, 6) AS score FROM (
+ SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM sc) WHERE rank <= 3"""

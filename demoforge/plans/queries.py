@@ -788,3 +788,11 @@ def result_report(spark, sf):
     named = R.rename_models(melted, DISPLAY_NAMES)
     named = named.withColumn("model", T.mark_seen("model", "dataset", SEEN_DATASETS, SEEN_FAMILIES))
     return R.box_stats(named, ["dataset", "model", "type"])
+
+
+@query
+def overlap_neighbours(spark, sf):
+    from demoforge.operators.neighbours import overlap_neighbours as on
+    q = _questions_with_ids(spark, sf)
+    r = on(q, "question_id", "fact_ids", k=3)
+    return r.select("question_id", "rank", "other", F.round("score", 6).alias("score"))

@@ -69,3 +69,37 @@ def test_dedup_first_keeps_lowest_idx(spark):
     df = spark.createDataFrame([(3, "k", "c"), (1, "k", "a"), (2, "j", "b")], "idx bigint, key string, v string")
     got = sorted((r.key, r.v) for r in W.dedup_first(df, "key").collect())
     assert got == [("j", "b"), ("k", "a")]
+
+
+def _neighbours_model(sets, k):
+    out = {}
+    for q, a in sets.items():
+        scored = []
+        for c, b in sets.items():
+            if c == q or not a or not b:
+                continue
+            s = len(a & b) / max(len(a), len(b))
+            if s > 0:
+                scored.append((-s, c))
+        out[q] = [c for _, c in sorted(scored)[:k]]
+    return out
+
+
+def test_overlap_neighbours_light_and_heavy_paths(spark):
+    from demoforge.operators.neighbours import overlap_neighbours
+    rng = random.Random(4)
+    sets = {}
+    for q in range(80):
+        facts = set(rng.sample(range(12), rng.randint(1, 4)))
+        if rng.random() < 0.6:
+            facts.add(100)  # a fact held by most questions
+        sets[q] = facts
+    df = spark.createDataFrame([(q, sorted(f)) for q, f in sets.items()], "q bigint, facts array<bigint>")
+    want = _neighbours_model(sets, 3)
+    for fanout in (1000, 10, 3):
+        got = {}
+        for r in overlap_neighbours(df, "q", "facts", 3, max_fanout=fanout).collect():
+            got.setdefault(r.q, []).append((r.rank, r.other))
+        got = {q: [c for _, c in sorted(v)] for q, v in got.items()}
+        for q in sets:
+            assert got.get(q, []) == want[q], (fanout, q)
