@@ -56,7 +56,7 @@ def drop_same_input(cands: Column, value: Column) -> Column:
     return F.filter(paired, lambda c: c.isNotNull())
 
 
-def candidate_lists(pool: DataFrame, k: int, key: Column) -> DataFrame:
+def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = False) -> DataFrame:
     """Per key: the <= K(K+1) candidate tuples, latest first.
 
     Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label, nw>>, _w)``
@@ -70,13 +70,18 @@ def candidate_lists(pool: DataFrame, k: int, key: Column) -> DataFrame:
     weights = tuples.groupBy("_ck").agg(F.sum("_n").alias("_w"))
     by_input = Window.partitionBy("_ck", "input").orderBy(F.col("idx").desc())
     top_tuples = tuples.withColumn("_r", F.row_number().over(by_input)).where(F.col("_r") <= k)
-    by_key = Window.partitionBy("_ck").orderBy(F.col("idx").desc())
-    top_inputs = (
-        top_tuples.where(F.col("_r") == 1)
-        .withColumn("_ri", F.row_number().over(by_key))
-        .where(F.col("_ri") <= k + 1)
-        .select("_ck", "input")
-    )
+    latest = top_tuples.where(F.col("_r") == 1)
+    if single_key:
+        # one pool for everything: a top-(K+1) sort (each task keeps K+1
+        # rows, the driver-side merge sees tasks x (K+1)), not a global window
+        top_inputs = latest.orderBy(F.col("idx").desc()).limit(k + 1).select("_ck", "input")
+    else:
+        by_key = Window.partitionBy("_ck").orderBy(F.col("idx").desc())
+        top_inputs = (
+            latest.withColumn("_ri", F.row_number().over(by_key))
+            .where(F.col("_ri") <= k + 1)
+            .select("_ck", "input")
+        )
     cands = top_tuples.join(top_inputs, ["_ck", "input"], "left_semi").withColumn(
         "nw", F.lit(2) + _wc("input") + _wc("label"))
     lists = cands.groupBy("_ck").agg(
@@ -102,7 +107,8 @@ def select_demos(
     """
     pool = samples if pool is None else pool
     key = _category_key(strategy, by)
-    lists = candidate_lists(pool.select("idx", "input", "label", "category", *by), k, key)
+    lists = candidate_lists(pool.select("idx", "input", "label", "category", *by), k, key,
+                            single_key=(strategy == "random" and not by))
     joined = keyed_join(
         samples.withColumn("_ck", key), lists, "_ck", weight="_w", salt_by=F.col("idx"),
         how="inner" if drop_short else "left",
