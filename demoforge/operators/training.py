@@ -136,6 +136,9 @@ def hard_sets(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candidates
             "idx", "_r", "_cid", "_clen",
             unigram_score(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
         best = scored.groupBy("idx").agg(F.min_by(F.struct("_cid", "_clen"), F.struct("_s", "_r")).alias("_b"))
+        # ids only through the aggregate, words fetched by one join; a demo
+        # that is the hardest for very many samples is a skewed key there,
+        # split at run time by adaptive execution's skew-join handling
         best_w = best.join(cand_rows.select(F.col("_cid").alias("_bid"), "_cw"),
                            F.col("_b._cid") == F.col("_bid")).drop("_bid")
         grown = active.join(best_w, "idx", "left").select(
