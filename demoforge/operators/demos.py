@@ -29,7 +29,7 @@ from demoforge.operators.joins import keyed_join
 
 STRATEGIES = ("random", "cluster-random")
 
-DEMO_FIELDS = ("idx", "input", "label", "nw")
+DEMO_FIELDS = ("idx", "input", "label", "nw", "fp")
 
 
 def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
@@ -46,47 +46,62 @@ def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
     return F.concat_ws("\u0001", *task, cat) if task else cat
 
 
+def text_fingerprint(col: str | Column) -> Column:
+    """128 bits of two independent 64-bit hashes plus the length.
+
+    Tuples are grouped and ranked on this instead of on the text, so long
+    inputs never travel through the grouping and ranking shuffles; two
+    different texts of equal length would have to agree on both hashes to be
+    confused (about n^2 / 2^129 for n distinct texts)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(c, F.lit("fp")).alias("h2"),
+                    F.coalesce(F.length(c), F.lit(-1)).alias("n"))
+
+
 def drop_same_input(cands: Column, value: Column) -> Column:
-    """Candidates whose ``input`` differs from ``value``.
+    """Candidates whose input (fingerprint ``fp``) differs from ``value``.
 
     Written without an outer column inside the lambda (the value is zipped
     in), so a predicate on the result stays above the join it needs."""
     n = F.size(cands)
-    paired = F.zip_with(cands, F.array_repeat(value, n), lambda c, v: F.when(c["input"] != v, c))
+    paired = F.zip_with(cands, F.array_repeat(value, n), lambda c, v: F.when(c["fp"] != v, c))
     return F.filter(paired, lambda c: c.isNotNull())
 
 
 def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = False) -> DataFrame:
     """Per key: the <= K(K+1) candidate tuples, latest first.
 
-    Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label, nw>>, _w)``
+    Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label, nw, fp>>, _w)``
     where ``idx`` is the tuple's latest position, ``nw`` the word count of
-    its prompt line and ``_w`` the pool rows under the key (used to detect
-    hot keys).
+    its prompt line, ``fp`` its input fingerprint and ``_w`` the pool rows
+    under the key (used to detect hot keys).  Only ids and fingerprints are
+    shuffled; the texts of the final candidates are fetched by id at the end.
     """
-    tuples = pool.groupBy(key.alias("_ck"), "category", "input", "label").agg(
+    tuples = pool.groupBy(key.alias("_ck"), "category", text_fingerprint("input").alias("fp"), "label").agg(
         F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n")
     )
     weights = tuples.groupBy("_ck").agg(F.sum("_n").alias("_w"))
-    by_input = Window.partitionBy("_ck", "input").orderBy(F.col("idx").desc())
+    by_input = Window.partitionBy("_ck", "fp").orderBy(F.col("idx").desc())
     top_tuples = tuples.withColumn("_r", F.row_number().over(by_input)).where(F.col("_r") <= k)
     latest = top_tuples.where(F.col("_r") == 1)
     if single_key:
         # one pool for everything: a top-(K+1) sort (each task keeps K+1
-        # rows, the driver-side merge sees tasks x (K+1)), not a global window
-        top_inputs = latest.orderBy(F.col("idx").desc()).limit(k + 1).select("_ck", "input")
+        # rows, the final merge sees tasks x (K+1)), not a global window
+        top_inputs = latest.orderBy(F.col("idx").desc()).limit(k + 1).select("_ck", "fp")
     else:
         by_key = Window.partitionBy("_ck").orderBy(F.col("idx").desc())
         top_inputs = (
             latest.withColumn("_ri", F.row_number().over(by_key))
             .where(F.col("_ri") <= k + 1)
-            .select("_ck", "input")
+            .select("_ck", "fp")
         )
-    cands = top_tuples.join(top_inputs, ["_ck", "input"], "left_semi").withColumn(
-        "nw", F.lit(2) + _wc("input") + _wc("label"))
+    cands = top_tuples.join(top_inputs, ["_ck", "fp"], "left_semi").select("_ck", "idx", "label", "fp")
+    # row ids are unique inside a key (a task's samples): fetch by (key, idx)
+    texts = pool.select(key.alias("_ck"), "idx", "input")
+    cands = cands.join(texts, ["_ck", "idx"]).withColumn("nw", F.lit(2) + _wc("input") + _wc("label"))
     lists = cands.groupBy("_ck").agg(
-        F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in DEMO_FIELDS])), asc=False).alias("_cands")
-    )
+        F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in DEMO_FIELDS]))).alias("_cands")
+    ).select("_ck", F.reverse("_cands").alias("_cands"))
     return lists.join(weights, "_ck")
 
 
@@ -113,7 +128,7 @@ def select_demos(
         samples.withColumn("_ck", key), lists, "_ck", weight="_w", salt_by=F.col("idx"),
         how="inner" if drop_short else "left",
     )
-    chosen = F.slice(drop_same_input(F.col("_cands"), F.col("input")), 1, k)
+    chosen = F.slice(drop_same_input(F.col("_cands"), text_fingerprint("input")), 1, k)
     res = joined.withColumn(out, chosen).drop("_cands", "_ck")
     if drop_short:
         res = res.where(F.size(out) == k)
@@ -137,9 +152,9 @@ def select_demos_overlap(
     s_cols = samples.columns
     exploded = samples.select("idx", "input", F.explode(F.array_distinct("category")).alias("_ck"))
     joined = keyed_join(exploded, lists, "_ck", weight="_w", salt_by=F.col("idx"))
-    per_el = joined.select("idx", drop_same_input(F.col("_cands"), F.col("input")).alias("_c"))
+    per_el = joined.select("idx", drop_same_input(F.col("_cands"), text_fingerprint("input")).alias("_c"))
     merged = per_el.groupBy("idx").agg(
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_c"))), asc=False), 1, k).alias(out)
+        F.slice(F.reverse(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_c"))))), 1, k).alias(out)
     )
     return samples.join(merged, "idx").where(F.size(out) == k).select(*s_cols, out)
 
