@@ -730,7 +730,10 @@ def training_table(spark, sf):
 
 
 def _nli_task_samples(spark, sf):
-    return nli_samples(spark, sf)
+    """Derived samples (dedup + templates) are read several times by the
+    demo selection: write them once to the checkpoint folder."""
+    from demoforge.session import cut_lineage
+    return cut_lineage(nli_samples(spark, sf))
 
 
 @query
