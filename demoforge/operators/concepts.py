@@ -37,7 +37,7 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
     concepts = cut_lineage(concepts.repartition(parts, "a"))
     stats = concepts.agg(F.count(F.lit(1)).alias("n"), F.max("la").alias("max_len")).first()
     if not stats["n"]:
-        return df.sparkSession.createDataFrame([], f"{col} STRING, min_dist INT")
+        return df.sparkSession.createDataFrame([], f"{col} STRING, min_dist BIGINT")
     max_len = int(stats["max_len"])
     others = concepts.select(F.col("a").alias("b"), F.col("la").alias("lb"))
     remaining = concepts
@@ -53,7 +53,7 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
         pairs = left.join(right, ["_band", "_salt"]).where(
             (F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= d))
         dist = pairs.select("a", F.levenshtein("a", "b", d).alias("dist")).where(F.col("dist") >= 0)
-        best = cut_lineage(dist.groupBy("a").agg(F.min("dist").alias("min_dist")))
+        best = cut_lineage(dist.groupBy("a").agg(F.min("dist").cast("bigint").alias("min_dist")))
         found.append(best)
         remaining = cut_lineage(remaining.join(best, "a", "left_anti"))
         if d >= max_len or remaining.isEmpty():
@@ -62,7 +62,7 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    lone = remaining.select("a", F.lit(None).cast("int").alias("min_dist"))
+    lone = remaining.select("a", F.lit(None).cast("bigint").alias("min_dist"))
     return out.unionByName(lone).withColumnRenamed("a", col)
 
 

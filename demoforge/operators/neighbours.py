@@ -70,4 +70,5 @@ def overlap_neighbours(df: DataFrame, key: str, items: str, k: int = 3,
         cands = cands.unionByName(heavy_only)
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("c"))
     top = cands.where(F.col("score") > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias(key), "rank", F.col("c").alias("other"), "score")
+    return top.select(F.col("q").alias(key), F.col("rank").cast("bigint").alias("rank"), F.col("c").alias("other"),
+                      "score")

@@ -24,7 +24,7 @@ CANDIDATES = 64
 
 def demo_counts(samples: DataFrame, lo: int = MIN_DEMOS, hi: int = MAX_DEMOS, seed=0) -> DataFrame:
     """Number of demonstrations per sample, uniform in [lo, hi]."""
-    return samples.withColumn("n_demos", draw_between(lo, hi, F.lit(str(seed)), F.lit("n"), F.col("idx")).cast("int"))
+    return samples.withColumn("n_demos", draw_between(lo, hi, F.lit(str(seed)), F.lit("n"), F.col("idx")).cast("bigint"))
 
 
 def _slots(df: DataFrame) -> DataFrame:

@@ -285,7 +285,7 @@ SELECT cluster, count(*) AS n_facts, string_agg({STRIP.replace('@X@', 'f.fact')}
 FROM cu JOIN fx_facts f USING (uid) GROUP BY cluster"""
 ORACLE["micro_batches"] = "SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id FROM fx_samples"
 ORACLE["running_cost"] = f"""WITH c AS (SELECT conv_id, turn, role, len({words('text')})::BIGINT AS tokens FROM conversations)
-SELECT conv_id, turn, role, tokens, sum(tokens) OVER (PARTITION BY role ORDER BY conv_id, turn) AS cum_tokens,
+SELECT conv_id, turn, role, tokens, cast(sum(tokens) OVER (PARTITION BY role ORDER BY conv_id, turn) AS BIGINT) AS cum_tokens,
  round(sum(tokens) OVER (PARTITION BY role ORDER BY conv_id, turn) / 1000 * 0.02, 6) AS cum_cost FROM c"""
 BAG = f"concat(logic, array_to_string(list_sort({words('premise')}), ' '))"
 DEDUP = f"""dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {BAG} ORDER BY idx) AS rn FROM fx_nli)

@@ -69,13 +69,13 @@ def first_n(spark, sf):
 @query
 def max_chars(spark, sf):
     s = FL.max_chars(fixture(spark, sf, "fx_samples"), "input", 2000)
-    return s.select("idx", F.char_length("input").alias("n_chars"))
+    return s.select("idx", F.char_length("input").cast("bigint").alias("n_chars"))
 
 
 @query
 def max_words(spark, sf):
     s = D.select_demos(fixture(spark, sf, "fx_samples"), 3, "cluster-random")
-    s = s.withColumn("n_words", D.prompt_word_count("demos"))
+    s = s.withColumn("n_words", D.prompt_word_count("demos").cast("bigint"))
     return s.where(F.col("n_words") <= 2000).select("idx", "n_words")
 
 

@@ -49,6 +49,20 @@ def duck(sf_dir):
     return con
 
 
+_SPARK_KIND = {"LongType": "int64", "IntegerType": "int32", "ShortType": "int16", "ByteType": "int8",
+               "DoubleType": "float64", "FloatType": "float32", "StringType": "string", "BooleanType": "bool"}
+_DUCK_KIND = {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+              "FLOAT": "float32", "VARCHAR": "string", "BOOLEAN": "bool", "HUGEINT": "int128"}
+
+
+def spark_kinds(df):
+    return {f.name: _SPARK_KIND.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+
+
+def duck_kinds(cur):
+    return {d[0]: _DUCK_KIND.get(str(d[1]), str(d[1])) for d in cur.description}
+
+
 def check(spark, con, sf_dir, name, qfn, sql, verbose=True):
     t0 = time.time()
     df = qfn(spark, sf_dir)
@@ -61,6 +75,8 @@ def check(spark, con, sf_dir, name, qfn, sql, verbose=True):
         return res
     cur = con.execute(sql)
     d_cols = [c[0] for c in cur.description]
+    sk, dk = spark_kinds(df), duck_kinds(cur)
+    type_diff = {c: (sk[c], dk.get(c)) for c in sk if sk[c] != dk.get(c)}
     d_rows = cur.fetchall()
     res["duck_rows"] = len(d_rows)
     sc, sr = rows_of(s_cols, s_rows)
@@ -74,6 +90,8 @@ def check(spark, con, sf_dir, name, qfn, sql, verbose=True):
         if verbose:
             res["spark_only"] = [str(x)[:300] for x in diff]
             res["duck_only"] = [str(x)[:300] for x in diff2]
+    elif type_diff:
+        res["status"] = f"TYPES {type_diff}"
     else:
         res["status"] = "ok"
     return res
