@@ -489,3 +489,24 @@ sc AS (SELECT p.q, p.c, p.shared / greatest(len(s1.a), len(s2.a)) AS score FROM
        JOIN sets s1 ON s1.q = p.q JOIN sets s2 ON s2.q = p.c)
 SELECT q AS question_id, rank, c AS other, round(score, 6) AS score FROM (
  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM sc) WHERE rank <= 3"""
+
+_WH_T = ("CASE WHEN starts_with(text, 'To') THEN array_to_string(" + words("text") + "[1:2], ' ') ELSE "
+         + words("text") + "[1] END")
+ORACLE["training_table"] = f"""WITH s0 AS (
+  SELECT doc_id AS idx, {_WH_T} AS category, concat('Question: ', text, ' Context: ', source, ' Answer:') AS prompt,
+         source AS answer FROM documents WHERE length(text) < 2000),
+ci AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY idx) - 1 AS p,
+       count(*) OVER (PARTITION BY category) AS n FROM s0),
+st AS (SELECT idx, category, p, n, {N_DEMOS} AS n_demos FROM ci WHERE n > 1),
+sl AS (SELECT st.*, unnest(range(n_demos)) AS slot FROM st),
+se AS (SELECT sl.*, 1 + {draw_sql("'0', 'informative', idx, slot", '(n - 1)')} AS sel0 FROM sl),
+se2 AS (SELECT *, CASE WHEN sel0 = p THEN sel0 - 1 ELSE sel0 END AS sel FROM se),
+pk AS (SELECT se2.idx, se2.n_demos, se2.slot, concat(d.prompt, ' ', d.answer, ' ') AS demo
+       FROM se2 JOIN ci d ON d.category = se2.category AND d.p = se2.sel),
+g AS (SELECT idx, n_demos, list(demo ORDER BY slot) AS demos FROM pk GROUP BY idx, n_demos),
+kept AS (SELECT g.idx, g.n_demos, concat(array_to_string(g.demos, ' '), ' ', s0.prompt) AS primed
+         FROM g JOIN s0 USING (idx)
+         WHERE len(g.demos) = g.n_demos
+           AND coalesce(list_sum(list_transform(g.demos[1:g.n_demos - 1], lambda x: length(x))), 0) <= 8000)
+SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id, n_demos, length(primed) AS primed_chars,
+       md5(primed) AS primed_md5 FROM kept"""

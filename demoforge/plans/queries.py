@@ -722,7 +722,7 @@ def training_table(spark, sf):
     sets = TR.informative_sets(s, prompt="prompt", answer="answer")
     primed = TR.with_primed_prompt(sets, s, "prompt", "answer")
     b = W.micro_batches(primed.select("idx", "n_demos", "primed"), 8)
-    return b.select("idx", "batch_id", "n_demos", F.char_length("primed").alias("primed_chars"),
+    return b.select("idx", "batch_id", "n_demos", F.char_length("primed").cast("bigint").alias("primed_chars"),
                     F.md5("primed").alias("primed_md5"))
 
 
