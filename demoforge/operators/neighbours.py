@@ -26,19 +26,27 @@ MAX_FANOUT = 1000
 def overlap_neighbours(df: DataFrame, key: str, items: str, k: int = 3,
                        max_fanout: int | None = None) -> DataFrame:
     """``(key, rank, other, score)`` for the top ``k`` others of each row."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     sets = cut_lineage(df.select(F.col(key).alias("q"), F.array_distinct(items).alias("A")).where(F.size("A") > 0))
     inc = sets.select("q", F.explode("A").alias("f"))
-    freq = inc.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    n_inc = sets.agg(F.sum(F.size("A"))).first()[0] or 0
-    fanout = max_fanout or max(MAX_FANOUT, int(n_inc ** 0.5))
-    heavy = [r.f for r in freq.where(F.col("n") > fanout).select("f").collect()]  # <= n_inc / fanout values
-    is_heavy = F.col("f").isin(heavy) if heavy else F.lit(False)
-
-    sizes = sets.select("q", F.size("A").alias("na"),
-                        F.array_sort(F.filter("A", lambda x: x.isin(heavy) if heavy else F.lit(False))).alias("H"))
+    fanout = max_fanout or MAX_FANOUT
+    # heavy facts stay a table: incidences are marked by a join salted on the
+    # question id, so a fact held by a third of all questions is split over
+    # the shuffle partitions instead of landing in one task
+    heavy_tab = inc.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fanout) \
+        .select("f", F.lit(True).alias("hv"))
+    marked = inc.withColumn("_salt", F.pmod(F.xxhash64("q"), F.lit(parts))).join(
+        heavy_tab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["f", "_salt"], "left") \
+        .select("q", "f", F.coalesce("hv", F.lit(False)).alias("hv"))
+    marked = cut_lineage(marked)
+    has_heavy = not marked.where("hv").isEmpty()
+    heavy_sets = marked.where("hv").groupBy("q").agg(F.array_sort(F.collect_list("f")).alias("H"))
+    elem = sets.schema["A"].dataType.elementType.simpleString()
+    sizes = sets.select("q", F.size("A").alias("na")).join(heavy_sets, "q", "left") \
+        .select("q", "na", F.coalesce("H", F.array().cast(f"array<{elem}>")).alias("H"))
 
     # 1. pairs through light facts, scored with their full overlap
-    light = inc.where(~is_heavy)
+    light = marked.where(~F.col("hv")).select("q", "f")
     lp = light.alias("x").join(light.alias("y"), "f").where(F.col("x.q") != F.col("y.q")) \
         .groupBy(F.col("x.q").alias("q"), F.col("y.q").alias("c")).agg(F.count(F.lit(1)).alias("sl"))
     lp = lp.join(sizes, "q").join(sizes.select(F.col("q").alias("c"), F.col("na").alias("nc"),
@@ -46,7 +54,7 @@ def overlap_neighbours(df: DataFrame, key: str, items: str, k: int = 3,
     lp = lp.withColumn("shared", F.col("sl") + F.size(F.array_intersect("H", "Hc")))
     light_scored = lp.select("q", "c", (F.col("shared") / F.greatest("na", "nc")).alias("score"))
     cands = light_scored
-    if heavy:
+    if has_heavy:
         # 2. heavy-only candidates through signature groups
         sig = sizes.where(F.size("H") > 0).select(
             "q", "na", "H", F.concat_ws("|", F.col("na").cast("string"), F.array_join("H", ",")).alias("g"))
