@@ -94,3 +94,16 @@ def test_majority_latest_on_ties(spark):
     # sample 0 sees demos 3 (x), 2 (y): a tie, the latest (3) wins
     r = D.select_demos(df, 2, "cluster-random").where("idx = 0").select(demo_majority("demos").alias("p")).first()
     assert r.p == "x"
+
+
+def test_custom_predictor_runs_in_arrow_batches(spark):
+    from demoforge.operators.predict import predict
+
+    df = spark.createDataFrame([(i, "p%d" % i) for i in range(50)], "idx bigint, prompt string")
+
+    def upper_model(prompts):
+        return prompts.str.upper()
+
+    out = {r.idx: r.predicted for r in predict(df, upper_model).collect()}
+    assert out[7] == "P7" and len(out) == 50
+    assert predict(df, "mock", demos_col="prompt").first().predicted == "mock text"
