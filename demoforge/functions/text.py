@@ -71,7 +71,8 @@ def overlap_bucket(premise, choices: Sequence, n: int = 10) -> Column:
         for ch in choices
     ]
     best = F.greatest(*fracs) if len(fracs) > 1 else fracs[0]
-    return (F.floor(best * F.lit(n)) / F.lit(n)).cast("double").cast("string")
+    # an empty premise has no ratio (the loader divides by zero): NULL
+    return F.when(F.size(prem) > 0, (F.floor(best * F.lit(n)) / F.lit(n)).cast("double").cast("string"))
 
 
 def bag_key(category, text) -> Column:
@@ -86,7 +87,7 @@ def _is_upper(x: Column) -> Column:
 
 def parse_fact_ids(explanation) -> Column:
     """Split on ``|``, last word of each part, drop the all-upper-case ones."""
-    lasts = F.transform(F.split(_c(explanation), r"\|"), lambda p: F.element_at(py_words(p), -1))
+    lasts = F.transform(F.split(_c(explanation), r"\|"), lambda p: F.try_element_at(py_words(p), F.lit(-1)))
     return F.filter(lasts, lambda x: x.isNotNull() & (x != "") & ~_is_upper(x))
 
 
@@ -98,7 +99,7 @@ def answer_by_key(question, key) -> Column:
     )
     start = F.concat(F.lit(" ("), k, F.lit(") "))
     after = F.split_part(q, start, F.lit(2))
-    body = F.split_part(after, F.element_at(nxt, k), F.lit(1))
+    body = F.split_part(after, F.try_element_at(nxt, k), F.lit(1))
     return F.when(F.instr(q, start) > 0, py_strip(body))
 
 
@@ -140,7 +141,7 @@ def relation_tails(reasoning) -> Column:
     """Flatten one level; of each reasoning take the last field and join its
     last two parts (or fewer, like Python's ``x[-2:]``) with a blank."""
     def tail(r):
-        last = F.element_at(r, -1)
+        last = F.coalesce(F.try_element_at(r, F.lit(-1)), F.array().cast("array<string>"))
         return F.array_join(F.slice(last, F.greatest(F.size(last) - 1, F.lit(1)), 2), " ")
 
     return F.transform(F.flatten(_c(reasoning)), tail)

@@ -53,6 +53,7 @@ def strategy_gap(
     bootstrap_rounds: int = 0,
     bootstrap_size: int = 100,
     seed: int | str = 0,
+    first_n: int | None = None,
 ) -> DataFrame:
     """Random against informative (same category) demos on one sample set.
 
@@ -61,7 +62,9 @@ def strategy_gap(
     the word limit.  Both runs are columns of the same rows, so they are
     aligned without a join.
     """
-    info = select_demos(samples, k, "cluster-random", out="demos_info", by=by)
+    evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
+        _first_per_task(samples, by, first_n)
+    info = select_demos(evaluated, k, "cluster-random", pool=samples, out="demos_info", by=by)
     if max_words is not None:
         info = info.where(prompt_word_count("demos_info") <= max_words)
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by)
@@ -123,6 +126,14 @@ def bootstrap(
     )
 
 
+def _first_per_task(samples: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """First ``n`` samples of every task (top-n window: partial limits run
+    before the shuffle)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*by).orderBy("idx")
+    return samples.withColumn("_fn", F.row_number().over(w)).where(F.col("_fn") <= n).drop("_fn")
+
+
 def _bootstrap_gap(scored: DataFrame, by: Sequence[str], rounds: int, size: int, seed, model: str) -> DataFrame:
     """Per task and round: mean of ``size`` draws with replacement, random
     and informative each from its own draw stream, then the difference."""

@@ -72,7 +72,7 @@ def random_sets(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, max_char
     before it when the draw hits the sample."""
     ix = dense_index(samples.select("idx", prompt, answer), "idx", out="pos", size_out="n")
     ix = cut_lineage(ix.withColumn("category", F.lit(0)))
-    s = _slots(demo_counts(ix.select("idx", "category", "pos", "n"), lo, hi, seed))
+    s = _slots(demo_counts(ix.select("idx", "category", "pos", "n").where(F.col("n") > 1), lo, hi, seed))
     sel = F.lit(1) + draw(F.lit(str(seed)), F.lit("random"), F.col("idx"), F.col("slot"), n=F.col("n") - 1)
     s = s.withColumn("sel", F.when(sel == F.col("pos"), sel - 1).otherwise(sel))
     picked = s.join(_demo_rows(ix, prompt, answer, "pos"), ["category", "sel"])

@@ -102,9 +102,9 @@ ORACLE["wh_category"] = f"""SELECT idx, CASE WHEN starts_with(input, 'To') THEN
  ELSE {words('input')}[1] END AS category FROM fx_samples"""
 ORACLE["first_token"] = f"SELECT idx, {words('input')}[1] AS token, lower({words('input')}[1]) AS token_lower FROM fx_samples"
 _PREM = f"list_distinct({words('lower(premise)')})"
-ORACLE["overlap_bucket"] = f"""SELECT conv_id, turn, cast(floor(greatest(
+ORACLE["overlap_bucket"] = f"""SELECT conv_id, turn, CASE WHEN len({_PREM}) > 0 THEN cast(floor(greatest(
   len(list_intersect(list_distinct({words('lower(choice1)')}), {_PREM})) / len({_PREM}),
-  len(list_intersect(list_distinct({words('lower(choice2)')}), {_PREM})) / len({_PREM})) * 10) / 10 AS DOUBLE)::VARCHAR AS bucket
+  len(list_intersect(list_distinct({words('lower(choice2)')}), {_PREM})) / len({_PREM})) * 10) / 10 AS DOUBLE)::VARCHAR END AS bucket
 FROM fx_choices"""
 ORACLE["bag_key"] = f"SELECT idx, concat(logic, array_to_string(list_sort({words('premise')}), ' ')) AS bag_key FROM fx_nli"
 _IDS = """list_filter(list_transform(string_split(explanation, '|'), lambda p: """ + words("p") + """[-1]),

@@ -66,3 +66,11 @@ def test_empty_prediction_set_gives_null_mean(spark):
     df = spark.createDataFrame([], "expected string, predicted string")
     r = mean_score(df, "accuracy_exact").first()
     assert r.n == 0 and r.score is None
+
+
+def test_first_n_limits_the_evaluated_samples_not_the_pool(spark):
+    from demoforge.operators.evaluate import strategy_gap
+    rows = [(i, "t%d" % i, "l%d" % (i % 2), "c%d" % (i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "idx bigint, input string, label string, category string")
+    assert strategy_gap(df, 3, first_n=10).first().n_samples == 10
+    assert strategy_gap(df, 3).first().n_samples == 40
