@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw
-from demoforge.functions.scores import metric_column, with_score
+from demoforge.functions.scores import with_score
 from demoforge.operators.demos import prompt_word_count, select_demos
 from demoforge.operators.predict import predict
 from demoforge.operators.windows import dense_index

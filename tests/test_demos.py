@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from demoforge.operators import demos as D
 from demoforge.operators.predict import demo_majority
