@@ -31,7 +31,7 @@ def keyed_join(
     weight: str | None = None,
     salt_by: Column | None = None,
     how: str = "inner",
-    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    broadcast_limit: int | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``small`` on the non-null column ``key``.
 
@@ -49,7 +49,8 @@ def keyed_join(
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0)).alias("bytes"),
         (F.coalesce(F.sum(weight), F.lit(0)) if weight else F.lit(0)).alias("w"),
     ).first()
-    if stats["bytes"] <= broadcast_limit:
+    limit_bytes = BROADCAST_LIMIT_BYTES if broadcast_limit is None else broadcast_limit
+    if stats["bytes"] <= limit_bytes:
         out = big.join(F.broadcast(small), key, how)
         return out.drop(weight) if weight else out
     parts = _partitions(big)

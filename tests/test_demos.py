@@ -106,3 +106,24 @@ def test_custom_predictor_runs_in_arrow_batches(spark):
     out = {r.idx: r.predicted for r in predict(df, upper_model).collect()}
     assert out[7] == "P7" and len(out) == 50
     assert predict(df, "mock", demos_col="prompt").first().predicted == "mock text"
+
+
+def test_salted_path_with_a_hot_category(spark, monkeypatch):
+    """Force the shuffle path of the keyed join (no broadcast): the hot
+    category is salted and the choice still equals the literal scan."""
+    from demoforge.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", 0)
+    rng = random.Random(9)
+    data = [(rng.choice(list("pqrstuvw")), rng.choice("xy"), "hot" if rng.random() < 0.7 else rng.choice("abcd"))
+            for _ in range(120)]
+    want = select_demos_literal(data, 3, "cluster-random")
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(data)], "idx bigint, input string, label string, category string")
+    sel = D.select_demos(df, 3, "cluster-random")
+    plan = sel._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    got = {r.idx: [(d.input, d.label) for d in r.demos] for r in sel.collect()}
+    for i, demos in enumerate(want):
+        assert (i in got) == (demos is not None)
+        if demos is not None:
+            assert got[i] == [(d[0], d[1]) for d in demos]
