@@ -68,7 +68,15 @@ def drop_same_input(cands: Column, value: Column) -> Column:
     return F.filter(paired, lambda c: c.isNotNull())
 
 
-def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = False) -> DataFrame:
+def distinct_tuples(pool: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct ``(by.., category, input fingerprint, label)`` tuples with
+    their latest position and row count; shareable between strategies."""
+    return pool.groupBy(*by, "category", text_fingerprint("input").alias("fp"), "label").agg(
+        F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n"))
+
+
+def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = False,
+                    tuples: DataFrame | None = None) -> DataFrame:
     """Per key: the <= K(K+1) candidate tuples, latest first.
 
     Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label, nw, fp>>, _w)``
@@ -77,9 +85,15 @@ def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = Fal
     under the key (used to detect hot keys).  Only ids and fingerprints are
     shuffled; the texts of the final candidates are fetched by id at the end.
     """
-    tuples = pool.groupBy(key.alias("_ck"), "category", text_fingerprint("input").alias("fp"), "label").agg(
-        F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n")
-    )
+    if tuples is None:
+        tuples = pool.groupBy(key.alias("_ck"), "category", text_fingerprint("input").alias("fp"), "label").agg(
+            F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n")
+        )
+    else:
+        # tuples per task are tuples per key too (the key refines the task);
+        # for a coarser key (random) equal tuples of one task stay distinct
+        # rows here only if their categories differ, as tuple identity says
+        tuples = tuples.withColumn("_ck", key)
     weights = tuples.groupBy("_ck").agg(F.sum("_n").alias("_w"))
     by_input = Window.partitionBy("_ck", "fp").orderBy(F.col("idx").desc())
     top_tuples = tuples.withColumn("_r", F.row_number().over(by_input)).where(F.col("_r") <= k)
@@ -113,17 +127,20 @@ def select_demos(
     out: str = "demos",
     drop_short: bool = True,
     by: Sequence[str] = (),
+    tuples: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out`` = the K chosen demos (ARRAY<STRUCT<idx, input, label>>).
 
     ``pool`` is where demos come from (default: the samples themselves).
     ``by`` names task columns: demos come from the sample's own task.
+    ``tuples`` may pass ``distinct_tuples(pool, by)`` computed once for
+    several strategies over the same pool.
     Scalar categories only; list categories go through ``select_demos_overlap``.
     """
     pool = samples if pool is None else pool
     key = _category_key(strategy, by)
     lists = candidate_lists(pool.select("idx", "input", "label", "category", *by), k, key,
-                            single_key=(strategy == "random" and not by))
+                            single_key=(strategy == "random" and not by), tuples=tuples)
     joined = keyed_join(
         samples.withColumn("_ck", key), lists, "_ck", weight="_w", salt_by=F.col("idx"),
         how="inner" if drop_short else "left",

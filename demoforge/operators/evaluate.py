@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw
 from demoforge.functions.scores import with_score
-from demoforge.operators.demos import prompt_word_count, select_demos
+from demoforge.operators.demos import distinct_tuples, prompt_word_count, select_demos
+from demoforge.session import cut_lineage
 from demoforge.operators.predict import predict
 from demoforge.operators.windows import dense_index
 
@@ -64,10 +65,12 @@ def strategy_gap(
     """
     evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
-    info = select_demos(evaluated, k, "cluster-random", pool=samples, out="demos_info", by=by)
+    # both strategies rank the same distinct tuples of the pool: build them once
+    tuples = cut_lineage(distinct_tuples(samples, by))
+    info = select_demos(evaluated, k, "cluster-random", pool=samples, out="demos_info", by=by, tuples=tuples)
     if max_words is not None:
         info = info.where(prompt_word_count("demos_info") <= max_words)
-    both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by)
+    both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by, tuples=tuples)
     both = predict(both, predictor, demos_col="demos_info", out="pred_info")
     both = predict(both, predictor, demos_col="demos_rand", out="pred_rand")
     both = with_score(both, metric, "label", "pred_info", "s_info")
