@@ -109,6 +109,10 @@ def main(argv):
 
     qs, sqls = E.queries(), E.oracle_sql()
     spark = local_session()
+    for kv in os.environ.get("ORACLE_CONF", "").split(","):
+        if "=" in kv:
+            k, v = kv.split("=", 1)
+            spark.conf.set(k, v)
     con = duck(sf_dir)
     bad = 0
     for name in names or list(qs):
