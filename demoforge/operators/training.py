@@ -134,7 +134,8 @@ def hard_sets(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candidates
                                       n=F.col("cat_size")))
         scored = draws.join(cand_rows, ["category", "_cpos"]).select(
             "idx", "_r", "_cid", "_clen",
-            unigram_score(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
+            # ranked by the log score: same order as the score, no exp rounding
+            unigram_log_score(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
         best = scored.groupBy("idx").agg(F.min_by(F.struct("_cid", "_clen"), F.struct("_s", "_r")).alias("_b"))
         # ids only through the aggregate, words fetched by one join; a demo
         # that is the hardest for very many samples is a skewed key there,

@@ -510,3 +510,37 @@ kept AS (SELECT g.idx, g.n_demos, concat(array_to_string(g.demos, ' '), ' ', s0.
            AND coalesce(list_sum(list_transform(g.demos[1:g.n_demos - 1], lambda x: length(x))), 0) <= 8000)
 SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id, n_demos, length(primed) AS primed_chars,
        md5(primed) AS primed_md5 FROM kept"""
+
+
+def _hard_sets_sql(rounds: int = 5, cands: int = 20, max_chars: int = 8000) -> str:
+    """All hardest-demo rounds, unrolled: each round draws candidates, scores
+    the prompt primed with the demos so far plus the candidate, keeps the
+    lowest (draw number on ties)."""
+    parts = [CI.replace("@SRC@", "fx_labelled") + ",",
+             f"""cw AS (SELECT category, cat_pos, idx AS cid, list_concat({words('input')}, {words('label')}) AS w,
+       length(input) + length(label) + 2 AS clen FROM ci),
+st0 AS (SELECT idx, category, cat_size, {N_DEMOS} AS n_demos, {words('input')} AS pw, {words('label')} AS tw,
+        []::VARCHAR[] AS dw, []::BIGINT[] AS ids, 0::BIGINT AS chars, true AS ok FROM ci WHERE cat_size > 1),"""]
+    for s in range(rounds):
+        score = ("list_sum(list_transform(tw, lambda w: ln((len(list_filter(p, lambda x: x = w)) + 1) / "
+                 "(len(p) + len(list_distinct(p)) + 1))))")
+        parts.append(f"""dr{s} AS (SELECT st.idx, st.category, st.cat_size, st.dw, st.pw, st.tw, r,
+        {draw_sql(f"'0', 'hard', st.idx, {s}, r", 'st.cat_size')} AS cpos
+        FROM st{s} st, range({cands}) t(r) WHERE st.n_demos > {s} AND st.ok AND st.chars <= {max_chars}),
+pp{s} AS (SELECT d.idx, d.r, c.cid, c.clen, c.w, list_concat(list_concat(d.dw, c.w), d.pw) AS p, d.tw
+        FROM dr{s} d JOIN cw c ON c.category = d.category AND c.cat_pos = d.cpos),
+b{s} AS (SELECT idx, cid, clen, w FROM (SELECT idx, r, cid, clen, w,
+        row_number() OVER (PARTITION BY idx ORDER BY {score}, r) AS rn FROM pp{s}) WHERE rn = 1),
+st{s + 1} AS (SELECT st.idx, st.category, st.cat_size, st.n_demos, st.pw, st.tw,
+        CASE WHEN b.idx IS NOT NULL THEN list_concat(st.dw, b.w) ELSE st.dw END AS dw,
+        CASE WHEN b.idx IS NOT NULL THEN list_append(st.ids, b.cid) ELSE st.ids END AS ids,
+        st.chars + coalesce(b.clen, 0) AS chars,
+        CASE WHEN st.n_demos > {s} AND st.ok THEN b.idx IS NOT NULL ELSE st.ok END AS ok
+        FROM st{s} st LEFT JOIN b{s} b USING (idx)),""")
+    body = "\n".join(parts).rstrip(",")
+    return f"""WITH {body}
+SELECT idx, n_demos, array_to_string(ids, ' ') AS demo_idxs, chars AS demos_chars FROM st{rounds}
+WHERE ok AND len(ids) = least(n_demos, {rounds})"""
+
+
+ORACLE["train_hard_sets"] = _hard_sets_sql()
