@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demoforge.operators.joins import keyed_join
+from demoforge.operators.windows import running_sum
+from demoforge.session import cut_lineage
+
 ROUND = 6
 SCORE_COLS = ("random_demos", "informative_demos", "difference")
 KEY = ("model", "dataset", "prompt")
@@ -62,23 +66,65 @@ def rename_models(df: DataFrame, names: Sequence[tuple[str, str]], col: str = "m
     return df.join(F.broadcast(m), col).withColumn(col, F.col("_new")).drop("_new")
 
 
+def value_counts_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct non-NULL values per group with their counts (map-side
+    combined: its size follows distinct values, not rows)."""
+    v = df.select(*by, F.col(value).cast("double").alias("_val")).where(F.col("_val").isNotNull())
+    return v.groupBy(*by, "_val").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float],
+                    counts: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, per group, without
+    gathering a group in one task.
+
+    Values are counted per (group, value), the counts are cumulated
+    two-level (``running_sum``: buckets of the value range, so a hot group
+    spreads over its buckets, and the bucket totals give the group size),
+    and every distinct value reports the quantile ranks it covers.  Position
+    of quantile q is q (n - 1); result = v[floor] + (pos - floor) (v[ceil] -
+    v[floor]).  Returns ``(by.., n, <name>...)``."""
+    by = list(by)
+    vc = counts if counts is not None else value_counts_by(df, by, value)
+    cum = running_sum(vc, "_c", by, ["_val"], out="_upto", total_out="n")
+    hits = []
+    for name, q in qs.items():
+        pos = F.lit(q) * (F.col("n") - 1)
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            covers = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
+            hits.append(F.when(covers, F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"),
+                                                 F.col("_val").alias("v"), pos.alias("pos"))))
+    found = cum.select(*by, "n", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+    piv = found.groupBy(*by, "n").pivot("h.q", list(qs)).agg(
+        F.max(F.when(F.col("h.side") == "lo", F.col("h.v"))).alias("lo"),
+        F.max(F.when(F.col("h.side") == "hi", F.col("h.v"))).alias("hi"),
+        F.max("h.pos").alias("pos"))
+    cols = []
+    for name in qs:
+        lo, hi, pos = F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_pos")
+        cols.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
+    return piv.select(*by, "n", *cols)
+
+
 def box_stats(df: DataFrame, by: Sequence[str], value: str = "score") -> DataFrame:
     """Quartiles (linear interpolation) and whiskers at 1.5 IQR clipped to
-    the data, per group.  ``percentile`` aggregates keep a value -> count
-    map, so memory follows the distinct values of a group, not its rows."""
-    q = df.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.percentile(F.col(value).cast("double"), F.lit(0.25)).alias("q1"),
-        F.percentile(F.col(value).cast("double"), F.lit(0.5)).alias("median"),
-        F.percentile(F.col(value).cast("double"), F.lit(0.75)).alias("q3"),
-    )
+    the data, per group.  Both work on the distinct values per group
+    (written once): quantiles by ``exact_quantiles``, whiskers by joining the
+    per-group fences (size-checked) and a min / max aggregate."""
+    by = list(by)
+    vc = cut_lineage(value_counts_by(df, by, value))
+    q = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, counts=vc)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    fences = df.join(q, list(by)).groupBy(*by).agg(
-        F.min(F.when(F.col(value) >= lo, F.col(value))).alias("whisker_lo"),
-        F.max(F.when(F.col(value) <= hi, F.col(value))).alias("whisker_hi"),
+    key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by])
+    stats = q.select(*by, "n", "q1", "median", "q3", key.alias("_g"), lo.alias("_lo"), hi.alias("_hi"),
+                     F.col("n").alias("_w"))
+    fenced = keyed_join(vc.withColumn("_g", key).drop(*by), stats, "_g", weight="_w",
+                        salt_by=F.col("_val").cast("string"))
+    out = fenced.groupBy(*by, "n", "q1", "median", "q3").agg(
+        F.min(F.when(F.col("_val") >= F.col("_lo"), F.col("_val"))).alias("whisker_lo"),
+        F.max(F.when(F.col("_val") <= F.col("_hi"), F.col("_val"))).alias("whisker_hi"),
     )
-    out = q.join(fences, list(by))
     return out.select(*by, "n", *[F.round(c, ROUND).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")])
 
 

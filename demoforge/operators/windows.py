@@ -19,10 +19,15 @@ MAX_BUCKETS = 1 << 16
 MIN_WIDTH = 1 << 12
 
 
-def _bucket_width(df: DataFrame, order_col: str) -> int:
+def _bucket_width(df: DataFrame, order_col: str):
+    """Bucket width giving at most ~MAX_BUCKETS buckets over the column's
+    span (a power of two for integers, span / MAX_BUCKETS for fractions)."""
     r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     if r["lo"] is None:
         return MIN_WIDTH
+    if isinstance(r["lo"], float) or isinstance(r["hi"], float):
+        span = float(r["hi"]) - float(r["lo"])
+        return span / MAX_BUCKETS if span > 0 else 1.0
     span = int(r["hi"]) - int(r["lo"]) + 1
     need = max(MIN_WIDTH, span // MAX_BUCKETS + 1)
     return 1 << math.ceil(math.log2(need))
@@ -66,6 +71,7 @@ def running_sum(
     by: Sequence[str],
     order_cols: Sequence[str],
     out: str = "running",
+    total_out: str | None = None,
 ) -> DataFrame:
     """Cumulative sum of ``value`` per ``by`` in ``order_cols`` order (ties
     share a total, as SQL's default RANGE frame).  Two-level, so a hot key
@@ -74,13 +80,17 @@ def running_sum(
     first = order_cols[0]
     width = _bucket_width(df, first)
     v = F.col(value) if isinstance(value, str) else value
-    dfb = df.withColumn("_b", F.floor(F.col(first) / F.lit(width)).cast("bigint")).withColumn("_v", v)
-    totals = dfb.groupBy(*by, "_b").agg(F.sum("_v").alias("_t"))
+    dfb = df.withColumn("_b", F.floor(F.col(first) / F.lit(width)).cast("bigint")).withColumn("_rv", v)
+    totals = dfb.groupBy(*by, "_b").agg(F.sum("_rv").alias("_t"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_t").over(Window.partitionBy(*by)).alias("_tot"))
     inner = Window.partitionBy(*by, "_b").orderBy(*order_cols)
-    res = dfb.withColumn("_in", F.sum("_v").over(inner)).join(offsets, [*by, "_b"])
-    return res.withColumn(out, F.col("_off") + F.col("_in")).drop("_b", "_v", "_in", "_off")
+    res = dfb.withColumn("_in", F.sum("_rv").over(inner)).join(offsets, [*by, "_b"])
+    res = res.withColumn(out, F.col("_off") + F.col("_in"))
+    if total_out:
+        res = res.withColumnRenamed("_tot", total_out)
+    return res.drop("_b", "_rv", "_in", "_off", "_tot")
 
 
 def block_clusters(df: DataFrame, k: int = 3, order_col: str = "idx", out: str = "cluster") -> DataFrame:

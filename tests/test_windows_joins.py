@@ -103,3 +103,25 @@ def test_overlap_neighbours_light_and_heavy_paths(spark):
         got = {q: [c for _, c in sorted(v)] for q, v in got.items()}
         for q in sets:
             assert got.get(q, []) == want[q], (fanout, q)
+
+
+def test_exact_quantiles_match_numpy_with_a_hot_group(spark):
+    import numpy as np
+
+    from demoforge.operators.reports import box_stats, exact_quantiles
+
+    rng = random.Random(8)
+    rows = [("hot", rng.random()) for _ in range(3000)] + [("g%d" % (i % 5), rng.gauss(0, 1)) for i in range(200)]
+    rows += [("tie", 0.5)] * 7 + [("one", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}).collect()}
+    for g in {r[0] for r in rows}:
+        vals = np.array([v for k, v in rows if k == g])
+        for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.9)):
+            assert abs(got[g][name] - np.quantile(vals, q)) < 1e-9, (g, name)
+        assert got[g].n == len(vals)
+    box = {r.g: r for r in box_stats(df, ["g"], "v").collect()}
+    vals = np.array([v for k, v in rows if k == "g1"])
+    q1, q3 = np.quantile(vals, 0.25), np.quantile(vals, 0.75)
+    assert abs(box["g1"].whisker_lo - round(vals[vals >= q1 - 1.5 * (q3 - q1)].min(), 6)) < 1e-9
+    assert abs(box["g1"].whisker_hi - round(vals[vals <= q3 + 1.5 * (q3 - q1)].max(), 6)) < 1e-9
