@@ -6,8 +6,9 @@ others whose length differs by at most d (an equi-join on length bands), the
 bounded ``levenshtein(a, b, d)`` stops early past d, and a concept with a
 match at or below d is final (every concept not compared differs by more
 than d in length, so by more than d in distance).  Only unresolved concepts
-go on to the next round.  Inside a band the left side is salted over the
-shuffle partitions, so a crowded band is spread over many tasks.
+go on to the next round.  A band is split into salt slices in proportion to
+its comparison count (left side hashed, right side replicated per slice),
+so a crowded band is spread over many tasks and a quiet one is not copied.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from demoforge.operators.windows import dense_index
 from demoforge.session import cut_lineage
 
 START_THRESHOLD = 4
+PAIRS_PER_TASK = 10_000_000  # bounded-threshold comparisons one task should run per band slice
 
 
 def _partitions(df: DataFrame) -> int:
@@ -46,10 +48,19 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
     while True:
         width = d + 1
         left = remaining.withColumn("_band", F.explode(F.array(
-            *[F.floor(F.col("la") / width) + k for k in (-1, 0, 1)]))) \
-            .withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(parts)))
-        right = others.withColumn("_band", F.floor(F.col("lb") / width)) \
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            *[F.floor(F.col("la") / width) + k for k in (-1, 0, 1)])))
+        right = others.withColumn("_band", F.floor(F.col("lb") / width))
+        # salts per band from its comparison count: a quiet band is not
+        # replicated, a crowded one is split into slices of bounded work
+        # (the band table has at most max_len / (d + 1) + 3 rows)
+        nl = left.groupBy("_band").agg(F.count(F.lit(1)).alias("_nl"))
+        nr = right.groupBy("_band").agg(F.count(F.lit(1)).alias("_nr"))
+        salts = F.broadcast(nl.join(nr, "_band").select(
+            "_band", F.least(F.lit(parts), F.greatest(F.lit(1), F.ceil(
+                F.col("_nl") * F.col("_nr") / F.lit(PAIRS_PER_TASK)).cast("int"))).alias("_s")))
+        left = left.join(salts, "_band").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_s"))).drop("_s")
+        right = right.join(salts, "_band").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
         pairs = left.join(right, ["_band", "_salt"]).where(
             (F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= d))
         dist = pairs.select("a", F.levenshtein("a", "b", d).alias("dist")).where(F.col("dist") >= 0)

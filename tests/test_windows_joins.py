@@ -125,3 +125,14 @@ def test_exact_quantiles_match_numpy_with_a_hot_group(spark):
     q1, q3 = np.quantile(vals, 0.25), np.quantile(vals, 0.75)
     assert abs(box["g1"].whisker_lo - round(vals[vals >= q1 - 1.5 * (q3 - q1)].min(), 6)) < 1e-9
     assert abs(box["g1"].whisker_hi - round(vals[vals <= q3 + 1.5 * (q3 - q1)].max(), 6)) < 1e-9
+
+
+def test_min_edit_distance_with_split_bands(spark, monkeypatch):
+    monkeypatch.setattr(CN, "PAIRS_PER_TASK", 5)
+    rng = random.Random(12)
+    words = ["ab", "abc", "b", "cd"]
+    vals = list({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(50)})
+    df = spark.createDataFrame([(v,) for v in vals], "concept string")
+    got = {r.concept: r.min_dist for r in CN.min_edit_distance(df).collect()}
+    for v in vals:
+        assert got[v] == min(edit_distance(v, o) for o in vals if o != v)
