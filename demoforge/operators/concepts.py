@@ -13,9 +13,10 @@ so a crowded band is spread over many tasks and a quiet one is not copied.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw, draw_hash
@@ -30,6 +31,24 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _band_slices(hist: dict[int, int], width: int, parts: int):
+    """Salt slices per length band for one round, as a literal map.
+
+    Right side of band b: concepts with length // width == b; left side: at
+    most those of bands b-1..b+1.  A band gets slices in proportion to its
+    comparisons (budget: the round's total over ~2 slices per partition,
+    capped by PAIRS_PER_TASK); quiet bands keep one slice (no copies)."""
+    right: dict[int, int] = {}
+    for length, n in hist.items():
+        right[length // width] = right.get(length // width, 0) + n
+    cmp = {b: n * sum(right.get(b + k, 0) for k in (-1, 0, 1)) for b, n in right.items()}
+    total = sum(cmp.values())
+    budget = min(float(PAIRS_PER_TASK), max(1.0, total / (2.0 * parts)))
+    slices = {b: min(parts, max(1, math.ceil(c / budget))) for b, c in cmp.items()}
+    kv = [x for b, sl in sorted(slices.items()) if sl > 1 for x in (F.lit(b).cast("bigint"), F.lit(sl))]
+    return F.create_map(*kv) if kv else None
+
+
 def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_THRESHOLD) -> DataFrame:
     """``(col, min_dist)``: smallest Levenshtein distance from each distinct
     value to any other distinct value; NULL for a value with no other."""
@@ -41,6 +60,8 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
     if not stats["n"]:
         return df.sparkSession.createDataFrame([], f"{col} STRING, min_dist BIGINT")
     max_len = int(stats["max_len"])
+    # length histogram: at most max_len + 1 rows, read once
+    hist = {int(r["la"]): int(r["n"]) for r in concepts.groupBy("la").agg(F.count(F.lit(1)).alias("n")).collect()}
     others = concepts.select(F.col("a").alias("b"), F.col("la").alias("lb"))
     remaining = concepts
     found: list[DataFrame] = []
@@ -50,17 +71,11 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
         left = remaining.withColumn("_band", F.explode(F.array(
             *[F.floor(F.col("la") / width) + k for k in (-1, 0, 1)])))
         right = others.withColumn("_band", F.floor(F.col("lb") / width))
-        # salts per band from its comparison count: a quiet band is not
-        # replicated, a crowded one is split into slices of bounded work
-        # (the band table has at most max_len / (d + 1) + 3 rows)
-        nl = left.groupBy("_band").agg(F.count(F.lit(1)).alias("_nl"))
-        nr = right.groupBy("_band").agg(F.count(F.lit(1)).alias("_nr"))
-        salts = F.broadcast(nl.join(nr, "_band").select(
-            "_band", F.least(F.lit(parts), F.greatest(F.lit(1), F.ceil(
-                F.col("_nl") * F.col("_nr") / F.lit(PAIRS_PER_TASK)).cast("int"))).alias("_s")))
-        left = left.join(salts, "_band").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_s"))).drop("_s")
-        right = right.join(salts, "_band").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+        slices = _band_slices(hist, width, parts)
+        s_of = F.coalesce(F.try_element_at(slices, F.col("_band").cast("bigint")), F.lit(1)) if slices is not None \
+            else F.lit(1)
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("a"), s_of))
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), s_of - 1)))
         pairs = left.join(right, ["_band", "_salt"]).where(
             (F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= d))
         dist = pairs.select("a", F.levenshtein("a", "b", d).alias("dist")).where(F.col("dist") >= 0)
