@@ -53,7 +53,9 @@ def demos_null_category(spark, sf):
 
 @query
 def demos_overlap(spark, sf):
-    return _demos_out(D.select_demos_overlap(fixture(spark, sf, "fx_samples_multi"), 3))
+    from demoforge.session import cut_lineage
+    # an aggregated input read by several jobs of the selection: write it once
+    return _demos_out(D.select_demos_overlap(cut_lineage(fixture(spark, sf, "fx_samples_multi")), 3))
 
 
 # ---- filters and limits (2.B) ---------------------------------------------
@@ -493,8 +495,11 @@ def attach_labels(spark, sf):
 
 
 def _questions_with_ids(spark, sf):
+    """Questions with parsed fact ids, written once: the lookups, clusters
+    and neighbours read them in several jobs."""
+    from demoforge.session import cut_lineage
     q = FL.filter_questions(fixture(spark, sf, "fx_questions"))
-    return q.withColumn("fact_ids", T.parse_fact_ids("explanation"))
+    return cut_lineage(q.withColumn("fact_ids", T.parse_fact_ids("explanation")))
 
 
 @query
@@ -557,8 +562,9 @@ def eval_cap(spark, sf):
 
 
 def worldtree_samples_df(spark, sf, k=3, difficulty=None):
+    from demoforge.session import cut_lineage
     q = FL.filter_questions(fixture(spark, sf, "fx_questions"), difficulty)
-    q = q.withColumn("fact_ids", T.parse_fact_ids("explanation"))
+    q = cut_lineage(q.withColumn("fact_ids", T.parse_fact_ids("explanation")))
     q = W.block_clusters(q, k, "question_id")
     facts = L.table_set_texts(_fact_tables(spark, sf))
     cf = L.cluster_facts(q, "fact_ids", facts, "uid", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss; never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a parquet table in the shared checkpoint folder
+    and continue from the written table.
+
+    Like a reliable checkpoint it survives executor loss and ends the
+    lineage, but the plan runs once (``Dataset.checkpoint`` on an unpersisted
+    plan computes it twice) and later reads are columnar and pruned."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    out = spark.read.parquet(path)
+    # a small table reads back as one or two splits: spread it again so the
+    # per-row work that follows (edit distances, scoring) keeps its tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if out.rdd.getNumPartitions() < parts:
+        out = out.repartition(parts)
+    return out
