@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.session import cut_lineage
+from pyspark import StorageLevel
 
 # Default ceiling for a broadcast side, in bytes of its JSON form (a close
 # upper bound of its in-memory size for text-heavy rows).
@@ -42,9 +42,9 @@ def keyed_join(
     deterministic column of ``big`` (a row id) used to pick the salt, so a
     retried task reproduces the same assignment.
     """
-    # The side table is read three times (size, hot keys, join): write it
-    # once to the checkpoint folder instead of recomputing its shuffles.
-    small = cut_lineage(small)
+    # The side table is read three times (size, hot keys, join): keep it
+    # (memory and disk; a lost block is recomputed from its lineage).
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     stats = small.agg(
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0)).alias("bytes"),
         (F.coalesce(F.sum(weight), F.lit(0)) if weight else F.lit(0)).alias("w"),
