@@ -77,10 +77,13 @@ def write_results(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
 
 
-def with_cache(spark: SparkSession, todo: DataFrame, path: str, key: Sequence[str], compute) -> DataFrame:
+def with_cache(spark: SparkSession, todo: DataFrame, path: str, key: Sequence[str], compute,
+               partition_by: Sequence[str] = ()) -> DataFrame:
     """Prediction cache keyed by the full run key (model, task, strategy,
     K, word limit, sample idx ...): rows already stored are reused, the
-    missing ones (``left_anti``) are computed, appended and returned too."""
+    missing ones (``left_anti``) are computed, appended and returned too.
+    ``partition_by`` (run-level key columns) lays the cache out so a run's
+    probe reads only its own partitions."""
     key = list(key)
     try:
         cached = spark.read.parquet(path)
@@ -88,6 +91,9 @@ def with_cache(spark: SparkSession, todo: DataFrame, path: str, key: Sequence[st
         cached = None
     missing = todo if cached is None else todo.join(cached.select(*key), key, "left_anti")
     fresh = compute(missing)
-    fresh.write.mode("append").parquet(path)
+    writer = fresh.write.mode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     stored = spark.read.parquet(path)
     return stored.join(todo.select(*key), key, "left_semi")

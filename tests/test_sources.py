@@ -79,8 +79,8 @@ def test_prediction_cache_computes_only_missing(spark):
         return missing.withColumn("predicted", F.lit("mock text"))
 
     todo = spark.createDataFrame([("m", "t", i) for i in range(5)], "model string, task string, idx bigint")
-    a = S.with_cache(spark, todo, d, ["model", "task", "idx"], compute)
+    a = S.with_cache(spark, todo, d, ["model", "task", "idx"], compute, partition_by=["model", "task"])
     assert a.count() == 5
     more = spark.createDataFrame([("m", "t", i) for i in range(8)], "model string, task string, idx bigint")
-    b = S.with_cache(spark, more, d, ["model", "task", "idx"], compute)
+    b = S.with_cache(spark, more, d, ["model", "task", "idx"], compute, partition_by=["model", "task"])
     assert b.count() == 8 and calls == [5, 3]
