@@ -448,8 +448,13 @@ _K1 = _gap_sql("nli", "template", ROUGE, 2000)
 ORACLE["concept_eval"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1[len("WITH "):]
 _K1B = _gap_sql("nli", "template", ROUGE, 2000, boot=True)
 ORACLE["concept_eval_bootstrap"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1B[len("WITH "):]
-SUITE = """suite AS (SELECT d.source AS task, d.doc_id AS idx, d.text AS input,
- concat(d.lang, '-', cast(l.quality AS VARCHAR)) AS label, d.lang AS category
+SUITE = """suite AS (
+ SELECT concat_ws('/', d.source, 'plain') AS task, d.doc_id AS idx, d.text AS input,
+  concat(d.lang, '-', cast(l.quality AS VARCHAR)) AS label, d.lang AS category
+ FROM documents d JOIN labels l USING (doc_id) WHERE strpos(d.source, 'src1') > 0
+ UNION ALL
+ SELECT concat_ws('/', d.source, 'context'), d.doc_id, concat('Context: ', d.text, ' Answer:'),
+  concat(d.lang, '-', cast(l.quality AS VARCHAR)), d.lang
  FROM documents d JOIN labels l USING (doc_id) WHERE strpos(d.source, 'src1') > 0)"""
 ORACLE["suite_eval"] = f"WITH {SUITE}, " + _gap_sql("suite", "task", EXACT, None)[len("WITH "):]
 _WH = f"""CASE WHEN starts_with(text, 'To') THEN array_to_string({words('text')}[1:2], ' ') ELSE {words('text')}[1] END"""

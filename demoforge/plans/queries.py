@@ -757,12 +757,20 @@ def concept_eval_bootstrap(spark, sf):
                            bootstrap_rounds=200, bootstrap_size=100, seed=0)
 
 
+SUITE_TEMPLATES = {
+    "plain": ("text", "concat(lang, '-', cast(quality AS STRING))"),
+    "context": ("concat('Context: ', text, ' Answer:')", "concat(lang, '-', cast(quality AS STRING))"),
+}
+
+
 def _suite(spark, sf):
+    """Tasks selected by id substring, every template applied; a task is
+    (source, template)."""
     d = fixture_table(spark, sf, "documents").join(fixture_table(spark, sf, "labels"), "doc_id")
     d = FL.select_tasks(d, "source", ["src1"])
-    return d.select(F.col("source").alias("task"), F.col("doc_id").alias("idx"), F.col("text").alias("input"),
-                    F.concat(F.col("lang"), F.lit("-"), F.col("quality").cast("string")).alias("label"),
-                    F.col("lang").alias("category"))
+    r = T.render_templates(d, SUITE_TEMPLATES, keep=["source", "doc_id", "lang"])
+    return r.select(F.concat_ws("/", "source", "template").alias("task"), F.col("doc_id").alias("idx"), "input",
+                    "label", F.col("lang").alias("category"))
 
 
 @query
