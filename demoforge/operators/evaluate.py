@@ -46,7 +46,7 @@ def mean_score(df: DataFrame, metric: str, by: Sequence[str] = (), expected: str
 def strategy_gap(
     samples: DataFrame,
     k: int = 3,
-    predictor: str = "demo_majority",
+    predictor: str | Sequence = "demo_majority",
     metric: str = "accuracy_exact",
     max_words: int | None = None,
     by: Sequence[str] = (),
@@ -61,7 +61,8 @@ def strategy_gap(
     The informative run selects demos by category and drops prompts longer
     than ``max_words``; the random run reuses its surviving samples without
     the word limit.  Both runs are columns of the same rows, so they are
-    aligned without a join.
+    aligned without a join.  ``predictor`` may list several predictors (a
+    run grid): demos are chosen once and each predictor adds its rows.
     """
     evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
@@ -71,61 +72,39 @@ def strategy_gap(
     if max_words is not None:
         info = info.where(prompt_word_count("demos_info") <= max_words)
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by, tuples=tuples)
-    both = predict(both, predictor, demos_col="demos_info", out="pred_info")
-    both = predict(both, predictor, demos_col="demos_rand", out="pred_rand")
-    both = with_score(both, metric, "label", "pred_info", "s_info")
-    both = with_score(both, metric, "label", "pred_rand", "s_rand")
-    s_info, s_rand = F.col("s_info"), F.col("s_rand")
+    predictors = predictor if isinstance(predictor, (list, tuple)) else [predictor]
+    names = [model_name or (p if isinstance(p, str) else "custom") for p in predictors]
+    # every predictor adds columns to the same rows: one pass over the selection
+    for i, p in enumerate(predictors):
+        both = predict(both, p, demos_col="demos_info", out=f"_pi{i}")
+        both = predict(both, p, demos_col="demos_rand", out=f"_pr{i}")
+        both = with_score(both, metric, "label", f"_pi{i}", f"_si{i}")
+        both = with_score(both, metric, "label", f"_pr{i}", f"_sr{i}")
     if bootstrap_rounds:
-        scored = both.select(*by, "idx", "s_rand", "s_info")
-        return _bootstrap_gap(scored, by, bootstrap_rounds, bootstrap_size, seed,
-                              model_name or (predictor if isinstance(predictor, str) else "custom"))
+        outs = [_bootstrap_gap(both.select(*by, "idx", F.col(f"_sr{i}").alias("s_rand"),
+                                           F.col(f"_si{i}").alias("s_info")),
+                               by, bootstrap_rounds, bootstrap_size, seed, name)
+                for i, name in enumerate(names)]
+        res = outs[0]
+        for o in outs[1:]:
+            res = res.unionByName(o)
+        return res
     agg = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.avg(s_rand).alias("r"),
-        F.avg(s_info).alias("i"),
+        *[F.avg(f"_sr{i}").alias(f"_r{i}") for i in range(len(names))],
+        *[F.avg(f"_si{i}").alias(f"_i{i}") for i in range(len(names))],
     )
-    res = agg.select(
+    per_model = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(f"_r{i}").alias("r"), F.col(f"_i{i}").alias("i"))
+        for i, name in enumerate(names)]))
+    rows = agg.select(*by, "n_samples", per_model.alias("_m"))
+    return rows.select(
         *by,
-        F.lit(model_name or (predictor if isinstance(predictor, str) else "custom")).alias("model"),
+        F.col("_m.model").alias("model"),
         "n_samples",
-        r6("r").alias("random_demos"),
-        r6("i").alias("informative_demos"),
-        r6(F.col("i") - F.col("r")).alias("difference"),
-    )
-    return res
-
-
-def bootstrap(
-    scored: DataFrame,
-    score_col: str = "score",
-    rounds: int = 200,
-    size: int = 100,
-    seed: str | int = 0,
-    stream: str | Column = "",
-    order_col: str = "idx",
-) -> DataFrame:
-    """Mean score over ``rounds`` draws of ``size`` rows with replacement.
-
-    Rows get a dense position 0..n-1 (by ``order_col``); draw j of round r
-    picks position ``draw(seed, stream, r, j) mod n``.  The pick table has
-    rounds x size rows (parameters, not data) and is broadcast against the
-    scored rows, which are never shuffled.
-    """
-    spark = scored.sparkSession
-    pos = dense_index(scored.select(order_col, score_col), order_col, out="_pos")
-    n = pos.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if not n:
-        return spark.createDataFrame([], "round_id BIGINT, score DOUBLE")
-    picks = (
-        spark.range(rounds * size)
-        .select(F.floor(F.col("id") / size).alias("round_id"), F.pmod(F.col("id"), F.lit(size)).alias("j"))
-        .withColumn("_pos", draw(F.lit(str(seed)), stream, F.col("round_id"), F.col("j"), n=n))
-    )
-    counts = picks.groupBy("round_id", "_pos").agg(F.count(F.lit(1)).alias("_c"))
-    joined = pos.join(F.broadcast(counts), "_pos")
-    return joined.groupBy("round_id").agg(
-        F.round(F.sum(F.col(score_col) * F.col("_c")) / F.lit(size), ROUND).alias("score")
+        r6("_m.r").alias("random_demos"),
+        r6("_m.i").alias("informative_demos"),
+        r6(F.col("_m.i") - F.col("_m.r")).alias("difference"),
     )
 
 

@@ -395,7 +395,8 @@ SELECT idx, arg_max(label, c * 1000000000000 + m) AS predicted FROM v SEMI JOIN
 # ---- composed evaluation jobs -------------------------------------------------------
 
 
-def _gap_sql(src: str, by: str, metric: str, max_words: int | None, boot: bool = False) -> str:
+def _gap_sql(src: str, by: str, metric: str, max_words: int | None, boot: bool = False,
+             model: str = "demo_majority") -> str:
     """Strategy gap per task ``by`` with the majority predictor; a sample is
     keyed by (task, idx)."""
     word_filter = ""
@@ -407,8 +408,9 @@ def _gap_sql(src: str, by: str, metric: str, max_words: int | None, boot: bool =
          WHERE p.rn <= 3 GROUP BY p.{by}, p.idx),
   keptw AS (SELECT {by}, idx FROM pt WHERE len({words('prompt')}) <= {max_words}),"""
     kept_src = "keptw" if max_words is not None else "kept0"
-    score_i = metric.replace("expected", "j.label").replace("predicted", "j.pi")
-    score_r = metric.replace("expected", "j.label").replace("predicted", "j.pr")
+    pi_col, pr_col = ("'mock text'", "'mock text'") if model == "mock" else ("j.pi", "j.pr")
+    score_i = metric.replace("expected", "j.label").replace("predicted", pi_col)
+    score_r = metric.replace("expected", "j.label").replace("predicted", pr_col)
     body = f"""WITH s AS (SELECT * FROM {src}),
 t AS (SELECT {by}, input, label, category, max(idx) AS last FROM s GROUP BY {by}, input, label, category),
 pi AS (SELECT s.{by}, s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.{by}, s.idx ORDER BY t.last DESC) AS rn
@@ -426,7 +428,7 @@ j AS (SELECT s.{by}, s.idx, s.label, mi.pred AS pi, mr.pred AS pr FROM s JOIN {k
 sc AS (SELECT j.{by}, j.idx, {score_r} AS s_rand, {score_i} AS s_info FROM j)"""
     if not boot:
         return body + f"""
-SELECT {by}, 'demo_majority' AS model, count(*) AS n_samples, round(avg(s_rand), 6) AS random_demos,
+SELECT {by}, '{model}' AS model, count(*) AS n_samples, round(avg(s_rand), 6) AS random_demos,
  round(avg(s_info), 6) AS informative_demos, (round(avg(s_info) - avg(s_rand), 6) + 0.0) AS difference FROM sc GROUP BY {by}"""
     return body + f""",
 pos AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM sc),
@@ -444,8 +446,9 @@ NLI_SAMPLES = f"""nli AS (
  SELECT idx, 'gpt3' AS template, concat(premise, chr(10) || 'Question: ', logic, ' True, False or Neither?') AS input,
   CASE WHEN label = 'entailment' THEN 'True' ELSE 'False' END AS label, logic AS category FROM dd
  UNION ALL SELECT idx, 'plain', premise, label, logic FROM dd WHERE logic <> '')"""
-_K1 = _gap_sql("nli", "template", ROUGE, 2000)
-ORACLE["concept_eval"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1[len("WITH "):]
+_K1 = [_gap_sql("nli", "template", ROUGE, 2000, model=m) for m in ("demo_majority", "mock")]
+ORACLE["concept_eval"] = (f"WITH {DEDUP}, {NLI_SAMPLES}, grid_a AS ({_K1[0]}), grid_b AS ({_K1[1]}) "
+                          "SELECT * FROM grid_a UNION ALL SELECT * FROM grid_b")
 _K1B = _gap_sql("nli", "template", ROUGE, 2000, boot=True)
 ORACLE["concept_eval_bootstrap"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1B[len("WITH "):]
 SUITE = """suite AS (

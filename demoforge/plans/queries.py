@@ -742,12 +742,15 @@ def _nli_task_samples(spark, sf):
     return cut_lineage(nli_samples(spark, sf))
 
 
+EVAL_MODELS = ["demo_majority", "mock"]
+
+
 @query
 def concept_eval(spark, sf):
-    """Per template: same-category against latest demonstrations, majority
-    predictor, ROUGE-L, prompts over 2000 words dropped."""
+    """Run grid of models x templates: same-category against latest
+    demonstrations, ROUGE-L, prompts over 2000 words dropped."""
     s = _nli_task_samples(spark, sf)
-    return EV.strategy_gap(s, 3, "demo_majority", "rouge_l", max_words=2000, by=["template"])
+    return EV.strategy_gap(s, 3, EVAL_MODELS, "rouge_l", max_words=2000, by=["template"])
 
 
 @query
