@@ -108,6 +108,39 @@ def strategy_gap(
     )
 
 
+def bootstrap(
+    scored: DataFrame,
+    score_col: str = "score",
+    rounds: int = 200,
+    size: int = 100,
+    seed: str | int = 0,
+    stream: str | Column = "",
+    order_col: str = "idx",
+) -> DataFrame:
+    """Mean score over ``rounds`` draws of ``size`` rows with replacement.
+
+    Rows get a dense position 0..n-1 (by ``order_col``); draw j of round r
+    picks position ``draw(seed, stream, r, j) mod n``.  The pick table has
+    rounds x size rows (parameters, not data) and is broadcast against the
+    scored rows, which are never shuffled.
+    """
+    spark = scored.sparkSession
+    pos = dense_index(scored.select(order_col, score_col), order_col, out="_pos")
+    n = pos.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if not n:
+        return spark.createDataFrame([], "round_id BIGINT, score DOUBLE")
+    picks = (
+        spark.range(rounds * size)
+        .select(F.floor(F.col("id") / size).alias("round_id"), F.pmod(F.col("id"), F.lit(size)).alias("j"))
+        .withColumn("_pos", draw(F.lit(str(seed)), stream, F.col("round_id"), F.col("j"), n=n))
+    )
+    counts = picks.groupBy("round_id", "_pos").agg(F.count(F.lit(1)).alias("_c"))
+    joined = pos.join(F.broadcast(counts), "_pos")
+    return joined.groupBy("round_id").agg(
+        F.round(F.sum(F.col(score_col) * F.col("_c")) / F.lit(size), ROUND).alias("score")
+    )
+
+
 def _first_per_task(samples: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     """First ``n`` samples of every task (top-n window: partial limits run
     before the shuffle)."""
