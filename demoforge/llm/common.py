@@ -111,3 +111,32 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()),
         "components",
     )
+
+
+def key_groups(batches, keys: list[str]):
+    """From Arrow batches of rows sorted by integer ``keys``: (key, columns) of
+    each key's rows, as numpy arrays (binary and string columns as objects)."""
+    import numpy as np
+
+    def column(b, name):
+        c = b.column(name)
+        if str(c.type) in ("binary", "string", "large_binary", "large_string"):
+            return np.array(c.to_pylist(), dtype=object)
+        return c.to_numpy(zero_copy_only=False)
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {n: column(b, n) for n in b.schema.names}
+        if held is not None:
+            cols = {n: np.concatenate([held[n], cols[n]]) for n in cols}
+        change = np.zeros(len(cols[keys[0]]) - 1, dtype=bool)
+        for k in keys:
+            change |= cols[k][1:] != cols[k][:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, z in zip(cuts, cuts[1:]):
+            yield tuple(cols[k][a] for k in keys), {n: c[a:z] for n, c in cols.items()}
+        held = {n: c[cuts[-1]:] for n, c in cols.items()}
+    if held is not None:
+        yield tuple(held[k][0] for k in keys), held

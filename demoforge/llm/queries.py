@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demoforge.llm import bpe_trie, packing, token_files
+from demoforge.llm import bpe_trie, exact_dedup, packing, simhash, token_files
 from demoforge.llm.common import Workspace
 from demoforge.llm.encode import default_tokenizer
 from demoforge.session import read_table
@@ -25,6 +25,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+@query
+def op2_simhash(spark, sf_dir):
+    return simhash.components(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     path = Workspace(spark, "token-files").path("files")
@@ -35,3 +40,18 @@ def op4_token_files(spark, sf_dir):
 @query
 def op6_bpe_trie(spark, sf_dir):
     return bpe_trie.encode_documents(read_table(spark, sf_dir, "documents"), default_tokenizer(), with_text=False)
+
+
+@query
+def op9_exact_dedup(spark, sf_dir):
+    return exact_dedup.groups(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_exact_dedup"] = """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
