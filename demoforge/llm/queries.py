@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demoforge.llm import bpe_trie, exact_dedup, packing, simhash, token_files
+from demoforge.llm import bpe_trie, exact_dedup, packing, simhash, suffix_repeats, token_files
 from demoforge.llm.common import Workspace
 from demoforge.llm.encode import default_tokenizer
 from demoforge.session import read_table
@@ -55,3 +55,8 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op10_suffix_repeats(spark, sf_dir):
+    return suffix_repeats.removals(read_table(spark, sf_dir, "documents"))
