@@ -170,7 +170,7 @@ class TrieBPE:
             pairs.clear()
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             if self.cut_special and any(s in t for s in self.special):
@@ -180,8 +180,8 @@ class TrieBPE:
             cut.append([x for p in parts for x in ([p] if p in self.special else self.find(p))])
         words = {w: w.encode() for c in cut for w in c}
         found = self.words({b for w, b in words.items() if w not in self.special})
-        ids = {w: [self.special[w]] if w in self.special else found[b] for w, b in words.items()}
-        return [[i for w in c for i in ids[w]] for c in cut]
+        ids = {w: np.array([self.special[w]] if w in self.special else found[b], dtype="<u4").tobytes() for w, b in words.items()}
+        return [b"".join([ids[w] for w in c]) for c in cut]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: words whose ids a worker remembers; a full memo restarts from the current batch
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
 #: longer words are encoded but not remembered
 MEMO_LENGTH = 64
 
@@ -45,35 +45,79 @@ def words_of(text: str) -> list[str]:
 class WordMemo:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    ``encode`` maps a list of strings to lists of ids; ``specials`` are strings
-    that the tokeniser takes as one token: a text that holds one is encoded
-    whole."""
+    ``encode`` maps a list of strings to a list of such bytes; ``specials`` are
+    strings that the tokeniser takes as one token: a text that holds one is
+    encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str]], list], specials: tuple[str, ...] = ()):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = ()):
         self.encode, self.specials = encode, specials
         self.memo: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.specials) for t in texts]
-        cut = [[] if w else words_of(t) for t, w in zip(texts, whole)]
-        later = set(chain.from_iterable(c[1:] for c in cut))
-        miss = [w for w in later if w not in self.memo]
-        heads = [c[0] if c else t for c, t in zip(cut, texts)]
-        ids = self.encode([" " + w for w in miss] + heads)
-        pack = [np.array(x, dtype="<u4").tobytes() for x in ids]
-        memo = self.memo
-        memo.update(zip(miss, pack))
-        out = [h + b"".join(map(memo.__getitem__, c[1:])) for h, c in zip(pack[len(miss):], cut)]
+        memo, get = self.memo, self.memo.get
+        cut, found, holes, miss = [], [], [], set()
+        for t in texts:
+            words = [t] if any(s in t for s in self.specials) else words_of(t)
+            ids = list(map(get, words))
+            ids[0] = None  # the first word has no space before it
+            k, empty = 0, []
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
+                    empty.append(k)
+            except ValueError:
+                pass
+            miss.update([words[k] for k in empty])
+            cut.append(words)
+            found.append(ids)
+            holes.append(empty)
+        new = list(miss)
+        ids = self.encode([" " + w for w in new] + [w[0] for w in cut])
+        memo.update(zip(new, ids))
+        out = []
+        for words, have, empty, first in zip(cut, found, holes, ids[len(new):]):
+            have[0] = first
+            for k in empty:
+                have[k] = memo[words[k]]
+            out.append(b"".join(have))
         if len(memo) > MEMO_WORDS:
-            self.memo = {w: memo[w] for w in later if len(w) <= MEMO_LENGTH}
+            used = set(chain.from_iterable(c[1:] for c in cut))
+            self.memo = {w: memo[w] for w in used if len(w) <= MEMO_LENGTH}
         else:
-            for w in miss:
+            for w in new:
                 if len(w) > MEMO_LENGTH:
                     del memo[w]
         return out
 
 
 _LOADED: dict[str, WordMemo] = {}
+#: words that go to the library in one text
+LINE_WORDS = 1000
+
+
+def _in_lines(tokenizer, words: list[str]) -> list[bytes]:
+    """Encode words through few library calls.  A word that opens with a space
+    and holds no other white space is its own line of a longer text: the line
+    break before it is a token by itself, so the ids are cut there."""
+    plain = [w[:1] == " " and len(w.split()) == 1 and w.count(" ") == 1 and w[-1] != " " and "\n" not in w
+             and w.isprintable() for w in words]
+    line = np.array(tokenizer.encode("a\n a", add_special_tokens=False).ids)
+    brk = int(line[1]) if len(line) == 3 else None
+    many = [w for w, p in zip(words, plain) if p] if brk is not None else []
+    texts = ["".join(["\n" + w for w in many[k:k + LINE_WORDS]]) for k in range(0, len(many), LINE_WORDS)]
+    cut: list[bytes] = []
+    for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        ids = np.array([*e.ids, brk], dtype="<u4")
+        at, raw = (4 * np.flatnonzero(ids == brk)).tolist(), ids.tobytes()
+        cut += [raw[a + 4:b] for a, b in zip(at, at[1:])]
+    if len(cut) != len(many):
+        raise ValueError("the tokeniser joins tokens across line breaks")
+    if len(many) == len(words):
+        return cut
+    rest = [w for w, p in zip(words, plain) if not p] if brk is not None else words
+    alone = iter([np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+    lines = iter(cut)
+    return [next(lines) if p and brk is not None else next(alone) for p in plain]
 
 
 def library_encoder(path: str) -> WordMemo:
@@ -85,9 +129,7 @@ def library_encoder(path: str) -> WordMemo:
         t.no_truncation()
         t.no_padding()
         specials = tuple(a.content for a in t.get_added_tokens_decoder().values())
-        _LOADED[path] = WordMemo(
-            lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], specials
-        )
+        _LOADED[path] = WordMemo(lambda xs: _in_lines(t, xs), specials)
     return _LOADED[path]
 
 
