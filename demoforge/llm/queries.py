@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demoforge.llm import bpe_trie, exact_dedup, packing, simhash, suffix_repeats, token_files
+from demoforge.llm import bpe_trie, exact_dedup, packing, pivot_index, simhash, suffix_repeats, token_files
 from demoforge.llm.common import Workspace
 from demoforge.llm.encode import default_tokenizer
 from demoforge.session import read_table
@@ -42,6 +42,11 @@ def op6_bpe_trie(spark, sf_dir):
     return bpe_trie.encode_documents(read_table(spark, sf_dir, "documents"), default_tokenizer(), with_text=False)
 
 
+@query
+def op8_pivot_index(spark, sf_dir):
+    return pivot_index.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(read_table(spark, sf_dir, "documents"))
