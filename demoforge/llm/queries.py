@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demoforge.llm import bpe_trie, exact_dedup, packing, pivot_index, simhash, suffix_repeats, token_files
+from demoforge.llm import (
+    bpe_trie,
+    exact_dedup,
+    langid,
+    packing,
+    pivot_index,
+    quality,
+    simhash,
+    suffix_repeats,
+    token_files,
+    toxicity,
+)
 from demoforge.llm.common import Workspace
 from demoforge.llm.encode import default_tokenizer
 from demoforge.session import read_table
@@ -30,6 +41,11 @@ def op2_simhash(spark, sf_dir):
     return simhash.components(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_token_files(spark, sf_dir):
     path = Workspace(spark, "token-files").path("files")
@@ -37,11 +53,21 @@ def op4_token_files(spark, sf_dir):
     return token_files.read_token_files(spark, path).drop("ids")
 
 
+@query
+def op5_langid(spark, sf_dir):
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_bpe_trie(spark, sf_dir):
     return bpe_trie.encode_documents(read_table(spark, sf_dir, "documents"), default_tokenizer(), with_text=False)
 
 
+@query
+def op7_ordinal_quality(spark, sf_dir):
+    return quality.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_pivot_index(spark, sf_dir):
     return pivot_index.near_duplicates(read_table(spark, sf_dir, "embeddings"))
