@@ -54,8 +54,12 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a variant of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.llm.common import Workspace, ascii_lower, join_ids
+from demoforge.llm.common import Workspace, ascii_lower, fresh, join_ids
 
 #: entries of a bucket on average, which bounds a filter's memory
 BUCKET_ENTRIES = 16_384
@@ -196,21 +196,20 @@ def groups(docs: DataFrame, in_snapshot: Column | None = None, digest=sha256) ->
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; rows that repeat a doc_id
     and its text stay once."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "exact-dedup")
-    g = ws.save(groups(docs).select("doc_id", "keep_id", "kept", "group_size", "text_sha256"), "decisions")
-    out = join_ids(docs, g.filter("not kept").select("doc_id").distinct(), ["doc_id"], "left_anti")
-    # a repeated id among the kept ones, or one id with several texts, is settled on the rows themselves
-    again = ws.save(g.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    if not again.count():
+    ws = Workspace(docs.sparkSession, "exact-dedup")
+    g = ws.save(groups(docs).select("doc_id", "kept", "text_sha256"), "decisions")
+    out = join_ids(docs, ws.save(g.filter("not kept").select("doc_id").distinct(), "dropped"), ["doc_id"], "left_anti")
+    # null and repeated ids are settled by id and text together
+    odd = ws.save(g.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "repeated")
+    if odd.isEmpty():
         return out
-    keep = g.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    known = again.select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_z"))
-    tagged = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_z": F.col("doc_id").isNull(),
-                               "_s": F.sha2(normalised(F.col("text")), 256)})
-    single = out.join(again, "doc_id", "left_anti")
-    many = tagged.join(known, ["_i", "_z"], "left_semi").join(
-        keep.withColumns({"_i": F.coalesce("_id", F.lit(0)), "_z": F.col("_id").isNull()}).drop("_id").withColumnRenamed("_sha", "_s"),
-        ["_i", "_z", "_s"], "left_semi").dropDuplicates(["_i", "_z", "_s"])
-    # rows with a null id are in `many` whenever they repeat
-    return single.filter(~F.col("doc_id").isNull() | F.lit(not again.filter("doc_id is null").count())).unionByName(many.drop("_i", "_z", "_s"))
+    i, z, t = (fresh(docs, n) for n in ("_id", "_null", "_sha"))
+
+    def tagged(df, sha):
+        return df.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), z: F.col("doc_id").isNull(), t: sha})
+
+    keep = tagged(g.filter("kept"), F.col("text_sha256")).select(i, z, t).distinct()
+    own = tagged(odd, F.lit("")).select(i, z)
+    many = (tagged(docs, F.sha2(normalised(F.col("text")), 256)).join(own, [i, z], "left_semi")
+            .join(keep, [i, z, t], "left_semi").dropDuplicates([i, z, t]).drop(i, z, t))
+    return join_ids(out.filter(F.col("doc_id").isNotNull()), odd, ["doc_id"], "left_anti").unionByName(many)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from demoforge.llm.chars import WordTable
-from demoforge.llm.common import Workspace
+from demoforge.llm.common import Workspace, fresh
 from demoforge.llm.encode import slices, texts_of
 from demoforge.llm.toxicity import fold, labelled
 
@@ -167,18 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality") -> Ordinal |
     return Ordinal.fit(slots, words, y)
 
 
-def grade(docs: DataFrame, labels: DataFrame, column: str = "quality", wanted: float = 1.0) -> DataFrame:
-    """All columns of ``docs`` and _expected, _tail: the expected grade and the
-    probability of a grade of ``wanted`` or more."""
+def grade(docs: DataFrame, labels: DataFrame, expected: str, tail: str, column: str = "quality", wanted: float = 1.0) -> DataFrame:
+    """All columns of ``docs`` with the expected grade and the probability of a
+    grade of ``wanted`` or more under the given new names."""
     model = fit(docs, labels, column)
     if isinstance(model, list):
         known = F.lit(model[0] if model else None).cast("double")
-        return docs.withColumn("_expected", known).withColumn("_tail", F.coalesce((known >= wanted).cast("double"), F.lit(1.0)))
+        return docs.withColumn(expected, known).withColumn(tail, F.coalesce((known >= wanted).cast("double"), F.lit(1.0)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     steps = np.diff(model.grades)
     # P(grade >= wanted) is the tail above the last grade below it
     below = sum(g < wanted for g in model.grades)
-    schema = StructType([*docs.schema.fields]).add("_expected", DoubleType()).add("_tail", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(expected, DoubleType()).add(tail, DoubleType())
 
     def run(batches):
         import pyarrow as pa
@@ -187,9 +187,9 @@ def grade(docs: DataFrame, labels: DataFrame, column: str = "quality", wanted: f
             for piece in slices(batch):
                 m = shared.value
                 p = m.above(texts_of(piece.column("text")))
-                tail = np.ones(len(p)) if below == 0 else np.zeros(len(p)) if below == len(m.grades) else p[:, below - 1]
+                above = np.ones(len(p)) if below == 0 else np.zeros(len(p)) if below == len(m.grades) else p[:, below - 1]
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(m.grades[0] + p @ steps), pa.array(tail)], names=[*piece.schema.names, "_expected", "_tail"])
+                    [*piece.columns, pa.array(m.grades[0] + p @ steps), pa.array(above)], names=[*piece.schema.names, expected, tail])
 
     return docs.mapInArrow(run, schema)
 
@@ -197,11 +197,12 @@ def grade(docs: DataFrame, labels: DataFrame, column: str = "quality", wanted: f
 def assess(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability, kept for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return grade(rows, labels).select(
-        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_expected").alias("expected_grade"),
-        F.col("_tail").alias("tail_probability"), (F.col("_tail") >= cut).alias("kept"))
+    return grade(rows, labels, "expected_grade", "tail_probability").select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_grade", "tail_probability",
+        (F.col("tail_probability") >= cut).alias("kept"))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows whose probability of the wanted grade is at least ``cut``."""
-    return grade(docs, labels).filter(F.col("_tail") >= cut).drop("_expected", "_tail")
+    expected, tail = fresh(docs, "_expected"), fresh(docs, "_tail")
+    return grade(docs, labels, expected, tail).filter(F.col(tail) >= cut).drop(expected, tail)

@@ -272,7 +272,11 @@ def components(docs: DataFrame, words: int = SHINGLE_WORDS, tau: int = MAX_BITS)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows that stay: of each component the document with the smallest id."""
+    """The rows that stay: of each component the document with the smallest id.
+    Rows of one doc_id stay or go together (they stay if any of them would);
+    rows with a null doc_id stay."""
     ws = Workspace(docs.sparkSession, "simhash-dedup")
-    gone = ws.save(components(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return join_ids(docs, gone, ["doc_id"], "left_anti")
+    found = ws.save(components(docs).select("doc_id", "component_id"), "components")
+    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
+    return join_ids(docs, ws.save(gone, "dropped"), ["doc_id"], "left_anti")

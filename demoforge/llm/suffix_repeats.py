@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.llm.common import Workspace, join_ids, key_groups
+from demoforge.llm.common import Workspace, fresh, join_ids, key_groups
 from demoforge.llm.encode import slices
 
 WINDOW = 200
@@ -286,7 +286,8 @@ class Repeats:
 
     def __init__(self, docs: DataFrame):
         self.ws = ws = Workspace(docs.sparkSession, "repeats")
-        self.rows, self.classes, key = _classes(ws, docs)
+        self.rows, self.classes, self.key = _classes(ws, docs)
+        key = self.key
         copies = ws.save(self.rows.join(self.classes, "sha").filter("key <> rep").select("key").distinct(), "copies")
         texts = docs.select(key.alias("key"), _text(F.col("text")).alias("text")).filter(F.octet_length("text") >= WINDOW)
         self.texts = join_ids(texts, copies, ["key"], "left_anti")
@@ -334,8 +335,20 @@ class Repeats:
             "h", "nth", "key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("lo") + F.col("hi")).alias("length"))
 
 
-def _apply(wanted: DataFrame, with_text: bool) -> DataFrame:
-    """(key, text, spans) -> key, n_removed, n_spans, kept_sha256 [, text]."""
+def _cut(text: str, spans: list[dict]) -> tuple[bytes, list[bytes], int]:
+    """The text's bytes, what stays of them, and the number of removed runs."""
+    b, kept, at, runs, end = text.encode(), [], 0, 0, -1
+    for x in sorted(spans, key=lambda x: x["s"]):
+        if x["s"] > end:
+            runs += 1
+            kept.append(b[at:x["s"]])
+        at = end = max(end, x["e"])
+    kept.append(b[at:])
+    return b, kept, runs
+
+
+def _figures(wanted: DataFrame) -> DataFrame:
+    """(key, text, spans) -> key, n_removed, n_spans, kept_sha256."""
 
     def run(batches):
         import pyarrow as pa
@@ -344,31 +357,52 @@ def _apply(wanted: DataFrame, with_text: bool) -> DataFrame:
             for piece in slices(batch, 1 << 20):
                 out = []
                 for key, t, spans in zip(*(piece.column(c).to_pylist() for c in ("key", "text", "spans"))):
-                    b, kept, at, runs = t.encode(), [], 0, 0
-                    end = -1
-                    for x in sorted(spans, key=lambda x: x["s"]):
-                        if x["s"] > end:
-                            runs += 1
-                            kept.append(b[at:x["s"]])
-                        end = max(end, x["e"])
-                        at = end
-                    kept.append(b[at:])
+                    b, kept, runs = _cut(t, spans)
                     k = b"".join(kept)
-                    row = (key, len(b) - len(k), runs, hashlib.sha256(k).hexdigest())
-                    # a character that lost some of its bytes goes as a whole
-                    out.append((*row, b"".join(p.decode("utf-8", "ignore").encode() for p in kept).decode()) if with_text else row)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    out.append((key, len(b) - len(k), runs, hashlib.sha256(k).hexdigest()))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", "n_removed", "n_spans", "kept_sha256"])
+
+    return wanted.mapInArrow(run, "key long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def remove(docs: DataFrame) -> DataFrame:
+    """All rows with their columns; ``text`` without its repeated bytes (a
+    character that loses some of its bytes goes whole), ``n_chars`` renewed if
+    there is such a column.  Only texts that lose something are moved."""
+    r = Repeats(docs)
+    names, key, at = docs.columns, fresh(docs, "_key"), fresh(docs, "_spans")
+    spans = r.spans().withColumnsRenamed({"key": key, "spans": at})
+    whole = r.ws.save(r.rows.filter(F.col("n_bytes") >= WINDOW).join(r.classes.select("sha"), "sha").select(F.col("key").alias(key)).distinct(), "whole")
+    part = r.ws.save(spans.select(key).join(whole, key, "left_anti"), "part")
+    tagged = docs.withColumn(key, r.key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for piece in slices(batch, 1 << 20):
+                text = []
+                for t, s in zip(piece.column("text").to_pylist(), piece.column(at).to_pylist()):
+                    text.append("".join(p.decode("utf-8", "ignore") for p in _cut(t, s)[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", "n_removed", "n_spans", "kept_sha256", "text"][: len(out[0])])
+                    [pa.array(text, pa.string()) if c == "text" else piece.column(c) for c in names], names=names)
 
-    return wanted.mapInArrow(run, "key long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else ""))
+    cut = join_ids(tagged, part, [key], "left_semi").join(spans, key).select(*names, at).mapInArrow(run, docs.schema)
+    gone = join_ids(tagged, whole, [key], "left_semi").withColumn("text", F.lit("").cast(docs.schema["text"].dataType))
+    same = join_ids(join_ids(tagged, whole, [key], "left_anti"), part, [key], "left_anti")
+    changed = cut.unionByName(gone.select(*names))
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return same.select(*names).unionByName(changed.select(*names))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     r = Repeats(docs)
     spans = r.spans()
-    cut = _apply(join_ids(r.texts, spans.select("key"), ["key"], "left_semi").join(spans, "key").select("key", "text", "spans"), False)
+    cut = _figures(join_ids(r.texts, spans.select("key"), ["key"], "left_semi").join(spans, "key").select("key", "text", "spans"))
     cut = r.ws.save(cut.dropDuplicates(["key"]), "cut")
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= WINDOW)
     empty = hashlib.sha256(b"").hexdigest()
