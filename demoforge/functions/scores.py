@@ -147,10 +147,10 @@ def metric_column(name: str, expected, predicted) -> Column:
     try:
         return METRICS[name](expected, predicted)
     except KeyError:
-        raise ValueError(f"Not implemented metric: {name}") from None
+        raise ValueError(f"metric must be a function of two columns or one of {sorted(METRICS)}, not {name!r}") from None
 
 
-def with_score(df, metric: str, expected, predicted, out: str = "score"):
+def with_score(df, metric, expected, predicted, out: str = "score"):
     """Add ``out`` = per-row ``metric``, staging token arrays as columns first.
 
     Lambdas of higher-order functions are interpreted, and an expression
@@ -158,6 +158,8 @@ def with_score(df, metric: str, expected, predicted, out: str = "score"):
     for each mention; a separate (non-cheap) projection is not inlined by
     the optimizer, so each array is built once per row."""
     e, p = _c(expected), _c(predicted)
+    if callable(metric):
+        return df.withColumn(out, metric(e, p))
     et, pt, lc = f"_et_{out}", f"_pt_{out}", f"_lcs_{out}"
     if metric == "rouge_l":
         df = df.withColumn(et, rouge_tokens(e)).withColumn(pt, rouge_tokens(p))

@@ -174,11 +174,6 @@ def demo_text(prompt, answer) -> Column:
     return F.format_string(DEMO_FORMAT, py_str(prompt), py_str(answer))
 
 
-def primed_prompt(demos, prompt) -> Column:
-    """Demonstrations joined by a blank, a blank, the prompt."""
-    return F.concat(F.array_join(_c(demos), " "), F.lit(" "), py_str(prompt))
-
-
 def run_key(model, task, strategy) -> Column:
     """Last path segment of model and task, then the strategy."""
     return F.concat_ws(

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from demoforge.functions.text import word_count as _wc
 from demoforge.operators.joins import keyed_join
+from demoforge.session import cut_lineage
 
 STRATEGIES = ("random", "cluster-random")
 
@@ -42,20 +43,18 @@ def _category_key(strategy: str, by: Sequence[str] = ()) -> Column:
     elif strategy == "cluster-random":
         cat = F.coalesce(F.concat(F.lit("v:"), F.col("category").cast("string")), F.lit("null"))
     else:
-        raise ValueError(f"Demo selection strategy {strategy} unknown.")
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     return F.concat_ws("\u0001", *task, cat) if task else cat
 
 
 def text_fingerprint(col: str | Column) -> Column:
-    """128 bits of two independent 64-bit hashes plus the length.
+    """128-bit digest of the text and its length (-1 for NULL).
 
     Tuples are grouped and ranked on this instead of on the text, so long
-    inputs never travel through the grouping and ranking shuffles; two
-    different texts of equal length would have to agree on both hashes to be
-    confused (about n^2 / 2^129 for n distinct texts)."""
+    inputs never travel through the grouping and ranking shuffles; two of n
+    different texts of one length agree by chance with about n^2 / 2^129."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(c, F.lit("fp")).alias("h2"),
-                    F.coalesce(F.length(c), F.lit(-1)).alias("n"))
+    return F.struct(F.unhex(F.md5(F.coalesce(c, F.lit("")))).alias("h"), F.coalesce(F.length(c), F.lit(-1)).alias("n"))
 
 
 def drop_same_input(cands: Column, value: Column) -> Column:
@@ -75,20 +74,27 @@ def distinct_tuples(pool: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n"))
 
 
+#: candidates up to this number are broadcast to the scan that fetches their texts
+BROADCAST_CANDIDATES = 200_000
+
+
 def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = False,
-                    tuples: DataFrame | None = None) -> DataFrame:
+                    tuples: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Per key: the <= K(K+1) candidate tuples, latest first.
 
     Returns ``(_ck, _cands ARRAY<STRUCT<idx, input, label, nw, fp>>, _w)``
     where ``idx`` is the tuple's latest position, ``nw`` the word count of
     its prompt line, ``fp`` its input fingerprint and ``_w`` the pool rows
     under the key (used to detect hot keys).  Only ids and fingerprints are
-    shuffled; the texts of the final candidates are fetched by id at the end.
+    shuffled.  The final candidates are written and counted, then broadcast
+    (up to ``BROADCAST_CANDIDATES``) against the scan of ``texts`` (the pool's
+    idx and input if rows are found by idx alone), so that the text column
+    does not move; beyond that the join shuffles.
     """
     if tuples is None:
-        tuples = pool.groupBy(key.alias("_ck"), "category", text_fingerprint("input").alias("fp"), "label").agg(
+        tuples = cut_lineage(pool.groupBy(key.alias("_ck"), "category", text_fingerprint("input").alias("fp"), "label").agg(
             F.max("idx").alias("idx"), F.count(F.lit(1)).alias("_n")
-        )
+        ))
     else:
         # tuples per task are tuples per key too (the key refines the task);
         # for a coarser key (random) equal tuples of one task stay distinct
@@ -110,9 +116,12 @@ def candidate_lists(pool: DataFrame, k: int, key: Column, single_key: bool = Fal
             .select("_ck", "fp")
         )
     cands = top_tuples.join(top_inputs, ["_ck", "fp"], "left_semi").select("_ck", "idx", "label", "fp")
+    cands = cut_lineage(cands)
+    small = cands.count() <= BROADCAST_CANDIDATES
     # row ids are unique inside a key (a task's samples): fetch by (key, idx)
-    texts = pool.select(key.alias("_ck"), "idx", "input")
-    cands = cands.join(texts, ["_ck", "idx"]).withColumn("nw", F.lit(2) + _wc("input") + _wc("label"))
+    on = ["idx"] if texts is not None else ["_ck", "idx"]
+    texts = texts if texts is not None else pool.select(key.alias("_ck"), "idx", "input")
+    cands = texts.join(F.broadcast(cands) if small else cands, on).withColumn("nw", F.lit(2) + _wc("input") + _wc("label"))
     lists = cands.groupBy("_ck").agg(
         F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in DEMO_FIELDS]))).alias("_cands")
     ).select("_ck", F.reverse("_cands").alias("_cands"))
@@ -165,7 +174,7 @@ def select_demos_overlap(
     """
     pool = samples if pool is None else pool
     el_pool = pool.select("idx", "input", "label", "category", F.explode(F.array_distinct("category")).alias("_el"))
-    lists = candidate_lists(el_pool, k, F.col("_el"))
+    lists = candidate_lists(el_pool, k, F.col("_el"), texts=pool.select("idx", "input"))
     s_cols = samples.columns
     exploded = samples.select("idx", "input", F.explode(F.array_distinct("category")).alias("_ck"))
     joined = keyed_join(exploded, lists, "_ck", weight="_w", salt_by=F.col("idx"))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw
 from demoforge.functions.scores import with_score
-from demoforge.operators.demos import distinct_tuples, prompt_word_count, select_demos
+from demoforge.operators.demos import distinct_tuples, fewshot_prompt, prompt_word_count, select_demos
+from demoforge.operators.predict import predict, predict_prompts
 from demoforge.session import cut_lineage
-from demoforge.operators.predict import predict
 from demoforge.operators.windows import dense_index
 
 ROUND = 6
@@ -55,6 +55,8 @@ def strategy_gap(
     bootstrap_size: int = 100,
     seed: int | str = 0,
     first_n: int | None = None,
+    cache: str | None = None,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Random against informative (same category) demos on one sample set.
 
@@ -63,6 +65,12 @@ def strategy_gap(
     the word limit.  Both runs are columns of the same rows, so they are
     aligned without a join.  ``predictor`` may list several predictors (a
     run grid): demos are chosen once and each predictor adds its rows.
+
+    A predictor is a built-in name or a function over a pandas Series of
+    prompts, run in batches of ``batch_size`` once for every different prompt
+    (``cache``: a folder that keeps its answers).  The scores are written
+    before they are averaged or bootstrapped, so a bootstrap repeats no
+    prediction.  ``metric`` is a name or a function of two columns.
     """
     evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
@@ -73,13 +81,31 @@ def strategy_gap(
         info = info.where(prompt_word_count("demos_info") <= max_words)
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by, tuples=tuples)
     predictors = predictor if isinstance(predictor, (list, tuple)) else [predictor]
-    names = [model_name or (p if isinstance(p, str) else "custom") for p in predictors]
-    # every predictor adds columns to the same rows: one pass over the selection
+    names = [model_name or (p if isinstance(p, str) else getattr(p, "__name__", "custom")) for p in predictors]
+    if len(set(names)) < len(names):
+        raise ValueError(f"predictors need different names, not {names}")
+    if not all(isinstance(p, str) for p in predictors):
+        both = cut_lineage(both.select(*by, "idx", "input", "label", "demos_info", "demos_rand"))
+    scored = both
+    # built-in predictors add columns to the same rows: one pass over the selection
+    for i, p in enumerate(predictors):
+        if isinstance(p, str):
+            scored = predict(scored, p, demos_col="demos_info", out=f"_pi{i}")
+            scored = predict(scored, p, demos_col="demos_rand", out=f"_pr{i}")
+    keys = [*by, "idx"]
     for i, p in enumerate(predictors):
-        both = predict(both, p, demos_col="demos_info", out=f"_pi{i}")
-        both = predict(both, p, demos_col="demos_rand", out=f"_pr{i}")
-        both = with_score(both, metric, "label", f"_pi{i}", f"_si{i}")
-        both = with_score(both, metric, "label", f"_pr{i}", f"_sr{i}")
+        if isinstance(p, str):
+            continue
+        asked = both.select(*keys, F.explode(F.array(*[
+            F.struct(F.lit(n).alias("strategy"), fewshot_prompt(d).alias("prompt"))
+            for n, d in ((f"_pi{i}", "demos_info"), (f"_pr{i}", "demos_rand"))])).alias("_a")).select(*keys, "_a.*")
+        got = predict_prompts(asked, p, names[i], cache, batch_size)
+        wide = got.groupBy(F.struct(*keys).alias("_k")).pivot("strategy", [f"_pi{i}", f"_pr{i}"]).agg(F.max("predicted"))
+        scored = scored.withColumn("_k", F.struct(*keys)).join(wide, "_k").drop("_k")
+    for i in range(len(predictors)):
+        scored = with_score(scored, metric, "label", f"_pi{i}", f"_si{i}")
+        scored = with_score(scored, metric, "label", f"_pr{i}", f"_sr{i}")
+    both = cut_lineage(scored.select(*keys, *[f"{c}{i}" for i in range(len(names)) for c in ("_si", "_sr")]))
     if bootstrap_rounds:
         outs = [_bootstrap_gap(both.select(*by, "idx", F.col(f"_sr{i}").alias("s_rand"),
                                            F.col(f"_si{i}").alias("s_info")),
@@ -108,6 +134,37 @@ def strategy_gap(
     )
 
 
+def strategy_score(
+    samples: DataFrame,
+    k: int = 3,
+    strategy: str = "cluster-random",
+    predictor="demo_majority",
+    metric: str = "rouge_l",
+    max_words: int | None = None,
+    first_n: int | None = None,
+    by: Sequence[str] = (),
+    model_name: str | None = None,
+    cache: str | None = None,
+    batch_size: int | None = None,
+) -> DataFrame:
+    """One strategy alone, with its own word limit and number of samples:
+    ``(by.., model, strategy, n_samples, score)``."""
+    evaluated = samples if first_n is None else samples.orderBy("idx").limit(first_n) if not by else \
+        _first_per_task(samples, by, first_n)
+    sel = select_demos(evaluated, k, strategy, pool=samples, by=by)
+    if max_words is not None:
+        sel = sel.where(prompt_word_count("demos") <= max_words)
+    name = model_name or (predictor if isinstance(predictor, str) else getattr(predictor, "__name__", "custom"))
+    if isinstance(predictor, str):
+        out = predict(sel, predictor)
+    else:
+        asked = sel.select(*by, "idx", "label", fewshot_prompt("demos").alias("prompt"))
+        out = predict_prompts(asked, predictor, name, cache, batch_size)
+    scored = with_score(out, metric, "label", "predicted", "_s")
+    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), r6(F.avg("_s")).alias("score")).select(
+        *by, F.lit(name).alias("model"), F.lit(strategy).alias("strategy"), "n_samples", "score")
+
+
 def bootstrap(
     scored: DataFrame,
     score_col: str = "score",
@@ -125,8 +182,8 @@ def bootstrap(
     scored rows, which are never shuffled.
     """
     spark = scored.sparkSession
-    pos = dense_index(scored.select(order_col, score_col), order_col, out="_pos")
-    n = pos.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    pos = cut_lineage(dense_index(scored.select(order_col, score_col), order_col, out="_pos"))
+    n = pos.count()
     if not n:
         return spark.createDataFrame([], "round_id BIGINT, score DOUBLE")
     picks = (

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.functions.text import word_count
 
 
 def first_n(df: DataFrame, n: int | None = None, default: int | None = None, order_col: str = "idx") -> DataFrame:
@@ -20,10 +19,6 @@ def max_chars(df: DataFrame, col: str, m: int) -> DataFrame:
     return df.where(F.char_length(col) < m)
 
 
-def max_words(df: DataFrame, col: str, m: int) -> DataFrame:
-    return df.where(word_count(col) <= m)
-
-
 def non_blank(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull() & (F.trim(col) != ""))
 
@@ -35,7 +30,7 @@ def filter_questions(df: DataFrame, difficulty: str | None = None) -> DataFrame:
     if difficulty is not None:
         out = out.where(F.col("arcset") == difficulty)
         if not out.select("arcset").limit(1).collect():
-            raise ValueError("Invalid difficulty. Options: Easy, Challenge.")
+            raise ValueError(f"no question has arcset {difficulty!r}")
     return out
 
 

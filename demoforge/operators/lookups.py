@@ -39,14 +39,19 @@ def lookup_list(df: DataFrame, row_key: str, ids: str, dim: DataFrame, dim_key:
 
 def cluster_facts(questions: DataFrame, ids: str, dim: DataFrame, dim_key: str, dim_val: str,
                   cluster: str = "cluster") -> DataFrame:
-    """Distinct facts over each cluster's questions: ``(cluster, facts)``
-    with texts stripped and ordered by fact id."""
+    """Distinct facts over each cluster's questions: ``(cluster, facts,
+    n_missing)`` with texts stripped and ordered by fact id.  Ids without a
+    text are counted, clusters without any fact have an empty list."""
     ex = questions.select(cluster, F.explode(ids).alias("_id")).distinct()
     d = dim.select(F.col(dim_key).alias("_id"), F.col(dim_val).alias("_v"))
     j = keyed_join(ex, _with_weights(d, ex, "_id"), "_id", weight="_w",
-                   salt_by=F.col(cluster).cast("string"))
-    g = j.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("_id", py_strip("_v").alias("_t")))).alias("_l"))
-    return g.select(cluster, F.transform("_l", lambda x: x["_t"]).alias("facts"))
+                   salt_by=F.col(cluster).cast("string"), how="left")
+    found = F.when(F.col("_v").isNotNull(), F.struct("_id", py_strip("_v").alias("_t")))
+    g = j.groupBy(cluster).agg(F.sort_array(F.collect_list(found)).alias("_l"),
+                               F.count(F.when(F.col("_v").isNull(), 1)).alias("n_missing"))
+    return questions.select(cluster).distinct().join(g, cluster, "left").select(
+        cluster, F.coalesce(F.transform("_l", lambda x: x["_t"]), F.array().cast("array<string>")).alias("facts"),
+        F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 
 
 def table_set_texts(tables: Sequence[DataFrame], uid_col: str = "[SKIP] UID", skip_marker: str = "SKIP",

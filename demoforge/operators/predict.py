@@ -2,8 +2,7 @@
 
 A predictor is either a built-in column rule or a user function over a pandas
 Series of prompts, run with ``mapInPandas`` so the model is loaded once per
-task and fed Arrow batches (``spark.sql.execution.arrow.maxRecordsPerBatch``
-is the batch size).
+task and fed batches of ``batch_size`` prompts (default: Arrow's batches).
 """
 
 from __future__ import annotations
@@ -15,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from demoforge.session import cut_lineage
+from demoforge.sources import with_cache
+
 MOCK_TEXT = "mock text"
 
 
@@ -46,6 +48,7 @@ def predict(
     prompt_col: str = "prompt",
     demos_col: str = "demos",
     out: str = "predicted",
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Add ``out``; ``predictor`` is a built-in name or a batch function."""
     if isinstance(predictor, str):
@@ -58,12 +61,36 @@ def predict(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf[out] = fn(pdf[prompt_col]).astype(object).values
-            yield pdf
+            step = batch_size or max(len(pdf), 1)
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step].copy()
+                part[out] = pd.Series(fn(part[prompt_col])).astype(object).values
+                yield part
 
     return df.mapInPandas(run, schema)
 
 
+def predict_prompts(asked: DataFrame, fn: Callable[[pd.Series], pd.Series], model: str,
+                    cache: str | None = None, batch_size: int | None = None) -> DataFrame:
+    """``asked`` (with ``prompt``) plus ``predicted`` of a batch function.
+
+    Every different prompt passes the function once: prompts are told apart by
+    a 128-bit digest, only (digest, prompt) goes to Python, and the answers
+    are written before they are joined back.  ``cache`` is a folder that keeps
+    them by (model, digest); a prompt found there does not run again."""
+    asked = asked.withColumn("prompt_id", F.md5("prompt"))
+    todo = asked.select(F.lit(model).alias("model"), "prompt_id", "prompt").dropDuplicates(["prompt_id"])
+
+    def compute(missing: DataFrame) -> DataFrame:
+        return predict(missing, fn, batch_size=batch_size).select("model", "prompt_id", "predicted")
+
+    if cache is None:
+        answers = cut_lineage(compute(todo))
+    else:
+        answers = with_cache(asked.sparkSession, todo, cache, ["model", "prompt_id"], compute, partition_by=["model"])
+    return asked.join(answers.select("prompt_id", "predicted"), "prompt_id").drop("prompt_id")
+
+
 def cut_at(col: str | Column, marker: str = "Input", model_col: str | Column | None = None,
            model: str | None = None) -> Column:
     """Keep what precedes ``marker``; only for ``model`` when one is given."""

@@ -27,18 +27,20 @@ def with_difference(results: DataFrame) -> DataFrame:
     return results.withColumn("difference", F.col("informative_demos") - F.col("random_demos"))
 
 
-def mean_scores(results: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
+def mean_scores(results: DataFrame, by: Sequence[str] = KEY, digits: int | None = ROUND) -> DataFrame:
+    """Group means, rounded for output (``digits=None``: not rounded)."""
     r = with_difference(results)
-    return r.groupBy(*by).agg(*[F.round(F.avg(c), ROUND).alias(c) for c in SCORE_COLS])
+    return r.groupBy(*by).agg(*[(F.avg(c) if digits is None else F.round(F.avg(c), digits)).alias(c) for c in SCORE_COLS])
 
 
 def best_prompt(results: DataFrame, score: str = "informative_demos") -> DataFrame:
     """Per (model, dataset) the prompt with the highest mean ``score``; the
-    first prompt in key order on ties; NULL means are skipped."""
-    means = mean_scores(results).where(F.col(score).isNotNull())
+    first prompt in key order on ties; NULL means are skipped.  Means are
+    compared unrounded and rounded for output only."""
+    means = mean_scores(results, digits=None).where(F.col(score).isNotNull())
     return means.groupBy("model", "dataset").agg(
         F.min_by("prompt", F.struct((-F.col(score)).alias("s"), F.col("prompt"))).alias("prompt"),
-        F.max(score).alias(score),
+        F.round(F.max(score), ROUND).alias(score),
     )
 
 
@@ -108,7 +110,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str,
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str = "score") -> DataFrame:
     """Quartiles (linear interpolation) and whiskers at 1.5 IQR clipped to
-    the data, per group.  Both work on the distinct values per group
+    the data, but never inside the box, per group.  Both work on the distinct values per group
     (written once): quantiles by ``exact_quantiles``, whiskers by joining the
     per-group fences (size-checked) and a min / max aggregate."""
     by = list(by)
@@ -122,8 +124,8 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str = "score") -> DataFra
     fenced = keyed_join(vc.withColumn("_g", key).drop(*by), stats, "_g", weight="_w",
                         salt_by=F.col("_val").cast("string"))
     out = fenced.groupBy(*by, "n", "q1", "median", "q3").agg(
-        F.min(F.when(F.col("_val") >= F.col("_lo"), F.col("_val"))).alias("whisker_lo"),
-        F.max(F.when(F.col("_val") <= F.col("_hi"), F.col("_val"))).alias("whisker_hi"),
+        F.least(F.col("q1"), F.min(F.when(F.col("_val") >= F.col("_lo"), F.col("_val")))).alias("whisker_lo"),
+        F.greatest(F.col("q3"), F.max(F.when(F.col("_val") <= F.col("_hi"), F.col("_val")))).alias("whisker_hi"),
     )
     return out.select(*by, "n", *[F.round(c, ROUND).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")])
 

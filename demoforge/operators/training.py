@@ -102,60 +102,89 @@ def argmin_candidate(cands: DataFrame, by: str, cand: str, score: str, draw_no:
                                  F.min(score).alias(score))
 
 
-def hard_sets(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candidates=CANDIDATES,
-              max_chars=MAX_INPUT_CHARS, prompt: str = "input", answer: str = "label",
-              max_slots: int | None = None) -> DataFrame:
-    """Per slot draw ``candidates`` rows of the category (with replacement,
-    the sample itself included), score the prompt primed with the demos so
-    far plus each candidate, keep the least likely (lowest draw on ties).
-    Slots are unrolled rounds with a reliable checkpoint after each.
-
-    Returns ``(idx, n_demos, demo_idxs, demos_chars, _prompt, _answer)``
-    for samples whose demos all fit (``max_slots`` stops after that many
-    slots, for checks on the first rounds)."""
-    ci = cut_lineage(category_index(samples.select("idx", "category", prompt, answer)).withColumn(
+def _hard_inputs(samples: DataFrame, prompt: str, answer: str) -> DataFrame:
+    """Indexed samples with the words a candidate adds to a prompt."""
+    return cut_lineage(category_index(samples.select("idx", "category", prompt, answer)).withColumn(
         "_w", F.concat(py_words(prompt), py_words(answer))).withColumn(
         "_len", F.char_length(demo_text(prompt, answer)).cast("bigint")).withColumn("_own", py_words(prompt)))
-    state = demo_counts(ci.where(F.col("cat_size") > 1), lo, hi, seed).select(
+
+
+def _hard_state(ci: DataFrame, answer: str, lo: int, hi: int, seed) -> DataFrame:
+    return demo_counts(ci.where(F.col("cat_size") > 1), lo, hi, seed).select(
         "idx", "category", "cat_size", "n_demos",
         F.col("_own").alias("_pw"), py_words(answer).alias("_tw"),
         F.array().cast("array<string>").alias("_dw"),
         F.array().cast("array<bigint>").alias("_ids"),
         F.lit(0).cast("bigint").alias("_chars"), F.lit(True).alias("_ok"))
-    rounds = hi if max_slots is None else min(hi, max_slots)
-    cand_rows = ci.select("category", F.col("cat_pos").alias("_cpos"), F.col("idx").alias("_cid"),
-                          F.col("_w").alias("_cw"), F.col("_len").alias("_clen"))
-    for slot in range(rounds):
-        active = state.where((F.col("n_demos") > slot) & F.col("_ok"))
-        done = state.where(~((F.col("n_demos") > slot) & F.col("_ok")))
-        guard_ok = F.col("_chars") <= max_chars
-        draws = active.where(guard_ok).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))) \
-            .withColumn("_cpos", draw(F.lit(str(seed)), F.lit("hard"), F.col("idx"), F.lit(slot), F.col("_r"),
-                                      n=F.col("cat_size")))
-        scored = draws.join(cand_rows, ["category", "_cpos"]).select(
-            "idx", "_r", "_cid", "_clen",
-            # ranked by the log score: same order as the score, no exp rounding
-            unigram_log_score(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
-        best = scored.groupBy("idx").agg(F.min_by(F.struct("_cid", "_clen"), F.struct("_s", "_r")).alias("_b"))
-        # ids only through the aggregate, words fetched by one join; a demo
-        # that is the hardest for very many samples is a skewed key there,
-        # split at run time by adaptive execution's skew-join handling
-        best_w = best.join(cand_rows.select(F.col("_cid").alias("_bid"), "_cw"),
-                           F.col("_b._cid") == F.col("_bid")).drop("_bid")
-        grown = active.join(best_w, "idx", "left").select(
-            "idx", "category", "cat_size", "n_demos", "_pw", "_tw",
-            F.when(F.col("_b").isNotNull(), F.concat("_dw", "_cw")).otherwise(F.col("_dw")).alias("_dw"),
-            F.when(F.col("_b").isNotNull(), F.concat("_ids", F.array(F.col("_b._cid")))).otherwise(F.col("_ids"))
-            .alias("_ids"),
-            (F.col("_chars") + F.coalesce(F.col("_b._clen"), F.lit(0))).alias("_chars"),
-            F.col("_b").isNotNull().alias("_ok"))
-        state = cut_lineage(done.unionByName(grown))
-    out = state.where(F.col("_ok") & (F.size("_ids") == F.least(F.col("n_demos"), F.lit(rounds))))
+
+
+def _hard_round(state: DataFrame, ci: DataFrame, slot: int, candidates: int, max_chars: int, seed, scorer) -> DataFrame:
+    """One more demonstration for every sample that still wants one.
+
+    Candidates are drawn as positions and resolved to ids first; a candidate
+    drawn again for a sample keeps its lowest draw number, and words join only
+    the different (sample, candidate) pairs."""
+    active = state.where((F.col("n_demos") > slot) & F.col("_ok"))
+    done = state.where(~((F.col("n_demos") > slot) & F.col("_ok")))
+    draws = active.where(F.col("_chars") <= max_chars).select("idx", "category", "cat_size").withColumn(
+        "_r", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn(
+        "_cpos", draw(F.lit(str(seed)), F.lit("hard"), F.col("idx"), F.lit(slot), F.col("_r"), n=F.col("cat_size")))
+    at = ci.select("category", F.col("cat_pos").alias("_cpos"), F.col("idx").alias("_cid"))
+    picks = cut_lineage(draws.groupBy("idx", "category", "_cpos").agg(F.min("_r").alias("_r"))
+                        .join(at, ["category", "_cpos"]).select("idx", "_cid", "_r"))
+    words = ci.select(F.col("idx").alias("_cid"), F.col("_w").alias("_cw"), F.col("_len").alias("_clen"))
+    scored = picks.join(words, "_cid").join(active.select("idx", "_dw", "_pw", "_tw"), "idx").select(
+        "idx", "_r", "_cid", "_clen", scorer(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
+    best = scored.groupBy("idx").agg(F.min_by(F.struct("_cid", "_clen"), F.struct("_s", "_r")).alias("_b"))
+    # ids only through the aggregate, words fetched by one join; a demo that is
+    # the hardest for very many samples is a skewed key there, split at run
+    # time by adaptive execution's skew-join handling
+    best = cut_lineage(best).select("idx", F.col("_b._cid").alias("_cid"))
+    grown = active.join(best.join(words, "_cid"), "idx", "left").select(
+        "idx", "category", "cat_size", "n_demos", "_pw", "_tw",
+        F.when(F.col("_cid").isNotNull(), F.concat("_dw", "_cw")).otherwise(F.col("_dw")).alias("_dw"),
+        F.when(F.col("_cid").isNotNull(), F.concat("_ids", F.array(F.col("_cid")))).otherwise(F.col("_ids")).alias("_ids"),
+        (F.col("_chars") + F.coalesce(F.col("_clen"), F.lit(0))).alias("_chars"),
+        F.col("_cid").isNotNull().alias("_ok"))
+    return cut_lineage(done.unionByName(grown))
+
+
+def hard_sets(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candidates=CANDIDATES,
+              max_chars=MAX_INPUT_CHARS, prompt: str = "input", answer: str = "label",
+              scorer=unigram_log_score) -> DataFrame:
+    """Per slot draw ``candidates`` rows of the category (with replacement,
+    the sample itself included), score the prompt primed with the demos so
+    far plus each candidate, keep the least likely (lowest draw on ties).
+    Slots are unrolled rounds, each written once.
+
+    ``scorer(prompt_words, target_words)`` is a column function, lower meaning
+    harder (a Pandas UDF over word arrays serves a model).  Returns ``(idx,
+    n_demos, demo_idxs, demos_chars, _prompt, _answer)`` for samples whose
+    demos all fit."""
+    ci = _hard_inputs(samples, prompt, answer)
+    state = _hard_state(ci, answer, lo, hi, seed)
+    for slot in range(hi):
+        state = _hard_round(state, ci, slot, candidates, max_chars, seed, scorer)
+    out = state.where(F.col("_ok") & (F.size("_ids") == F.col("n_demos")))
     s = samples.select("idx", F.col(prompt).alias("_prompt"), F.col(answer).alias("_answer"))
     return out.select("idx", "n_demos", F.col("_ids").alias("demo_idxs"), F.col("_chars").alias("demos_chars")) \
         .join(s, "idx")
 
 
+def hardest_demo(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candidates=CANDIDATES, max_chars=MAX_INPUT_CHARS,
+                 prompt: str = "input", answer: str = "label", scorer=unigram_log_score) -> DataFrame:
+    """The hardest single demonstration of every sample: ``(idx, n_demos,
+    first_demo)``."""
+    ci = _hard_inputs(samples, prompt, answer)
+    one = _hard_round(_hard_state(ci, answer, lo, hi, seed), ci, 0, candidates, max_chars, seed, scorer)
+    return one.where("_ok").select("idx", "n_demos", F.get("_ids", 0).alias("first_demo"))
+
+
+def shared_word_score(prompt_words: Column, target_words: Column) -> Column:
+    """How many of the target's words the prompt holds."""
+    return F.size(F.filter(target_words, lambda w: F.array_contains(prompt_words, w))).cast("double")
+
+
 def with_primed_prompt(sets: DataFrame, samples: DataFrame, prompt: str = "input", answer: str = "label",
                        out: str = "primed") -> DataFrame:
     """Attach the demonstration texts (once, by id) and build the prompt:

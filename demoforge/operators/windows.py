@@ -1,36 +1,43 @@
 """Positional operators without a one-partition window.
 
 A global ``row_number`` puts every row in one task.  Here positions come in
-two levels: rows are bucketed by their order value, a small table of bucket
-counts is cumulated, and each row adds its rank inside its bucket.  With a
-key (``by``) the same runs per key, so a key holding a third of the rows is
-still split into buckets of bounded size.
+two levels: rows are range-partitioned on (group, order value) with sampled
+boundaries, a small table of part counts is cumulated, and each row adds its
+rank inside its part.  A part holds about the same number of rows whatever the
+values are: an outlying id does not crowd the others together, and a group
+holding a third of the rows spreads over a third of the parts.  The parts are
+written once, so that counts and ranks see the same boundaries and the input
+plan runs once.
+
+NULL is a group of its own, like any other value of a ``by`` column.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1 << 16
-MIN_WIDTH = 1 << 12
+from demoforge.session import cut_lineage
 
 
-def _bucket_width(df: DataFrame, order_col: str):
-    """Bucket width giving at most ~MAX_BUCKETS buckets over the column's
-    span (a power of two for integers, span / MAX_BUCKETS for fractions)."""
-    r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if r["lo"] is None:
-        return MIN_WIDTH
-    if isinstance(r["lo"], float) or isinstance(r["hi"], float):
-        span = float(r["hi"]) - float(r["lo"])
-        return span / MAX_BUCKETS if span > 0 else 1.0
-    span = int(r["hi"]) - int(r["lo"]) + 1
-    need = max(MIN_WIDTH, span // MAX_BUCKETS + 1)
-    return 1 << math.ceil(math.log2(need))
+def _group(by: Sequence[str]) -> Column:
+    """The ``by`` columns as one non-null key (NULL fields compare equal)."""
+    return F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+
+
+def _parts(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with ``_b``, their range part, ascending with (by, order)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut_lineage(df.repartitionByRange(parts, *by, *order).withColumn("_b", F.spark_partition_id()))
+
+
+def _join_parts(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    rows = rows.withColumn("_g", _group(by))
+    offsets = offsets.withColumn("_g", _group(by)).drop(*by)
+    # without groups there is one row for each part
+    return rows.join(offsets if by else F.broadcast(offsets), ["_g", "_b"]).drop("_g")
 
 
 def dense_index(
@@ -41,25 +48,21 @@ def dense_index(
     size_out: str | None = None,
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``out`` = 0-based position by ``order_col`` (integral; ties
-    ordered by ``tiebreak``) within ``by`` groups (whole table if empty);
-    ``size_out`` = group size."""
+    """Add ``out`` = 0-based position by ``order_col`` (ties ordered by
+    ``tiebreak``) within ``by`` groups (whole table if empty); ``size_out`` =
+    group size."""
     by = list(by)
-    width = _bucket_width(df, order_col)
-    b = F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
-    dfb = df.withColumn("_b", b)
+    order = [order_col, *tiebreak]
+    dfb = _parts(df, by, order)
     counts = dfb.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*by)
     offsets = counts.select(
         *by, "_b",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-        F.sum("_c").over(total).alias("_size"),
+        F.sum("_c").over(Window.partitionBy(*by)).alias("_size"),
     )
-    inner = Window.partitionBy(*by, "_b").orderBy(order_col, *tiebreak)
-    ranked = dfb.withColumn("_rn", F.row_number().over(inner))
-    offsets = F.broadcast(offsets) if not by else offsets  # <= MAX_BUCKETS rows when global
-    res = ranked.join(offsets, [*by, "_b"]).withColumn(out, F.col("_off") + F.col("_rn") - 1)
+    ranked = dfb.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
+    res = _join_parts(ranked, offsets, by).withColumn(out, F.col("_off") + F.col("_rn") - 1)
     if size_out:
         res = res.withColumnRenamed("_size", size_out)
     return res.drop("_b", "_rn", "_off", "_size")
@@ -75,18 +78,16 @@ def running_sum(
 ) -> DataFrame:
     """Cumulative sum of ``value`` per ``by`` in ``order_cols`` order (ties
     share a total, as SQL's default RANGE frame).  Two-level, so a hot key
-    is summed bucket by bucket on many tasks."""
+    is summed part by part on many tasks."""
     by = list(by)
-    first = order_cols[0]
-    width = _bucket_width(df, first)
     v = F.col(value) if isinstance(value, str) else value
-    dfb = df.withColumn("_b", F.floor(F.col(first) / F.lit(width)).cast("bigint")).withColumn("_rv", v)
+    dfb = _parts(df.withColumn("_rv", v), by, order_cols)
     totals = dfb.groupBy(*by, "_b").agg(F.sum("_rv").alias("_t"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
                             F.sum("_t").over(Window.partitionBy(*by)).alias("_tot"))
     inner = Window.partitionBy(*by, "_b").orderBy(*order_cols)
-    res = dfb.withColumn("_in", F.sum("_rv").over(inner)).join(offsets, [*by, "_b"])
+    res = _join_parts(dfb.withColumn("_in", F.sum("_rv").over(inner)), offsets, by)
     res = res.withColumn(out, F.col("_off") + F.col("_in"))
     if total_out:
         res = res.withColumnRenamed("_tot", total_out)

@@ -208,9 +208,10 @@ MEANS = """SELECT model, dataset, prompt, round(avg(random_demos), 6) AS random_
  round(avg(informative_demos), 6) AS informative_demos, round(avg(informative_demos - random_demos), 6) AS difference
 FROM fx_results GROUP BY model, dataset, prompt"""
 ORACLE["mean_scores"] = MEANS
-BEST = f"""SELECT model, dataset, prompt, informative_demos FROM (
- SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY informative_demos DESC, prompt) AS rn
- FROM ({MEANS}) WHERE informative_demos IS NOT NULL) WHERE rn = 1"""
+BEST = """SELECT model, dataset, prompt, round(mean, 6) AS informative_demos FROM (
+ SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY mean DESC, prompt) AS rn
+ FROM (SELECT model, dataset, prompt, avg(informative_demos) AS mean FROM fx_results GROUP BY ALL)
+ WHERE mean IS NOT NULL) WHERE rn = 1"""
 ORACLE["best_prompt"] = BEST
 ORACLE["best_prompt_rows"] = f"SELECT event_id FROM fx_results r SEMI JOIN ({BEST}) b USING (model, dataset, prompt)"
 CONCEPT = "array_to_string(program_modules, ' ')"
@@ -232,8 +233,8 @@ ORACLE["box_stats"] = f"""WITH m AS ({MELT}),
 q AS (SELECT dataset, model, type, count(score) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
       quantile_cont(score, 0.75) AS q3 FROM m GROUP BY ALL),
 f AS (SELECT m.dataset, m.model, m.type,
-      min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1)) AS whisker_lo,
-      max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)) AS whisker_hi
+      least(any_value(q1), min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1))) AS whisker_lo,
+      greatest(any_value(q3), max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1))) AS whisker_hi
       FROM m JOIN q USING (dataset, model, type) GROUP BY ALL)
 SELECT dataset, model, type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
  round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi FROM q JOIN f USING (dataset, model, type)"""
@@ -280,9 +281,12 @@ STRIP = "regexp_replace(@X@, '^" + PY_WS + "+|" + PY_WS + "+$', '', 'g')"
 CLUSTERED = f"""{QIDS},
 cl AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY question_id)) // 4 AS cluster FROM qi)"""
 ORACLE["cluster_facts"] = f"""WITH {CLUSTERED},
-cu AS (SELECT DISTINCT cluster, unnest(fact_ids) AS uid FROM cl)
-SELECT cluster, count(*) AS n_facts, string_agg({STRIP.replace('@X@', 'f.fact')}, ' | ' ORDER BY uid) AS facts
-FROM cu JOIN fx_facts f USING (uid) GROUP BY cluster"""
+cu AS (SELECT DISTINCT cluster, unnest(fact_ids) AS uid FROM cl),
+g AS (SELECT cluster, count(f.fact) AS n_facts, count(*) - count(f.fact) AS n_missing,
+ string_agg({STRIP.replace('@X@', 'f.fact')}, ' | ' ORDER BY uid) AS facts
+ FROM cu LEFT JOIN fx_facts f USING (uid) GROUP BY cluster)
+SELECT cluster, coalesce(n_facts, 0) AS n_facts, coalesce(n_missing, 0) AS n_missing, coalesce(facts, '') AS facts
+FROM (SELECT DISTINCT cluster FROM cl) LEFT JOIN g USING (cluster)"""
 ORACLE["micro_batches"] = "SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id FROM fx_samples"
 ORACLE["running_cost"] = f"""WITH c AS (SELECT conv_id, turn, role, len({words('text')})::BIGINT AS tokens FROM conversations)
 SELECT conv_id, turn, role, tokens, cast(sum(tokens) OVER (PARTITION BY role ORDER BY conv_id, turn) AS BIGINT) AS cum_tokens,
@@ -298,9 +302,9 @@ ORACLE["worldtree_samples"] = f"""WITH {FACT_TABLES}, {CLUSTERED},
 cu AS (SELECT DISTINCT cluster, unnest(fact_ids) AS uid FROM cl),
 cf AS (SELECT cluster, string_agg({STRIP.replace('@X@', 'tst.text')}, '. ' ORDER BY uid) AS ctx FROM cu JOIN tst USING (uid)
        GROUP BY cluster)
-SELECT question_id AS idx, concat(cf.ctx, '. ', ' ', question) AS input,
+SELECT question_id AS idx, concat(coalesce(cf.ctx, ''), '. ', ' ', question) AS input,
  {ORACLE['answer_by_key'].split('SELECT question_id, ')[1].split(' AS answer')[0]} AS label,
- cast(cluster AS VARCHAR) AS category FROM cl JOIN cf USING (cluster)"""
+ cast(cluster AS VARCHAR) AS category FROM cl LEFT JOIN cf USING (cluster)"""
 ORACLE["nli_samples"] = f"""WITH {DEDUP}
 SELECT idx, 'gpt3' AS template, concat(premise, chr(10) || 'Question: ', logic, ' True, False or Neither?') AS input,
  CASE WHEN label = 'entailment' THEN 'True' ELSE 'False' END AS label, logic AS category FROM dd
@@ -329,10 +333,16 @@ ORACLE["min_edit_distance"] = f"WITH {MINDIST} SELECT concept, min_dist FROM md"
 ORACLE["draw_concepts"] = f"WITH {DRAWS} SELECT band, j, concept FROM dr"
 ORACLE["concept_split"] = f"WITH {SPLIT_SQL} SELECT concept, min_dist, split FROM sp"
 ORACLE["train_concepts"] = f"WITH {SPLIT_SQL} SELECT concept FROM sp WHERE split = 'train'"
-ORACLE["concept_dataset"] = f"""WITH {SPLIT_SQL}
-SELECT user_id, day, CASE WHEN user_id % 5 = 0 THEN 'dev' ELSE 'train' END AS role,
- array_to_string(program_modules, ' ') AS concept FROM fx_concepts
-WHERE array_to_string(program_modules, ' ') IN (SELECT concept FROM sp WHERE split = 'train')"""
+ORACLE["concept_dataset"] = f"""WITH {SPLIT_SQL},
+ raw AS (SELECT doc_id, text, lang, source, u.user_id, u.day, u.concept FROM documents
+   JOIN (SELECT user_id, day, array_to_string(program_modules, ' ') AS concept FROM fx_concepts) u ON u.user_id = doc_id),
+ rolled AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN 'dev' ELSE 'train' END AS role FROM raw),
+ tr AS (SELECT * FROM rolled WHERE role = 'train' AND length(text) < 1000),
+ known AS (SELECT DISTINCT concept FROM tr WHERE concept NOT IN (SELECT concept FROM sp WHERE split = 'heldout')),
+ both_roles AS (SELECT * FROM tr UNION ALL SELECT * FROM rolled WHERE role = 'dev' AND length(trim(source)) > 0)
+SELECT user_id, day, role, concept, length(replace(text, ' -> ', '. '))::BIGINT AS context_chars, source AS answer,
+ cast(concat('0x', substr(md5(concat_ws('|', '7', concat_ws('/', user_id, day))), 1, 12)) AS BIGINT) AS shuffle_key
+FROM both_roles WHERE concept IN (SELECT concept FROM known)"""
 
 # ---- training sets -----------------------------------------------------------------
 N_DEMOS = "(2 + " + draw_sql("'0', 'n', idx", "4") + ")"
@@ -378,6 +388,10 @@ sc AS (SELECT idx, n_demos, r, cid, list_sum(list_transform(tw, lambda w:
          ln((len(list_filter(pr, lambda x: x = w)) + 1) / (len(pr) + len(list_distinct(pr)) + 1)))) AS s FROM pp)
 SELECT idx, n_demos, cid AS first_demo FROM (
  SELECT *, row_number() OVER (PARTITION BY idx ORDER BY s, r) AS rn FROM sc) WHERE rn = 1"""
+ORACLE["train_hard_shared"] = ORACLE["train_hard"].replace("""list_sum(list_transform(tw, lambda w:
+         ln((len(list_filter(pr, lambda x: x = w)) + 1) / (len(pr) + len(list_distinct(pr)) + 1))))""",
+                                                           "len(list_filter(tw, lambda w: list_contains(pr, w)))")
+assert "list_contains" in ORACLE["train_hard_shared"]
 ORACLE["argmin_candidate"] = f"""SELECT task, idx, round(score, 6) AS score FROM (
  SELECT task, idx, {ROUGE} AS score, row_number() OVER (PARTITION BY task ORDER BY {ROUGE}, idx) AS rn FROM fx_predictions)
 WHERE rn = 1"""
@@ -411,6 +425,10 @@ def _gap_sql(src: str, by: str, metric: str, max_words: int | None, boot: bool =
     pi_col, pr_col = ("'mock text'", "'mock text'") if model == "mock" else ("j.pi", "j.pr")
     score_i = metric.replace("expected", "j.label").replace("predicted", pi_col)
     score_r = metric.replace("expected", "j.label").replace("predicted", pr_col)
+    # the prompt holds the demonstrations in choice order
+    at = {"first_label": 1, "last_label": 3}.get(model)
+    pick = (f"SELECT {by}, idx, label AS pred FROM {{p}} WHERE rn = {at}" if at else
+            f"SELECT {by}, idx, arg_max(label, c * 1000000000000 + m) AS pred FROM {{v}} GROUP BY {by}, idx")
     body = f"""WITH s AS (SELECT * FROM {src}),
 t AS (SELECT {by}, input, label, category, max(idx) AS last FROM s GROUP BY {by}, input, label, category),
 pi AS (SELECT s.{by}, s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.{by}, s.idx ORDER BY t.last DESC) AS rn
@@ -421,8 +439,8 @@ pr AS (SELECT s.{by}, s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.
 keptr AS (SELECT {by}, idx FROM pr WHERE rn <= 3 GROUP BY {by}, idx HAVING count(*) = 3),
 vi AS (SELECT {by}, idx, label, count(*) AS c, max(last) AS m FROM pi WHERE rn <= 3 GROUP BY {by}, idx, label),
 vr AS (SELECT {by}, idx, label, count(*) AS c, max(last) AS m FROM pr WHERE rn <= 3 GROUP BY {by}, idx, label),
-mi AS (SELECT {by}, idx, arg_max(label, c * 1000000000000 + m) AS pred FROM vi GROUP BY {by}, idx),
-mr AS (SELECT {by}, idx, arg_max(label, c * 1000000000000 + m) AS pred FROM vr GROUP BY {by}, idx),
+mi AS ({pick.format(v='vi', p='pi')}),
+mr AS ({pick.format(v='vr', p='pr')}),
 j AS (SELECT s.{by}, s.idx, s.label, mi.pred AS pi, mr.pred AS pr FROM s JOIN {kept_src} USING ({by}, idx)
       JOIN keptr USING ({by}, idx) JOIN mi USING ({by}, idx) JOIN mr USING ({by}, idx)),
 sc AS (SELECT j.{by}, j.idx, {score_r} AS s_rand, {score_i} AS s_info FROM j)"""
@@ -449,6 +467,11 @@ NLI_SAMPLES = f"""nli AS (
 _K1 = [_gap_sql("nli", "template", ROUGE, 2000, model=m) for m in ("demo_majority", "mock")]
 ORACLE["concept_eval"] = (f"WITH {DEDUP}, {NLI_SAMPLES}, grid_a AS ({_K1[0]}), grid_b AS ({_K1[1]}) "
                           "SELECT * FROM grid_a UNION ALL SELECT * FROM grid_b")
+_K1P = [_gap_sql("nli", "template", ROUGE, 2000, model=m) for m in ("first_label", "last_label")]
+ORACLE["concept_eval_batch"] = (f"WITH {DEDUP}, {NLI_SAMPLES}, grid_a AS ({_K1P[0]}), grid_b AS ({_K1P[1]}) "
+                                "SELECT * FROM grid_a UNION ALL SELECT * FROM grid_b")
+ORACLE["rouge_informative"] = (f"WITH {DEDUP}, {NLI_SAMPLES}, grid_a AS ({_K1[0]}) SELECT template, model, "
+                               "'cluster-random' AS strategy, n_samples, informative_demos AS score FROM grid_a")
 _K1B = _gap_sql("nli", "template", ROUGE, 2000, boot=True)
 ORACLE["concept_eval_bootstrap"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1B[len("WITH "):]
 SUITE = """suite AS (
@@ -484,8 +507,8 @@ m AS (SELECT dataset, type, score, CASE WHEN dataset IN ('d1', 'd2') AND strpos(
 q AS (SELECT dataset, model, type, count(score) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
       quantile_cont(score, 0.75) AS q3 FROM m GROUP BY ALL),
 f AS (SELECT m.dataset, m.model, m.type,
-      min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1)) AS whisker_lo,
-      max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1)) AS whisker_hi
+      least(any_value(q1), min(score) FILTER (WHERE score >= q1 - 1.5 * (q3 - q1))) AS whisker_lo,
+      greatest(any_value(q3), max(score) FILTER (WHERE score <= q3 + 1.5 * (q3 - q1))) AS whisker_hi
       FROM m JOIN q USING (dataset, model, type) GROUP BY ALL)
 SELECT dataset, model, type, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
  round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi FROM q JOIN f USING (dataset, model, type)"""

@@ -409,28 +409,41 @@ def tail_means(spark, sf):
 
 
 # ---- sources as queries (2.A) ---------------------------------------------------
+from demoforge import sources as SRC  # noqa: E402
 from demoforge.operators import lookups as L  # noqa: E402
 
 
+def _scratch(spark, name):
+    """A new folder under the shared checkpoint folder, for queries that write
+    a source and read it back."""
+    import uuid
+    from demoforge.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sources/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def scan_jsonl(spark, sf):
-    """fx_answers rows through JSON text and back with a declared schema."""
-    a = fixture(spark, sf, "fx_answers")
-    schema = ("qid BIGINT, answers ARRAY<STRUCT<number: STRING, date: STRUCT<day: STRING, month: STRING, "
-              "year: STRING>, spans: ARRAY<STRING>>>")
-    back = a.select(F.from_json(F.to_json(F.struct("qid", "answers")), schema).alias("r")).select("r.*")
+    """fx_answers written as JSON lines and read with a declared schema."""
+    path = _scratch(spark, "answers")
+    fixture(spark, sf, "fx_answers").write.json(path)
+    back = SRC.read_jsonl(spark, path, "qid BIGINT, answers ARRAY<STRUCT<number: STRING, date: STRUCT<day: STRING, "
+                                       "month: STRING, year: STRING>, spans: ARRAY<STRING>>>")
     return back.select("qid", T.flatten_answer("answers").alias("answer"),
                        F.size("answers").cast("bigint").alias("n_items"))
 
 
 @query
 def explode_map(spark, sf):
-    """fx_concepts as one JSON object per user (day -> modules), exploded."""
+    """fx_concepts as one JSON object per user (user/day -> modules), written
+    and read back as keyed JSON."""
+    path = _scratch(spark, "keyed")
     c = fixture(spark, sf, "fx_concepts")
-    per_user = c.groupBy("user_id").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("day", "program_modules")))).alias("js"))
-    ex = per_user.select("user_id", F.explode(F.from_json("js", "MAP<STRING, ARRAY<STRING>>")).alias("day", "mods"))
-    return ex.select("user_id", "day", T.concept("mods").alias("concept"))
+    key = F.concat_ws("/", F.col("user_id").cast("string"), "day")
+    c.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, "program_modules")))).alias("value")) \
+        .select("value").write.text(path)
+    ex = SRC.read_keyed_json(spark, path, "ARRAY<STRING>", per_line=True)
+    return ex.select(F.split_part("id", F.lit("/"), F.lit(1)).cast("bigint").alias("user_id"),
+                     F.split_part("id", F.lit("/"), F.lit(2)).alias("day"), T.concept("value").alias("concept"))
 
 
 def _fact_tables(spark, sf):
@@ -455,18 +468,21 @@ def _split_col():
     return F.when(m < 8, "train").when(m == 8, "validation").otherwise("test")
 
 
+def _stored_splits(spark, sf):
+    """Documents written partitioned by split; returns the folder."""
+    path = _scratch(spark, "splits")
+    SRC.write_split(L.with_split(fixture_table(spark, sf, "documents").select("doc_id"), _split_col()), path)
+    return path
+
+
 @query
 def read_split(spark, sf):
-    d = L.with_split(fixture_table(spark, sf, "documents"), _split_col())
-    return d.where(F.col("split") == "train").select("doc_id", "split")
+    return SRC.read_split(spark, _stored_splits(spark, sf), "train").select("doc_id", "split")
 
 
 @query
 def union_splits(spark, sf):
-    d = L.with_split(fixture_table(spark, sf, "documents"), _split_col())
-    v = d.where(F.col("split") == "validation")
-    t = d.where(F.col("split") == "test")
-    return v.unionByName(t).select("doc_id", "split")
+    return SRC.read_split(spark, _stored_splits(spark, sf), ["validation", "test"]).select("doc_id", "split")
 
 
 @query
@@ -474,9 +490,9 @@ def cache_missing(spark, sf):
     """Predictions already stored (even rows) against all requested: the
     missing keys are what the predictor still has to run."""
     p = fixture(spark, sf, "fx_predictions").withColumn("strategy", F.lit("cluster-random"))
-    stored = p.where(F.col("idx") % 2 == 0)
-    key = ["task", "strategy", "idx"]
-    return p.join(stored.select(*key), key, "left_anti").select(*key)
+    path, key = _scratch(spark, "cache"), ["task", "strategy", "idx"]
+    p.where(F.col("idx") % 2 == 0).write.parquet(path)
+    return SRC.cache_misses(p.select(*key), spark.read.parquet(path), key)
 
 
 # ---- joins, lookups, windows (2.E, 2.F, 2.G) ---------------------------------
@@ -520,7 +536,7 @@ def block_clusters(spark, sf):
 def cluster_facts(spark, sf):
     q = W.block_clusters(_questions_with_ids(spark, sf), 3, "question_id")
     cf = L.cluster_facts(q, "fact_ids", fixture(spark, sf, "fx_facts"), "uid", "fact")
-    return cf.select("cluster", F.size("facts").cast("bigint").alias("n_facts"),
+    return cf.select("cluster", F.size("facts").cast("bigint").alias("n_facts"), "n_missing",
                      F.array_join("facts", " | ").alias("facts"))
 
 
@@ -565,10 +581,11 @@ def worldtree_samples_df(spark, sf, k=3, difficulty=None):
     from demoforge.session import cut_lineage
     q = FL.filter_questions(fixture(spark, sf, "fx_questions"), difficulty)
     q = cut_lineage(q.withColumn("fact_ids", T.parse_fact_ids("explanation")))
-    q = W.block_clusters(q, k, "question_id")
+    # clusters are numbered on ids alone; the texts join last
+    ids = cut_lineage(W.block_clusters(q.select("question_id", "fact_ids"), k, "question_id"))
     facts = L.table_set_texts(_fact_tables(spark, sf))
-    cf = L.cluster_facts(q, "fact_ids", facts, "uid", "text")
-    s = q.join(cf, "cluster")
+    cf = L.cluster_facts(ids, "fact_ids", facts, "uid", "text")
+    s = q.join(ids.select("question_id", "cluster"), "question_id").join(cf, "cluster")
     return s.select(
         F.col("question_id").alias("idx"),
         F.concat(T.context_text("facts"), F.lit(" "), F.col("question")).alias("input"),
@@ -638,10 +655,25 @@ def train_concepts(spark, sf):
 
 @query
 def concept_dataset(spark, sf):
-    c = _concepts(spark, sf).withColumn("role", F.when(F.col("user_id") % 5 == 0, "dev").otherwise("train"))
-    split = CN.concept_split(c, CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0)
-    keep = split.where(F.col("split") == "train").select("concept")
-    return L.semi(c, keep, "concept").select("user_id", "day", "role", "concept")
+    """Rows with a context, an answer and a concept: the length limit holds for
+    train rows only, train concepts are those of the train rows left without
+    the held-out draws, dev rows need a train concept and an answer."""
+    from demoforge.session import cut_lineage
+    c = _concepts(spark, sf)
+    held = CN.concept_split(c, CONCEPT_BANDS, HELD_OUT_DRAWS, seed=0).where(F.col("split") == "heldout").select("concept")
+    d = fixture_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("user_id"), T.rewrite("text", T.CONTEXT_REWRITES).alias("context"), F.char_length("text").alias("_n"),
+        F.array(F.struct(F.lit("").alias("number"), F.struct(F.lit("").alias("day"), F.lit("").alias("month"),
+                F.lit("").alias("year")).alias("date"), F.array("source").alias("spans"))).alias("answers"))
+    rows = c.join(d, "user_id").withColumn("answer", T.flatten_answer("answers", "skip"))
+    rows = rows.withColumn("role", F.when(F.col("user_id") % 5 == 0, "dev").otherwise("train"))
+    rows = cut_lineage(rows.where((F.col("role") == "dev") | (F.col("_n") < 1000)).drop("answers", "_n"))
+    train = rows.where(F.col("role") == "train")
+    known = train.select("concept").distinct().join(held, "concept", "left_anti")
+    dev = FL.non_blank(rows.where(F.col("role") == "dev"), "answer")
+    kept = L.semi(train.unionByName(dev), known, "concept").withColumn("_id", F.concat_ws("/", "user_id", "day"))
+    return L.shuffled(kept, 7, order_col="_id").select(
+        "user_id", "day", "role", "concept", F.char_length("context").cast("bigint").alias("context_chars"), "answer", "shuffle_key")
 
 
 # ---- training sets (2.H), predictors and scorer (2.J) ------------------------
@@ -676,9 +708,14 @@ def train_length_guard(spark, sf):
 
 @query
 def train_hard(spark, sf):
-    """Hardest first demonstration (20 candidates, as in the training runs)."""
-    h = TR.hard_sets(fixture(spark, sf, "fx_labelled"), candidates=20, max_slots=1)
-    return h.select("idx", "n_demos", F.get("demo_idxs", 0).alias("first_demo"))
+    """Hardest single demonstration (20 candidates, as in the training runs)."""
+    return TR.hardest_demo(fixture(spark, sf, "fx_labelled"), candidates=20)
+
+
+@query
+def train_hard_shared(spark, sf):
+    """Hardest single demonstration under another scorer: fewest shared words."""
+    return TR.hardest_demo(fixture(spark, sf, "fx_labelled"), candidates=20, scorer=TR.shared_word_score)
 
 
 @query
@@ -725,10 +762,12 @@ def training_table(spark, sf):
     s = FL.max_chars(d.select(F.col("doc_id").alias("idx"), "text", "source"), "text", 2000)
     s = s.select("idx", T.wh_category("text").alias("category"), T.qa_prompt("text", "source").alias("prompt"),
                  F.col("source").alias("answer"))
-    sets = TR.informative_sets(s, prompt="prompt", answer="answer")
-    primed = TR.with_primed_prompt(sets, s, "prompt", "answer")
-    b = W.micro_batches(primed.select("idx", "n_demos", "primed"), 8)
-    return b.select("idx", "batch_id", "n_demos", F.char_length("primed").cast("bigint").alias("primed_chars"),
+    from demoforge.session import cut_lineage
+    sets = cut_lineage(TR.informative_sets(s, prompt="prompt", answer="answer"))
+    # batches are numbered on ids, texts are attached after
+    b = W.micro_batches(sets.select("idx"), 8)
+    primed = TR.with_primed_prompt(sets, s, "prompt", "answer").join(b, "idx")
+    return primed.select("idx", "batch_id", "n_demos", F.char_length("primed").cast("bigint").alias("primed_chars"),
                     F.md5("primed").alias("primed_md5"))
 
 
@@ -753,6 +792,32 @@ def concept_eval(spark, sf):
     return EV.strategy_gap(s, 3, EVAL_MODELS, "rouge_l", max_words=2000, by=["template"])
 
 
+def first_label(prompts):
+    """Deterministic stand-in model: the label of the first demonstration."""
+    return prompts.map(lambda p: p.split(" Prediction: ", 1)[1].split("\n", 1)[0])
+
+
+def last_label(prompts):
+    """Deterministic stand-in model: the label of the last demonstration."""
+    return prompts.map(lambda p: p.rsplit("\nInput: ", 1)[0].rsplit(" Prediction: ", 1)[1])
+
+
+@query
+def concept_eval_batch(spark, sf):
+    """Two models that read prompts in batches, their answers kept in a cache."""
+    from demoforge.session import ensure_checkpoint_dir
+    import uuid
+    cache = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers/{uuid.uuid4().hex}"
+    return EV.strategy_gap(_nli_task_samples(spark, sf), 3, [first_label, last_label], "rouge_l", max_words=2000,
+                           by=["template"], cache=cache, batch_size=16)
+
+
+@query
+def rouge_informative(spark, sf):
+    """One strategy alone with its own word limit."""
+    return EV.strategy_score(_nli_task_samples(spark, sf), 3, "cluster-random", max_words=2000, by=["template"])
+
+
 @query
 def concept_eval_bootstrap(spark, sf):
     s = _nli_task_samples(spark, sf)

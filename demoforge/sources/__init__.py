@@ -5,9 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+#: fixed values: words that common table readers take for a missing value
+MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "#N/A", "#NA", "-nan", "-NaN")
 
 RESULT_SCHEMA = ("model STRING, dataset STRING, prompt STRING, random_demos DOUBLE, "
                  "informative_demos DOUBLE, difference DOUBLE")
@@ -28,19 +32,29 @@ def read_task_dir(spark: SparkSession, path: str) -> DataFrame:
     return ex.select("task", "pos", F.col("i.input").alias("input"), F.get(F.col("i.output"), 0).alias("label"))
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """One JSON object per file mapping ids to values: rows (id, value)."""
-    txt = spark.read.option("wholetext", True).text(path)
+def read_keyed_json(spark: SparkSession, path: str, value_schema: str, per_line: bool = False) -> DataFrame:
+    """JSON objects mapping ids to values, one per file or, ``per_line``, one
+    per line: rows (id, value).  A whole file is one row of one task; a large
+    set of ids is better kept with an object per line."""
+    txt = spark.read.option("wholetext", not per_line).text(path)
     m = F.from_json("value", f"MAP<STRING, {value_schema}>")
     return txt.select(F.explode(m).alias("id", "value"))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True) -> DataFrame:
-    """Tab-separated, quoted fields; empty and ``NA`` values become NULL."""
-    r = spark.read.option("sep", "\t").option("header", header).option("quote", '"').option("nullValue", "NA")
-    if schema:
-        r = r.schema(schema)
-    return r.csv(path)
+    """Tab-separated, quoted fields; empty values and the usual words for a
+    missing one (``MISSING``) become NULL."""
+    r = spark.read.option("sep", "\t").option("header", header).option("quote", '"')
+    raw = r.csv(path) if header else r.schema(_as_strings(schema)).csv(path) if schema else r.csv(path)
+    raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    if not schema:
+        return raw
+    kinds = StructType.fromDDL(schema)
+    return raw.select(*[F.col(f"`{c}`").cast(k.dataType).alias(k.name) for c, k in zip(raw.columns, kinds)])
+
+
+def _as_strings(schema: str) -> StructType:
+    return StructType([StructField(f.name, StringType()) for f in StructType.fromDDL(schema)])
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -70,30 +84,61 @@ def write_split(df: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Long result rows as TSV with five decimals (the log format)."""
+    """Long result rows as TSV with five decimals (the log format); a NULL
+    score is an empty field."""
     cols = ["model", "dataset", "prompt"]
-    out = df.select(*cols, *[F.format_string("%.5f", F.col(c)).alias(c)
+    out = df.select(*cols, *[F.when(F.col(c).isNotNull(), F.format_string("%.5f", F.col(c))).alias(c)
                              for c in ("random_demos", "informative_demos", "difference")])
     out.write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
 
 
+def write_wide(df: DataFrame, path: str, rows: Sequence[str], col: str, values: Sequence[str], value: str) -> None:
+    """One line per ``rows`` key, one column per listed value of ``col`` (mean
+    of ``value``, five decimals, NULL empty), as TSV with a header."""
+    wide = df.groupBy(*rows).pivot(col, list(values)).agg(F.avg(value))
+    wide.select(*rows, *[F.when(F.col(f"`{v}`").isNotNull(), F.format_string("%.5f", F.col(f"`{v}`"))).alias(v) for v in values]) \
+        .write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def _stored(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame | None:
+    """The cache, one row per key; None only if the path does not exist."""
+    try:
+        return spark.read.parquet(path).dropDuplicates(list(key))
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _same(a: DataFrame, b: DataFrame, key: Sequence[str]):
+    cond = a[key[0]].eqNullSafe(b[key[0]])
+    for c in key[1:]:
+        cond = cond & a[c].eqNullSafe(b[c])
+    return cond
+
+
+def cache_misses(todo: DataFrame, cached: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """Requested rows whose key (NULL equals NULL) is not stored."""
+    if cached is None:
+        return todo
+    c = cached.select(*key)
+    return todo.join(c, _same(todo, c, key), "left_anti")
+
+
 def with_cache(spark: SparkSession, todo: DataFrame, path: str, key: Sequence[str], compute,
                partition_by: Sequence[str] = ()) -> DataFrame:
     """Prediction cache keyed by the full run key (model, task, strategy,
     K, word limit, sample idx ...): rows already stored are reused, the
-    missing ones (``left_anti``) are computed, appended and returned too.
-    ``partition_by`` (run-level key columns) lays the cache out so a run's
-    probe reads only its own partitions."""
+    missing ones (NULL keys match NULL keys) are computed, appended and
+    returned too.  ``partition_by`` (run-level key columns) lays the cache out
+    so a run's probe reads only its own partitions.  A cache that exists but
+    cannot be read is an error, never an empty cache."""
     key = list(key)
-    try:
-        cached = spark.read.parquet(path)
-    except Exception:  # no cache yet
-        cached = None
-    missing = todo if cached is None else todo.join(cached.select(*key), key, "left_anti")
-    fresh = compute(missing)
-    writer = fresh.write.mode("append")
+    cached = _stored(spark, path, key)
+    writer = compute(cache_misses(todo, cached, key).dropDuplicates(key)).write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    stored = spark.read.parquet(path)
-    return stored.join(todo.select(*key), key, "left_semi")
+    stored = spark.read.parquet(path).dropDuplicates(key)
+    keys = todo.select(*key)
+    return stored.join(keys, _same(stored, keys, key), "left_semi")
