@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demoforge.llm.caches import held
 from demoforge.llm.encode import WordMemo, slices, texts_of
 
 NEVER = 1 << 60
@@ -187,14 +188,14 @@ class TrieBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, tuple[TrieBPE, WordMemo, list[str]]] = {}
-
-
 def loaded(path: str) -> tuple[TrieBPE, WordMemo, list[str]]:
-    if path not in _LOADED:
+    """The vocabulary, its word memo and the ids as text, one per worker."""
+
+    def make():
         t = TrieBPE(path)
-        _LOADED[path] = t, WordMemo(t.encode, tuple(t.special)), [str(i) for i in range(len(t.bytes_of))]
-    return _LOADED[path]
+        return t, WordMemo(t.encode, tuple(t.special)), [str(i) for i in range(len(t.bytes_of))]
+
+    return held(("trie", path), make)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ def gram_hashes(data: np.ndarray, start: np.ndarray, order: int) -> np.ndarray:
     own = np.maximum.accumulate(own)
     back = np.arange(len(data)) - own
     h = np.zeros(len(data), dtype=np.uint64)
-    for j in range(order):
+    for j in range(min(order, len(data))):
         x = np.zeros(len(data), dtype=np.uint64)
         x[j:] = (data[: len(data) - j] + np.uint64(1)) * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1)
         h += np.where(back >= j, x, np.uint64(0))
@@ -38,7 +38,7 @@ def gram_hashes(data: np.ndarray, start: np.ndarray, order: int) -> np.ndarray:
 class WordTable:
     """A memo of rows of numbers for words, restarted when it is full."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, compute, width: int):
         self.compute, self.width = compute, width

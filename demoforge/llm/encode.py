@@ -14,11 +14,13 @@ from itertools import chain
 
 import numpy as np
 
+from demoforge.llm.caches import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: words whose ids a worker remembers; a full memo restarts from the current batch
-MEMO_WORDS = 700_000
+MEMO_WORDS = 400_000
 #: longer words are encoded but not remembered
 MEMO_LENGTH = 64
 
@@ -90,7 +92,6 @@ class WordMemo:
         return out
 
 
-_LOADED: dict[str, WordMemo] = {}
 #: words that go to the library in one text
 LINE_WORDS = 1000
 
@@ -122,18 +123,20 @@ def _in_lines(tokenizer, words: list[str]) -> list[bytes]:
 
 def library_encoder(path: str) -> WordMemo:
     """The tokenizers library behind a word memo, one per worker process."""
-    if path not in _LOADED:
+
+    def make() -> WordMemo:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
         specials = tuple(a.content for a in t.get_added_tokens_decoder().values())
-        _LOADED[path] = WordMemo(lambda xs: _in_lines(t, xs), specials)
-    return _LOADED[path]
+        return WordMemo(lambda xs: _in_lines(t, xs), specials)
+
+    return held(("library", path), make)
 
 
-def slices(batch, size: int = 4_000_000, column: str = "text"):
+def slices(batch, size: int = 1_000_000, column: str = "text"):
     """Cut an Arrow batch so that each part holds about ``size`` bytes of text
     (one row at least)."""
     import pyarrow.compute as pc

@@ -42,7 +42,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 4_000_000):
                 words: dict[str, Counter] = {}
                 for t, lang in zip(piece.column("text").to_pylist(), piece.column("lang").to_pylist()):
                     words.setdefault(lang, Counter()).update(words_of(t))

@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from demoforge.llm.caches import held
 from demoforge.llm.chars import WordTable
 from demoforge.llm.common import Workspace, fresh
 from demoforge.llm.encode import slices, texts_of
 from demoforge.llm.toxicity import fold, labelled
 
 SLOTS = 1 << 18
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 EPOCHS = 12
 _RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "T" if m[0][0].isupper() else "a"),
          (re.compile(r"\d+"), lambda m: "0"))
@@ -60,15 +61,14 @@ def _word_slots(words: list[str]) -> np.ndarray:
     return out
 
 
-_WORDS = WordTable(_word_slots, 3)
 _REPEAT = zlib.crc32(b"\x00repeat") % SLOTS
 
 
 def feature_slots(texts: list[str]) -> list[np.ndarray]:
     """The slots of each text's features, one for each occurrence."""
-    out = []
-    for at in _WORDS.batch([t.split() for t in texts]):
-        rows = _WORDS.rows[at].astype(np.int64)
+    out, table = [], held("quality", lambda: WordTable(_word_slots, 3))
+    for at in table.batch([t.split() for t in texts]):
+        rows = table.rows[at].astype(np.int64)
         pair = (rows[:-1, 2] * 0x9E3779B1 + rows[1:, 2] * 0x85EBCA77) % SLOTS
         again = np.full(int((at[1:] == at[:-1]).sum()), _REPEAT)
         out.append(np.concatenate([rows[:, 0], rows[:, 1], pair, again]))

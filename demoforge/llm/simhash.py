@@ -35,6 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demoforge.llm.caches import drop
 from demoforge.llm.common import Workspace, connected_components, join_ids, key_groups
 from demoforge.llm.encode import slices, texts_of
 
@@ -72,6 +73,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        drop()
         for batch in batches:
             for piece in slices(batch):
                 fp = np.array([fingerprint(t, words) for t in texts_of(piece.column("text"))], dtype=np.uint64)

@@ -60,7 +60,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 4_000_000):
                 count = (Counter(), Counter())
                 for t, y in zip(texts_of(piece.column("text")), piece.column("y").to_pylist()):
                     count[y].update(words_of(t))
