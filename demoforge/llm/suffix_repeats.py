@@ -15,8 +15,10 @@ same place in themselves.  Only suffixes that start at anchors are sorted:
    scanned the same way; an interval of left extensions, which is left-diverse
    by construction, that is not inside one right child is a maximal repeat: it
    comes out with all its occurrences, not only with neighbours.
-4. An anchor with more than ``GROUP_ROWS`` different contexts is not scanned in
-   one task: its contexts' windows are counted by 128-bit hash instead.
+4. An anchor with more than ``GROUP_ROWS`` different contexts is scanned in
+   chunks of them; what repeats across chunks is found by counting the contexts'
+   windows by 128-bit hash, and only windows that reach beyond what a chunk has
+   covered already are looked up in the counts.
 
 All repeats around an anchor contain the anchor, so what they cover of an
 occurrence is one run: the longest left and the longest right extension.
@@ -208,7 +210,7 @@ def _contexts(joined: DataFrame) -> DataFrame:
 
 
 def _scan(sorted_contexts: DataFrame, groups: bool) -> DataFrame:
-    """Contexts sorted by (h, right): what repeats cover of each context, or
+    """Contexts sorted by (h, chunk, right): what repeats cover of each context, or
     with ``groups`` every maximal repeat with all its contexts."""
 
     def run(batches):
@@ -216,14 +218,14 @@ def _scan(sorted_contexts: DataFrame, groups: bool) -> DataFrame:
 
         schema = [("ctx", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]
         if groups:
-            schema = [("h", pa.int64()), ("nth", pa.int32()), *schema]
+            schema = [("h", pa.int64()), ("chunk", pa.int32()), ("nth", pa.int32()), *schema]
         out = []
 
         def batch():
             cols = list(zip(*out)) or [()] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema)], names=[n for n, _ in schema])
 
-        for (h,), g in key_groups(batches, ["h"]):
+        for (h, chunk), g in key_groups(batches, ["h", "chunk"]):
             left, right, ctx, n = g["left"].tolist(), g["right"].tolist(), g["ctx"].tolist(), g["n"]
             cover: dict[int, tuple[int, int]] = {}
             nth = 0
@@ -231,7 +233,7 @@ def _scan(sorted_contexts: DataFrame, groups: bool) -> DataFrame:
             for e, r, members in found:
                 for i in members:
                     if groups:
-                        out.append((h, nth, ctx[i], e, r))
+                        out.append((h, chunk, nth, ctx[i], e, r))
                     else:
                         lo, hi = cover.get(i, (0, 0))
                         cover[i] = max(lo, e), max(hi, r)
@@ -239,7 +241,7 @@ def _scan(sorted_contexts: DataFrame, groups: bool) -> DataFrame:
             for i in np.flatnonzero(n > 1):
                 if len(left[i]) + len(right[i]) >= WINDOW:
                     if groups:
-                        out.append((h, nth, ctx[i], len(left[i]), len(right[i])))
+                        out.append((h, chunk, nth, ctx[i], len(left[i]), len(right[i])))
                     else:
                         cover[i] = len(left[i]), len(right[i])
                     nth += 1
@@ -249,36 +251,40 @@ def _scan(sorted_contexts: DataFrame, groups: bool) -> DataFrame:
                 out = []
         yield batch()
 
-    return sorted_contexts.mapInArrow(run, ("h long, nth int, " if groups else "") + "ctx binary, lo int, hi int")
+    return sorted_contexts.mapInArrow(run, ("h long, chunk int, nth int, " if groups else "") + "ctx binary, lo int, hi int")
 
 
-def _counted(contexts: DataFrame) -> DataFrame:
-    """What repeats cover of each context, by counting all its windows."""
+def _windows(contexts: DataFrame) -> DataFrame:
+    """(h, ctx, left, right, lo, hi) -> ctx, o (bytes before the anchor), w (hash)
+    of every window, and whether it reaches beyond [anchor - lo, anchor + hi)."""
 
     def run(batches):
         import pyarrow as pa
 
+        types = (pa.binary(), pa.int32(), pa.binary(), pa.bool_())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for h, ctx, left, right in zip(*(part.column(c).to_pylist() for c in ("h", "ctx", "left", "right"))):
+                for h, ctx, left, right, lo, hi in zip(*(part.column(c).to_pylist() for c in ("h", "ctx", "left", "right", "lo", "hi"))):
                     b = left[::-1] + right
                     for s in range(len(b) - WINDOW + 1):
                         # a window counts once for each place of the anchor in it
                         o = len(left) - s
                         w = hashlib.blake2b(b"%d %d " % (h, o) + b[s:s + WINDOW], digest_size=16).digest()
-                        out.append((ctx, o, w))
+                        out.append((ctx, o, w, o > lo or WINDOW - o > hi))
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32(), pa.binary()))], names=["ctx", "o", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["ctx", "o", "w", "beyond"])
 
-    windows = contexts.select("h", "ctx", "left", "right").mapInArrow(run, "ctx binary, o int, w binary")
+    return contexts.select("h", "ctx", "left", "right", "lo", "hi").mapInArrow(run, "ctx binary, o int, w binary, beyond boolean")
+
+
+def _across_chunks(contexts: DataFrame) -> DataFrame:
+    """ctx, lo, hi that repeats in other chunks add."""
+    windows = _windows(contexts)
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
-    once = windows.join(twice, "w").groupBy("ctx").agg(F.max("o").alias("lo"), (F.lit(WINDOW) - F.min("o")).alias("hi"))
-    several = contexts.filter("n > 1").select("ctx", F.octet_length("left").alias("lo"), F.octet_length("right").alias("hi"))
-    return (once.unionByName(several.filter(F.col("lo") + F.col("hi") >= WINDOW))
-            .groupBy("ctx").agg(F.max("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi")))
+    return (windows.filter("beyond").select("ctx", "o", "w").join(twice, "w").groupBy("ctx")
+            .agg(F.max("o").alias("lo"), (F.lit(WINDOW) - F.min("o")).alias("hi")))
 
 
 class Repeats:
@@ -306,17 +312,23 @@ class Repeats:
         self.size = ws.save(size.select("h", "m"), "sizes")
         ws.release()
 
-    def _light(self) -> DataFrame:
-        rows = self.contexts.join(self.size.filter(F.col("m") <= GROUP_ROWS).select("h"), "h")
-        return rows.select("h", "ctx", "n", "left", "right").repartition("h").sortWithinPartitions("h", "right")
+    def _chunks(self) -> DataFrame:
+        """Contexts with a partner, in chunks of about GROUP_ROWS of an anchor,
+        sorted by right context."""
+        rows = self.contexts.join(self.size, "h")
+        chunk = F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / GROUP_ROWS)).cast("int")
+        return (rows.select("h", chunk.alias("chunk"), "ctx", "n", "left", "right")
+                .repartition("h", "chunk").sortWithinPartitions("h", "chunk", "right"))
 
     def cover(self) -> DataFrame:
         """ctx, lo, hi: bytes before and from the anchor that repeats cover."""
-        out = _scan(self._light(), groups=False)
+        out = self.ws.save(_scan(self._chunks(), groups=False), "cover")
         heavy = self.size.filter(F.col("m") > GROUP_ROWS)
-        if not heavy.isEmpty():
-            out = out.unionByName(_counted(self.contexts.join(heavy.select("h"), "h")))
-        return self.ws.save(out, "cover")
+        if heavy.isEmpty():
+            return out
+        known = self.contexts.join(heavy.select("h"), "h").join(out, "ctx", "left").fillna(0, ["lo", "hi"])
+        more = _across_chunks(self.ws.save(known.select("h", "ctx", "left", "right", "lo", "hi"), "heavy"))
+        return self.ws.save(out.unionByName(more).groupBy("ctx").agg(F.max("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi")), "cover")
 
     def spans(self) -> DataFrame:
         """key, spans: unmerged [start, end) that repeats cover, of texts that
@@ -326,13 +338,13 @@ class Repeats:
                             .groupBy("key").agg(F.collect_list("x").alias("spans")), "spans")
 
     def groups(self) -> DataFrame:
-        """Maximal repeats around anchors of up to GROUP_ROWS contexts: h, nth
-        (the group), key, start, length of every occurrence.  A repeat that
-        holds several anchors, or is longer than the contexts, comes out in
-        part around each of them."""
-        g = _scan(self._light(), groups=True)
+        """Maximal repeats around anchors: h, chunk, nth (the group), key, start,
+        length of every occurrence.  A repeat that holds several anchors, or is
+        longer than the contexts, comes out in part around each of them; an
+        anchor of more than GROUP_ROWS contexts has its groups by chunk."""
+        g = _scan(self._chunks(), groups=True)
         return g.join(self.occurrences.select("key", "pos", "ctx"), "ctx").select(
-            "h", "nth", "key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("lo") + F.col("hi")).alias("length"))
+            "h", "chunk", "nth", "key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("lo") + F.col("hi")).alias("length"))
 
 
 def _cut(text: str, spans: list[dict]) -> tuple[bytes, list[bytes], int]:
