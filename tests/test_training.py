@@ -41,7 +41,7 @@ def test_length_guard_skips_only_before_last(spark):
 def test_hard_sets_pick_least_likely(spark):
     rows = [(0, "q", "a", "c"), (1, "p", "a", "c"), (2, "r", "b", "c")]
     df = spark.createDataFrame(rows, "idx bigint, input string, label string, category string")
-    h = TR.hard_sets(df, lo=1, hi=1, candidates=30, max_slots=1).collect()
+    h = TR.hard_sets(df, lo=1, hi=1, candidates=30).collect()
     # target "a": a demo whose label is "a" raises its count, so the hardest is idx 2 (label b) when drawn
     for r in h:
         assert list(r.demo_idxs) in ([2], [0], [1])
