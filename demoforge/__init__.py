@@ -5,4 +5,4 @@ returns DataFrames and leaves the physical plan to Catalyst.  The language
 model is a pluggable column function (see ``operators.predict``).
 """
 
-__all__ = ["session", "sources", "functions", "operators", "plans", "streaming"]
+__all__ = ["session", "sources", "functions", "operators", "plans"]

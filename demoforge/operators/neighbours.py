@@ -52,13 +52,18 @@ def overlap_neighbours(df: DataFrame, key: str, items: str, k: int = 3,
     lp = lp.join(sizes, "q").join(sizes.select(F.col("q").alias("c"), F.col("na").alias("nc"),
                                                F.col("H").alias("Hc")), "c")
     lp = lp.withColumn("shared", F.col("sl") + F.size(F.array_intersect("H", "Hc")))
+    # read three times below
+    lp = cut_lineage(lp.select("q", "c", "na", "nc", "Hc", "shared"))
     light_scored = lp.select("q", "c", (F.col("shared") / F.greatest("na", "nc")).alias("score"))
     cands = light_scored
     if has_heavy:
         # 2. heavy-only candidates through signature groups
         sig = sizes.where(F.size("H") > 0).select(
             "q", "na", "H", F.concat_ws("|", F.col("na").cast("string"), F.array_join("H", ",")).alias("g"))
-        groups = sig.select("g", "na", "H").distinct()
+        # written, so that the join on a heavy fact has a plain exchange on both
+        # sides, which adaptive execution can split
+        sig = cut_lineage(sig)
+        groups = cut_lineage(sig.select("g", "na", "H").distinct())
         ranked = dense_index(sig.select("g", "q"), "q", by=["g"], out="r")
         rel = sig.select(F.col("q"), F.col("na").alias("nq"), F.explode("H").alias("f"), F.col("H").alias("Hq")) \
             .join(groups.select("g", F.col("na").alias("nb"), F.explode("H").alias("f")), "f") \
