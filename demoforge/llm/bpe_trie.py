@@ -193,7 +193,7 @@ def loaded(path: str) -> tuple[TrieBPE, WordMemo, list[str]]:
 
     def make():
         t = TrieBPE(path)
-        return t, WordMemo(t.encode, tuple(t.special)), [str(i) for i in range(len(t.bytes_of))]
+        return t, WordMemo(lambda words, texts: t.encode([" " + w for w in words] + texts), tuple(t.special)), [str(i) for i in range(len(t.bytes_of))]
 
     return held(("trie", path), make)
 

@@ -47,11 +47,11 @@ def words_of(text: str) -> list[str]:
 class WordMemo:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    ``encode`` maps a list of strings to a list of such bytes; ``specials`` are
-    strings that the tokeniser takes as one token: a text that holds one is
-    encoded whole."""
+    ``encode`` maps words that follow a space, and texts as they are, to such
+    bytes in one list; ``specials`` are strings that the tokeniser takes as one
+    token: a text that holds one is encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], specials: tuple[str, ...] = ()):
+    def __init__(self, encode: Callable[[list[str], list[str]], list[bytes]], specials: tuple[str, ...] = ()):
         self.encode, self.specials = encode, specials
         self.memo: dict[str, bytes] = {}
 
@@ -74,7 +74,7 @@ class WordMemo:
             found.append(ids)
             holes.append(empty)
         new = list(miss)
-        ids = self.encode([" " + w for w in new] + [w[0] for w in cut])
+        ids = self.encode(new, [w[0] for w in cut])
         memo.update(zip(new, ids))
         out = []
         for words, have, empty, first in zip(cut, found, holes, ids[len(new):]):
@@ -93,32 +93,47 @@ class WordMemo:
 
 
 #: words that go to the library in one text
-LINE_WORDS = 1000
-
-
-def _in_lines(tokenizer, words: list[str]) -> list[bytes]:
-    """Encode words through few library calls.  A word that opens with a space
-    and holds no other white space is its own line of a longer text: the line
-    break before it is a token by itself, so the ids are cut there."""
-    plain = [w[:1] == " " and len(w.split()) == 1 and w.count(" ") == 1 and w[-1] != " " and "\n" not in w
-             and w.isprintable() for w in words]
-    line = np.array(tokenizer.encode("a\n a", add_special_tokens=False).ids)
-    brk = int(line[1]) if len(line) == 3 else None
-    many = [w for w, p in zip(words, plain) if p] if brk is not None else []
-    texts = ["".join(["\n" + w for w in many[k:k + LINE_WORDS]]) for k in range(0, len(many), LINE_WORDS)]
+LINE_WORDS = 4000
+
+
+def _lines_of(word: str) -> int:
+    """In how many lines of a longer text the word can stand; 0: in none."""
+    if word.isprintable():
+        return 1 if word and " " not in word else 0
+    rows = word.split("\n")
+    return len(rows) if all(r and r.isprintable() and " " not in r for r in rows) else 0
+
+
+def _alone(tokenizer, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _in_lines(tokenizer, words: list[str], texts: list[str]) -> list[bytes]:
+    """Encode words that follow a space, then whole texts, in few calls.  Words
+    without other white space than single inner line breaks stand in lines of
+    a longer text: a line break between two other characters is a token by
+    itself, so the ids are cut there."""
+    probe = tokenizer.encode("a\n a", add_special_tokens=False).ids
+    brk = probe[1] if len(probe) == 3 else None
+    rows = [_lines_of(w) for w in words] if brk is not None else [0] * len(words)
+    many = [w for w, n in zip(words, rows) if n]
+    blocks = ["\n " + "\n ".join(many[k:k + LINE_WORDS]) for k in range(0, len(many), LINE_WORDS)]
+    counts = iter([n for n in rows if n])
     cut: list[bytes] = []
-    for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+    for e, block in zip(tokenizer.encode_batch_fast(blocks, add_special_tokens=False), blocks):
         ids = np.array([*e.ids, brk], dtype="<u4")
         at, raw = (4 * np.flatnonzero(ids == brk)).tolist(), ids.tobytes()
-        cut += [raw[a + 4:b] for a, b in zip(at, at[1:])]
-    if len(cut) != len(many):
-        raise ValueError("the tokeniser joins tokens across line breaks")
-    if len(many) == len(words):
-        return cut
-    rest = [w for w, p in zip(words, plain) if not p] if brk is not None else words
-    alone = iter([np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
-    lines = iter(cut)
-    return [next(lines) if p and brk is not None else next(alone) for p in plain]
+        if len(at) != block.count("\n") + 1:
+            raise ValueError("the tokeniser joins tokens across line breaks")
+        k, last = 0, len(at) - 1
+        while k < last:
+            n = next(counts)
+            cut.append(raw[at[k] + 4:at[k + n]])
+            k += n
+    if len(many) < len(words):
+        lines, rest = iter(cut), iter(_alone(tokenizer, [" " + w for w, n in zip(words, rows) if not n]))
+        cut = [next(lines) if n else next(rest) for n in rows]
+    return cut + _alone(tokenizer, texts)
 
 
 def library_encoder(path: str) -> WordMemo:
@@ -130,8 +145,12 @@ def library_encoder(path: str) -> WordMemo:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        model = t.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # the memo remembers words already
+            t.model = model
         specials = tuple(a.content for a in t.get_added_tokens_decoder().values())
-        return WordMemo(lambda xs: _in_lines(t, xs), specials)
+        return WordMemo(lambda words, texts: _in_lines(t, words, texts), specials)
 
     return held(("library", path), make)
 

@@ -37,7 +37,8 @@ def test_memo_restarts_without_changing_results(library, monkeypatch):
     from demoforge.llm import encode
 
     monkeypatch.setattr(encode, "MEMO_WORDS", 50)
-    memo = encode.WordMemo(bpe_trie.TrieBPE(default_tokenizer()).encode, ("<|endoftext|>",))
+    bpe = bpe_trie.TrieBPE(default_tokenizer())
+    memo = encode.WordMemo(lambda words, texts: bpe.encode([" " + w for w in words] + texts), ("<|endoftext|>",))
     texts = fuzz_texts(600, 2)
     for a in range(0, 600, 60):
         want = [e.ids for e in library.encode_batch(texts[a:a + 60], add_special_tokens=False)]
