@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demoforge.llm.caches import held
+from demoforge.llm.common import on_workers
 from demoforge.llm.encode import WordMemo, slices, texts_of
 
 NEVER = 1 << 60
@@ -202,6 +203,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = True) ->
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256; ``with_text`` adds ids and decoded text.  No shuffle: each
     task works on its rows in pieces, with a bounded memo of words."""
+    on_workers(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_text:
         schema += ", ids array<int>, decoded string"

@@ -4,6 +4,7 @@ checkpoint folder, row removal, connected components."""
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,16 @@ from demoforge.session import ensure_checkpoint_dir
 BROADCAST_IDS = 1_000_000
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on
+    a cluster it is shipped or installed; a path that is absent there does no
+    harm)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 class Workspace:
     """Intermediate tables of one job, as Parquet in ``spark.checkpoint.dir``.
 
@@ -23,6 +34,7 @@ class Workspace:
     once however often it is read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        on_workers(spark)
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
         self.n = 0
