@@ -5,7 +5,9 @@ characters of the word; all lower orders are continuation counts shared by both
 classes, so an expression that a class has not seen backs off to the same
 distribution in both.  Backing off, the shared part cancels from the ratio of
 the two likelihoods, so the model that scores is one number for each seen
-n-gram and one for each context, in tables of at most ``SLOTS`` hashed entries.
+n-gram and one for each context, keyed by 64-bit hash.  The entries are counted:
+up to ``GATHER`` of them are broadcast, more stay tables, with which the
+different words of the texts are joined (words -> n-grams -> ratios -> words).
 
 Counts come from every labelled training row.  A word's log-likelihood ratio is
 the sum over its characters; a text is compared length-normalised, as a whole
@@ -26,7 +28,7 @@ import math
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demoforge.llm.chars import END, START, WordTable, framed, gram_hashes, words_of
@@ -35,7 +37,10 @@ from demoforge.llm.encode import slices, texts_of
 
 ORDER = 6
 DISCOUNT = 0.75
-SLOTS = 1 << 22
+#: a model of at most so many n-grams and contexts is broadcast
+GATHER = 1 << 22
+#: parts of the n-grams that a large share of the words starts with
+SALTS = 32
 RUN = 3
 CALIBRATION_ROWS = 20_000
 #: code points that the lowest order spreads over
@@ -111,36 +116,52 @@ def _shared(ws: Workspace, grams: DataFrame) -> DataFrame:
     return out
 
 
-def _slots(strings: list[str], context: bool) -> np.ndarray:
-    """Slot of each n-gram, or of each context, given with its word start if it has one."""
+def _hashes(strings: list[str], context: bool) -> np.ndarray:
+    """Hash of each n-gram, or of each context, given with its word start if it has one."""
     data = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     size = np.array([len(s) for s in strings], dtype=np.int64)
     end = np.cumsum(size)
-    return _slot(gram_hashes(data, end - size, ORDER - context)[end - 1], context)
+    return gram_hashes(data, end - size, ORDER - context)[end - 1].view(np.int64)
 
 
-def _slot(h: np.ndarray, context: bool) -> np.ndarray:
-    return ((h >> np.uint64(17 if context else 3)) % np.uint64(SLOTS)).astype(np.int64)
-
-
-def _table(rows: DataFrame, key: str, context: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(key, weight, ratio) -> at most SLOTS slots and their mean ratio."""
+def _table(rows: DataFrame, key: str, context: bool) -> DataFrame:
+    """(key, ratio) -> h, ratio; one row for each key."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_slots(b.column(key).to_pylist(), context)), b.column("weight"), b.column("ratio")], names=["slot", "weight", "ratio"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column(key).to_pylist(), context)), b.column("ratio")], names=["h", "ratio"])
+
+    return rows.select(key, F.col("ratio").cast("float").alias("ratio")).mapInArrow(run, "h long, ratio float")
+
 
-    t = (rows.select(key, F.col("weight").cast("double").alias("weight"), "ratio").mapInArrow(run, "slot long, weight double, ratio double")
-         .groupBy("slot").agg((F.sum(F.col("weight") * F.col("ratio")) / F.sum("weight")).cast("float").alias("ratio")).toPandas())
-    return t["slot"].to_numpy(np.int64), t["ratio"].to_numpy(np.float32)
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = table.toPandas()
+    h, ratio = t["h"].to_numpy(np.int64), t["ratio"].to_numpy(np.float32)
+    order = np.argsort(h, kind="stable")
+    return h[order], ratio[order]
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: float) -> np.ndarray:
+    if not len(table[0]):
+        return np.full(len(h), missing)
+    at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+    return np.where(table[0][at] == h, table[1][at], missing)
+
+
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each framed word; for each place the hashes of its n-gram and of
+    the context before it (which means nothing at a start)."""
+    data, start = framed(words)
+    full, short = (gram_hashes(data, start, k).view(np.int64) for k in (ORDER, ORDER - 1))
+    return start, full, np.concatenate([short[:1], short[:-1]])
 
 
 class Model:
-    """Log-likelihood ratios of words, toxic over ordinary."""
+    """Log-likelihood ratios of words, toxic over ordinary, from (hash, ratio)
+    of n-grams and of contexts, sorted by hash."""
 
     def __init__(self, gram: tuple[np.ndarray, np.ndarray], context: tuple[np.ndarray, np.ndarray]):
         self.gram, self.context, self.memo = gram, context, None
@@ -148,26 +169,17 @@ class Model:
     def __getstate__(self):
         return {"gram": self.gram, "context": self.context, "memo": None}
 
-    def _load(self):
-        self.g = np.full(SLOTS, np.nan, dtype=np.float32)
-        self.g[self.gram[0]] = self.gram[1]
-        self.c = np.zeros(SLOTS, dtype=np.float32)
-        self.c[self.context[0]] = self.context[1]
-        self.memo = WordTable(self.words, 1)
-
     def words(self, words: list[str]) -> np.ndarray:
-        data, start = framed(words)
-        full, short = gram_hashes(data, start, ORDER), gram_hashes(data, start, ORDER - 1)
-        ratio = self.g[_slot(full, False)]
-        before = np.concatenate([[0.0], self.c[_slot(short, True)][:-1]])
-        ratio = np.where(np.isnan(ratio), before, ratio)
+        start, full, before = _places(words)
+        ratio = _find(self.gram, full, np.nan)
+        ratio = np.where(np.isnan(ratio), _find(self.context, before, 0.0), ratio)
         ratio[start] = 0
         return np.add.reduceat(ratio, start)[:, None]
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Mean ratio per word of the text and of its highest run of words."""
         if self.memo is None:
-            self._load()
+            self.memo = WordTable(self.words, 1)
         out = np.zeros((len(texts), 2))
         lists = [words_of(t) for t in texts]
         for k, at in enumerate(self.memo.batch(lists)):
@@ -179,7 +191,66 @@ class Model:
         return out
 
 
-def fit_model(ws: Workspace, rows: DataFrame) -> Model:
+class Tables:
+    """The ratios of a model that is too large to gather, as (h, ratio) tables."""
+
+    def __init__(self, ws: Workspace, gram: DataFrame, context: DataFrame):
+        self.ws, self.gram, self.context = ws, gram, context
+
+    def words(self, words: DataFrame) -> DataFrame:
+        """word -> word, r: the ratio of each different word."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for piece in slices(b):
+                    start, full, before = _places(piece.column("text").to_pylist())
+                    at = np.arange(len(full))
+                    row = np.searchsorted(start, at, side="right") - 1
+                    nth = at - start[row]
+                    keep = nth > 0
+                    wid = piece.column("wid").to_numpy()[row[keep]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(wid), pa.array(full[keep]), pa.array(before[keep]), pa.array(nth[keep] <= 2)], names=["wid", "h", "c", "hot"])
+
+        words = self.ws.save(words.distinct().withColumn("wid", F.monotonically_increasing_id()), "different-words")
+        places = self.ws.save(words.select("wid", F.col("word").alias("text")).mapInArrow(run, "wid long, h long, c long, hot boolean"), "places")
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        ratios = (places.select("h", "c", "hot").distinct().join(self.gram, "h", "left")
+                  .join(self.context.select(F.col("h").alias("c"), F.col("ratio").alias("back")), "c", "left")
+                  .select("h", F.explode(salts).alias("salt"), F.coalesce("ratio", "back", F.lit(0.0)).cast("double").alias("r")))
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("wid"), F.lit(SALTS)).cast("int")).otherwise(0)
+        total = places.select("wid", "h", salt.alias("salt")).join(ratios, ["h", "salt"]).groupBy("wid").agg(F.sum("r").alias("r"))
+        return self.ws.save(words.join(total, "wid").select("word", "r"), "word-ratios")
+
+    def features(self, docs: DataFrame) -> DataFrame:
+        """docs with whole and run; equal texts are read once."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for piece in slices(b):
+                    for t, text in zip(piece.column("t").to_pylist(), texts_of(piece.column("text"))):
+                        words = words_of(text)
+                        for a in range(0, len(words), 100_000):
+                            part = words[a:a + 100_000]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([t] * len(part), pa.binary()), pa.array(range(a, a + len(part)), pa.int64()), pa.array(part, pa.string())],
+                                names=["t", "pos", "word"])
+
+        docs = docs.withColumn("t", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+        texts = docs.select("t", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["t"])
+        found = self.ws.save(texts.mapInArrow(run, "t binary, pos long, word string"), "occurrences")
+        last = Window.partitionBy("t").orderBy("pos").rowsBetween(1 - RUN, 0)
+        rows = found.join(self.words(found.select("word")), "word").select("t", "r", F.sum("r").over(last).alias("s"), F.count("*").over(last).alias("k"))
+        mean = F.sum("r") / F.count("*")
+        out = rows.groupBy("t").agg(mean.alias("whole"), F.coalesce(F.max(F.when(F.col("k") == RUN, F.col("s"))) / RUN, mean).alias("run"))
+        return docs.join(out, "t", "left").fillna(0.0, ["whole", "run"])
+
+
+def fit_model(ws: Workspace, rows: DataFrame) -> Model | Tables:
     """Model from (text, y) rows."""
     grams = ws.save(_grams(ws.save(_word_counts(rows), "words")), "grams").withColumn("c", F.expr("substring(g, 1, length(g) - 1)"))
     ctx = ws.save(grams.groupBy("c").agg(*[f(F.col(f"c{y}"), y) for y in (0, 1) for f in (
@@ -190,14 +261,20 @@ def fit_model(ws: Workspace, rows: DataFrame) -> Model:
     p = F.coalesce("p", F.lit(1 / ALPHABET))
     ratio = F.log(own[1] + back[1] * p) - F.log(own[0] + back[0] * p)
     full = (grams.withColumn("t", F.expr("substring(g, 2)")).join(shared, "t", "left").join(ctx, "c")
-            .select("g", (F.col("c0") + F.col("c1")).alias("weight"), ratio.alias("ratio")))
-    contexts = ctx.select("c", (F.col("n0") + F.col("n1")).alias("weight"), (F.log(back[1]) - F.log(back[0])).alias("ratio"))
-    return Model(_table(full, "g", False), _table(contexts, "c", True))
+            .select("g", ratio.alias("ratio")))
+    contexts = ctx.select("c", (F.log(back[1]) - F.log(back[0])).alias("ratio"))
+    gram, context = ws.save(_table(full, "g", False), "gram-ratios"), ws.save(_table(contexts, "c", True), "context-ratios")
+    if gram.count() + context.count() <= GATHER:
+        return Model(_sorted(gram), _sorted(context))
+    return Tables(ws, gram, context)
 
 
-def _features(docs: DataFrame, model, extra: str = "") -> DataFrame:
-    """``model``: a broadcast Model.  Adds whole and run to doc_id (and y)."""
+def _features(docs: DataFrame, model: Model | Tables, extra: str = "") -> DataFrame:
+    """Adds whole and run to doc_id (and y)."""
     keep = ["doc_id", *(["y"] if extra else [])]
+    if isinstance(model, Tables):
+        return model.features(docs.select(*keep, "text")).select(*keep, "whole", "run")
+    model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
@@ -238,7 +315,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not n or not toxic or toxic == n:
         rate = float(toxic or 0) / max(n, 1)
         return docs.select("doc_id", held, F.lit(rate).alias("score"), F.lit(int(rate >= 0.5)).alias("predicted"))
-    model = spark.sparkContext.broadcast(fit_model(ws, labelled(docs, labels.filter("fold > 1").select("doc_id", "y")).select("text", "y")))
+    model = fit_model(ws, labelled(docs, labels.filter("fold > 1").select("doc_id", "y")).select("text", "y"))
     rows = _features(labelled(docs, labels.filter("fold = 1").select("doc_id", "y")), model, ", y int")
     sample = ws.save(rows, "calibration").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("whole", "run", "y").toPandas()
     y = sample["y"].to_numpy(float)

@@ -68,6 +68,41 @@ def test_toxicity_held_out(spark):
     assert auc([r.score for r in held], np.array([labels[r.doc_id] == 1 for r in held])) > 0.9
 
 
+def test_ngrams_keep_their_own_ratio(spark):
+    """Renaming letters changes no ratio, whatever the hashes of the names."""
+    from demoforge.llm.chars import framed, gram_hashes
+    from demoforge.llm.common import Workspace
+
+    rng = np.random.RandomState(3)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklm"), (20_000, 9))]
+    data, start = framed(words)
+    # n-grams whose hashes agree in the bits that named their slot
+    slot = (gram_hashes(data, start, 6)[start + 6] >> np.uint64(3)) % np.uint64(1 << 22)
+    first, pair = {}, None
+    for w, x in zip(words, slot.tolist()):
+        if pair is None and first.setdefault(x, w)[:6] != w[:6]:
+            pair = first[x], w
+    rename = str.maketrans("abcdefghijklm", "nopqrstuvwxyz")
+
+    def ratio(bad, good):
+        rows = [(bad, 1), (" ".join([good] * 500), 0)]
+        return toxicity.fit_model(Workspace(spark, "test"), spark.createDataFrame(rows, "text string, y int")).features([bad])[0][0]
+
+    assert ratio(*pair) == pytest.approx(ratio(*(w.translate(rename) for w in pair)), abs=1e-3)
+
+
+def test_toxicity_joined_tables(spark, monkeypatch):
+    """A model too large to gather scores as a gathered one."""
+    docs = edge_docs(spark)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id bigint, toxic int")
+    want, got = [], []
+    for out, most in ((want, toxicity.GATHER), (got, 0)):
+        monkeypatch.setattr(toxicity, "GATHER", most)
+        out += sorted(((repr(r.doc_id), r.score) for r in toxicity.score(docs, labels).collect()))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-6)
+
+
 def test_toxicity_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, None if i == 4 else int(i % 3 == 0)) for i in range(30)] + [(1, 0, 1), (None, 1, 1)],
