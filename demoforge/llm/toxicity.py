@@ -11,9 +11,10 @@ different words of the texts are joined (words -> n-grams -> ratios -> words).
 
 Counts come from every labelled training row.  A word's log-likelihood ratio is
 the sum over its characters; a text is compared length-normalised, as a whole
-and in its most suspicious run of ``RUN`` words, and a logistic curve fitted on
-labelled rows that gave no counts (at most ``CALIBRATION_ROWS``) turns the two
-numbers into a score.
+and in its most suspicious run of ``RUN`` words, and a logistic curve turns the
+two numbers into a score.  The curve is fitted with a first model, which has no
+counts from fold 1, on rows of fold 1 (at most ``CALIBRATION_ROWS``); the model
+that scores then counts fold 1, too.
 
 Nulls: a null text is the empty text, which scores as the curve says for zero
 evidence.  Rows without a label are not learned from; a doc_id labelled more
@@ -110,6 +111,7 @@ def _shared(ws: Workspace, grams: DataFrame) -> DataFrame:
     out = level = ws.save(level, "shared")
     for k in range(2, ORDER):
         below = level.select(F.col("t").alias("s"), "p")
+        ws.release()
         level = ws.save(cont.filter(F.char_length("t") == k).withColumn("s", F.expr("substring(t, 2)")).join(below, "s")
                         .select("t", (F.col("own") + F.col("rest") * F.col("p")).alias("p")), "shared")
         out = out.unionByName(level)
@@ -138,8 +140,8 @@ def _table(rows: DataFrame, key: str, context: bool) -> DataFrame:
 
 
 def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = table.toPandas()
-    h, ratio = t["h"].to_numpy(np.int64), t["ratio"].to_numpy(np.float32)
+    t = table.toArrow()  # without a Python object for each row
+    h, ratio = t["h"].to_numpy().astype(np.int64), t["ratio"].to_numpy().astype(np.float32)
     order = np.argsort(h, kind="stable")
     return h[order], ratio[order]
 
@@ -252,18 +254,25 @@ class Tables:
 
 def fit_model(ws: Workspace, rows: DataFrame) -> Model | Tables:
     """Model from (text, y) rows."""
-    grams = ws.save(_grams(ws.save(_word_counts(rows), "words")), "grams").withColumn("c", F.expr("substring(g, 1, length(g) - 1)"))
+    return _fit(ws, ws.save(_word_counts(rows), "words"))
+
+
+def _fit(ws: Workspace, words: DataFrame) -> Model | Tables:
+    grams = ws.save(_grams(words), "grams").withColumn("c", F.expr("substring(g, 1, length(g) - 1)"))
     ctx = ws.save(grams.groupBy("c").agg(*[f(F.col(f"c{y}"), y) for y in (0, 1) for f in (
         lambda c, y: F.sum(c).alias(f"n{y}"), lambda c, y: F.sum((c > 0).cast("long")).alias(f"t{y}"))]), "contexts")
     back = [F.when(F.col(f"n{y}") > 0, F.lit(DISCOUNT) * F.col(f"t{y}") / F.col(f"n{y}")).otherwise(1.0) for y in (0, 1)]
     own = [F.when(F.col(f"n{y}") > 0, F.greatest(F.col(f"c{y}") - DISCOUNT, F.lit(0.0)) / F.col(f"n{y}")).otherwise(0.0) for y in (0, 1)]
+    ws.release()
     shared = _shared(ws, grams.select("g"))
+    ws.release()
     p = F.coalesce("p", F.lit(1 / ALPHABET))
     ratio = F.log(own[1] + back[1] * p) - F.log(own[0] + back[0] * p)
     full = (grams.withColumn("t", F.expr("substring(g, 2)")).join(shared, "t", "left").join(ctx, "c")
             .select("g", ratio.alias("ratio")))
     contexts = ctx.select("c", (F.log(back[1]) - F.log(back[0])).alias("ratio"))
     gram, context = ws.save(_table(full, "g", False), "gram-ratios"), ws.save(_table(contexts, "c", True), "context-ratios")
+    ws.release()
     if gram.count() + context.count() <= GATHER:
         return Model(_sorted(gram), _sorted(context))
     return Tables(ws, gram, context)
@@ -315,14 +324,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not n or not toxic or toxic == n:
         rate = float(toxic or 0) / max(n, 1)
         return docs.select("doc_id", held, F.lit(rate).alias("score"), F.lit(int(rate >= 0.5)).alias("predicted"))
-    model = fit_model(ws, labelled(docs, labels.filter("fold > 1").select("doc_id", "y")).select("text", "y"))
-    rows = _features(labelled(docs, labels.filter("fold = 1").select("doc_id", "y")), model, ", y int")
+    words, aside = (ws.save(_word_counts(labelled(docs, labels.filter(part).select("doc_id", "y")).select("text", "y")), "words") for part in ("fold > 1", "fold = 1"))
+    rows = _features(labelled(docs, labels.filter("fold = 1").select("doc_id", "y")), _fit(ws, words), ", y int")
     sample = ws.save(rows, "calibration").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("whole", "run", "y").toPandas()
     y = sample["y"].to_numpy(float)
-    if 0 < y.sum() < len(y):
+    seen = words.agg(F.sum("c0"), F.sum("c1")).first()
+    if 0 < y.sum() < len(y) and all(seen):
         a, b, c = (float(v) for v in logistic(sample[["whole", "run"]].to_numpy(), y))
-    else:  # too few rows for a curve: even odds at one nat a word over the run
+    else:  # too few rows for a curve, or a first model of one class: even odds at one nat a word over the run
         a, b, c = 0.0, 2.0, -2.0
+    ws.release()
+    words = ws.save(words.unionByName(aside).groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "words")
     odds = F.lit(a) * F.col("whole") + F.lit(b) * F.col("run") + F.lit(c)
-    out = _features(docs, model).select("doc_id", held, (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0))))).alias("score"))
+    out = _features(docs, _fit(ws, words)).select("doc_id", held, (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(700.0)), F.lit(-700.0))))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

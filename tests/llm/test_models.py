@@ -91,6 +91,23 @@ def test_ngrams_keep_their_own_ratio(spark):
     assert ratio(*pair) == pytest.approx(ratio(*(w.translate(rename) for w in pair)), abs=1e-3)
 
 
+def test_toxicity_learns_from_every_fold(spark):
+    """An insult whose labelled rows all lie in fold 1 is learned."""
+    rng = np.random.RandomState(5)
+    ids = {f: [i for i in range(1000) if fold(i, 5) == f] for f in range(5)}
+    plain = [" ".join(rng.choice(["river", "stone", "garden", "window", "market"], 12)) for _ in range(1000)]
+    insult = {f: "snarfwit" for f in (2, 3, 4)} | {1: "gribbleton"}
+    rows = [(i, f"{plain[i]} {insult[f]}" if k % 2 else plain[i], k % 2) for f in insult for k, i in enumerate(ids[f][:60])]
+    rows += [(i, f"{plain[i]} gribbleton" if k % 2 else plain[i], None) for k, i in enumerate(ids[0][:60])]
+    # some of fold 1 carries the known insult, so that the curve has a slope
+    rows = [(i, t.replace("gribbleton", "snarfwit") if fold(i, 5) == 1 and i % 3 == 0 else t, y) for i, t, y in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    held = {y: [score[i] for i, t, _ in rows if fold(i, 5) == 0 and ("gribbleton" in t) == y] for y in (True, False)}
+    assert min(held[True]) > max(held[False]) + 0.2
+
+
 def test_toxicity_joined_tables(spark, monkeypatch):
     """A model too large to gather scores as a gathered one."""
     docs = edge_docs(spark)
