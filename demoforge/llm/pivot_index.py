@@ -16,12 +16,12 @@ all pairs.
 
 Equal vectors are one class with a multiplicity; they link with each other.
 Null, empty, zero vectors and vectors with null or non-finite components link
-with nothing.  Vectors of another length than the most common one link only
-with equal ones.  Ties among pivots go to the lower pivot.  An empty table
+with nothing.  Every length of vectors has pivots of its own, so vectors meet
+only those of their length.  Ties among pivots go to the lower pivot.  An empty table
 gives an empty result; other columns are ignored.
 
 The pivots are the only part of the index that is fitted: of the ``SAMPLE``
-different vectors that are least by a hash of their bytes, at most ``PIVOTS``
+different vectors of a length that are least by a hash of their bytes, at most ``PIVOTS``
 that lie apart (cosine below ``APART``), so that a dense cluster holds one of
 them and its members keep the same prefix.
 """
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -91,8 +92,9 @@ def _apart(points: np.ndarray, most: int) -> np.ndarray:
     return points[kept]
 
 
-def _prefixes(classes: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
-    """cid, n, vec and sig, the prefix as a sorted list of pivots."""
+def _prefixes(classes: DataFrame, pivots: np.ndarray, prefix: int, base: int) -> DataFrame:
+    """cid, n, vec and sig, the prefix as a sorted list of pivots, which are
+    numbered from ``base``."""
 
     def run(batches):
         import pyarrow as pa
@@ -104,7 +106,7 @@ def _prefixes(classes: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
                 near = np.argsort(-sim, axis=1, kind="stable")[:, :prefix]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("cid"), b.column("n"), b.column("vec"),
-                     pa.array(np.sort(near, axis=1).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["cid", "n", "vec", "sig"])
+                     pa.array((np.sort(near, axis=1) + base).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["cid", "n", "vec", "sig"])
 
     return classes.select("cid", "n", "vec").mapInArrow(run, "cid long, n long, vec binary, sig array<int>")
 
@@ -207,8 +209,13 @@ def _verdicts(pairs: DataFrame, cos: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cx, cy = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.float64).reshape(b.num_rows, -1) for c in ("cx", "cy"))
-            angle = np.arccos(np.clip((cx * cy).sum(axis=1), -1, 1))
+            raw = [b.column(c).to_pylist() for c in ("cx", "cy")]
+            size = np.array([len(x) for x in raw[0]])
+            angle = np.zeros(b.num_rows)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                cx, cy = (np.frombuffer(b"".join(x[i] for i in at), dtype=np.float64).reshape(len(at), -1) for x in raw)
+                angle[at] = np.arccos(np.clip((cx * cy).sum(axis=1), -1, 1))
             r = b.column("rx").to_numpy() + b.column("ry").to_numpy()
             keep = np.flatnonzero(angle - r <= limit + MARGIN)
             yield pa.RecordBatch.from_arrays(
@@ -253,13 +260,17 @@ def near_duplicates(df: DataFrame, cos: float = 0.9, vector: str = "embedding",
     rows = ws.save(_vectors(df, vector), "vectors")
     classes = ws.save(rows.filter("key is not null").groupBy("key", "size").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.max("vec").alias("vec"))
                       .withColumn("cid", F.monotonically_increasing_id()), "classes")
-    common = classes.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size").first()
-    size = common["size"] if common else 0
-    usable = classes.filter(F.col("size") == size)
-    sample = [bytes(r[0]) for r in usable.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").collect()]
-    points = _apart(_unit(sample), pivots) if sample else np.zeros((1, 1))
-    shared = min(shared, len(points), prefix)
-    members = ws.save(_prefixes(usable, points, prefix), "prefixes")
+    # one length at a time: the driver holds one sample; a vector alone has no partner
+    sizes = sorted(r["size"] for r in classes.groupBy("size").agg(F.count("*").alias("m")).filter("m > 1").collect())
+    parts, widths, base = [], set(), 0
+    for size in sizes:
+        usable = classes.filter(F.col("size") == size)
+        sample = [bytes(r[0]) for r in usable.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").collect()]
+        points = _apart(_unit(sample), pivots)
+        parts.append(ws.save(_prefixes(usable, points, prefix, base), "prefixes"))
+        widths.add(min(prefix, len(points)))
+        base += len(points)
+    members = reduce(DataFrame.unionByName, parts or [ws.save(_prefixes(classes.limit(0), np.zeros((1, 1)), prefix, 0), "prefixes")])
     counts = ws.save(members.groupBy("sig").agg(F.count("*").alias("m")), "signatures")
     # the blocks of a signature are numbered cells
     sigs = ws.save(counts.select("sig", "m", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / BLOCK) - 1).cast("int"))).alias("block"))
@@ -268,12 +279,15 @@ def near_duplicates(df: DataFrame, cos: float = 0.9, vector: str = "embedding",
     members = members.join(counts, "sig").withColumn("block", block).join(sigs.drop("m"), ["sig", "block"])
     cells = ws.save(_cells(members), "cells")
     # inverted lists: one entry per combination of shared pivots
-    places = [[i for i in range(prefix) if mask >> i & 1] for mask in range(1 << prefix) if mask.bit_count() == shared]
-    combo = F.explode(F.array(*[F.array(*[F.element_at("sig", i + 1) for i in p]) for p in places if p[-1] < len(points)]))
-    lists = sigs.select("cell", "sig", combo.alias("k"))
+    def listed(width: int) -> DataFrame:
+        places = [[i for i in range(width) if mask >> i & 1] for mask in range(1 << width) if mask.bit_count() == min(shared, width)]
+        combo = F.explode(F.array(*[F.array(*[F.element_at("sig", i + 1) for i in p]) for p in places]))
+        return sigs.filter(F.size("sig") == width).select("cell", "sig", combo.alias("k"))
+
+    lists = reduce(DataFrame.unionByName, map(listed, sorted(widths or {1})))
     met = (lists.select(F.col("cell").alias("x"), F.col("sig").alias("sx"), "k")
            .join(lists.select(F.col("cell").alias("y"), F.col("sig").alias("sy"), "k"), "k")
-           .filter("x < y").filter(F.slice(F.array_intersect("sx", "sy"), 1, shared) == F.col("k")).select("x", "y"))
+           .filter("x < y").filter(F.slice(F.array_intersect("sx", "sy"), 1, F.size("k")) == F.col("k")).select("x", "y"))
     pairs = ws.save(met, "met")
     ball = cells.select("cell", "centre", "radius")
     pairs = (pairs.join(ball.select(F.col("cell").alias("x"), F.col("centre").alias("cx"), F.col("radius").alias("rx")), "x")

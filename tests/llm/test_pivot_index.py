@@ -68,6 +68,19 @@ def test_recall_at_the_threshold(spark):
     assert sum(g[0] for g in got.values()) >= 0.9 * 1200
 
 
+def test_every_length_is_indexed(spark):
+    """Near links within two lengths and a pair of a third; none across."""
+    v = clusters() + clusters(seed=1, dim=16)[:250] + [np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.01, 0.0]), np.array([1.0] * 5)]
+    ids = list(range(len(v)))
+    got = run(spark, ids, v)
+    for dim in (32, 16, 3, 5):
+        at = [i for i in ids if len(v[i]) == dim]
+        want = brute(at, [v[i] for i in at])
+        assert all(got[i][0] <= want[i][0] for i in at)
+        assert sum(got[i][0] for i in at) >= 0.97 * sum(w[0] for w in want.values())
+        assert sum(got[i][1] == want[i][1] for i in at) >= 0.97 * len(at)
+
+
 def test_odd_vectors(spark):
     v = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 1.0], [2.0, 2.0], [1.0, 1.0], [1.0, -1.0],
          [1e300, 1e300], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1e-300, 1e-300]]
