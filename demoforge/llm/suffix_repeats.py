@@ -15,8 +15,8 @@ same place in themselves.  Only suffixes that start at anchors are sorted:
    scanned the same way; an interval of left extensions, which is left-diverse
    by construction, that is not inside one right child is a maximal repeat: it
    comes out with all its occurrences, not only with neighbours.
-4. An anchor with more than ``GROUP_ROWS`` different contexts is scanned in
-   chunks of them; what repeats across chunks is found by counting the contexts'
+4. For what is covered (not for ``groups``, which scans an anchor whole), an
+   anchor with more than ``GROUP_ROWS`` different contexts is scanned in chunks; what repeats across chunks is found by counting the contexts'
    windows by 128-bit hash, and only windows that reach beyond what a chunk has
    covered already are looked up in the counts.
 
@@ -312,11 +312,11 @@ class Repeats:
         self.size = ws.save(size.select("h", "m"), "sizes")
         ws.release()
 
-    def _chunks(self) -> DataFrame:
-        """Contexts with a partner, in chunks of about GROUP_ROWS of an anchor,
-        sorted by right context."""
+    def _chunks(self, whole: bool = False) -> DataFrame:
+        """Contexts with a partner, in chunks of about GROUP_ROWS of an anchor
+        (``whole``: one chunk), sorted by right context."""
         rows = self.contexts.join(self.size, "h")
-        chunk = F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / GROUP_ROWS)).cast("int")
+        chunk = F.lit(0) if whole else F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / GROUP_ROWS)).cast("int")
         return (rows.select("h", chunk.alias("chunk"), "ctx", "n", "left", "right")
                 .repartition("h", "chunk").sortWithinPartitions("h", "chunk", "right"))
 
@@ -338,13 +338,14 @@ class Repeats:
                             .groupBy("key").agg(F.collect_list("x").alias("spans")), "spans")
 
     def groups(self) -> DataFrame:
-        """Maximal repeats around anchors: h, chunk, nth (the group), key, start,
+        """Maximal repeats around anchors: h, nth (the group), key, start,
         length of every occurrence.  A repeat that holds several anchors, or is
-        longer than the contexts, comes out in part around each of them; an
-        anchor of more than GROUP_ROWS contexts has its groups by chunk."""
-        g = _scan(self._chunks(), groups=True)
+        longer than the contexts, comes out in part around each of them.  All
+        different contexts of an anchor (below 2 * WINDOW bytes each) are scanned
+        by one task, so that its groups are whole."""
+        g = _scan(self._chunks(whole=True), groups=True)
         return g.join(self.occurrences.select("key", "pos", "ctx"), "ctx").select(
-            "h", "chunk", "nth", "key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("lo") + F.col("hi")).alias("length"))
+            "h", "nth", "key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("lo") + F.col("hi")).alias("length"))
 
 
 def _cut(text: str, spans: list[dict]) -> tuple[bytes, list[bytes], int]:

@@ -128,6 +128,25 @@ def test_groups_hold_all_occurrences(spark):
     assert max(len(g) for g in groups.values()) == 5
 
 
+def test_groups_of_hot_anchors_are_whole(spark, monkeypatch):
+    """More contexts than a chunk holds, and a longer repeat that only two of them share."""
+    rng = random.Random(12)
+    p, longer = prose(rng, 50), prose(rng, 8)
+    rows = [(i, f"{prose(rng, 20)} {p} {longer if i in (0, 7) else ''} {prose(rng, 20)}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def groups():
+        out = collections.defaultdict(set)
+        for r in R.Repeats(docs).groups().collect():
+            out[(r.h, r.nth)].add((r.key, r.start, r.length))
+        return sorted(map(sorted, out.values()))
+
+    want = groups()
+    assert max(map(len, want)) == 12
+    monkeypatch.setattr(R, "GROUP_ROWS", 2)
+    assert groups() == want
+
+
 def test_remove_keeps_rows_and_columns(spark):
     docs = edge_docs(spark)
     out = R.remove(docs)
