@@ -2,15 +2,17 @@
 
 A byte-level pre-tokeniser never lets a token run across a single space that
 has a non-space character on both sides: the space opens the next word.  So a
-text without other white space beside its spaces can be cut at its spaces, and
-each different word is encoded once per worker."""
+text without other white space beside its spaces can be cut at its spaces.  A
+piece of texts is cut and its words are numbered by Arrow; each different word
+of a piece is looked up or encoded once, and a text's ids are joined from its
+words' ids."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -19,15 +21,21 @@ from demoforge.llm.caches import held
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: words whose ids a worker remembers; a full memo restarts from the current batch
-MEMO_WORDS = 400_000
+#: words in each of a memo's two generations
+MEMO_WORDS = 350_000
 #: longer words are encoded but not remembered
 MEMO_LENGTH = 64
+#: bytes of text that are cut together
+PIECE_BYTES = 4_000_000
 
-_BESIDE = [a for w in "\t\n\x0b\x0c\r" for a in (" " + w, w + " ")] + ["  "]
-_RARE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: white space beside a space, or white space that the plain cut does not know
+_UNSAFE = (r"  | [\t\n\x0b\x0c\r]|[\t\n\x0b\x0c\r] |"
+           r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+#: pre-tokens of a byte-level tokeniser (fixed pattern of its file format)
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -35,13 +43,111 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def words_of(text: str) -> list[str]:
-    """Cut at every space that has non-space characters on both sides."""
-    if any(a in text for a in _BESIDE) or (not text.isascii() and _RARE.search(text)) or (
-        text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f")
-    ):
-        return _SAFE.split(text)
-    return text.split(" ")
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in a byte-level
+    vocabulary: printable Latin-1 bytes stand for themselves, the others take
+    the code points from 256 on in ascending order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def plain_byte_level(spec: dict) -> bool:
+    """Is this tokenizers JSON a byte-level BPE without further steps?"""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    return bool(spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+                and not pre.get("add_prefix_space") and spec.get("post_processor") is None
+                and not model.get("ignore_merges") and not model.get("dropout"))
+
+
+class Cut:
+    """A column of texts cut into heads and words.
+
+    ``heads``: what each text begins with, up to its first cut; ``words``: the
+    different words that follow a space; ``index[bounds[k]:bounds[k + 1]]``:
+    the words of text k."""
+
+    def __init__(self, column, specials: tuple[str, ...] = ()):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        col = pc.fill_null(column, "")
+        n = len(col)
+        whole = np.zeros(n, dtype=bool)
+        for s in specials:
+            whole |= np.asarray(pc.match_substring(col, s))
+        odd = whole | np.asarray(pc.match_substring_regex(col, _UNSAFE))
+        cut = pc.split_pattern(col.filter(pa.array(~odd)), " ")
+        sizes = np.asarray(pc.list_value_length(cut)).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        values = cut.flatten()
+        tail = np.ones(len(values), dtype=bool)
+        tail[first] = False
+        heads = np.empty(n, dtype=object)
+        heads[~odd] = values.take(pa.array(first)).to_pylist()
+        count = np.zeros(n, dtype=np.int64)
+        count[~odd] = sizes - 1
+        values = values.filter(pa.array(tail))
+        if odd.any():
+            rest: list[str] = []
+            for k in np.flatnonzero(odd).tolist():
+                t = col[k].as_py()
+                words = [t] if whole[k] else _SAFE.split(t)
+                heads[k] = words[0]
+                count[k] = len(words) - 1
+                rest += words[1:]
+            values = pa.concat_arrays([values, pa.array(rest, values.type)])
+        coded = values.dictionary_encode()
+        self.words: list[str] = coded.dictionary.to_pylist()
+        index = np.asarray(coded.indices)
+        if odd.any():  # the odd texts' words stand behind the others
+            order = np.argsort(odd, kind="stable")
+            own = count[order]
+            start = np.empty(n, dtype=np.int64)
+            start[order] = np.cumsum(own) - own
+            self.bounds = np.concatenate([[0], np.cumsum(count)])
+            index = index[np.repeat(start - self.bounds[:-1], count) + np.arange(len(index))]
+        else:
+            self.bounds = np.concatenate([[0], np.cumsum(count)])
+        self.index, self.heads = index, heads.tolist()
+
+
+class Memo:
+    """Values of strings, worked out in batches.  Two generations: a full one
+    becomes the older one, what is asked for again moves to the younger, so
+    frequent strings stay and memory is bounded."""
+
+    def __init__(self, compute: Callable[[list[str]], list]):
+        self.compute = compute
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def of(self, keys: list[str]) -> list:
+        young = self.young
+        out = list(map(young.get, keys))
+        if None in out:
+            old, todo = self.old, {}
+            for k, v in enumerate(out):
+                if v is None:
+                    key = keys[k]
+                    v = old.get(key)
+                    if v is None:
+                        todo[key] = None
+                    else:
+                        out[k] = young[key] = v
+            if todo:
+                new = list(todo)
+                todo = dict(zip(new, self.compute(new)))
+                for k, v in enumerate(out):
+                    if v is None:
+                        out[k] = todo[keys[k]]
+                young.update(todo)
+                for key in new:
+                    if len(key) > MEMO_LENGTH:
+                        del young[key]
+        if len(young) > MEMO_WORDS:
+            self.old, self.young = young, {}
+        return out
 
 
 class WordMemo:
@@ -51,93 +157,93 @@ class WordMemo:
     bytes in one list; ``specials`` are strings that the tokeniser takes as one
     token: a text that holds one is encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str], list[str]], list[bytes]], specials: tuple[str, ...] = ()):
-        self.encode, self.specials = encode, specials
-        self.memo: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        memo, get = self.memo, self.memo.get
-        cut, found, holes, miss = [], [], [], set()
-        for t in texts:
-            words = [t] if any(s in t for s in self.specials) else words_of(t)
-            ids = list(map(get, words))
-            ids[0] = None  # the first word has no space before it
-            k, empty = 0, []
-            try:
-                while True:
-                    k = ids.index(None, k + 1)
-                    empty.append(k)
-            except ValueError:
-                pass
-            miss.update([words[k] for k in empty])
-            cut.append(words)
-            found.append(ids)
-            holes.append(empty)
-        new = list(miss)
-        ids = self.encode(new, [w[0] for w in cut])
-        memo.update(zip(new, ids))
-        out = []
-        for words, have, empty, first in zip(cut, found, holes, ids[len(new):]):
-            have[0] = first
-            for k in empty:
-                have[k] = memo[words[k]]
-            out.append(b"".join(have))
-        if len(memo) > MEMO_WORDS:
-            used = set(chain.from_iterable(c[1:] for c in cut))
-            self.memo = {w: memo[w] for w in used if len(w) <= MEMO_LENGTH}
-        else:
-            for w in new:
-                if len(w) > MEMO_LENGTH:
-                    del memo[w]
-        return out
+    def __init__(self, encode: Callable[[list[str], list[str]], list], specials: tuple[str, ...] = ()):
+        self.specials = specials
+        self.words, self.heads = Memo(lambda words: encode(words, [])), Memo(lambda texts: encode([], texts))
+
+    def parts(self, column) -> tuple[list, list, np.ndarray]:
+        """Of every text: its head's value; the values of all texts' words
+        after each other; where each text's words begin and end."""
+        import pyarrow as pa
+
+        cut = Cut(pa.array(column, pa.string()) if isinstance(column, list) else column, self.specials)
+        values = self.words.of(cut.words)
+        return self.heads.of(cut.heads), list(map(values.__getitem__, cut.index.tolist())), cut.bounds
 
+    def batch(self, column) -> list[bytes]:
+        heads, words, bounds = self.parts(column)
+        b = bounds.tolist()
+        return [h + b"".join(words[x:y]) for h, x, y in zip(heads, b, b[1:])]
 
-#: words that go to the library in one text
-LINE_WORDS = 4000
 
+#: the same pattern for texts below U+0080, where ``re`` does
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: printable characters below U+0250 with more than white space among them
+_OLD = re.compile("(?=.*[^ ])[ -~\xa1-\u024f]+").fullmatch
 
-def _lines_of(word: str) -> int:
-    """In how many lines of a longer text the word can stand; 0: in none."""
-    if word.isprintable():
-        return 1 if word and " " not in word else 0
-    rows = word.split("\n")
-    return len(rows) if all(r and r.isprintable() and " " not in r for r in rows) else 0
 
+#: strings that the model takes in one call
+BLOCK = 100
 
-def _alone(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+class ByModel:
+    """Encodes short strings through the library's own model, in blocks.
 
-def _in_lines(tokenizer, words: list[str], texts: list[str]) -> list[bytes]:
-    """Encode words that follow a space, then whole texts, in few calls.  Words
-    without other white space than single inner line breaks stand in lines of
-    a longer text: a line break between two other characters is a token by
-    itself, so the ids are cut there."""
-    probe = tokenizer.encode("a\n a", add_special_tokens=False).ids
-    brk = probe[1] if len(probe) == 3 else None
-    rows = [_lines_of(w) for w in words] if brk is not None else [0] * len(words)
-    many = [w for w, n in zip(words, rows) if n]
-    blocks = ["\n " + "\n ".join(many[k:k + LINE_WORDS]) for k in range(0, len(many), LINE_WORDS)]
-    counts = iter([n for n in rows if n])
-    cut: list[bytes] = []
-    for e, block in zip(tokenizer.encode_batch_fast(blocks, add_special_tokens=False), blocks):
-        ids = np.array([*e.ids, brk], dtype="<u4")
-        at, raw = (4 * np.flatnonzero(ids == brk)).tolist(), ids.tobytes()
-        if len(at) != block.count("\n") + 1:
+    Pre-tokens (the fixed pattern of the file format) and strings are set apart
+    by two control characters that no longer vocabulary entry holds: nothing
+    merges across them, and a block's ids are cut there."""
+
+    def __init__(self, tokenizer, spec: dict):
+        import regex
+        from tokenizers import Tokenizer
+
+        letters = {b: c for c, b in byte_letters().items()}
+        self.table = letters
+        self.model, self.find = Tokenizer(tokenizer.model), regex.compile(PRETOKEN).findall
+        vocab = spec["model"]["vocab"]
+        longer = set("".join(e for e in vocab if len(e) > 1))
+        free = [b for b in range(1, 9) if letters[b] in vocab and letters[b] not in longer]
+        self.apart = plain_byte_level(spec) and len(free) > 1
+        if self.apart:
+            self.marks = [chr(b) for b in free[:2]]
+            self.gap, self.brk = (vocab[letters[b]] for b in free[:2])
+
+    def takes(self, text: str) -> bool:
+        """Alphabets below U+0250, on whose letters all Unicode versions agree."""
+        return text.isascii() and text.isprintable() and text not in ("", " ") or _OLD(text) is not None
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        gap, brk = self.marks
+        # strings of one word are cut in one call: a line break between them is a pre-token
+        lines = [k for k, t in enumerate(texts) if t.isascii() and t.rfind(" ") < 1]
+        for a in range(0, len(lines), BLOCK):
+            part = lines[a:a + BLOCK]
+            found = _ASCII.findall("\n".join([texts[k] for k in part]))
+            block = gap.join(found).replace(" ", self.table[32]).replace("\n", self.table[ord(brk)]).replace(gap, self.table[ord(gap)])
+            for k, ids in zip(part, self._ids(block, len(part))):
+                out[k] = ids
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for a in range(0, len(rest), BLOCK):
+            part = rest[a:a + BLOCK]
+            block = (gap + brk + gap).join([gap.join(self.find(texts[k])) for k in part])
+            for k, ids in zip(part, self._ids(block.encode().decode("latin-1").translate(self.table), len(part))):
+                out[k] = ids
+        return out
+
+    def _ids(self, block: str, n: int) -> list[bytes]:
+        ids = np.array(self.model.encode(block, add_special_tokens=False).ids, dtype="<u4")
+        ids = ids[ids != self.gap]
+        at = [-4, *(4 * np.flatnonzero(ids == self.brk)).tolist(), 4 * len(ids)]
+        if len(at) != n + 1:
             raise ValueError("the tokeniser joins tokens across line breaks")
-        k, last = 0, len(at) - 1
-        while k < last:
-            n = next(counts)
-            cut.append(raw[at[k] + 4:at[k + n]])
-            k += n
-    if len(many) < len(words):
-        lines, rest = iter(cut), iter(_alone(tokenizer, [" " + w for w, n in zip(words, rows) if not n]))
-        cut = [next(lines) if n else next(rest) for n in rows]
-    return cut + _alone(tokenizer, texts)
+        raw = ids.tobytes()
+        return [raw[x + 4:y] for x, y in zip(at, at[1:])]
 
 
-def library_encoder(path: str) -> WordMemo:
-    """The tokenizers library behind a word memo, one per worker process."""
+def library_encoder(path: str, plain: bool = False) -> WordMemo:
+    """The tokenizers library behind a word memo, one per worker process.
+    ``plain``: special tokens' strings in a text are ordinary text."""
 
     def make() -> WordMemo:
         from tokenizers import Tokenizer
@@ -145,14 +251,31 @@ def library_encoder(path: str) -> WordMemo:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        t.encode_special_tokens = plain
         model = t.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # the memo remembers words already
             t.model = model
-        specials = tuple(a.content for a in t.get_added_tokens_decoder().values())
-        return WordMemo(lambda words, texts: _in_lines(t, words, texts), specials)
-
-    return held(("library", path), make)
+        specials = () if plain else tuple(a.content for a in t.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as f:
+            by_model = ByModel(t, json.load(f))
+
+        def texts(many: list[str]) -> list[bytes]:
+            out: list = [None] * len(many)
+            if by_model.apart:
+                near = [k for k, s in enumerate(many) if by_model.takes(s)]
+                if any(x in "\n".join(many) for x in specials):
+                    near = [k for k in near if not any(x in many[k] for x in specials)]
+                for k, ids in zip(near, by_model.many([many[k] for k in near])):
+                    out[k] = ids
+            far = [k for k, ids in enumerate(out) if ids is None]
+            for k, e in zip(far, t.encode_batch_fast([many[k] for k in far], add_special_tokens=False)):
+                out[k] = np.array(e.ids, dtype="<u4").tobytes()
+            return out
+
+        return WordMemo(lambda words, heads: texts([" " + w for w in words] + heads), specials)
+
+    return held(("library", path, plain), make)
 
 
 def slices(batch, size: int = 1_000_000, column: str = "text"):

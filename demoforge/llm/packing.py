@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demoforge.llm.common import Workspace
-from demoforge.llm.encode import library_encoder, slices, texts_of
+from demoforge.llm.encode import PIECE_BYTES, library_encoder, slices
 
 #: (share, groups): lengths above capacity / share are large and are dealt into
 #: so many size groups.  Each choice is planned on the histogram; the one with
@@ -193,9 +193,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_
         end = np.array([end_id], dtype="<u4").tobytes()
         task, count = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, PIECE_BYTES):
                 rows = []
-                for d, t in zip(part.column("doc_id").to_pylist(), encoder.batch(texts_of(part.column("text")))):
+                for d, t in zip(part.column("doc_id").to_pylist(), encoder.batch(part.column("text"))):
                     t += end
                     n = len(t) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]

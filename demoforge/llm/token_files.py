@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demoforge.llm.encode import library_encoder, slices, texts_of
+from demoforge.llm.encode import PIECE_BYTES, library_encoder, slices
 
 #: a segment is closed when it holds this many ids (a longer document is one segment)
 SEGMENT_IDS = 1 << 18
@@ -155,8 +155,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 ("n_tokens", pa.int64()), ("image", pa.binary())]))
 
         for batch in batches:
-            for piece in slices(batch):
-                for d, t in zip(piece.column("doc_id").to_pylist(), encoder.batch(texts_of(piece.column("text")))):
+            for piece in slices(batch, PIECE_BYTES):
+                for d, t in zip(piece.column("doc_id").to_pylist(), encoder.batch(piece.column("text"))):
                     ids.append(d)
                     toks.append(t + end)
                     n += len(t) // 4 + 1
