@@ -26,20 +26,24 @@ from pyspark.sql import functions as F
 
 from demoforge.llm.caches import held
 from demoforge.llm.common import on_workers
-from demoforge.llm.encode import WordMemo, slices, texts_of
+from demoforge.llm.encode import PIECE_BYTES, PRETOKEN, Cut, Memo, WordMemo, byte_letters, plain_byte_level, slices
 
 NEVER = 1 << 60
-#: pre-tokens of a byte-level tokeniser (fixed pattern of its file format)
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level
-    vocabulary: printable Latin-1 bytes stand for themselves, the others take
-    the code points from 256 on in ascending order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: longer shared prefixes of neighbours in the trie are followed again from here
+SHARED = 48
+
+
+def shared_prefixes(words: list[bytes]) -> list[int]:
+    """For each of the sorted words, how many bytes it shares with the word
+    before it, up to ``SHARED``."""
+    if not words:
+        return []
+    table = np.frombuffer(b"".join([w[:SHARED].ljust(SHARED, b"\0") for w in words]), dtype=np.uint8).reshape(-1, SHARED)
+    same = np.cumprod(table[1:] == table[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    size = np.array([len(w) for w in words])
+    return [0, *np.minimum(same, np.minimum(size[1:], size[:-1])).tolist()]
 
 
 class TrieBPE:
@@ -51,11 +55,7 @@ class TrieBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
-        pre = spec.get("pre_tokenizer") or {}
-        plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-                 and not pre.get("add_prefix_space") and spec.get("post_processor") is None
-                 and not model.get("ignore_merges") and not model.get("dropout"))
-        if not plain:
+        if not plain_byte_level(spec):
             raise ValueError("only plain byte-level BPE files are supported")
         raw = lambda s: bytes(letters[c] for c in s)
         self.find = regex.compile(PRETOKEN).findall
@@ -88,16 +88,52 @@ class TrieBPE:
             else:
                 self.right[t] = self.left[t] = [(t, NEVER)]
         self.pairs: dict[int, bool] = {}
-        # a token counts if merging its bytes alone gives it back; the suffix tree holds them backwards
-        self.suffixes: dict = {}
+        # a token counts if merging its bytes alone gives it back
         alone: dict[int, bool] = {}
         for b, t in sorted(ids.items(), key=lambda x: len(x[0])):
             alone[t] = t not in halves or (alone[halves[t][0]] and alone[halves[t][1]] and self._apart(halves[t][0], halves[t][1], inner=True))
-            if alone[t]:
-                node = self.suffixes
-                for c in reversed(b):
-                    node = node.setdefault(c, {})
-                node[-1] = t
+        self._automaton({b: t for b, t in ids.items() if alone[t]})
+
+    def _automaton(self, tokens: dict[bytes, int]) -> None:
+        """States are the prefixes of tokens: the state after some bytes is the
+        longest one that ends there.  ``step[state][byte]`` leads on,
+        ``ends[state]`` has the tokens that end there, the longest first."""
+        number, step, ends, own = {b"": 0}, [{}], [()], [None]
+        for b, t in tokens.items():
+            for k in range(1, len(b) + 1):
+                if b[:k] not in number:
+                    number[b[:k]] = len(step)
+                    step[number[b[:k - 1]]][b[k - 1]] = len(step)
+                    step.append({})
+                    ends.append(())
+                    own.append(None)
+            own[number[b]] = (t, len(b))
+        back = [0] * len(step)
+        level = [0]
+        while level:
+            deeper = []
+            for s in level:
+                for c, n in step[s].items():
+                    f = back[s]
+                    while s and f and c not in step[f]:
+                        f = back[f]
+                    back[n] = step[f].get(c, 0) if s else 0
+                    ends[n] = ((own[n],) if own[n] else ()) + ends[back[n]]
+                    deeper.append(n)
+            level = deeper
+        self.step, self.back, self.ends = step, back, ends
+        self.lead: dict[int, int] = {}
+
+    def _next(self, state: int, byte: int) -> int:
+        """Where ``byte`` leads from a state that has no step of its own for it."""
+        key = state << 8 | byte
+        n = self.lead.get(key)
+        if n is None:
+            f = state
+            while f and byte not in self.step[f]:
+                f = self.back[f]
+            n = self.lead[key] = self.step[f].get(byte, 0)
+        return n
 
     def _apart(self, a: int, b: int, inner: bool = False) -> bool:
         """Do tokens a, b stay apart when their bytes are merged together?
@@ -121,53 +157,41 @@ class TrieBPE:
                 j += 1
 
     def words(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        """Encodings of different non-empty words through one trie."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for c in w:
-                nxt = node.get(c)
-                if nxt is None:
-                    nxt = node[c] = {}
-                node = nxt
-            node[-1] = w
+        """Encodings of different non-empty words through one trie: in sorted
+        order the words are its leaves from left to right, and the stacks hold
+        the path to the present one, with the automaton's state and the last
+        token of every prefix.  A word goes on from the prefix that it shares
+        with the word before it."""
+        order = sorted(words)
         out: dict[bytes, list[int]] = {}
-        size, pairs, apart, suffixes = self.bytes_of, self.pairs, self._apart, self.suffixes
-        path, last = [], [-1]
-        stack = [(c, n, 1) for c, n in root.items() if c != -1]
-        while stack:
-            c, node, depth = stack.pop()
-            del path[depth - 1:], last[depth:]
-            path.append(c)
-            # tokens that end here, shortest first
-            tree, k, found = suffixes, depth - 1, []
-            while k >= 0:
-                tree = tree.get(path[k])
-                if tree is None:
-                    break
-                t = tree.get(-1)
-                if t is not None:
-                    found.append((t, k))
-                k -= 1
-            for t, k in reversed(found):
-                if not k:
-                    break
-                key = last[k] << 32 | t
-                ok = pairs.get(key)
-                if ok is None:
-                    ok = pairs[key] = apart(last[k], t)
-                if ok:
-                    break
-            last.append(t)
-            for d, n in node.items():
-                if d == -1:
-                    i, ids = depth, []
-                    while i:
-                        ids.append(last[i])
-                        i -= len(size[last[i]])
-                    out[n] = ids[::-1]
-                else:
-                    stack.append((d, n, depth + 1))
+        size, pairs, apart = self.bytes_of, self.pairs, self._apart
+        step, ends, lead = self.step, self.ends, self._next
+        last, states = [-1], [0]
+        for w, shared in zip(order, shared_prefixes(order)):
+            del last[shared + 1:], states[shared + 1:]
+            state, depth = states[shared], shared
+            for c in w[shared:]:
+                depth += 1
+                state = step[state].get(c) or lead(state, c)
+                # of the tokens that end here, the longest that stays apart from the one before it
+                for t, n in ends[state]:
+                    if n == depth:
+                        break
+                    key = last[depth - n] << 32 | t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        ok = pairs[key] = apart(last[depth - n], t)
+                    if ok:
+                        break
+                last.append(t)
+                states.append(state)
+            ids = []
+            while depth:
+                t = last[depth]
+                ids.append(t)
+                depth -= len(size[t])
+            ids.reverse()
+            out[w] = ids
         if len(pairs) > 2_000_000:
             pairs.clear()
         return out
@@ -189,12 +213,20 @@ class TrieBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def loaded(path: str) -> tuple[TrieBPE, WordMemo, list[str]]:
-    """The vocabulary, its word memo and the ids as text, one per worker."""
+def loaded(path: str) -> tuple[TrieBPE, WordMemo, Memo]:
+    """The vocabulary, its word memo and a memo of (number of ids, decimal ids
+    joined by commas, bytes) for the ids of a word, one per worker."""
 
     def make():
         t = TrieBPE(path)
-        return t, WordMemo(lambda words, texts: t.encode([" " + w for w in words] + texts), tuple(t.special)), [str(i) for i in range(len(t.bytes_of))]
+        names = [str(i) for i in range(len(t.bytes_of))]
+
+        def show(many: list[bytes]) -> list[tuple[int, str, bytes]]:
+            lists = [np.frombuffer(b, "<u4").tolist() for b in many]
+            return [(len(x), ",".join(map(names.__getitem__, x)), b"".join(map(t.bytes_of.__getitem__, x))) for x in lists]
+
+        words = WordMemo(lambda words, texts: t.encode([" " + w for w in words] + texts), tuple(t.special))
+        return t, words, Memo(show)
 
     return held(("trie", path), make)
 
@@ -211,17 +243,31 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = True) ->
     def run(batches):
         import pyarrow as pa
 
-        bpe, memo, names = loaded(tokenizer)
+        _, memo, shown = loaded(tokenizer)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for piece in slices(batch):
-                ids = [np.frombuffer(b, "<u4").tolist() for b in memo.batch(texts_of(piece.column("text")))]
-                text = [bpe.decode(x) for x in ids]
-                cols = [piece.column("doc_id"), pa.array(map(len, ids), pa.int64()),
-                        pa.array([sha(",".join(map(names.__getitem__, x)).encode()) for x in ids], pa.string()),
-                        pa.array([sha(t.encode()) for t in text], pa.string())]
+            for piece in slices(batch, PIECE_BYTES):
+                cut = Cut(piece.column("text"), memo.specials)
+                words, heads = memo.words.of(cut.words), memo.heads.of(cut.heads)
+                many = shown.of(words + heads)
+                sizes = np.array([x[0] for x in many], dtype=np.int64)
+                names, raws = [x[1] for x in many], [x[2] for x in many]
+                index, bounds = cut.index.tolist(), cut.bounds.tolist()
+                total = np.concatenate([[0], np.cumsum(sizes[cut.index])])
+                n = sizes[len(words):] + total[cut.bounds[1:]] - total[cut.bounds[:-1]]
+                ids_sha, text_sha, texts, ids = [], [], [], []
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:]), len(words)):
+                    own = index[a:b]
+                    first = [names[k]] if names[k] else []
+                    ids_sha.append(sha(",".join(first + [names[i] for i in own]).encode()))
+                    text = (raws[k] + b"".join([raws[i] for i in own])).decode("utf-8", "replace")
+                    text_sha.append(sha(text.encode()))
+                    if with_text:
+                        texts.append(text)
+                        ids.append(np.frombuffer(heads[k - len(words)] + b"".join([words[i] for i in own]), "<u4").astype(np.int32))
+                cols = [piece.column("doc_id"), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_text:
-                    cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())]
+                    cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
