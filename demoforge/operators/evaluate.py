@@ -8,12 +8,14 @@ task crosses the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw
 from demoforge.functions.scores import with_score
+from demoforge.operators.list_metrics import is_list_metric, list_bootstrap, list_score
 from demoforge.operators.demos import distinct_tuples, fewshot_prompt, prompt_word_count, select_demos
 from demoforge.operators.predict import predict, predict_prompts
 from demoforge.session import cut_lineage
@@ -70,7 +72,9 @@ def strategy_gap(
     prompts, run in batches of ``batch_size`` once for every different prompt
     (``cache``: a folder that keeps its answers).  The scores are written
     before they are averaged or bootstrapped, so a bootstrap repeats no
-    prediction.  ``metric`` is a name or a function of two columns.
+    prediction.  ``metric`` is a name, a function of two columns, or a metric
+    over lists (``list_metrics``), taken over all rows of a task or over the
+    rows of a bootstrap round.
     """
     evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
@@ -102,6 +106,10 @@ def strategy_gap(
         got = predict_prompts(asked, p, names[i], cache, batch_size)
         wide = got.groupBy(F.struct(*keys).alias("_k")).pivot("strategy", [f"_pi{i}", f"_pr{i}"]).agg(F.max("predicted"))
         scored = scored.withColumn("_k", F.struct(*keys)).join(wide, "_k").drop("_k")
+    if is_list_metric(metric):
+        texts = cut_lineage(scored.select(*keys, "label", *[f"{c}{i}" for i in range(len(names)) for c in ("_pi", "_pr")]))
+        parts = [_list_gap(texts, metric, i, name, by, bootstrap_rounds, bootstrap_size, seed) for i, name in enumerate(names)]
+        return reduce(DataFrame.unionByName, parts)
     for i in range(len(predictors)):
         scored = with_score(scored, metric, "label", f"_pi{i}", f"_si{i}")
         scored = with_score(scored, metric, "label", f"_pr{i}", f"_sr{i}")
@@ -134,6 +142,23 @@ def strategy_gap(
     )
 
 
+def _list_gap(texts: DataFrame, metric, i: int, name: str, by: Sequence[str], rounds: int, size: int, seed) -> DataFrame:
+    """Random and informative predictions of model ``i`` under a list metric."""
+    by = list(by)
+    parts = []
+    for col, stream, out in ((f"_pr{i}", "random", "r"), (f"_pi{i}", "informative", "i")):
+        if rounds:
+            parts.append(list_bootstrap(texts, metric, rounds, size, by, seed, stream, "label", col, out=out))
+        else:
+            parts.append(list_score(texts, metric, by, "label", col, out=out))
+    keys = [*by, "round_id" if rounds else "n"]
+    a, b = (p.withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})) for p in parts)
+    both = a.join(b.select("_k", "i"), "_k")
+    shown = F.col("round_id") if rounds else F.col("n").alias("n_samples")
+    return both.select(*by, F.lit(name).alias("model"), shown, r6("r").alias("random_demos"), r6("i").alias("informative_demos"),
+                       r6(F.col("i") - F.col("r")).alias("difference"))
+
+
 def strategy_score(
     samples: DataFrame,
     k: int = 3,

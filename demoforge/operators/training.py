@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from demoforge.functions.draws import draw, draw_between
 from demoforge.functions.text import demo_text, py_words
+from demoforge.operators.scorer import BatchScorer, score_pairs
 from demoforge.operators.windows import category_index, dense_index
 from demoforge.session import cut_lineage
 
@@ -102,23 +103,70 @@ def argmin_candidate(cands: DataFrame, by: str, cand: str, score: str, draw_no:
                                  F.min(score).alias(score))
 
 
-def _hard_inputs(samples: DataFrame, prompt: str, answer: str) -> DataFrame:
-    """Indexed samples with the words a candidate adds to a prompt."""
+class _WordPairs:
+    """What a column scorer reads: the words of the prompt and of the target."""
+
+    def __init__(self, scorer):
+        self.scorer = scorer
+        self.start = F.array().cast("array<string>")
+
+    def demo(self, prompt: str, answer: str) -> Column:
+        return F.concat(py_words(prompt), py_words(answer))
+
+    def own(self, text: str) -> Column:
+        return py_words(text)
+
+    def grown(self, demos: Column, demo: Column) -> Column:
+        return F.concat(demos, demo)
+
+    def scored(self, asked: DataFrame) -> DataFrame:
+        return asked.select("idx", "_r", "_cid", "_clen", self.scorer(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
+
+
+class _TextPairs:
+    """What a batch scorer reads: the primed prompt and the target as texts."""
+
+    def __init__(self, scorer: BatchScorer):
+        self.scorer = scorer
+        self.start = F.lit(None).cast("string")
+
+    def demo(self, prompt: str, answer: str) -> Column:
+        return demo_text(prompt, answer)
+
+    def own(self, text: str) -> Column:
+        return F.col(text)
+
+    def grown(self, demos: Column, demo: Column) -> Column:
+        return F.concat_ws(" ", demos, demo)
+
+    def scored(self, asked: DataFrame) -> DataFrame:
+        pairs = asked.select("idx", "_r", "_cid", "_clen", F.concat_ws(" ", "_dw", "_cw", "_pw").alias("_prompt"),
+                             F.col("_tw").alias("_target"))
+        got = score_pairs(pairs, self.scorer, "_prompt", "_target", "_s")
+        return got.withColumn("_s", F.coalesce("_s", F.lit(float("inf"))))
+
+
+def _pairs_of(scorer):
+    return _TextPairs(scorer) if isinstance(scorer, BatchScorer) else _WordPairs(scorer)
+
+
+def _hard_inputs(samples: DataFrame, prompt: str, answer: str, kind) -> DataFrame:
+    """Indexed samples with what a candidate adds to a prompt."""
     return cut_lineage(category_index(samples.select("idx", "category", prompt, answer)).withColumn(
-        "_w", F.concat(py_words(prompt), py_words(answer))).withColumn(
-        "_len", F.char_length(demo_text(prompt, answer)).cast("bigint")).withColumn("_own", py_words(prompt)))
+        "_w", kind.demo(prompt, answer)).withColumn(
+        "_len", F.char_length(demo_text(prompt, answer)).cast("bigint")).withColumn("_own", kind.own(prompt)))
 
 
-def _hard_state(ci: DataFrame, answer: str, lo: int, hi: int, seed) -> DataFrame:
+def _hard_state(ci: DataFrame, answer: str, lo: int, hi: int, seed, kind) -> DataFrame:
     return demo_counts(ci.where(F.col("cat_size") > 1), lo, hi, seed).select(
         "idx", "category", "cat_size", "n_demos",
-        F.col("_own").alias("_pw"), py_words(answer).alias("_tw"),
-        F.array().cast("array<string>").alias("_dw"),
+        F.col("_own").alias("_pw"), kind.own(answer).alias("_tw"),
+        kind.start.alias("_dw"),
         F.array().cast("array<bigint>").alias("_ids"),
         F.lit(0).cast("bigint").alias("_chars"), F.lit(True).alias("_ok"))
 
 
-def _hard_round(state: DataFrame, ci: DataFrame, slot: int, candidates: int, max_chars: int, seed, scorer) -> DataFrame:
+def _hard_round(state: DataFrame, ci: DataFrame, slot: int, candidates: int, max_chars: int, seed, kind) -> DataFrame:
     """One more demonstration for every sample that still wants one.
 
     Candidates are drawn as positions and resolved to ids first; a candidate
@@ -133,8 +181,7 @@ def _hard_round(state: DataFrame, ci: DataFrame, slot: int, candidates: int, max
     picks = cut_lineage(draws.groupBy("idx", "category", "_cpos").agg(F.min("_r").alias("_r"))
                         .join(at, ["category", "_cpos"]).select("idx", "_cid", "_r"))
     words = ci.select(F.col("idx").alias("_cid"), F.col("_w").alias("_cw"), F.col("_len").alias("_clen"))
-    scored = picks.join(words, "_cid").join(active.select("idx", "_dw", "_pw", "_tw"), "idx").select(
-        "idx", "_r", "_cid", "_clen", scorer(F.concat("_dw", "_cw", "_pw"), F.col("_tw")).alias("_s"))
+    scored = kind.scored(picks.join(words, "_cid").join(active.select("idx", "_dw", "_pw", "_tw"), "idx"))
     best = scored.groupBy("idx").agg(F.min_by(F.struct("_cid", "_clen"), F.struct("_s", "_r")).alias("_b"))
     # ids only through the aggregate, words fetched by one join; a demo that is
     # the hardest for very many samples is a skewed key there, split at run
@@ -142,7 +189,7 @@ def _hard_round(state: DataFrame, ci: DataFrame, slot: int, candidates: int, max
     best = cut_lineage(best).select("idx", F.col("_b._cid").alias("_cid"))
     grown = active.join(best.join(words, "_cid"), "idx", "left").select(
         "idx", "category", "cat_size", "n_demos", "_pw", "_tw",
-        F.when(F.col("_cid").isNotNull(), F.concat("_dw", "_cw")).otherwise(F.col("_dw")).alias("_dw"),
+        F.when(F.col("_cid").isNotNull(), kind.grown(F.col("_dw"), F.col("_cw"))).otherwise(F.col("_dw")).alias("_dw"),
         F.when(F.col("_cid").isNotNull(), F.concat("_ids", F.array(F.col("_cid")))).otherwise(F.col("_ids")).alias("_ids"),
         (F.col("_chars") + F.coalesce(F.col("_clen"), F.lit(0))).alias("_chars"),
         F.col("_cid").isNotNull().alias("_ok"))
@@ -157,14 +204,15 @@ def hard_sets(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candidates
     far plus each candidate, keep the least likely (lowest draw on ties).
     Slots are unrolled rounds, each written once.
 
-    ``scorer(prompt_words, target_words)`` is a column function, lower meaning
-    harder (a Pandas UDF over word arrays serves a model).  Returns ``(idx,
-    n_demos, demo_idxs, demos_chars, _prompt, _answer)`` for samples whose
-    demos all fit."""
-    ci = _hard_inputs(samples, prompt, answer)
-    state = _hard_state(ci, answer, lo, hi, seed)
+    ``scorer`` is a column function of (prompt words, target words) or a
+    ``BatchScorer``, a model over the primed prompt's text and the answer;
+    lower means harder.  Returns ``(idx, n_demos, demo_idxs, demos_chars,
+    _prompt, _answer)`` for samples whose demos all fit."""
+    kind = _pairs_of(scorer)
+    ci = _hard_inputs(samples, prompt, answer, kind)
+    state = _hard_state(ci, answer, lo, hi, seed, kind)
     for slot in range(hi):
-        state = _hard_round(state, ci, slot, candidates, max_chars, seed, scorer)
+        state = _hard_round(state, ci, slot, candidates, max_chars, seed, kind)
     out = state.where(F.col("_ok") & (F.size("_ids") == F.col("n_demos")))
     s = samples.select("idx", F.col(prompt).alias("_prompt"), F.col(answer).alias("_answer"))
     return out.select("idx", "n_demos", F.col("_ids").alias("demo_idxs"), F.col("_chars").alias("demos_chars")) \
@@ -175,8 +223,9 @@ def hardest_demo(samples: DataFrame, lo=MIN_DEMOS, hi=MAX_DEMOS, seed=0, candida
                  prompt: str = "input", answer: str = "label", scorer=unigram_log_score) -> DataFrame:
     """The hardest single demonstration of every sample: ``(idx, n_demos,
     first_demo)``."""
-    ci = _hard_inputs(samples, prompt, answer)
-    one = _hard_round(_hard_state(ci, answer, lo, hi, seed), ci, 0, candidates, max_chars, seed, scorer)
+    kind = _pairs_of(scorer)
+    ci = _hard_inputs(samples, prompt, answer, kind)
+    one = _hard_round(_hard_state(ci, answer, lo, hi, seed, kind), ci, 0, candidates, max_chars, seed, kind)
     return one.where("_ok").select("idx", "n_demos", F.get("_ids", 0).alias("first_demo"))
 
 

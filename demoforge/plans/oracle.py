@@ -474,6 +474,29 @@ ORACLE["rouge_informative"] = (f"WITH {DEDUP}, {NLI_SAMPLES}, grid_a AS ({_K1[0]
                                "'cluster-random' AS strategy, n_samples, informative_demos AS score FROM grid_a")
 _K1B = _gap_sql("nli", "template", ROUGE, 2000, boot=True)
 ORACLE["concept_eval_bootstrap"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _K1B[len("WITH "):]
+#: micro F: each row's counts as a list [tp, fp, fn], pooled before the formula
+_E_SET, _P_WORDS = f"list_distinct({words('lower(expected)')})", words("lower(predicted)")
+MICRO_COUNTS = (f"[len(list_filter({_P_WORDS}, lambda w: list_contains({_E_SET}, w))), "
+                f"len(list_filter({_P_WORDS}, lambda w: NOT list_contains({_E_SET}, w))), "
+                f"len(list_filter({_E_SET}, lambda e: NOT list_contains({_P_WORDS}, e)))]")
+
+
+def _pool(c: str) -> str:
+    return f"(sum({c}[1]) / (sum({c}[1]) + 0.5 * (sum({c}[2]) + sum({c}[3]))))"
+
+
+def _micro(sql: str) -> str:
+    for c in ("s_rand", "s_info"):
+        sql = sql.replace(f"avg({c})", _pool(c)).replace(f"sum(pos.{c}) / 100", _pool(f"pos.{c}"))
+    return sql
+
+
+_K1M = [_micro(_gap_sql("nli", "template", MICRO_COUNTS, 2000, model=m)) for m in ("demo_majority", "mock")]
+ORACLE["gap_micro_f1"] = (f"WITH {DEDUP}, {NLI_SAMPLES}, grid_a AS ({_K1M[0]}), grid_b AS ({_K1M[1]}) "
+                          "SELECT * FROM grid_a UNION ALL SELECT * FROM grid_b")
+ORACLE["bootstrap_micro_f1"] = f"WITH {DEDUP}, {NLI_SAMPLES}, " + _micro(
+    _gap_sql("nli", "template", MICRO_COUNTS, 2000, boot=True))[len("WITH "):]
+ORACLE["bootstrap_list_function"] = ORACLE["bootstrap_micro_f1"]
 SUITE = """suite AS (
  SELECT concat_ws('/', d.source, 'plain') AS task, d.doc_id AS idx, d.text AS input,
   concat(d.lang, '-', cast(l.quality AS VARCHAR)) AS label, d.lang AS category
@@ -543,7 +566,12 @@ SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id, n_demos, le
        md5(primed) AS primed_md5 FROM kept"""
 
 
-def _hard_sets_sql(rounds: int = 5, cands: int = 20, max_chars: int = 8000) -> str:
+UNIGRAM_SCORE = ("list_sum(list_transform(tw, lambda w: ln((len(list_filter(p, lambda x: x = w)) + 1) / "
+                 "(len(p) + len(list_distinct(p)) + 1))))")
+SHARED_SCORE = "len(list_filter(tw, lambda w: list_contains(p, w)))"
+
+
+def _hard_sets_sql(rounds: int = 5, cands: int = 20, max_chars: int = 8000, score: str = UNIGRAM_SCORE) -> str:
     """All hardest-demo rounds, unrolled: each round draws candidates, scores
     the prompt primed with the demos so far plus the candidate, keeps the
     lowest (draw number on ties)."""
@@ -553,8 +581,6 @@ def _hard_sets_sql(rounds: int = 5, cands: int = 20, max_chars: int = 8000) -> s
 st0 AS (SELECT idx, category, cat_size, {N_DEMOS} AS n_demos, {words('input')} AS pw, {words('label')} AS tw,
         []::VARCHAR[] AS dw, []::BIGINT[] AS ids, 0::BIGINT AS chars, true AS ok FROM ci WHERE cat_size > 1),"""]
     for s in range(rounds):
-        score = ("list_sum(list_transform(tw, lambda w: ln((len(list_filter(p, lambda x: x = w)) + 1) / "
-                 "(len(p) + len(list_distinct(p)) + 1))))")
         parts.append(f"""dr{s} AS (SELECT st.idx, st.category, st.cat_size, st.dw, st.pw, st.tw, r,
         {draw_sql(f"'0', 'hard', st.idx, {s}, r", 'st.cat_size')} AS cpos
         FROM st{s} st, range({cands}) t(r) WHERE st.n_demos > {s} AND st.ok AND st.chars <= {max_chars}),
@@ -575,3 +601,4 @@ WHERE ok AND len(ids) = least(n_demos, {rounds})"""
 
 
 ORACLE["train_hard_sets"] = _hard_sets_sql()
+ORACLE["train_hard_shared_sets"] = ORACLE["train_hard_model"] = _hard_sets_sql(score=SHARED_SCORE)

@@ -677,7 +677,9 @@ def concept_dataset(spark, sf):
 
 
 # ---- training sets (2.H), predictors and scorer (2.J) ------------------------
+from demoforge.operators import list_metrics as LM  # noqa: E402
 from demoforge.operators import predict as P  # noqa: E402
+from demoforge.operators import scorer as SR  # noqa: E402
 from demoforge.operators import training as TR  # noqa: E402
 
 
@@ -723,6 +725,32 @@ def train_hard_sets(spark, sf):
     return _sets_out(TR.hard_sets(fixture(spark, sf, "fx_labelled"), candidates=20))
 
 
+@query
+def train_hard_shared_sets(spark, sf):
+    """All slots under the scorer of fewest shared words."""
+    return _sets_out(TR.hard_sets(fixture(spark, sf, "fx_labelled"), candidates=20, scorer=TR.shared_word_score))
+
+
+def shared_words_model():
+    """Stand-in model over texts: how many of the target's words the prompt holds."""
+    def score(prompts, targets):
+        held = [set(p.split()) for p in prompts]
+        return [sum(w in h for w in t.split()) for h, t in zip(held, targets)]
+
+    return score
+
+
+@query
+def train_hard_model(spark, sf):
+    """All slots under a model that reads batches of (primed prompt, answer),
+    its scores kept in a cache."""
+    from demoforge.session import ensure_checkpoint_dir
+    import uuid
+    cache = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scores/{uuid.uuid4().hex}"
+    scorer = SR.BatchScorer("shared_words", shared_words_model, batch_size=32, cache=cache)
+    return _sets_out(TR.hard_sets(fixture(spark, sf, "fx_labelled"), candidates=20, scorer=scorer))
+
+
 @query
 def argmin_candidate(spark, sf):
     p = SC.with_score(fixture(spark, sf, "fx_predictions"), "rouge_l", "expected", "predicted", "score")
@@ -825,6 +853,36 @@ def concept_eval_bootstrap(spark, sf):
                            bootstrap_rounds=200, bootstrap_size=100, seed=0)
 
 
+@query
+def gap_micro_f1(spark, sf):
+    """A corpus-level metric: F-score of token counts pooled over a whole task."""
+    return EV.strategy_gap(_nli_task_samples(spark, sf), 3, EVAL_MODELS, LM.micro_f1(), max_words=2000, by=["template"])
+
+
+@query
+def bootstrap_micro_f1(spark, sf):
+    """The same metric over the pooled counts of every bootstrap round."""
+    return EV.strategy_gap(_nli_task_samples(spark, sf), 3, "demo_majority", LM.micro_f1(), max_words=2000, by=["template"],
+                           bootstrap_rounds=200, bootstrap_size=100, seed=0)
+
+
+def pooled_f1(expected, predicted):
+    """Micro F as a plain function of two lists of texts."""
+    tp = fp = fn = 0
+    for e, p in zip(expected, predicted):
+        e, p = set((e or "").lower().split()), (p or "").lower().split()
+        hit = sum(w in e for w in p)
+        tp, fp, fn = tp + hit, fp + len(p) - hit, fn + len(e - set(p))
+    return tp / (tp + 0.5 * (fp + fn)) if tp + fp + fn else None
+
+
+@query
+def bootstrap_list_function(spark, sf):
+    """Any Python function of (expected list, predicted list) in every bootstrap round."""
+    return EV.strategy_gap(_nli_task_samples(spark, sf), 3, "demo_majority", LM.ListFunction(pooled_f1), max_words=2000,
+                           by=["template"], bootstrap_rounds=200, bootstrap_size=100, seed=0)
+
+
 SUITE_TEMPLATES = {
     "plain": ("text", "concat(lang, '-', cast(quality AS STRING))"),
     "context": ("concat('Context: ', text, ' Answer:')", "concat(lang, '-', cast(quality AS STRING))"),
