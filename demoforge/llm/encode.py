@@ -22,11 +22,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: words in each of a memo's two generations
-MEMO_WORDS = 350_000
+MEMO_WORDS = 400_000
 #: longer words are encoded but not remembered
 MEMO_LENGTH = 64
 #: bytes of text that are cut together
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 8_000_000
 
 #: white space beside a space, or white space that the plain cut does not know
 _UNSAFE = (r"  | [\t\n\x0b\x0c\r]|[\t\n\x0b\x0c\r] |"
@@ -126,25 +126,16 @@ class Memo:
         young = self.young
         out = list(map(young.get, keys))
         if None in out:
-            old, todo = self.old, {}
-            for k, v in enumerate(out):
-                if v is None:
-                    key = keys[k]
-                    v = old.get(key)
-                    if v is None:
-                        todo[key] = None
-                    else:
-                        out[k] = young[key] = v
-            if todo:
-                new = list(todo)
-                todo = dict(zip(new, self.compute(new)))
-                for k, v in enumerate(out):
-                    if v is None:
-                        out[k] = todo[keys[k]]
-                young.update(todo)
-                for key in new:
-                    if len(key) > MEMO_LENGTH:
-                        del young[key]
+            at = [k for k, v in enumerate(out) if v is None]
+            miss = [keys[k] for k in at]
+            got = list(map(self.old.get, miss)) if self.old else [None] * len(miss)
+            if None in got:
+                new = list(dict.fromkeys([m for m, g in zip(miss, got) if g is None]))
+                found = dict(zip(new, self.compute(new)))
+                got = [found[m] if g is None else g for m, g in zip(miss, got)]
+            for k, v in zip(at, got):
+                out[k] = v
+            young.update([(m, g) for m, g in zip(miss, got) if len(m) <= MEMO_LENGTH])
         if len(young) > MEMO_WORDS:
             self.old, self.young = young, {}
         return out
@@ -176,69 +167,82 @@ class WordMemo:
         return [h + b"".join(words[x:y]) for h, x, y in zip(heads, b, b[1:])]
 
 
-#: the same pattern for texts below U+0080, where ``re`` does
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: printable characters below U+0250 with more than white space among them
-_OLD = re.compile("(?=.*[^ ])[ -~\xa1-\u024f]+").fullmatch
+#: pre-tokens that the model takes in one call
+BLOCK = 200
 
 
-#: strings that the model takes in one call
-BLOCK = 100
+def _old_letters() -> tuple[str, str]:
+    """Letters and numbers from U+00A1 to U+024F, on which all Unicode versions agree."""
+    import unicodedata
+
+    own = [chr(c) for c in range(0xA1, 0x250)]
+    return tuple("".join(c for c in own if unicodedata.category(c)[0] == k) for k in "LN")
+
+
+_L, _N = _old_letters()
+#: the pattern of pre-tokens for strings of printable characters below U+0250
+_OLD_PRETOKEN = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{_L}]+| ?[0-9{_N}]+| ?[^\sA-Za-z0-9{_L}{_N}]+|\s+(?!\S)|\s+")
+#: one such word after at most one space
+_OLD_WORD = re.compile("(?: ?[!-~\xa1-\u024f]+)?").fullmatch
+_OLD_WORDS = re.compile("(?:(?: ?[!-~\xa1-\u024f]+)?\n)*").fullmatch
 
 
 class ByModel:
-    """Encodes short strings through the library's own model, in blocks.
+    """Encodes words through the library's own model.
 
-    Pre-tokens (the fixed pattern of the file format) and strings are set apart
-    by two control characters that no longer vocabulary entry holds: nothing
-    merges across them, and a block's ids are cut there."""
+    Words of old alphabets are cut into pre-tokens (the fixed pattern of the
+    file format) in one call for many, different pre-tokens are remembered, and
+    the model takes new ones in blocks, set apart by a control character that no
+    longer vocabulary entry holds: nothing merges across it."""
 
     def __init__(self, tokenizer, spec: dict):
-        import regex
         from tokenizers import Tokenizer
 
-        letters = {b: c for c, b in byte_letters().items()}
-        self.table = letters
-        self.model, self.find = Tokenizer(tokenizer.model), regex.compile(PRETOKEN).findall
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.model, self.memo = Tokenizer(tokenizer.model), Memo(self._encode)
         vocab = spec["model"]["vocab"]
         longer = set("".join(e for e in vocab if len(e) > 1))
-        free = [b for b in range(1, 9) if letters[b] in vocab and letters[b] not in longer]
-        self.apart = plain_byte_level(spec) and len(free) > 1
+        free = [b for b in range(1, 9) if self.letters[b] in vocab and self.letters[b] not in longer]
+        self.apart = plain_byte_level(spec) and bool(free)
         if self.apart:
-            self.marks = [chr(b) for b in free[:2]]
-            self.gap, self.brk = (vocab[letters[b]] for b in free[:2])
-
-    def takes(self, text: str) -> bool:
-        """Alphabets below U+0250, on whose letters all Unicode versions agree."""
-        return text.isascii() and text.isprintable() and text not in ("", " ") or _OLD(text) is not None
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        gap, brk = self.marks
-        # strings of one word are cut in one call: a line break between them is a pre-token
-        lines = [k for k, t in enumerate(texts) if t.isascii() and t.rfind(" ") < 1]
-        for a in range(0, len(lines), BLOCK):
-            part = lines[a:a + BLOCK]
-            found = _ASCII.findall("\n".join([texts[k] for k in part]))
-            block = gap.join(found).replace(" ", self.table[32]).replace("\n", self.table[ord(brk)]).replace(gap, self.table[ord(gap)])
-            for k, ids in zip(part, self._ids(block, len(part))):
-                out[k] = ids
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for a in range(0, len(rest), BLOCK):
-            part = rest[a:a + BLOCK]
-            block = (gap + brk + gap).join([gap.join(self.find(texts[k])) for k in part])
-            for k, ids in zip(part, self._ids(block.encode().decode("latin-1").translate(self.table), len(part))):
-                out[k] = ids
+            self.gap, self.gap_id = chr(free[0]), vocab[self.letters[free[0]]]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for a in range(0, len(pieces), BLOCK):
+            part = pieces[a:a + BLOCK]
+            block = self.gap.join(part)
+            if block.isascii():  # printable characters stand for themselves
+                block = block.replace(" ", self.letters[32]).replace("\n", self.letters[10]).replace(self.gap, self.letters[ord(self.gap)])
+            else:
+                block = block.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode(block, add_special_tokens=False).ids, dtype="<u4")
+            at = [-4, *(4 * np.flatnonzero(ids == self.gap_id)).tolist(), 4 * len(ids)]
+            if len(at) != len(part) + 1:
+                raise ValueError("the model joins tokens across control characters")
+            raw = ids.tobytes()
+            out += [raw[x + 4:y] for x, y in zip(at, at[1:])]
         return out
 
-    def _ids(self, block: str, n: int) -> list[bytes]:
-        ids = np.array(self.model.encode(block, add_special_tokens=False).ids, dtype="<u4")
-        ids = ids[ids != self.gap]
-        at = [-4, *(4 * np.flatnonzero(ids == self.brk)).tolist(), 4 * len(ids)]
-        if len(at) != n + 1:
-            raise ValueError("the tokeniser joins tokens across line breaks")
-        raw = ids.tobytes()
-        return [raw[x + 4:y] for x, y in zip(at, at[1:])]
+    def words(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of the words of old alphabets; None for other texts."""
+        lines = "\n".join(texts) + "\n"
+        if texts and not (_OLD_WORDS(lines) and lines.count("\n") == len(texts)):
+            fit = [t if "\n" not in t and _OLD_WORD(t) else "" for t in texts]
+            got = self.words(fit)
+            return [g if f or not t else None for g, f, t in zip(got, fit, texts)]
+        found = _OLD_PRETOKEN.findall(lines)
+        out: list[bytes | None] = []
+        got: list[bytes] = []
+        for piece, ids in zip(found, self.memo.of(found)):
+            if piece[-1] == "\n":  # the ends of one word and of empty ones behind it
+                out.append(b"".join(got))
+                out += [b""] * (len(piece) - 1)
+                got = []
+            else:
+                got.append(ids)
+        return out
 
 
 def library_encoder(path: str, plain: bool = False) -> WordMemo:
@@ -261,13 +265,10 @@ def library_encoder(path: str, plain: bool = False) -> WordMemo:
             by_model = ByModel(t, json.load(f))
 
         def texts(many: list[str]) -> list[bytes]:
-            out: list = [None] * len(many)
-            if by_model.apart:
-                near = [k for k, s in enumerate(many) if by_model.takes(s)]
-                if any(x in "\n".join(many) for x in specials):
-                    near = [k for k in near if not any(x in many[k] for x in specials)]
-                for k, ids in zip(near, by_model.many([many[k] for k in near])):
-                    out[k] = ids
+            out = by_model.words(many) if by_model.apart else [None] * len(many)
+            for x in specials:
+                if any(x in s for s in many):
+                    out = [None if x in s else ids for ids, s in zip(out, many)]
             far = [k for k, ids in enumerate(out) if ids is None]
             for k, e in zip(far, t.encode_batch_fast([many[k] for k in far], add_special_tokens=False)):
                 out[k] = np.array(e.ids, dtype="<u4").tobytes()
