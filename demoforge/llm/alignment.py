@@ -36,13 +36,16 @@ from pyspark.sql import functions as F
 
 from demoforge.llm.caches import held
 from demoforge.llm.common import Workspace
-from demoforge.llm.encode import PIECE_BYTES, Cut, Memo, byte_letters, library_encoder, slices
+from demoforge.llm.encode import Cut, Memo, byte_letters, library_encoder, slices
 
 #: stands for the ids of a unit whose bytes differ from its text
 BAD = b"\xff\xff\xff\xff"
 #: links between documents' texts and counts: a column of these code types
 _CODE = "<u4"
 
+#: bytes of text in a block; its tokens and links are a worker's arrays
+BLOCK_BYTES = 1_500_000
+
 _DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 _PAIR = "code int, a int, b int, n long"
 
@@ -190,7 +193,7 @@ def _aligned(a_path: str, b_path: str):
         sides = held(("align", a_path, b_path), lambda: Sides(a_path, b_path))
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in slices(batch, PIECE_BYTES):
+            for piece in slices(batch, BLOCK_BYTES):
                 a, b = sides.encode(piece.column("text"))
                 n_a, n_b = (np.array([len(x) // 4 for x in y], dtype=np.int64) for y in (a, b))
                 a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a, b))
