@@ -1,14 +1,16 @@
 """Concept distances, held-out concept draws and the concept split.
 
 Minimum edit distance is a nearest-neighbour search over the *distinct*
-concepts.  It deepens a threshold d = 4, 8, 16, ...: a concept only meets
-others whose length differs by at most d (an equi-join on length bands), the
-bounded ``levenshtein(a, b, d)`` stops early past d, and a concept with a
-match at or below d is final (every concept not compared differs by more
-than d in length, so by more than d in distance).  Only unresolved concepts
-go on to the next round.  A band is split into salt slices in proportion to
-its comparison count (left side hashed, right side replicated per slice),
-so a crowded band is spread over many tasks and a quiet one is not copied.
+concepts.  Neighbours in sorted order (of the texts and of the reversed texts)
+give every concept an upper bound first.  Then a threshold d = 4, 8, 16, ...
+deepens: a text cut into d + 1 segments keeps at least one of them, in place up
+to a bounded shift, in every text within d edits, so a concept meets others
+through an equi-join on (length, segment number, segment) and the survivors go
+through the bounded ``levenshtein(a, b, d)``.  A concept is final once a match
+at or below d is found, or its upper bound is at most d + 1; only the others go
+on.  Where the probes of d + 1 segments would cost more than meeting every
+concept (few concepts, or the last few with a large d), the concepts left meet
+all of similar length instead, in length bands cut into salt slices.  ``report`` tells how many pairs every round compared.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from demoforge.operators.windows import dense_index
 from demoforge.session import cut_lineage
 
 START_THRESHOLD = 4
+PROBE_COST = 16  # bounded comparisons that cost about as much as a probe with its join
 PAIRS_PER_TASK = 10_000_000  # bounded-threshold comparisons one task should run per band slice
 
 
@@ -49,40 +52,102 @@ def _band_slices(hist: dict[int, int], width: int, parts: int):
     return F.create_map(*kv) if kv else None
 
 
-def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_THRESHOLD) -> DataFrame:
+def _band_pairs(remaining: DataFrame, others: DataFrame, hist: dict[int, int], d: int, parts: int) -> DataFrame:
+    """Pairs whose lengths differ by at most d."""
+    width = d + 1
+    left = remaining.withColumn("_band", F.explode(F.array(*[F.floor(F.col("la") / width) + k for k in (-1, 0, 1)])))
+    right = others.withColumn("_band", F.floor(F.col("lb") / width))
+    slices = _band_slices(hist, width, parts)
+    s_of = F.coalesce(F.try_element_at(slices, F.col("_band").cast("bigint")), F.lit(1)) if slices is not None \
+        else F.lit(1)
+    left = left.withColumn("_salt", F.pmod(F.xxhash64("a"), s_of))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), s_of - 1)))
+    return left.join(right, ["_band", "_salt"]).where(F.abs(F.col("la") - F.col("lb")) <= d).select("a", "b")
+
+
+def probes_of(d: int) -> int:
+    """Probes of a long text in a round: its substrings that can stand for a
+    segment of a text within d edits."""
+    return sum(max(0, min(i, shift + d - i) - max(-i, shift - (d - i)) + 1)
+               for shift in range(-d, d + 1) for i in range(d + 1))
+
+
+def _segment_pairs(remaining: DataFrame, others: DataFrame, d: int) -> DataFrame:
+    """Pairs (a, b), some more than once, with every b within d edits of a.
+
+    Segment i of b starts at ``i * lb div (d + 1)``.  If it is the first one
+    that survives, at most i edits lie before and d - i behind it, so it starts
+    in a at most i places from its start and, counted from the ends, at most
+    d - i places from there.  A text of at most d characters has no d + 1
+    segments and meets every text of at most d characters more."""
+    k = d + 1
+    first = F.floor(F.col("i") * F.col("lb") / k).cast("int")
+    size = (F.floor((F.col("i") + 1) * F.col("lb") / k) - first).cast("int")
+    number = F.explode(F.sequence(F.lit(0), F.lit(d)))
+    index = others.where(F.col("lb") >= k).withColumn("i", number).select(
+        "b", "lb", "i", F.substring(F.col("b"), first + 1, size).alias("seg"))
+    shift = F.col("la") - F.col("lb")
+    lo = F.greatest(F.lit(0), F.col("s") - F.col("i"), F.col("s") + shift - (d - F.col("i")))
+    hi = F.least(F.col("la") - F.col("n"), F.col("s") + F.col("i"), F.col("s") + shift + (d - F.col("i")))
+    probes = remaining.where("la > 0").select(
+        "a", "la", F.explode(F.sequence(F.greatest(F.col("la") - d, F.lit(k)), F.col("la") + d)).alias("lb"))
+    probes = probes.withColumn("i", number).withColumn("s", first).withColumn("n", size)
+    probes = probes.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn(
+        "_p", F.explode(F.sequence("_lo", "_hi"))).select("a", "lb", "i", F.substring(F.col("a"), F.col("_p") + 1, F.col("n")).alias("seg"))
+    pairs = probes.join(index, ["lb", "i", "seg"]).select("a", "b")
+    short = remaining.where(F.col("la") <= 2 * d).select(
+        "a", F.explode(F.sequence(F.greatest(F.col("la") - d, F.lit(0)), F.least(F.col("la") + d, F.lit(d)))).alias("lb"))
+    return pairs.unionByName(short.join(others.where(F.col("lb") <= d), "lb").select("a", "b"))
+
+
+def _upper_bounds(concepts: DataFrame, parts: int) -> DataFrame:
+    """``concepts`` with ``most``: the distance to the nearest of the sorted
+    neighbours, of the texts and of the reversed texts (NULL without any).
+    Neighbours across a border of the sorted parts are not looked at."""
+    for name, key in (("_m0", F.col("a")), ("_m1", F.reverse("a"))):
+        sorted_ = concepts.withColumn("_key", key).repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id())
+        w = Window.partitionBy("_part").orderBy("_key")
+        near = F.least(F.levenshtein(F.col("a"), F.lag("a").over(w)), F.levenshtein(F.col("a"), F.lead("a").over(w)))
+        concepts = sorted_.withColumn(name, near).drop("_key", "_part")
+    return concepts.withColumn("most", F.least("_m0", "_m1").cast("bigint")).drop("_m0", "_m1")
+
+
+def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_THRESHOLD,
+                      report: list[dict] | None = None) -> DataFrame:
     """``(col, min_dist)``: smallest Levenshtein distance from each distinct
-    value to any other distinct value; NULL for a value with no other."""
+    value to any other distinct value; NULL for a value with no other.
+    ``report`` gets a dict a round: threshold, way, concepts left, pairs
+    compared."""
     parts = _partitions(df)
     concepts = df.select(F.col(col).alias("a")).where(F.col("a").isNotNull()).distinct() \
         .withColumn("la", F.char_length("a"))
-    concepts = cut_lineage(concepts.repartition(parts, "a"))
-    stats = concepts.agg(F.count(F.lit(1)).alias("n"), F.max("la").alias("max_len")).first()
-    if not stats["n"]:
-        return df.sparkSession.createDataFrame([], f"{col} STRING, min_dist BIGINT")
-    max_len = int(stats["max_len"])
+    concepts = cut_lineage(_upper_bounds(concepts, parts))
     # length histogram: at most max_len + 1 rows, read once
     hist = {int(r["la"]): int(r["n"]) for r in concepts.groupBy("la").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not hist:
+        return df.sparkSession.createDataFrame([], f"{col} STRING, min_dist BIGINT")
+    total, max_len = sum(hist.values()), max(hist)
     others = concepts.select(F.col("a").alias("b"), F.col("la").alias("lb"))
-    remaining = concepts
+    remaining, left = concepts, total
     found: list[DataFrame] = []
     d = start
-    while True:
-        width = d + 1
-        left = remaining.withColumn("_band", F.explode(F.array(
-            *[F.floor(F.col("la") / width) + k for k in (-1, 0, 1)])))
-        right = others.withColumn("_band", F.floor(F.col("lb") / width))
-        slices = _band_slices(hist, width, parts)
-        s_of = F.coalesce(F.try_element_at(slices, F.col("_band").cast("bigint")), F.lit(1)) if slices is not None \
-            else F.lit(1)
-        left = left.withColumn("_salt", F.pmod(F.xxhash64("a"), s_of))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), s_of - 1)))
-        pairs = left.join(right, ["_band", "_salt"]).where(
-            (F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= d))
-        dist = pairs.select("a", F.levenshtein("a", "b", d).alias("dist")).where(F.col("dist") >= 0)
-        best = cut_lineage(dist.groupBy("a").agg(F.min("dist").cast("bigint").alias("min_dist")))
-        found.append(best)
-        remaining = cut_lineage(remaining.join(best, "a", "left_anti"))
-        if d >= max_len or remaining.isEmpty():
+    while left:
+        by_segments = PROBE_COST * probes_of(d) < total
+        pairs = _segment_pairs(remaining, others, d) if by_segments else _band_pairs(remaining, others, hist, d, parts)
+        dist = pairs.where("a <> b").select("a", F.levenshtein("a", "b", d).alias("dist"))
+        # -1: more than d; counted, but no match
+        best = cut_lineage(dist.groupBy("a").agg(
+            F.min(F.when(F.col("dist") >= 0, F.col("dist"))).cast("bigint").alias("dist"), F.count(F.lit(1)).alias("compared")))
+        state = cut_lineage(remaining.join(best, "a", "left"))
+        # nothing nearer than the bound is left out when all within d were met
+        done = F.col("dist").isNotNull() | (F.col("most") <= d + 1)
+        found.append(state.where(done).select("a", F.least("dist", "most").alias("min_dist")))
+        stats = state.agg(F.sum("compared").alias("c"), F.count(F.when(~F.coalesce(done, F.lit(False)), 1)).alias("n")).first()
+        if report is not None:
+            report.append({"threshold": d, "way": "segments" if by_segments else "bands", "concepts": left,
+                           "compared": int(stats["c"] or 0)})
+        remaining, left = state.where(~F.coalesce(done, F.lit(False))).select("a", "la", "most"), int(stats["n"])
+        if d >= max_len:
             break
         d *= 2
     out = found[0]
