@@ -62,10 +62,11 @@ class FoldMetric:
 
 def micro_f1(name: str = "micro_f1") -> CountMetric:
     """F-score of pooled token counts: predicted words among the row's expected
-    words, predicted words beside them, expected words never predicted."""
+    words, predicted words beside them, expected words never predicted.  A null text has no words."""
 
     def counts(expected: Column, predicted: Column) -> dict[str, Column]:
-        e, p = F.array_distinct(py_words(F.lower(expected))), py_words(F.lower(predicted))
+        e, p = (py_words(F.lower(F.coalesce(x, F.lit("")))) for x in (expected, predicted))
+        e = F.array_distinct(e)
         hit = F.size(F.filter(p, lambda w: F.array_contains(e, w)))
         missed = F.size(F.filter(e, lambda w: ~F.array_contains(p, w)))
         return {"tp": hit, "fp": F.size(p) - hit, "fn": missed}
