@@ -166,23 +166,29 @@ def select_demos_overlap(
     k: int = 3,
     pool: DataFrame | None = None,
     out: str = "demos",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """``cluster-random`` for ARRAY<STRING> categories: any shared element.
+    ``by`` names task columns: demos come from the sample's own task.
 
-    The K(K+1) bound holds per element; a sample collects the lists of its
-    elements, removes duplicates, re-ranks by recency and takes K.
+    The K(K+1) bound holds per (task, element); a sample collects the lists of
+    its elements, removes duplicates, re-ranks by recency and takes K.
     """
     pool = samples if pool is None else pool
-    el_pool = pool.select("idx", "input", "label", "category", F.explode(F.array_distinct("category")).alias("_el"))
-    lists = candidate_lists(el_pool, k, F.col("_el"), texts=pool.select("idx", "input"))
+    task = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by]
+    key = F.concat_ws("\u0001", *task, F.col("_el")) if by else F.col("_el")
+    el_pool = pool.select(*by, "idx", "input", "label", "category", F.explode(F.array_distinct("category")).alias("_el"))
+    # without tasks a row is found by its idx alone
+    lists = candidate_lists(el_pool, k, key, texts=None if by else pool.select("idx", "input"))
     s_cols = samples.columns
-    exploded = samples.select("idx", "input", F.explode(F.array_distinct("category")).alias("_ck"))
-    joined = keyed_join(exploded, lists, "_ck", weight="_w", salt_by=F.col("idx"))
-    per_el = joined.select("idx", drop_same_input(F.col("_cands"), text_fingerprint("input")).alias("_c"))
-    merged = per_el.groupBy("idx").agg(
+    exploded = samples.select(*by, "idx", "input", F.explode(F.array_distinct("category")).alias("_el")).withColumn("_ck", key)
+    joined = keyed_join(exploded.drop("_el"), lists, "_ck", weight="_w", salt_by=F.col("idx"))
+    per_el = joined.select(*by, "idx", drop_same_input(F.col("_cands"), text_fingerprint("input")).alias("_c"))
+    merged = per_el.groupBy(*by, "idx").agg(
         F.slice(F.reverse(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_c"))))), 1, k).alias(out)
     )
-    return samples.join(merged, "idx").where(F.size(out) == k).select(*s_cols, out)
+    return samples.join(merged, [*by, "idx"]).where(F.size(out) == k).select(*s_cols, out)
+
 
 
 def fewshot_prompt(demos: str | Column = "demos", input_col: str | Column = "input") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from demoforge.functions.draws import draw
 from demoforge.functions.scores import with_score
 from demoforge.operators.list_metrics import is_list_metric, list_bootstrap, list_score
-from demoforge.operators.demos import distinct_tuples, fewshot_prompt, prompt_word_count, select_demos
+from demoforge.operators.demos import distinct_tuples, fewshot_prompt, prompt_word_count, select_demos, select_demos_overlap
 from demoforge.operators.predict import predict, predict_prompts
 from demoforge.session import cut_lineage
 from demoforge.operators.windows import dense_index
@@ -59,6 +59,7 @@ def strategy_gap(
     first_n: int | None = None,
     cache: str | None = None,
     batch_size: int | None = None,
+    informative: str = "cluster-random",
 ) -> DataFrame:
     """Random against informative (same category) demos on one sample set.
 
@@ -74,13 +75,17 @@ def strategy_gap(
     before they are averaged or bootstrapped, so a bootstrap repeats no
     prediction.  ``metric`` is a name, a function of two columns, or a metric
     over lists (``list_metrics``), taken over all rows of a task or over the
-    rows of a bootstrap round.
+    rows of a bootstrap round.  ``informative`` is ``cluster-random`` or, for
+    list categories, ``overlap`` (any shared element).
     """
     evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
     # both strategies rank the same distinct tuples of the pool: build them once
     tuples = cut_lineage(distinct_tuples(samples, by))
-    info = select_demos(evaluated, k, "cluster-random", pool=samples, out="demos_info", by=by, tuples=tuples)
+    if informative == "overlap":
+        info = select_demos_overlap(evaluated, k, pool=samples, out="demos_info", by=by)
+    else:
+        info = select_demos(evaluated, k, informative, pool=samples, out="demos_info", by=by, tuples=tuples)
     if max_words is not None:
         info = info.where(prompt_word_count("demos_info") <= max_words)
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by, tuples=tuples)

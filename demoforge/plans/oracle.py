@@ -602,3 +602,49 @@ WHERE ok AND len(ids) = least(n_demos, {rounds})"""
 
 ORACLE["train_hard_sets"] = _hard_sets_sql()
 ORACLE["train_hard_shared_sets"] = ORACLE["train_hard_model"] = _hard_sets_sql(score=SHARED_SCORE)
+ORACLE["table_set_files"] = ORACLE["table_set_texts"]
+
+
+def _training_sql(sets: str) -> str:
+    """The training table of a sets query over ``tt`` (idx, category, input, label)."""
+    return f"""WITH s0 AS (
+  SELECT doc_id AS idx, {_WH_T} AS category, concat('Question: ', text, ' Context: ', source, ' Answer:') AS prompt,
+         source AS answer FROM documents WHERE length(text) < 2000),
+tt AS (SELECT idx, category, prompt AS input, answer AS label FROM s0),
+sets AS ({sets}),
+ex AS (SELECT idx, n_demos, unnest(string_split(demo_idxs, ' '))::BIGINT AS demo_idx,
+       generate_subscripts(string_split(demo_idxs, ' '), 1) AS k FROM sets),
+pr AS (SELECT ex.idx, ex.n_demos, string_agg(concat(t.input, ' ', t.label, ' '), ' ' ORDER BY k) AS demos
+       FROM ex JOIN tt t ON t.idx = ex.demo_idx GROUP BY ex.idx, ex.n_demos),
+kept AS (SELECT pr.idx, n_demos, concat(demos, ' ', tt.input) AS primed FROM pr JOIN tt USING (idx))
+SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 8 AS batch_id, n_demos, length(primed) AS primed_chars,
+       md5(primed) AS primed_md5 FROM kept"""
+
+
+ORACLE["training_table_random"] = _training_sql(_sets_sql("random").replace("fx_samples", "tt"))
+ORACLE["training_table_hard"] = _training_sql(_hard_sets_sql(score=SHARED_SCORE).replace("fx_labelled", "tt"))
+#: the smallest source that contains each asked id; positions in id order
+ORACLE["instruction_eval_tasks"] = f"""WITH ids AS (SELECT unnest(['src1', 'src4', 'src7']) AS i),
+tk AS (SELECT DISTINCT name FROM (SELECT i, min(source) AS name FROM ids JOIN documents ON strpos(source, i) > 0 GROUP BY i)),
+s AS (SELECT source AS task, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, text AS input, {_WH} AS label
+      FROM documents WHERE source IN (SELECT name FROM tk)),
+t AS (SELECT task, input, label, max(idx) AS last FROM s GROUP BY task, input, label),
+p AS (SELECT s.task, s.idx, t.label, t.last, row_number() OVER (PARTITION BY s.task, s.idx ORDER BY t.last DESC) AS rn
+      FROM s JOIN t ON t.task = s.task AND t.input <> s.input),
+k AS (SELECT task, idx FROM p WHERE rn <= 3 GROUP BY task, idx HAVING count(*) = 3),
+v AS (SELECT task, idx, label, count(*) AS c, max(last) AS m FROM p WHERE rn <= 3 GROUP BY task, idx, label),
+mj AS (SELECT task, idx, arg_max(label, c * 1000000000000 + m) AS predicted FROM v SEMI JOIN k USING (task, idx) GROUP BY task, idx),
+sa AS (SELECT s.task, s.label AS expected, mj.predicted FROM s JOIN mj USING (task, idx)),
+sb AS (SELECT task, expected, 'mock text' AS predicted FROM sa),
+ra AS (SELECT task, round(avg({ROUGE}), 6) AS demo_majority FROM sa GROUP BY task),
+rb AS (SELECT task, round(avg({ROUGE}), 6) AS mock FROM sb GROUP BY task)
+SELECT task, demo_majority, mock FROM ra JOIN rb USING (task)"""
+MULTIHOP = f"""{REASONING},
+mh AS (SELECT d.doc_id AS idx, d.text AS q, d.source AS x, d.lang AS label, {TAILS} AS category
+       FROM documents d JOIN fx_reasoning r ON r.idx = d.doc_id),
+mhs AS (SELECT 'qa' AS template, idx, concat('Question: ', q, ' Context: ', x, ' Answer:') AS input, label, category FROM mh
+        UNION ALL SELECT 'plain', idx, concat(x, ' ', q), label, category FROM mh)"""
+ORACLE["multihop_templates"] = f"""WITH {MULTIHOP}
+SELECT template, idx, input, label, array_to_string(category, '|') AS category FROM mhs"""
+ORACLE["multihop_gap"] = f"WITH {MULTIHOP}, " + _gap_sql("mhs", "template", EXACT, None)[len("WITH "):].replace(
+    "s.category IS NOT DISTINCT FROM t.category", "len(list_intersect(s.category, t.category)) > 0")

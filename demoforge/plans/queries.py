@@ -463,6 +463,24 @@ def table_set_texts(spark, sf):
     return L.table_set_texts(_fact_tables(spark, sf))
 
 
+def _written_tables(spark, sf):
+    """The fact tables as tab-separated folders and an index of their names."""
+    base = _scratch(spark, "tables")
+    names = ["PART.tsv", "SUPPLIER.tsv", "NATION.tsv"]
+    for name, t in zip(names, _fact_tables(spark, sf)):
+        t.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in t.columns]).write.option("sep", "\t").option(
+            "header", True).option("escape", '"').csv(f"{base}/tables/{name}")
+    spark.range(len(names), numPartitions=1).select(
+        F.get(F.array(*[F.lit(n) for n in names]), F.col("id").cast("int")).alias("value")).write.text(f"{base}/index")
+    return f"{base}/index", f"{base}/tables"
+
+
+@query
+def table_set_files(spark, sf):
+    """A table set written as files and read back in one scan."""
+    return SRC.read_table_set(spark, *_written_tables(spark, sf))
+
+
 def _split_col():
     m = F.col("doc_id") % 10
     return F.when(m < 8, "train").when(m == 8, "validation").otherwise("test")
@@ -781,17 +799,16 @@ def predict_majority(spark, sf):
     return _predicted(spark, sf, "demo_majority")
 
 
-@query
-def training_table(spark, sf):
+def _training_table(spark, sf, chosen_sets):
     """Question-answer training table: length filter, question-word category,
-    QA prompt, informative demonstrations, character guard, primed prompt,
+    QA prompt, demonstrations of a strategy, character guard, primed prompt,
     micro-batches of 8."""
     d = fixture_table(spark, sf, "documents")
     s = FL.max_chars(d.select(F.col("doc_id").alias("idx"), "text", "source"), "text", 2000)
     s = s.select("idx", T.wh_category("text").alias("category"), T.qa_prompt("text", "source").alias("prompt"),
                  F.col("source").alias("answer"))
     from demoforge.session import cut_lineage
-    sets = cut_lineage(TR.informative_sets(s, prompt="prompt", answer="answer"))
+    sets = cut_lineage(chosen_sets(s, prompt="prompt", answer="answer"))
     # batches are numbered on ids, texts are attached after
     b = W.micro_batches(sets.select("idx"), 8)
     primed = TR.with_primed_prompt(sets, s, "prompt", "answer").join(b, "idx")
@@ -799,6 +816,24 @@ def training_table(spark, sf):
                     F.md5("primed").alias("primed_md5"))
 
 
+@query
+def training_table(spark, sf):
+    return _training_table(spark, sf, TR.informative_sets)
+
+
+@query
+def training_table_random(spark, sf):
+    return _training_table(spark, sf, TR.random_sets)
+
+
+@query
+def training_table_hard(spark, sf):
+    def hardest(samples, **columns):
+        return TR.hard_sets(samples, candidates=20, scorer=TR.shared_word_score, **columns)
+
+    return _training_table(spark, sf, hardest)
+
+
 # ---- composed evaluation jobs (2.K) ------------------------------------------
 
 
@@ -918,6 +953,67 @@ def instruction_eval(spark, sf):
     return R.wide_report(per, ["task"], "model", ["demo_majority"], "score")
 
 
+INSTRUCTION_TASKS = ["src1", "src4", "src7"]
+
+
+def _written_tasks(spark, sf):
+    """Documents as a folder of task files: one JSON object a source, its
+    instances in id order with the answer and a second wording of it."""
+    path = _scratch(spark, "tasks")
+    d = fixture_table(spark, sf, "documents").select("source", "doc_id", F.struct(
+        F.col("text").alias("input"), F.array(T.wh_category("text"), F.lit("other")).alias("output")).alias("i"))
+    g = d.groupBy(F.col("source").alias("task")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "i"))).alias("l"))
+    g.select("task", F.to_json(F.struct(F.transform("l", lambda x: x["i"]).alias("Instances"))).alias("value")) \
+        .repartition("task").write.partitionBy("task").text(path)
+    return path
+
+
+@query
+def instruction_eval_tasks(spark, sf):
+    """Instruction tasks from a folder: the first task of each id, first
+    answers, NULL category, latest demonstrations, ROUGE-L, a column a model."""
+    from demoforge.session import cut_lineage
+    t = SRC.read_tasks(spark, _written_tasks(spark, sf), INSTRUCTION_TASKS)
+    s = cut_lineage(t.select("task", F.col("pos").cast("bigint").alias("idx"), "input", "label", F.lit(None).cast("string").alias("category")))
+    sel = D.select_demos(s, 3, "random", by=["task"])
+    models = ["demo_majority", "mock"]
+    rows = [SC.with_score(P.predict(sel, m), "rouge_l", "label", "predicted", "score").select("task", F.lit(m).alias("model"), "score")
+            for m in models]
+    return R.wide_report(rows[0].unionByName(rows[1]), ["task"], "model", models, "score")
+
+
+MULTIHOP_TEMPLATES = {
+    "qa": ("concat('Question: ', question, ' Context: ', context, ' Answer:')", "answer"),
+    "plain": ("concat(context, ' ', question)", "answer"),
+}
+
+
+def _multihop(spark, sf):
+    """Multi-hop samples: annotations from keyed JSON, questions that have one,
+    every template, the relation tails kept as a list category."""
+    from demoforge.session import cut_lineage
+    path = _scratch(spark, "reasoning")
+    fx_reasoning(spark, sf).select(F.to_json(F.create_map(F.col("idx").cast("string"), "reasoning")).alias("value")).write.text(path)
+    ann = SRC.read_keyed_json(spark, path, "ARRAY<ARRAY<ARRAY<ARRAY<STRING>>>>", per_line=True)
+    docs = fixture_table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("source").alias("context"),
+        F.col("lang").alias("answer"))
+    s = L.attach(L.semi(docs, ann, "id"), ann.select("id", T.relation_tails("value").alias("category")), "id")
+    r = T.render_templates(s, MULTIHOP_TEMPLATES, keep=["id", "category"])
+    return cut_lineage(r.select("template", F.col("id").cast("bigint").alias("idx"), "input", "label", "category"))
+
+
+@query
+def multihop_templates(spark, sf):
+    return _multihop(spark, sf).withColumn("category", F.array_join("category", "|"))
+
+
+@query
+def multihop_gap(spark, sf):
+    """Demonstrations that share a relation tail against the latest ones."""
+    return EV.strategy_gap(_multihop(spark, sf), 3, "demo_majority", "accuracy_exact", by=["template"], informative="overlap")
+
+
 SEEN_DATASETS = ["d1", "d2"]
 SEEN_FAMILIES = ["Click", "View"]
 

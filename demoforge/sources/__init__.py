@@ -3,6 +3,7 @@ table sets, split-partitioned datasets, result logs, prediction cache."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -32,6 +33,37 @@ def read_task_dir(spark: SparkSession, path: str) -> DataFrame:
     return ex.select("task", "pos", F.col("i.input").alias("input"), F.get(F.col("i.output"), 0).alias("label"))
 
 
+def _task_of(path):
+    """Task of a file: its name without extension, or, for a part file, the
+    name of its folder (``name``, ``name.json`` or ``task=name``)."""
+    parts = F.split(path, "/")
+    own, folder = F.element_at(parts, -1), F.element_at(parts, -2)
+    name = F.when(own.startswith("part-"), folder).otherwise(own)
+    return F.regexp_replace(F.regexp_replace(name, r"^task=", ""), r"\.json$", "")
+
+
+def read_tasks(spark: SparkSession, path: str, ids: Sequence[str]) -> DataFrame:
+    """Tasks asked for by id: for each id the task of the smallest name that
+    contains it, as ``read_task_dir`` gives them.
+
+    File names are listed and matched first, only the files of the matching
+    tasks are opened.  The list that reaches the driver has one task for each
+    id at most."""
+    from demoforge.operators.filters import select_tasks
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        "path", _task_of(F.col("path")).alias("task"))
+    chosen = select_tasks(files, "task", ids, first=True)
+    found = chosen.join(files, "task").select("task_id", "task", "path").collect()
+    missing = sorted(set(ids) - {r.task_id for r in found})
+    if missing:
+        raise ValueError(f"no task has {missing} in its name")
+    schema = "Instances ARRAY<STRUCT<input: STRING, output: ARRAY<STRING>>>"
+    raw = spark.read.schema(schema).option("multiLine", True).json(sorted({r.path for r in found})).select(
+        "Instances", _task_of(F.col("_metadata.file_path")).alias("task"))
+    ex = raw.select("task", F.posexplode("Instances").alias("pos", "i"))
+    return ex.select("task", "pos", F.col("i.input").alias("input"), F.get(F.col("i.output"), 0).alias("label"))
+
+
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str, per_line: bool = False) -> DataFrame:
     """JSON objects mapping ids to values, one per file or, ``per_line``, one
     per line: rows (id, value).  A whole file is one row of one task; a large
@@ -62,15 +94,54 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, RESULT_SCHEMA, header=False)
 
 
-def read_table_set(spark: SparkSession, index_path: str, table_dir: str, uid_col: str = "[SKIP] UID") -> DataFrame:
+#: a field of a tab-separated line after its tab, quoted or plain
+_FIELD = r'\t("(?:[^"]|"")*"|[^\t]*)'
+
+
+def _fields(line):
+    """Fields of a line: quotes taken off, missing values as NULL."""
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(_FIELD), F.lit(1))
+
+    def plain(f):
+        inner = F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1),
+                       F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+        return F.when(~inner.isin(*MISSING), inner)
+
+    return F.transform(raw, plain)
+
+
+def read_table_set(spark: SparkSession, index_path: str, table_dir: str, uid_col: str = "[SKIP] UID",
+                   skip_marker: str = "SKIP") -> DataFrame:
     """Tables named (one per line) in an index file, as (uid, text).
 
-    The index is a handful of file names (a parameter list, read on the
-    driver); each table is scanned by Spark."""
-    from demoforge.operators.lookups import table_set_texts
-    names = [r.value.strip() for r in spark.read.text(index_path).collect() if r.value.strip()]
-    tables = [read_tsv(spark, f"{table_dir}/{n}").withColumn("_row", F.monotonically_increasing_id()) for n in names]
-    return table_set_texts([t for t in tables], uid_col=uid_col, row_order=["_row"] * len(tables))
+    A table is a tab-separated file with a header, or a folder of such part
+    files; tables may have different columns.  Text = a row's columns without
+    ``skip_marker`` in their names, missing ones empty, joined by a blank; the
+    first uid wins in index order, then in file order.
+
+    One scan reads the lines of all files with their place; the first line of
+    every file is its header, joined back by file and zipped with the fields,
+    so the plan has the same size for any number of tables and nothing is
+    collected.  A quoted field may hold tabs, not line breaks."""
+    base = table_dir.rstrip("/").rsplit("/", 1)[-1]
+    lines = spark.read.option("recursiveFileLookup", True).text(table_dir).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                 F.monotonically_increasing_id().alias("row")).alias("at"))
+    inside = F.element_at(F.split("file", f"/{re.escape(base)}/"), -1)
+    lines = lines.where(F.col("value") != "").withColumn("table", F.try_url_decode(F.split_part(inside, F.lit("/"), F.lit(1))))
+    index = spark.read.text(index_path).select(
+        F.trim("value").alias("table"), F.struct(F.col("_metadata.file_block_start").alias("start"),
+                                                 F.monotonically_increasing_id().alias("row")).alias("order"))
+    index = index.where(F.col("table") != "").groupBy("table").agg(F.min("order").alias("order"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"), F.first("table").alias("table"))
+    heads = heads.join(index, "table").select("file", "order", "first", _fields(F.col("head")).alias("names"))
+    rows = lines.select("file", "at", _fields(F.col("value")).alias("fields")).join(heads, "file").where(F.col("at") > F.col("first"))
+    shown = F.filter(F.arrays_zip("names", "fields"), lambda c: ~F.contains(c["names"], F.lit(skip_marker)))
+    text = F.array_join(F.transform(shown, lambda c: F.coalesce(c["fields"], F.lit(""))), " ")
+    uid = F.get(F.col("fields"), (F.array_position("names", F.lit(uid_col)) - 1).cast("int"))
+    return rows.select(uid.alias("uid"), text.alias("text"), "order", "at").groupBy("uid").agg(
+        F.min_by("text", F.struct("order", "at")).alias("text"))
 
 
 def read_split(spark: SparkSession, path: str, split: str | Sequence[str]) -> DataFrame:
