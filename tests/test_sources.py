@@ -84,3 +84,66 @@ def test_prediction_cache_computes_only_missing(spark):
     more = spark.createDataFrame([("m", "t", i) for i in range(8)], "model string, task string, idx bigint")
     b = S.with_cache(spark, more, d, ["model", "task", "idx"], compute, partition_by=["model", "task"])
     assert b.count() == 8 and calls == [5, 3]
+
+
+def _table_files(d, tables, index):
+    os.makedirs(d + "/tablestore")
+    for name, text in tables.items():
+        with open(f"{d}/tablestore/{name}", "w") as f:
+            f.write(text)
+    with open(d + "/index.txt", "w") as f:
+        f.write(index)
+    return d + "/index.txt", d + "/tablestore"
+
+
+def test_table_set_in_one_scan(spark):
+    d = _tmp()
+    paths = _table_files(d, {
+        "A B.tsv": "[SKIP] UID\tfirst\tsecond\nu1\tone\t\nu2\t\"quoted \"\"x\"\"\ttab\"\tNA\nu3\tshort\n\nu4\t\tlast\n",
+        "C.tsv": "first\t[SKIP] note\t[SKIP] UID\nwins not\tn\tu1\nother\tn\tu9\n",
+        "unlisted.tsv": "[SKIP] UID\tfirst\nu0\tnever\n",
+    }, "A B.tsv\n C.tsv \n\n")
+    got = {r.uid: r.text for r in S.read_table_set(spark, *paths).collect()}
+    assert got == {"u1": "one ", "u2": 'quoted "x"\ttab ', "u3": "short ", "u4": " last", "u9": "other"}
+    os.remove(d + "/index.txt")
+    with open(d + "/index.txt", "w") as f:
+        f.write("C.tsv\nA B.tsv\n")
+    assert {r.uid: r.text for r in S.read_table_set(spark, *paths).collect()}["u1"] == "wins not"
+
+
+def test_table_set_plan_does_not_grow_with_the_tables(spark):
+    sizes = []
+    for n in (2, 40):
+        d = _tmp()
+        tables = {f"T{i}.tsv": f"c{i}\t[SKIP] UID\nv{i}\tu{i}\n" for i in range(n)}
+        df = S.read_table_set(spark, *_table_files(d, tables, "\n".join(tables)))
+        assert {r.uid: r.text for r in df.collect()} == {f"u{i}": f"v{i}" for i in range(n)}
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert sizes[0] == sizes[1]
+
+
+def _task_files(d, names):
+    for i, name in enumerate(names):
+        with open(f"{d}/{name}.json", "w") as f:
+            json.dump({"Instances": [{"input": f"in{i}", "output": [f"out{i}", "x"]}, {"input": "none", "output": []}]}, f)
+
+
+def test_tasks_by_id_open_only_their_files(spark):
+    d = _tmp()
+    _task_files(d, ["task010_b", "task010_a", "task011_c", "xtask099_d"])
+    with open(d + "/task500_broken.json", "w") as f:
+        f.write("{ this is no JSON")
+    df = S.read_tasks(spark, d, ["task010", "099"])
+    rows = sorted(tuple(r) for r in df.collect())
+    assert rows == [("task010_a", 0, "in1", "out0".replace("0", "1")), ("task010_a", 1, "none", None),
+                    ("xtask099_d", 0, "in3", "out3"), ("xtask099_d", 1, "none", None)]
+    assert sorted(os.path.basename(f) for f in df.inputFiles()) == ["task010_a.json", "xtask099_d.json"]
+
+
+def test_asked_task_that_is_missing(spark):
+    import pytest
+
+    d = _tmp()
+    _task_files(d, ["task1_a"])
+    with pytest.raises(ValueError, match="task7"):
+        S.read_tasks(spark, d, ["task1", "task7"])
