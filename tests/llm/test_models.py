@@ -148,6 +148,84 @@ def test_mixture_finds_both_languages():
     assert share == pytest.approx([0.7, 0.3, 0], abs=0.03)
 
 
+def test_large_language_model_stays_a_table(spark, monkeypatch):
+    """Scores of the joined tables equal those of the gathered model."""
+    from demoforge.session import read_table
+
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").repartition(3)
+    both = docs.unionByName(edge_docs(spark).select(*docs.columns))
+    want = {(r.doc_id, round(r.score, 9), r.lang_pred) for r in langid.identify(both).collect()}
+    monkeypatch.setattr(langid, "GATHER", 0)
+    assert {(r.doc_id, round(r.score, 9), r.lang_pred) for r in langid.identify(both).collect()} == want
+
+
+def test_language_likelihoods_by_hand(spark):
+    """Counts, smoothing and word likelihoods against a literal version; no two n-grams share a count."""
+    from collections import Counter
+    from math import log
+
+    from demoforge.llm.common import Workspace
+
+    rows = [("abba cab", "x"), ("cab dab ü", "y"), ("bad bad", "y"), ("c", "x")]
+    ws = Workspace(spark, "test")
+    model, _ = langid.Languages.of(ws, ws.save(langid._counts(spark.createDataFrame(rows, "text string, lang string")), "c"))
+    framed = lambda w: "\x01" + w + "\x02"
+    gram = lambda f, i, k: f[max(0, i - k + 1):i + 1]
+    count = {(lang, k): Counter(gram(framed(w), i, k) for t, x in rows if x == lang for w in t.split() for i in range(len(w) + 2))
+             for lang in "xy" for k in range(1, 5)}
+    for w in ("abba", "zzz", "bü"):
+        want = []
+        for lang in "xy":
+            total = 0.0
+            for k in range(1, 5):
+                kinds = len(set(count["x", k]) | set(count["y", k]))
+                for i in range(len(w) + 2):
+                    total += log((count[lang, k][gram(framed(w), i, k)] + 0.1) / (sum(count[lang, k].values()) + 0.1 * kinds))
+            want.append(total / 4)
+        assert model.words([w])[0] == pytest.approx([v - max(want) for v in want])
+
+
+def literal_set(p, m):
+    """EM and the penalised choice among nested sets, word by word."""
+    from math import log
+
+    def em(cols):
+        share = [1 / len(cols)] * len(cols)
+        for _ in range(20 if len(cols) > 1 else 0):
+            new = [0.0] * len(cols)
+            for row, n in zip(p, m):
+                mix = [row[c] * s for c, s in zip(cols, share)]
+                for j, v in enumerate(mix):
+                    new[j] += n * v / sum(mix) / sum(m)
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+            share = new
+            if done:
+                break
+        return share, sum(n * log(sum(row[c] * s for c, s in zip(cols, share))) for row, n in zip(p, m))
+
+    everything, _ = em(list(range(len(p[0]))))
+    order = sorted(range(len(p[0])), key=lambda c: -everything[c])
+    best = None
+    for k in range(1, len(order) + 1):
+        share, fit = em(order[:k])
+        value = fit - 0.5 * (k - 1) * log(max(sum(m), 2))
+        if best is not None and value <= best[0]:
+            break
+        best = (value, share, order[:k])
+    return max(zip(best[1], [-c for c in best[2]]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_language_set_by_hand(seed):
+    rng = np.random.RandomState(seed)
+    p = rng.uniform(0.01, 1, (rng.randint(2, 30), 4)) * (rng.rand(4) < 0.6) + 0.003
+    p /= p.max(axis=1, keepdims=True)
+    m = rng.randint(1, 5, len(p))
+    (name, score), = langid.Languages(list("abcd"), np.zeros((4, 4))).decide([np.repeat(np.arange(len(p)), m)], np.log(p))
+    share, column = literal_set(p.tolist(), m.tolist())
+    assert score == pytest.approx(share) and name == "abcd"[-column]
+
+
 def test_language_edges(spark):
     docs = edge_docs(spark)
     by_text = {}
