@@ -53,7 +53,7 @@ def op3_toxicity(spark, sf_dir):
 def op4_token_files(spark, sf_dir):
     path = Workspace(spark, "token-files").path("files")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, default_tokenizer())
-    return token_files.read_token_files(spark, path).drop("ids")
+    return token_files.read_token_files(spark, path, with_ids=False)
 
 
 @query

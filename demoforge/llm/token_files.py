@@ -170,9 +170,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
      .mapInArrow(write, SEGMENT_SCHEMA).write.mode("error").parquet(path))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it in the whole file set),
-    n_tokens, ids_crc32 and the ids themselves, as they are in the files."""
+    n_tokens, ids_crc32 and, ``with_ids``, the ids themselves, as they are in
+    the files."""
+    schema = "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def read(batches):
         import pyarrow as pa
@@ -186,14 +188,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()),
                     pa.array(start + b[:-1], pa.int64()), pa.array(np.diff(b), pa.int64()),
-                    pa.array([zlib.crc32(t) for t in toks], pa.int64()), pa.array(toks, pa.binary())],
-                    names=["part", "doc_id", "in_part", "n_tokens", "ids_crc32", "ids"])
+                    pa.array([zlib.crc32(t) for t in toks], pa.int64()), *([pa.array(toks, pa.binary())] * with_ids)],
+                    names=[c.split()[0] for c in schema.split(", ")])
 
     files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    rows = files.select("part", "part_start", "image").mapInArrow(
-        read, "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long, ids binary")
+    rows = files.select("part", "part_start", "image").mapInArrow(read, schema)
     # one row for each writing task
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) AS base")
     return rows.join(F.broadcast(before), "part").select(
-        "doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", "ids")
+        "doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
