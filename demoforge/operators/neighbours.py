@@ -10,6 +10,11 @@ the candidate only through its signature (heavy-fact set, size).  Members of
 a signature group are ranked once (two-level dense index), and a question
 takes from each relevant group just the first K members plus the ones it
 must skip (itself and its light-pair partners, which carry their full score).
+
+A question's K-th best light score is a threshold for the heavy side: a
+candidate reached through heavy facts alone scores at most |Hq| / max(|A|, |C|),
+so a question whose threshold is above |Hq| / |A| never meets a heavy fact, and
+the others meet only groups of sets small enough to reach their threshold.
 """
 
 from __future__ import annotations
@@ -63,10 +68,16 @@ def overlap_neighbours(df: DataFrame, key: str, items: str, k: int = 3,
         # written, so that the join on a heavy fact has a plain exchange on both
         # sides, which adaptive execution can split
         sig = cut_lineage(sig)
+        best = Window.partitionBy("q").orderBy(F.col("score").desc())
+        least = light_scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy("q").agg(
+            F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
+        reach = F.size("H") / F.col("na")
+        asking = sig.join(least, "q", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).where(reach >= F.col("least"))
         groups = cut_lineage(sig.select("g", "na", "H").distinct())
         ranked = dense_index(sig.select("g", "q"), "q", by=["g"], out="r")
-        rel = sig.select(F.col("q"), F.col("na").alias("nq"), F.explode("H").alias("f"), F.col("H").alias("Hq")) \
+        rel = asking.select(F.col("q"), F.col("na").alias("nq"), F.explode("H").alias("f"), F.col("H").alias("Hq"), "least") \
             .join(groups.select("g", F.col("na").alias("nb"), F.explode("H").alias("f")), "f") \
+            .where(F.size("Hq") / F.greatest("nq", "nb") >= F.col("least")) \
             .select("q", "nq", "Hq", "g", "nb").distinct()
         rel = rel.join(groups.select("g", F.col("H").alias("S")), "g")
         # members to skip inside each group: light partners and the question itself

@@ -4,9 +4,9 @@ table sets, split-partitioned datasets, result logs, prediction cache."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -171,14 +171,74 @@ def write_wide(df: DataFrame, path: str, rows: Sequence[str], col: str, values:
         .write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def _stored(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame | None:
-    """The cache, one row per key; None only if the path does not exist."""
-    try:
-        return spark.read.parquet(path).dropDuplicates(list(key))
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+#: a cache of so many generations is merged into one by the next commit
+MERGE_GENERATIONS = 32
+GENERATION = "cache_generation"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path class for ``path``."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    return jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """(number, generations) of the newest whole manifest; (0, []) without one."""
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/manifests")
+    numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(folder)), reverse=True) if fs.exists(folder) else []
+    for n in numbers:
+        lines = [r.value for r in spark.read.text(f"{path}/manifests/{n}").collect()]
+        if lines and lines[-1] == "end":
+            return n, lines[:-1]
+    return (numbers[0] if numbers else 0), []
+
+
+def cache_generations(spark: SparkSession, path: str) -> list[str]:
+    """The committed generations of a cache."""
+    return _manifest(spark, path)[1]
+
+
+def _generations(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame | None:
+    """The rows of generations, folders of one partitioned table."""
+    if not names:
+        return None
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{g}" for g in names]).drop(GENERATION)
+
+
+def _write_generation(df: DataFrame, path: str, partition_by: Sequence[str]) -> str:
+    name = f"{GENERATION}=g{uuid.uuid4().hex}"
+    writer = df.write.mode("error")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
+    return name
+
+
+def _commit(spark: SparkSession, path: str, known: list[str], new: str, key: Sequence[str], partition_by: Sequence[str]) -> list[str]:
+    """List ``new`` in the next manifest; generations that others committed
+    after ``known`` win: rows of keys they hold leave ``new`` first.
+
+    A manifest is created, never overwritten, and its number is free for one
+    writer only; the loser looks again."""
+    fs, at = _files(spark, path)
+    while True:
+        number, listed = _manifest(spark, path)
+        others = [g for g in listed if g not in known]
+        if others:
+            mine = _generations(spark, path, [new])
+            new = _write_generation(cache_misses(mine, _generations(spark, path, others), key), path, partition_by)
+            known = [*known, *others]
+        names = [*listed, new]
+        if len(names) > MERGE_GENERATIONS:
+            names = [_write_generation(_generations(spark, path, names), path, partition_by)]
+        try:
+            out = fs.create(at(f"{path}/manifests/{number + 1}"), False)
+        except Exception as e:  # noqa: BLE001
+            if "already exists" not in str(e):
+                raise
+            continue
+        out.write(bytearray("\n".join([*names, "end", ""]).encode()))
+        out.close()
+        return names
 
 
 def _same(a: DataFrame, b: DataFrame, key: Sequence[str]):
@@ -200,16 +260,19 @@ def with_cache(spark: SparkSession, todo: DataFrame, path: str, key: Sequence[st
                partition_by: Sequence[str] = ()) -> DataFrame:
     """Prediction cache keyed by the full run key (model, task, strategy,
     K, word limit, sample idx ...): rows already stored are reused, the
-    missing ones (NULL keys match NULL keys) are computed, appended and
+    missing ones (NULL keys match NULL keys) are computed, stored and
     returned too.  ``partition_by`` (run-level key columns) lays the cache out
-    so a run's probe reads only its own partitions.  A cache that exists but
-    cannot be read is an error, never an empty cache."""
-    key = list(key)
-    cached = _stored(spark, path, key)
-    writer = compute(cache_misses(todo, cached, key).dropDuplicates(key)).write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    stored = spark.read.parquet(path).dropDuplicates(key)
+    so a run's probe reads only its own partitions.
+
+    A run writes its rows as a generation of its own and then commits a
+    manifest that lists the generations that count; readers look at nothing
+    else, so a run that fails leaves no trace and the folder is never read
+    while it is written.  Of two runs that computed the same key the first to
+    commit wins.  A cache that is listed but cannot be read is an error, never
+    an empty cache."""
+    key, path = list(key), path.rstrip("/")
+    known = cache_generations(spark, path)
+    new = _write_generation(compute(cache_misses(todo, _generations(spark, path, known), key).dropDuplicates(key)), path, partition_by)
+    stored = _generations(spark, path, _commit(spark, path, known, new, key, partition_by))
     keys = todo.select(*key)
     return stored.join(keys, _same(stored, keys, key), "left_semi")

@@ -147,3 +147,51 @@ def test_asked_task_that_is_missing(spark):
     _task_files(d, ["task1_a"])
     with pytest.raises(ValueError, match="task7"):
         S.read_tasks(spark, d, ["task1", "task7"])
+
+
+def test_cache_generations(spark):
+    """A run that fails leaves the cache as it was; two writers keep both results, once each."""
+    import pytest
+
+    d = _tmp() + "/cache"
+    key = ["m", "idx"]
+    todo = lambda n: spark.createDataFrame([("m", i) for i in range(n)] + [(None, 0)], "m string, idx bigint")
+    answer = lambda tag: lambda missing: missing.withColumn("predicted", F.concat(F.lit(tag), "idx"))
+
+    def broken(missing):
+        return missing.withColumn("predicted", F.raise_error(F.lit("the model died")).cast("string"))
+
+    with pytest.raises(Exception, match="the model died"):
+        S.with_cache(spark, todo(3), d, key, broken).count()
+    assert S.cache_generations(spark, d) == []
+    assert {(r.m, r.idx): r.predicted for r in S.with_cache(spark, todo(3), d, key, answer("a")).collect()} == {
+        ("m", 0): "a0", ("m", 1): "a1", ("m", 2): "a2", (None, 0): "a0"}
+    with pytest.raises(Exception, match="the model died"):
+        S.with_cache(spark, todo(5), d, key, broken).count()
+    assert len(S.cache_generations(spark, d)) == 1
+
+    def slower(missing):
+        # another writer commits the same keys before this one does
+        S.with_cache(spark, todo(5), d, key, answer("b")).count()
+        return answer("c")(missing)
+
+    rows = S.with_cache(spark, todo(6), d, key, slower).collect()
+    got = {(r.m, r.idx): r.predicted for r in rows}
+    assert len(rows) == 7 == len(got)
+    assert [got["m", i] for i in range(6)] == ["a0", "a1", "a2", "b3", "b4", "c5"]
+    calls = []
+    S.with_cache(spark, todo(6), d, key, lambda missing: calls.append(missing.count()) or answer("x")(missing)).count()
+    assert calls == [0]
+
+
+def test_cache_generations_are_merged(spark):
+    d, old = _tmp() + "/cache", S.MERGE_GENERATIONS
+    try:
+        S.MERGE_GENERATIONS = 3
+        for n in range(1, 6):
+            todo = spark.createDataFrame([(i,) for i in range(n)], "idx bigint")
+            got = S.with_cache(spark, todo, d, ["idx"], lambda m: m.withColumn("predicted", F.col("idx") * 2))
+            assert sorted((r.idx, r.predicted) for r in got.collect()) == [(i, 2 * i) for i in range(n)]
+            assert len(S.cache_generations(spark, d)) <= 3
+    finally:
+        S.MERGE_GENERATIONS = old
