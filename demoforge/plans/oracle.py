@@ -648,3 +648,4 @@ ORACLE["multihop_templates"] = f"""WITH {MULTIHOP}
 SELECT template, idx, input, label, array_to_string(category, '|') AS category FROM mhs"""
 ORACLE["multihop_gap"] = f"WITH {MULTIHOP}, " + _gap_sql("mhs", "template", EXACT, None)[len("WITH "):].replace(
     "s.category IS NOT DISTINCT FROM t.category", "len(list_intersect(s.category, t.category)) > 0")
+ORACLE["training_batches"] = f"SELECT * FROM ({ORACLE['training_table']}) WHERE batch_id % 4 = 1 AND batch_id >= 8"

@@ -834,6 +834,14 @@ def training_table_hard(spark, sf):
     return _training_table(spark, sf, hardest)
 
 
+@query
+def training_batches(spark, sf):
+    """The training table written as ordered batch files; shard 1 of 4, resumed at batch 8."""
+    path = _scratch(spark, "batches")
+    SRC.write_batches(training_table(spark, sf), path)
+    return SRC.batch_shard(spark, path, shard=1, of=4, start=8)
+
+
 # ---- composed evaluation jobs (2.K) ------------------------------------------
 
 

@@ -171,6 +171,42 @@ def write_wide(df: DataFrame, path: str, rows: Sequence[str], col: str, values:
         .write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def write_batches(df: DataFrame, path: str, batch: str = "batch_id", files: int | None = None) -> None:
+    """Training batches as files in batch order: a file holds whole
+    consecutive batches, sorted (sampled range boundaries, no one-task sort)."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.repartitionByRange(n, batch).sortWithinPartitions(batch).write.mode("error").parquet(path)
+
+
+def batch_shard(spark: SparkSession, path: str, shard: int = 0, of: int = 1, start: int = 0, batch: str = "batch_id") -> DataFrame:
+    """The rows of shard ``shard`` of ``of`` (every ``of``-th batch) from batch
+    ``start`` on.  Files that end before ``start`` are pruned by their
+    statistics."""
+    if not 0 <= shard < of:
+        raise ValueError(f"no shard {shard} of {of}")
+    return spark.read.parquet(path).where((F.col(batch) >= start) & (F.pmod(F.col(batch), F.lit(of)) == shard))
+
+
+def iterate_batches(spark: SparkSession, path: str, order: str = "idx", shard: int = 0, of: int = 1, start: int = 0,
+                    batch: str = "batch_id"):
+    """(batch number, rows in ``order``) of a shard, ascending, for a training
+    loop: file after file, so that the reader holds one part of one file.  A
+    loop that stopped goes on with ``start`` = the last batch it saw plus one."""
+    spans = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(
+        F.min(batch).alias("lo"), F.max(batch).alias("hi")).orderBy("lo").collect()
+    for span in spans:
+        if span.hi < start:
+            continue
+        rows: list = []
+        for r in batch_shard(spark, span.f, shard, of, start, batch).orderBy(batch, order).toLocalIterator():
+            if rows and rows[-1][batch] != r[batch]:
+                yield rows[-1][batch], rows
+                rows = []
+            rows.append(r)
+        if rows:
+            yield rows[-1][batch], rows
+
+
 #: a cache of so many generations is merged into one by the next commit
 MERGE_GENERATIONS = 32
 GENERATION = "cache_generation"

@@ -195,3 +195,21 @@ def test_cache_generations_are_merged(spark):
             assert len(S.cache_generations(spark, d)) <= 3
     finally:
         S.MERGE_GENERATIONS = old
+
+
+def test_batches_in_order_and_resumed(spark):
+    import pytest
+
+    d = _tmp() + "/batches"
+    rows = spark.range(203).withColumn("idx", 202 - F.col("id")).withColumn("batch_id", F.floor(F.col("idx") / 8)).drop("id")
+    S.write_batches(rows.repartition(7), d, files=5)
+    for of in (1, 4):
+        seen = {}
+        for shard in range(of):
+            got = list(S.iterate_batches(spark, d, shard=shard, of=of))
+            assert [b for b, _ in got] == list(range(shard, 26, of))
+            seen |= {b: [r.idx for r in part] for b, part in got}
+        assert seen == {b: list(range(8 * b, min(8 * b + 8, 203))) for b in range(26)}
+    assert [b for b, _ in S.iterate_batches(spark, d, shard=3, of=4, start=12)] == [15, 19, 23]
+    with pytest.raises(ValueError, match="no shard"):
+        S.batch_shard(spark, d, 4, 4)
