@@ -46,6 +46,9 @@ _CODE = "<u4"
 #: bytes of text in a block; its tokens and links are a worker's arrays
 BLOCK_BYTES = 1_500_000
 
+#: units in each of the memo's two generations
+UNITS = 150_000
+
 _DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 _PAIR = "code int, a int, b int, n long"
 
@@ -77,7 +80,7 @@ class Sides:
             bytes([int(p[3:5], 16)]) if s.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.a_size, self.b_size = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b_bytes))
-        self.units = [Memo(self._a_units), Memo(self._b_units)]
+        self.units = Memo(lambda units: list(zip(self._a_units(units), self._b_units(units))), UNITS)
 
     def _checked(self, ids, known: list[bytes], want: bytes) -> bytes:
         return ids if b"".join([known[i] for i in np.frombuffer(ids, "<u4").tolist()]) == want else BAD
@@ -105,18 +108,20 @@ class Sides:
             units, heads, index, b = [" " + w for w in cut.words], cut.heads, cut.index.tolist(), cut.bounds.tolist()
         else:
             units, heads, index, b = [], spaced.to_pylist(), [], [0] * (len(col) + 1)
+        found = list({h for h in heads if h})
+        both, firsts = self.units.of(units), dict(zip(found, self.units.of(found))) | {"": (b"", b"")}
         sides = []
-        for memo in self.units:
-            words = memo.of(units)
-            firsts = dict(zip(found := list({h for h in heads if h}), memo.of(found))) | {"": b""}
+        for side, whole in enumerate((self._a_units, self._b_units)):
+            words = [w[side] for w in both]
             many = list(map(words.__getitem__, index))
-            sides.append([firsts[h] + b"".join(many[x:y]) for h, x, y in zip(heads, b, b[1:])])
+            ids = [firsts[h][side] + b"".join(many[x:y]) for h, x, y in zip(heads, b, b[1:])]
             bad = {i for i, w in enumerate(words) if w == BAD}
             for k, (h, x, y) in enumerate(zip(heads, b, b[1:])):
                 if empty[k]:
-                    sides[-1][k] = b""
-                elif firsts[h] == BAD or (bad and not bad.isdisjoint(index[x:y])):
-                    sides[-1][k] = memo.compute([spaced[k].as_py()])[0]  # BAD again, or the whole text's ids
+                    ids[k] = b""
+                elif firsts[h][side] == BAD or (bad and not bad.isdisjoint(index[x:y])):
+                    ids[k] = whole([spaced[k].as_py()])[0]  # BAD again, or the whole text's ids
+            sides.append(ids)
         none = [k for k, (x, y) in enumerate(zip(*sides)) if BAD in (x, y)]
         for k in none:
             sides[0][k] = sides[1][k] = b""

@@ -117,8 +117,8 @@ class Memo:
     becomes the older one, what is asked for again moves to the younger, so
     frequent strings stay and memory is bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute = compute
+    def __init__(self, compute: Callable[[list[str]], list], size: int | None = None):
+        self.compute, self.size = compute, size
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
@@ -136,7 +136,7 @@ class Memo:
             for k, v in zip(at, got):
                 out[k] = v
             young.update([(m, g) for m, g in zip(miss, got) if len(m) <= MEMO_LENGTH])
-        if len(young) > MEMO_WORDS:
+        if len(young) > (self.size or MEMO_WORDS):
             self.old, self.young = young, {}
         return out
 
