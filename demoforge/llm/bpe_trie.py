@@ -3,8 +3,10 @@
 The last token of a prefix's encoding decides the encoding: a prefix of length
 i ends in token t exactly if t is a suffix of it, and t stays apart from the
 last token of the prefix before t when the two are merged alone.  So the
-different words of a batch go into a trie, a depth-first walk carries the last
-token of every prefix on the path, and a shared prefix is worked out once.
+different words of a batch are the leaves of a trie.  In sorted order they are
+visited depth first, with the path to the present word on a stack: every prefix
+carries its last token and the state of an automaton of all tokens, whose ends
+are the tokens that end there, so a shared prefix is worked out once.
 
 Two tokens stay apart if no merge across their border comes before the merges
 that build them.  The walk over the two edges (``_apart``) compares ranks: the
@@ -13,6 +15,7 @@ tokens, and a cross merge wins when its rank is below the next inner one.
 
 Nulls: a null text is the empty text, which has no ids.  Repeated rows give
 repeated rows; an empty table gives an empty one; other columns are ignored.
+Texts are encoded whole, whatever their length.
 """
 
 from __future__ import annotations

@@ -38,7 +38,6 @@ class Workspace:
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def path(self, tag: str = "t") -> str:
         self.n += 1
@@ -49,7 +48,6 @@ class Workspace:
         schema = df.schema
         df.write.mode("error").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
         out._table_path = path
         return out
 

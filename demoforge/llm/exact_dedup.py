@@ -13,8 +13,8 @@ Normalised: null is the empty text, A-Z are lower-cased, nothing else changes.
 Of equal texts the row with the largest doc_id stays; a null doc_id is smaller
 than any other.  Rows that repeat a doc_id and its text count in group_size and
 are all marked kept if theirs is the largest id; ``dedup`` returns them once.
-An empty table gives an empty result.  Other columns are ignored by ``groups``
-and carried by ``dedup``.
+An empty table gives an empty result.  Texts are compared whole, whatever their
+length.  Other columns are ignored by ``groups`` and carried by ``dedup``.
 """
 
 from __future__ import annotations

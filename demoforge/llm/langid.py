@@ -18,7 +18,8 @@ block.  Both ways give the same scores.
 Words without a letter say nothing and are left out.  ``und`` with score 0 is
 returned for null texts and texts without a letter, and for all rows when there
 is nothing to learn from; ties go to the language that sorts first.  Repeated
-rows and empty tables need no special case.
+rows and empty tables need no special case.  Texts are read whole, whatever
+their length; other columns are ignored.
 """
 
 from __future__ import annotations

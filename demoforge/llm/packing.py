@@ -18,7 +18,9 @@ The result is a list of runs, ``pieces lo..hi of length L go to sequences from
 b on``; tasks number their pieces per length and look up the run.
 
 Nulls: a null text is the empty text (the end id alone).  Repeated rows are
-packed as often as they occur.  An empty table gives an empty result.
+packed as often as they occur.  An empty table gives an empty result.  Texts
+longer than a sequence are cut whole into pieces; pieces of equal length are
+taken in the order of their tasks and rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

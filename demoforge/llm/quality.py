@@ -16,7 +16,9 @@ Nulls: a null text is the empty text; a text without words has only the
 thresholds.  Null grades are not learned from; of several grades for a doc_id
 the greatest counts.  Without two different grades every row gets the one grade
 known, or null, and is kept.  Empty tables and repeated rows need no special
-case.  ``select_quality`` carries all columns.
+case.  Texts are graded whole, whatever their length; a word counts by its form
+and by its shape, of which the first 8 signs are looked at.  ``select_quality``
+carries all columns.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ one bit, and all members of a word (65 at most) hang on the least one.
 Nulls: a null text is the empty text; texts without words have fingerprint zero
 and are linked like any other.  Repeated rows share a component.  A null doc_id
 never names a component unless all ids of it are null.  An empty table gives an
-empty result.
+empty result.  Texts are read whole, whatever their length.  ``components``
+ignores other columns, ``near_dedup`` carries them, names of its own work
+included.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ occurrence is one run: the longest left and the longest right extension.
 Nulls: a null text is the empty text.  Texts below WINDOW bytes lose nothing.
 Texts may be of any length (they are read in blocks).  Rows that repeat a
 doc_id, null ids included, are told apart by their texts; equal rows are copies
-of each other.  An empty table gives an empty result.
+of each other.  An empty table gives an empty result.  ``removals`` ignores
+other columns, ``remove`` carries them.
 """
 
 from __future__ import annotations

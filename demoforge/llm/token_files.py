@@ -11,7 +11,9 @@ the files complete or absent when executors are lost, on any file system.
 
 Nulls: a null text is the empty text; rows with a null doc_id come first.
 Empty texts hold the end id alone.  Repeated rows are written as often as they
-occur.  An empty table gives an empty file set.  Other columns are ignored.
+occur, rows of equal doc_id next to each other in any order.  An empty table
+gives an empty file set.  A long text is a segment of its own.  Other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Nulls: a null text is the empty text, which scores as the curve says for zero
 evidence.  Rows without a label are not learned from; a doc_id labelled more
 than once counts as toxic if any label says so.  Without labels of both classes
 every score is the share of toxic labels (0 without any).  Empty tables and
-repeated rows need no special case.
+repeated rows need no special case.  Texts are scored whole, whatever their
+length; other columns are ignored.
 """
 
 from __future__ import annotations
