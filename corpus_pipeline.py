@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of ``documents``; the last returns one row for each packed
 piece (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+In every stage a null text counts as the empty text, rows with a null doc_id and
+repeated rows stay rows of their own, texts are read whole, an empty table gives
+an empty one, and other columns are carried (the last stage drops them).  The
+operators' modules say what each does with ties.
 """
 
 from __future__ import annotations
