@@ -210,6 +210,7 @@ def iterate_batches(spark: SparkSession, path: str, order: str = "idx", shard: i
 #: a cache of so many generations is merged into one by the next commit
 MERGE_GENERATIONS = 32
 GENERATION = "cache_generation"
+MANIFESTS = "_manifests"
 
 
 def _files(spark: SparkSession, path: str):
@@ -219,12 +220,21 @@ def _files(spark: SparkSession, path: str):
 
 
 def _manifest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
-    """(number, generations) of the newest whole manifest; (0, []) without one."""
+    """(number, generations) of the newest whole manifest; (0, []) without one.
+
+    Manifests stand in a folder that readers of the whole path pass over.
+    Files that are no generation are no cache of ours: an error, not an empty
+    cache."""
     fs, at = _files(spark, path)
-    folder = at(f"{path}/manifests")
+    folder = at(f"{path}/{MANIFESTS}")
+    if fs.exists(at(path)):
+        strange = [f.getPath().getName() for f in fs.listStatus(at(path))]
+        strange = [n for n in strange if n[0] not in "_." and not n.startswith(f"{GENERATION}=")]
+        if strange:
+            raise ValueError(f"{path} holds files that no manifest lists: {strange[:3]}")
     numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(folder)), reverse=True) if fs.exists(folder) else []
     for n in numbers:
-        lines = [r.value for r in spark.read.text(f"{path}/manifests/{n}").collect()]
+        lines = [r.value for r in spark.read.text(f"{path}/{MANIFESTS}/{n}").collect()]
         if lines and lines[-1] == "end":
             return n, lines[:-1]
     return (numbers[0] if numbers else 0), []
@@ -267,7 +277,7 @@ def _commit(spark: SparkSession, path: str, known: list[str], new: str, key: Seq
         if len(names) > MERGE_GENERATIONS:
             names = [_write_generation(_generations(spark, path, names), path, partition_by)]
         try:
-            out = fs.create(at(f"{path}/manifests/{number + 1}"), False)
+            out = fs.create(at(f"{path}/{MANIFESTS}/{number + 1}"), False)
         except Exception as e:  # noqa: BLE001
             if "already exists" not in str(e):
                 raise
