@@ -44,7 +44,7 @@ from demoforge.llm.encode import slices
 WINDOW = 200
 GRAM = 64
 #: different contexts of an anchor that one task scans
-GROUP_ROWS = 16_000
+GROUP_ROWS = 2000
 #: window starts that a task hashes at once
 BLOCK = 1 << 20
 
