@@ -22,11 +22,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: words in each of a memo's two generations
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: longer words are encoded but not remembered
 MEMO_LENGTH = 64
 #: bytes of text that are cut together
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 
 #: white space beside a space, or white space that the plain cut does not know
 _UNSAFE = (r"  | [\t\n\x0b\x0c\r]|[\t\n\x0b\x0c\r] |"
