@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from demoforge.functions.draws import draw
 from demoforge.functions.scores import with_score
 from demoforge.operators.list_metrics import is_list_metric, list_bootstrap, list_score
-from demoforge.operators.demos import distinct_tuples, fewshot_prompt, prompt_word_count, select_demos, select_demos_overlap
+from demoforge.operators.demos import (distinct_tuples, fewshot_prompt, prompt_word_count, select_demos, select_demos_overlap,
+                                       slim, slim_prompt_word_count)
 from demoforge.operators.predict import predict, predict_prompts
 from demoforge.session import cut_lineage
 from demoforge.operators.windows import dense_index
@@ -78,6 +79,11 @@ def strategy_gap(
     rows of a bootstrap round.  ``informative`` is ``cluster-random`` or, for
     list categories, ``overlap`` (any shared element).
     """
+    predictors = predictor if isinstance(predictor, (list, tuple)) else [predictor]
+    # built-in predictors read labels and ids: the texts are left behind at once
+    light = all(isinstance(p, str) for p in predictors)
+    if light:
+        samples = slim(samples, by)
     evaluated = samples if first_n is None else samples.orderBy(*by, "idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
     # both strategies rank the same distinct tuples of the pool: build them once
@@ -87,13 +93,13 @@ def strategy_gap(
     else:
         info = select_demos(evaluated, k, informative, pool=samples, out="demos_info", by=by, tuples=tuples)
     if max_words is not None:
-        info = info.where(prompt_word_count("demos_info") <= max_words)
+        words = slim_prompt_word_count("demos_info") if light else prompt_word_count("demos_info")
+        info = info.where(words <= max_words)
     both = select_demos(info, k, "random", pool=samples, out="demos_rand", by=by, tuples=tuples)
-    predictors = predictor if isinstance(predictor, (list, tuple)) else [predictor]
     names = [model_name or (p if isinstance(p, str) else getattr(p, "__name__", "custom")) for p in predictors]
     if len(set(names)) < len(names):
         raise ValueError(f"predictors need different names, not {names}")
-    if not all(isinstance(p, str) for p in predictors):
+    if not light:
         both = cut_lineage(both.select(*by, "idx", "input", "label", "demos_info", "demos_rand"))
     scored = both
     # built-in predictors add columns to the same rows: one pass over the selection
@@ -179,11 +185,14 @@ def strategy_score(
 ) -> DataFrame:
     """One strategy alone, with its own word limit and number of samples:
     ``(by.., model, strategy, n_samples, score)``."""
+    light = isinstance(predictor, str)
+    if light:
+        samples = slim(samples, by)
     evaluated = samples if first_n is None else samples.orderBy("idx").limit(first_n) if not by else \
         _first_per_task(samples, by, first_n)
     sel = select_demos(evaluated, k, strategy, pool=samples, by=by)
     if max_words is not None:
-        sel = sel.where(prompt_word_count("demos") <= max_words)
+        sel = sel.where((slim_prompt_word_count("demos") if light else prompt_word_count("demos")) <= max_words)
     name = model_name or (predictor if isinstance(predictor, str) else getattr(predictor, "__name__", "custom"))
     if isinstance(predictor, str):
         out = predict(sel, predictor)

@@ -127,3 +127,14 @@ def test_salted_path_with_a_hot_category(spark, monkeypatch):
         assert (i in got) == (demos is not None)
         if demos is not None:
             assert got[i] == [(d[0], d[1]) for d in demos]
+
+
+def test_overlap_lists_hold_no_texts(spark):
+    data = _random_data(random.Random(3), 40, ["a", "b", "c", "d"], list("pqrstu"), list("xyz"), as_list=True)
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(data)],
+                               "idx bigint, input string, label string, category array<string>")
+    full = {r.idx: r.demos for r in D.select_demos_overlap(df, 3).collect()}
+    slim = {r.idx: r.demos for r in D.select_demos_overlap(D.slim(df), 3).collect()}
+    assert full and {i: [d.idx for d in ds] for i, ds in full.items()} == {i: [d.idx for d in ds] for i, ds in slim.items()}
+    assert all(d.input == data[d.idx][0] for ds in full.values() for d in ds)
+    assert all("input" not in d for ds in slim.values() for d in ds)
