@@ -136,3 +136,15 @@ def test_min_edit_distance_with_split_bands(spark, monkeypatch):
     got = {r.concept: r.min_dist for r in CN.min_edit_distance(df).collect()}
     for v in vals:
         assert got[v] == min(edit_distance(v, o) for o in vals if o != v)
+
+
+def test_a_fact_gives_each_question_k_neighbours_not_all_its_pairs(spark):
+    from demoforge.operators import neighbours as N
+    rows = [(q, q % 4 + 1, "f") for q in range(60)] + [(q, q % 4 + 1, f"g{q}_{i}") for q in range(60) for i in range(q % 4)]
+    members = spark.createDataFrame(rows, "q bigint, na int, f string").selectExpr("*", "true plain")
+    got = N._plain_candidates(members, 3).collect()
+    assert len(got) == 180
+    size = {q: q % 4 + 1 for q in range(60)}
+    for q in size:
+        want = sorted((c for c in size if c != q), key=lambda c: (max(size[q], size[c]), c))[:3]
+        assert sorted(r.c for r in got if r.q == q) == sorted(want)
