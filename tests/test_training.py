@@ -47,3 +47,16 @@ def test_hard_sets_pick_least_likely(spark):
         assert list(r.demo_idxs) in ([2], [0], [1])
     r0 = [r for r in h if r.idx == 0][0]
     assert list(r0.demo_idxs) == [2]
+
+
+def test_target_word_scorer_meets_no_other_words(spark):
+    from demoforge.operators import training as TR
+    rows = [(i, f"w{i % 4} en de w{i % 3}" if i % 7 else None, ["en x", "de", "fr", None][i % 4], "ab"[i % 2] if i % 5 else None)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "idx bigint, input string, label string, category string")
+    ci = TR._hard_inputs(df, "input", "label", TR._pairs_of(TR.shared_word_score))
+    assert {w for r in ci.collect() for w in r._own or []} == {"en", "de"}
+    kept = TR.hard_sets(df, candidates=5, scorer=TR.shared_word_score)
+    plain = TR.hard_sets(df, candidates=5, scorer=lambda p, t: TR.shared_word_score(p, t))
+    cols = ["idx", "n_demos", "demo_idxs", "demos_chars"]
+    assert sorted(map(tuple, kept.select(cols).collect())) == sorted(map(tuple, plain.select(cols).collect())) != []
