@@ -119,8 +119,9 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
     ``report`` gets a dict a round: threshold, way, concepts left, pairs
     compared."""
     parts = _partitions(df)
-    concepts = df.select(F.col(col).alias("a")).where(F.col("a").isNotNull()).distinct() \
-        .withColumn("la", F.char_length("a"))
+    # written first: each range partitioning of the bounds runs its input twice
+    concepts = cut_lineage(df.select(F.col(col).alias("a")).where(F.col("a").isNotNull()).distinct()
+                           .withColumn("la", F.char_length("a")))
     concepts = cut_lineage(_upper_bounds(concepts, parts))
     # length histogram: at most max_len + 1 rows, read once
     hist = {int(r["la"]): int(r["n"]) for r in concepts.groupBy("la").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -184,9 +185,9 @@ def concept_split(concepts: DataFrame, bands: Sequence[int], m: int, seed: int |
                   col: str = "concept", distances: DataFrame | None = None) -> DataFrame:
     """Per distinct concept: its min distance and ``heldout`` or ``train``
     (train = all concepts except the drawn ones)."""
-    dist = distances if distances is not None else min_edit_distance(concepts, col)
+    all_c = cut_lineage(concepts.select(col).distinct())
+    dist = distances if distances is not None else min_edit_distance(all_c, col)
     held = draw_concepts(dist, bands, m, seed, col).select(col).distinct()
-    all_c = concepts.select(col).distinct()
     train = all_c.subtract(held)
     return (dist.join(held.withColumn("split", F.lit("heldout")), col, "left")
             .join(train.withColumn("_t", F.lit(1)), col, "left")

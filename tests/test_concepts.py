@@ -70,3 +70,19 @@ def test_compared_pairs_stay_far_below_all(spark):
     assert set(rows.values()) == {1}
     n = len(texts)
     assert sum(r["compared"] for r in report) < n * n / 100, report
+
+
+def test_concepts_are_read_once(spark):
+    from pyspark.sql import functions as F
+    from demoforge.operators import concepts as CN
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(50, numPartitions=2).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("concept"))
+    out = CN.concept_split(df.mapInArrow(seen, "concept string"), (1,), 5)
+    assert out.count() == 50
+    assert read.value == 50
