@@ -148,3 +148,13 @@ def test_a_fact_gives_each_question_k_neighbours_not_all_its_pairs(spark):
     for q in size:
         want = sorted((c for c in size if c != q), key=lambda c: (max(size[q], size[c]), c))[:3]
         assert sorted(r.c for r in got if r.q == q) == sorted(want)
+
+
+def test_dedup_first_groups_texts_by_digest(spark, capsys):
+    from demoforge.operators import windows as W
+    df = spark.createDataFrame([(2, "a"), (1, "a"), (3, None), (4, ""), (5, None)], "idx bigint, t string")
+    first = W.dedup_first(df, "t", "idx")
+    assert sorted(r.idx for r in first.collect()) == [1, 3, 4]
+    first.explain()
+    plan = capsys.readouterr().out
+    assert "md5" in plan and "hashpartitioning(_key" in plan
