@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demoforge.functions.text import py_strip
 from demoforge.operators.joins import keyed_join
+from demoforge.session import cut_lineage
 
 
 def _with_weights(dim: DataFrame, refs: DataFrame, key: str) -> DataFrame:
@@ -42,14 +43,19 @@ def cluster_facts(questions: DataFrame, ids: str, dim: DataFrame, dim_key: str,
     """Distinct facts over each cluster's questions: ``(cluster, facts,
     n_missing)`` with texts stripped and ordered by fact id.  Ids without a
     text are counted, clusters without any fact have an empty list."""
-    ex = questions.select(cluster, F.explode(ids).alias("_id")).distinct()
+    # a cluster's ids come together in one shuffle, written once: weights, join
+    # and the clusters without facts read the same table
+    sets = cut_lineage(questions.groupBy(cluster).agg(F.array_distinct(F.flatten(F.collect_list(
+        F.when(F.col(cluster).isNotNull(), F.col(ids))))).alias("_ids")))
+    ex = sets.select(cluster, F.explode_outer("_ids").alias("_id"), F.coalesce(F.size("_ids"), F.lit(0)).alias("_m"))
     d = dim.select(F.col(dim_key).alias("_id"), F.col(dim_val).alias("_v"))
     j = keyed_join(ex, _with_weights(d, ex, "_id"), "_id", weight="_w",
                    salt_by=F.col(cluster).cast("string"), how="left")
+    asked = F.col("_m") > 0
     found = F.when(F.col("_v").isNotNull(), F.struct("_id", py_strip("_v").alias("_t")))
     g = j.groupBy(cluster).agg(F.sort_array(F.collect_list(found)).alias("_l"),
-                               F.count(F.when(F.col("_v").isNull(), 1)).alias("n_missing"))
-    return questions.select(cluster).distinct().join(g, cluster, "left").select(
+                               F.count(F.when(asked & F.col("_v").isNull(), 1)).alias("n_missing"))
+    return g.select(
         cluster, F.coalesce(F.transform("_l", lambda x: x["_t"]), F.array().cast("array<string>")).alias("facts"),
         F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 
