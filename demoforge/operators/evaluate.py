@@ -111,10 +111,15 @@ def strategy_gap(
     for i, p in enumerate(predictors):
         if isinstance(p, str):
             continue
-        asked = both.select(*keys, F.explode(F.array(*[
-            F.struct(F.lit(n).alias("strategy"), fewshot_prompt(d).alias("prompt"))
-            for n, d in ((f"_pi{i}", "demos_info"), (f"_pr{i}", "demos_rand"))])).alias("_a")).select(*keys, "_a.*")
-        got = predict_prompts(asked, p, names[i], cache, batch_size)
+        def prompt(demos, *columns):
+            return F.struct(F.array(*[F.lit(c) for c in columns]).alias("strategies"), fewshot_prompt(demos).alias("prompt"))
+
+        # equal demonstrations of both strategies make one prompt
+        info_col, rand_col = f"_pi{i}", f"_pr{i}"
+        asked = both.select(*keys, F.explode(
+            F.when(F.col("demos_info").eqNullSafe(F.col("demos_rand")), F.array(prompt("demos_info", info_col, rand_col)))
+            .otherwise(F.array(prompt("demos_info", info_col), prompt("demos_rand", rand_col)))).alias("_a")).select(*keys, "_a.*")
+        got = predict_prompts(asked, p, names[i], cache, batch_size).withColumn("strategy", F.explode("strategies"))
         wide = got.groupBy(F.struct(*keys).alias("_k")).pivot("strategy", [f"_pi{i}", f"_pr{i}"]).agg(F.max("predicted"))
         scored = scored.withColumn("_k", F.struct(*keys)).join(wide, "_k").drop("_k")
     if is_list_metric(metric):

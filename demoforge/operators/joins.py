@@ -19,6 +19,18 @@ from pyspark import StorageLevel
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
+#: an id list of at most this many rows may be broadcast
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join of wide rows with an id list, which is counted: a
+    short one is broadcast, so that the wide rows do not move."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, on, how)
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from demoforge.operators.joins import join_ids
 from demoforge.session import cut_lineage
 from demoforge.sources import with_cache
 
@@ -77,9 +78,16 @@ def predict_prompts(asked: DataFrame, fn: Callable[[pd.Series], pd.Series], mode
     Every different prompt passes the function once: prompts are told apart by
     a 128-bit digest, only (digest, prompt) goes to Python, and the answers
     are written before they are joined back.  ``cache`` is a folder that keeps
-    them by (model, digest); a prompt found there does not run again."""
+    them by (model, digest); a prompt found there does not run again.
+
+    Digests are counted first.  A prompt that is asked once goes to the
+    function from where it is built; only copies are shuffled."""
     asked = asked.withColumn("prompt_id", F.md5("prompt"))
-    todo = asked.select(F.lit(model).alias("model"), "prompt_id", "prompt").dropDuplicates(["prompt_id"])
+    each = asked.select(F.lit(model).alias("model"), "prompt_id", "prompt").where(F.col("prompt_id").isNotNull())
+    asked = cut_lineage(asked.drop("prompt"))
+    copied = cut_lineage(asked.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("prompt_id"))
+    todo = join_ids(each, copied, "prompt_id", "left_anti").unionByName(
+        join_ids(each, copied, "prompt_id", "left_semi").dropDuplicates(["prompt_id"])).select("model", "prompt_id", "prompt")
 
     def compute(missing: DataFrame) -> DataFrame:
         return predict(missing, fn, batch_size=batch_size).select("model", "prompt_id", "predicted")
@@ -87,7 +95,9 @@ def predict_prompts(asked: DataFrame, fn: Callable[[pd.Series], pd.Series], mode
     if cache is None:
         answers = cut_lineage(compute(todo))
     else:
-        answers = with_cache(asked.sparkSession, todo, cache, ["model", "prompt_id"], compute, partition_by=["model"])
+        keys = asked.select(F.lit(model).alias("model"), "prompt_id")
+        answers = with_cache(asked.sparkSession, todo, cache, ["model", "prompt_id"], compute, partition_by=["model"],
+                             unique=True, keys=keys)
     return asked.join(answers.select("prompt_id", "predicted"), "prompt_id").drop("prompt_id")
 
 
