@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from demoforge.llm.caches import held
 from demoforge.llm.common import on_workers
-from demoforge.llm.encode import PIECE_BYTES, PRETOKEN, Cut, Memo, WordMemo, byte_letters, plain_byte_level, slices
+from demoforge.llm.encode import PIECE_BYTES, PRETOKEN, WordMemo, byte_letters, plain_byte_level, slices
 
 NEVER = 1 << 60
 
@@ -216,22 +216,31 @@ class TrieBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def loaded(path: str) -> tuple[TrieBPE, WordMemo, Memo]:
-    """The vocabulary, its word memo and a memo of (number of ids, decimal ids
-    joined by commas, bytes) for the ids of a word, one per worker."""
+def loaded(path: str) -> tuple[TrieBPE, WordMemo, tuple]:
+    """The vocabulary, its word memo, and by id the decimal id with a comma and
+    the token's bytes (Arrow arrays), one per worker."""
 
     def make():
+        import pyarrow as pa
+
         t = TrieBPE(path)
-        names = [str(i) for i in range(len(t.bytes_of))]
+        names = pa.array([b"%d," % i for i in range(len(t.bytes_of))], pa.large_binary())
+        words = WordMemo(lambda words, texts: t.encode([" " + w for w in words] + texts), tuple(t.special), lines=True)
+        return t, words, (names, pa.array(t.bytes_of, pa.large_binary()))
+
+    return held(("trie", path), make)
 
-        def show(many: list[bytes]) -> list[tuple[int, str, bytes]]:
-            lists = [np.frombuffer(b, "<u4").tolist() for b in many]
-            return [(len(x), ",".join(map(names.__getitem__, x)), b"".join(map(t.bytes_of.__getitem__, x))) for x in lists]
 
-        words = WordMemo(lambda words, texts: t.encode([" " + w for w in words] + texts), tuple(t.special))
-        return t, words, Memo(show)
+def _joined(table, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The entries of each text's ids after each other."""
+    import pyarrow as pa
 
-    return held(("trie", path), make)
+    _, at, data = table.take(pa.array(ids)).buffers()
+    if not len(ids):
+        return [b""] * (len(bounds) - 1)
+    b = np.frombuffer(at, np.int64)[bounds].tolist()
+    raw = data.to_pybytes()
+    return [raw[x:y] for x, y in zip(b, b[1:])]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = True) -> DataFrame:
@@ -246,28 +255,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = True) ->
     def run(batches):
         import pyarrow as pa
 
-        _, memo, shown = loaded(tokenizer)
+        _, memo, (names, raws) = loaded(tokenizer)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for piece in slices(batch, PIECE_BYTES):
-                cut = Cut(piece.column("text"), memo.specials)
-                words, heads = memo.words.of(cut.words), memo.heads.of(cut.heads)
-                many = shown.of(words + heads)
-                sizes = np.array([x[0] for x in many], dtype=np.int64)
-                names, raws = [x[1] for x in many], [x[2] for x in many]
-                index, bounds = cut.index.tolist(), cut.bounds.tolist()
-                total = np.concatenate([[0], np.cumsum(sizes[cut.index])])
-                n = sizes[len(words):] + total[cut.bounds[1:]] - total[cut.bounds[:-1]]
-                ids_sha, text_sha, texts, ids = [], [], [], []
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:]), len(words)):
-                    own = index[a:b]
-                    first = [names[k]] if names[k] else []
-                    ids_sha.append(sha(",".join(first + [names[i] for i in own]).encode()))
-                    text = (raws[k] + b"".join([raws[i] for i in own])).decode("utf-8", "replace")
-                    text_sha.append(sha(text.encode()))
-                    if with_text:
-                        texts.append(text)
-                        ids.append(np.frombuffer(heads[k - len(words)] + b"".join([words[i] for i in own]), "<u4").astype(np.int32))
+                all_ids, bounds = memo.ids(piece.column("text"))
+                n = np.diff(bounds)
+                ids_sha = [sha(x[:-1]) for x in _joined(names, all_ids, bounds)]
+                texts = [x.decode("utf-8", "replace") for x in _joined(raws, all_ids, bounds)]
+                text_sha = [sha(x.encode()) for x in texts]
+                if with_text:
+                    ids = [all_ids[a:b].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:])]
                 cols = [piece.column("doc_id"), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_text:
                     cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]

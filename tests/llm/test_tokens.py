@@ -108,3 +108,42 @@ def test_token_files_of_nothing(spark):
     path = Workspace(spark, "test-files").path()
     token_files.write_token_files(empty_docs(spark), path, default_tokenizer())
     assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_words_at_line_ends_are_remembered(library):
+    """Texts are cut before their line ends: what stands on both sides of one is
+    no word of its own that is encoded anew for every pair."""
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(30)] + ["'s", "été.", "--", "12"]
+    sep = [" ", " ", "\n", "\n\n", "\r\n", " \n", "\n ", "\t", "\n\t"]
+    plain = ["\n".join(rng.choice(words) for _ in range(200)) for _ in range(40)]
+    mixed = ["".join(rng.choice(words) + rng.choice(sep) for _ in range(20)) for _ in range(400)]
+    texts = [*plain, *mixed, "\n", "\nab\n", "ab\n", "a\n<|endoftext|>\nb"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (library_encoder(default_tokenizer()), bpe_trie.loaded(default_tokenizer())[1]):
+        asked = []
+        compute = encoder.words.compute
+        encoder.words.compute = lambda many, compute=compute, asked=asked: asked.extend(many) or compute(many)
+        try:
+            assert [np.frombuffer(b, "<u4").tolist() for b in encoder.batch(texts[:40])] == want[:40]
+            assert len(asked) <= len(words)
+            assert [np.frombuffer(b, "<u4").tolist() for b in encoder.batch(texts)] == want
+        finally:
+            encoder.words.compute = compute
+
+
+def test_array_memo_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from demoforge.llm import encode
+
+    monkeypatch.setattr(encode, "MEMO_WORDS", 20)
+    memo = encode.ArrayMemo(lambda many: [np.array([ord(c) for c in w], dtype="<u4").tobytes() for w in many])
+    rng = random.Random(6)
+    for _ in range(60):
+        words = list({"".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 70]))) for _ in range(15)})
+        flat, starts, sizes = memo.of(pa.array(words, pa.string()))
+        assert ["".join(map(chr, flat[a:a + n])) for a, n in zip(starts, sizes)] == words
+        assert len(memo.keys) <= encode.ARRAY_MEMO * 20 + 15 and len(memo.flat) <= 4 * len(memo.keys)
+    flat, starts, _ = memo.of(pa.array([], pa.string()))
+    assert len(starts) == 0
