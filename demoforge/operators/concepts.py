@@ -6,11 +6,15 @@ give every concept an upper bound first.  Then a threshold d = 4, 8, 16, ...
 deepens: a text cut into d + 1 segments keeps at least one of them, in place up
 to a bounded shift, in every text within d edits, so a concept meets others
 through an equi-join on (length, segment number, segment) and the survivors go
-through the bounded ``levenshtein(a, b, d)``.  A concept is final once a match
-at or below d is found, or its upper bound is at most d + 1; only the others go
-on.  Where the probes of d + 1 segments would cost more than meeting every
+through the bounded ``levenshtein(a, b, t)``, t = d or just below the upper bound.
+A concept is final once a match at or below d is found, or its upper bound is at
+most d + 1; only the others go on.  Where the probes of d + 1 segments would cost more than meeting every
 concept (few concepts, or the last few with a large d), the concepts left meet
-all of similar length instead, in length bands cut into salt slices.  ``report`` tells how many pairs every round compared.
+all of similar length instead, in length bands cut into a grid of cells.  ``report`` tells how many pairs every round compared.
+
+Spark sizes an exploded table like the file below it, so it is counted here what
+a join would broadcast: the index of a round goes to every task up to
+``BROADCAST_BYTES``, a larger one meets the probes in a sort-merge join.
 """
 
 from __future__ import annotations
@@ -27,77 +31,102 @@ from demoforge.session import cut_lineage
 
 START_THRESHOLD = 4
 PROBE_COST = 16  # bounded comparisons that cost about as much as a probe with its join
-PAIRS_PER_TASK = 10_000_000  # bounded-threshold comparisons one task should run per band slice
+PAIRS_PER_TASK = 10_000_000  # bounded-threshold comparisons one task should run per cell of a band
+CELL_BYTES = 32_000_000  # of one side that a task holds at a time
+BROADCAST_BYTES = 4_000_000
+ROW_BYTES = 64  # of a row besides its texts
 
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _band_slices(hist: dict[int, int], width: int, parts: int):
-    """Salt slices per length band for one round, as a literal map.
+def _row_bytes(length: int) -> int:
+    """Of a row with a text of ``length`` characters of up to 4 bytes."""
+    return 4 * length + ROW_BYTES
+
+
+def _on_text(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join with a table of texts, which is never broadcast: a file of
+    repeated texts says little about the bytes it holds."""
+    return df.join(other.hint("merge"), on, how)
+
+
+def _band_sides(hist: dict[int, int], width: int, parts: int):
+    """Parts of either side of a length band for one round, as a literal map.
 
     Right side of band b: concepts with length // width == b; left side: at
-    most those of bands b-1..b+1.  A band gets slices in proportion to its
-    comparisons (budget: the round's total over ~2 slices per partition,
-    capped by PAIRS_PER_TASK); quiet bands keep one slice (no copies)."""
+    most those of bands b-1..b+1.  Each of n parts of a side meets each of the
+    other, in n * n cells, as many as its comparisons (budget: the round's
+    total over ~4 cells per partition, capped by PAIRS_PER_TASK) and bytes
+    (CELL_BYTES a part) ask for; quiet bands keep one cell (no copies)."""
     right: dict[int, int] = {}
+    held: dict[int, int] = {}
     for length, n in hist.items():
         right[length // width] = right.get(length // width, 0) + n
+        held[length // width] = held.get(length // width, 0) + n * _row_bytes(length)
     cmp = {b: n * sum(right.get(b + k, 0) for k in (-1, 0, 1)) for b, n in right.items()}
     total = sum(cmp.values())
-    budget = min(float(PAIRS_PER_TASK), max(1.0, total / (2.0 * parts)))
-    slices = {b: min(parts, max(1, math.ceil(c / budget))) for b, c in cmp.items()}
-    kv = [x for b, sl in sorted(slices.items()) if sl > 1 for x in (F.lit(b).cast("bigint"), F.lit(sl))]
+    budget = min(float(PAIRS_PER_TASK), max(1.0, total / (4.0 * parts)))
+    sides = {b: max(math.ceil(math.sqrt(c / budget)), math.ceil(held[b] / CELL_BYTES)) for b, c in cmp.items()}
+    kv = [x for b, n in sorted(sides.items()) if n > 1 for x in (F.lit(b).cast("bigint"), F.lit(n))]
     return F.create_map(*kv) if kv else None
 
 
 def _band_pairs(remaining: DataFrame, others: DataFrame, hist: dict[int, int], d: int, parts: int) -> DataFrame:
-    """Pairs whose lengths differ by at most d."""
+    """Pairs whose lengths differ by at most the concept's own ``t`` <= d."""
     width = d + 1
     left = remaining.withColumn("_band", F.explode(F.array(*[F.floor(F.col("la") / width) + k for k in (-1, 0, 1)])))
     right = others.withColumn("_band", F.floor(F.col("lb") / width))
-    slices = _band_slices(hist, width, parts)
-    s_of = F.coalesce(F.try_element_at(slices, F.col("_band").cast("bigint")), F.lit(1)) if slices is not None \
-        else F.lit(1)
-    left = left.withColumn("_salt", F.pmod(F.xxhash64("a"), s_of))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), s_of - 1)))
-    return left.join(right, ["_band", "_salt"]).where(F.abs(F.col("la") - F.col("lb")) <= d).select("a", "b")
+    if sum(n * _row_bytes(length) for length, n in hist.items()) <= BROADCAST_BYTES:
+        met = left.join(F.broadcast(right), "_band")
+    else:
+        sides = _band_sides(hist, width, parts)
+        n_of = F.coalesce(F.try_element_at(sides, F.col("_band").cast("bigint")), F.lit(1)) if sides is not None \
+            else F.lit(1)
+        each = F.explode(F.sequence(F.lit(0), n_of - 1))
+        cell = ["_band", "_i", "_j"]
+        # a fixed number of partitions: few bytes here are many comparisons
+        left = left.withColumn("_i", F.pmod(F.xxhash64("a"), n_of).cast("int")).withColumn("_j", each).repartition(2 * parts, *cell)
+        right = right.withColumn("_j", F.pmod(F.xxhash64("b"), n_of).cast("int")).withColumn("_i", each).repartition(2 * parts, *cell)
+        met = left.hint("merge").join(right, cell)
+    return met.where(F.abs(F.col("la") - F.col("lb")) <= F.col("t")).select("a", "b", "t")
 
 
 def probes_of(d: int) -> int:
     """Probes of a long text in a round: its substrings that can stand for a
     segment of a text within d edits."""
-    return sum(max(0, min(i, shift + d - i) - max(-i, shift - (d - i)) + 1)
-               for shift in range(-d, d + 1) for i in range(d + 1))
+    # the sum of min(i, shift + d - i) + min(i, d - i - shift) + 1 over segments i and shifts up to d
+    return 2 * d * (d + 1) * (d - 1) // 3 + (2 * d + 1) * (d + 1)
 
 
-def _segment_pairs(remaining: DataFrame, others: DataFrame, d: int) -> DataFrame:
-    """Pairs (a, b), some more than once, with every b within d edits of a.
+def _segment_pairs(remaining: DataFrame, others: DataFrame, hist: dict[int, int], d: int) -> DataFrame:
+    """Pairs (a, b), some more than once, with every b within the concept's own
+    ``t`` <= d edits of a.
 
-    Segment i of b starts at ``i * lb div (d + 1)``.  If it is the first one
-    that survives, at most i edits lie before and d - i behind it, so it starts
-    in a at most i places from its start and, counted from the ends, at most
-    d - i places from there.  A text of at most d characters has no d + 1
-    segments and meets every text of at most d characters more."""
+    Segment i of b starts at ``i * lb div (d + 1)``.  One of the first t + 1 has
+    i edits before it, none inside and at most t - i behind it, so it starts in
+    a at most i places from its start and, counted from the ends, at most t - i
+    places from there.  A text of at most d characters has no d + 1 segments
+    and meets every text of at most t characters more or less."""
     k = d + 1
     first = F.floor(F.col("i") * F.col("lb") / k).cast("int")
     size = (F.floor((F.col("i") + 1) * F.col("lb") / k) - first).cast("int")
-    number = F.explode(F.sequence(F.lit(0), F.lit(d)))
-    index = others.where(F.col("lb") >= k).withColumn("i", number).select(
+    index = others.where(F.col("lb") >= k).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d)))).select(
         "b", "lb", "i", F.substring(F.col("b"), first + 1, size).alias("seg"))
     shift = F.col("la") - F.col("lb")
-    lo = F.greatest(F.lit(0), F.col("s") - F.col("i"), F.col("s") + shift - (d - F.col("i")))
-    hi = F.least(F.col("la") - F.col("n"), F.col("s") + F.col("i"), F.col("s") + shift + (d - F.col("i")))
-    probes = remaining.where("la > 0").select(
-        "a", "la", F.explode(F.sequence(F.greatest(F.col("la") - d, F.lit(k)), F.col("la") + d)).alias("lb"))
-    probes = probes.withColumn("i", number).withColumn("s", first).withColumn("n", size)
+    lo = F.greatest(F.lit(0), F.col("s") - F.col("i"), F.col("s") + shift - (F.col("t") - F.col("i")))
+    hi = F.least(F.col("la") - F.col("n"), F.col("s") + F.col("i"), F.col("s") + shift + (F.col("t") - F.col("i")))
+    probes = remaining.where((F.col("la") > 0) & (F.col("la") + F.col("t") >= k)).select(
+        "a", "la", "t", F.explode(F.sequence(F.greatest(F.col("la") - F.col("t"), F.lit(k)), F.col("la") + F.col("t"))).alias("lb"))
+    probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t")))).withColumn("s", first).withColumn("n", size)
     probes = probes.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn(
-        "_p", F.explode(F.sequence("_lo", "_hi"))).select("a", "lb", "i", F.substring(F.col("a"), F.col("_p") + 1, F.col("n")).alias("seg"))
-    pairs = probes.join(index, ["lb", "i", "seg"]).select("a", "b")
-    short = remaining.where(F.col("la") <= 2 * d).select(
-        "a", F.explode(F.sequence(F.greatest(F.col("la") - d, F.lit(0)), F.least(F.col("la") + d, F.lit(d)))).alias("lb"))
-    return pairs.unionByName(short.join(others.where(F.col("lb") <= d), "lb").select("a", "b"))
+        "_p", F.explode(F.sequence("_lo", "_hi"))).select("a", "t", "lb", "i", F.substring(F.col("a"), F.col("_p") + 1, F.col("n")).alias("seg"))
+    small = sum(n * k * _row_bytes(length) for length, n in hist.items() if length >= k) <= BROADCAST_BYTES
+    pairs = probes.join(F.broadcast(index) if small else index.hint("merge"), ["lb", "i", "seg"]).select("a", "b", "t")
+    short = remaining.where(F.col("la") - F.col("t") <= d).select(
+        "a", "t", F.explode(F.sequence(F.greatest(F.col("la") - F.col("t"), F.lit(0)), F.least(F.col("la") + F.col("t"), F.lit(d)))).alias("lb"))
+    return pairs.unionByName(_on_text(short, others.where(F.col("lb") <= d), "lb").select("a", "b", "t"))
 
 
 def _upper_bounds(concepts: DataFrame, parts: int) -> DataFrame:
@@ -134,12 +163,14 @@ def min_edit_distance(df: DataFrame, col: str = "concept", start: int = START_TH
     d = start
     while left:
         by_segments = PROBE_COST * probes_of(d) < total
-        pairs = _segment_pairs(remaining, others, d) if by_segments else _band_pairs(remaining, others, hist, d, parts)
-        dist = pairs.where("a <> b").select("a", F.levenshtein("a", "b", d).alias("dist"))
-        # -1: more than d; counted, but no match
+        # only what is nearer than the bound is looked for, and no two are 0 apart
+        asked = remaining.withColumn("t", F.least(F.lit(d), F.col("most") - 1).cast("int")).where("t > 0")
+        pairs = _segment_pairs(asked, others, hist, d) if by_segments else _band_pairs(asked, others, hist, d, parts)
+        dist = pairs.where("a <> b").select("a", F.expr("levenshtein(a, b, t)").alias("dist"))
+        # -1: more than t; counted, but no match
         best = cut_lineage(dist.groupBy("a").agg(
             F.min(F.when(F.col("dist") >= 0, F.col("dist"))).cast("bigint").alias("dist"), F.count(F.lit(1)).alias("compared")))
-        state = cut_lineage(remaining.join(best, "a", "left"))
+        state = cut_lineage(_on_text(remaining, best, "a", "left"))
         # nothing nearer than the bound is left out when all within d were met
         done = F.col("dist").isNotNull() | (F.col("most") <= d + 1)
         found.append(state.where(done).select("a", F.least("dist", "most").alias("min_dist")))
@@ -189,6 +220,6 @@ def concept_split(concepts: DataFrame, bands: Sequence[int], m: int, seed: int |
     dist = distances if distances is not None else min_edit_distance(all_c, col)
     held = draw_concepts(dist, bands, m, seed, col).select(col).distinct()
     train = all_c.subtract(held)
-    return (dist.join(held.withColumn("split", F.lit("heldout")), col, "left")
-            .join(train.withColumn("_t", F.lit(1)), col, "left")
+    marked = dist.join(held.withColumn("split", F.lit("heldout")), col, "left")
+    return (_on_text(marked, train.withColumn("_t", F.lit(1)), col, "left")
             .select(col, "min_dist", F.coalesce("split", F.when(F.col("_t") == 1, "train")).alias("split")))

@@ -86,3 +86,43 @@ def test_concepts_are_read_once(spark):
     out = CN.concept_split(df.mapInArrow(seen, "concept string"), (1,), 5)
     assert out.count() == 50
     assert read.value == 50
+
+
+def test_what_a_round_makes_of_texts_is_not_broadcast(spark, monkeypatch):
+    """Their file is small, the exploded rows need not be."""
+    plans, written = [], CN.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(CN, "cut_lineage", seen)
+    monkeypatch.setattr(CN, "BROADCAST_BYTES", 1000, raising=False)
+    texts = ["view " * 4 + "".join(2 * c for c in f"{i:02d}") for i in range(40)]
+    for way in (0, 10 ** 9):
+        plans.clear()
+        monkeypatch.setattr(CN, "probes_of", lambda d, way=way: way)
+        assert set(got(spark, texts).values()) == {2}
+        assert any("Join" in p for p in plans) and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_split_and_dataset_joins_are_not_broadcast(spark):
+    df = spark.createDataFrame([(f"c{i}",) for i in range(50)], "concept string")
+    plan = CN.concept_split(df, (1,), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
+
+
+@pytest.mark.parametrize("d", [1, 4, 5, 16])
+def test_probes_of(d):
+    assert CN.probes_of(d) == sum(min(i, s + d - i) - max(-i, s - (d - i)) + 1 for s in range(-d, d + 1) for i in range(d + 1))
+
+
+@pytest.mark.parametrize("small", [0, 1 << 40])
+@pytest.mark.parametrize("way", [0, 10 ** 9])
+def test_joins_by_size_give_the_same(spark, monkeypatch, small, way):
+    """Broadcast or not, by segments or in a grid of cells."""
+    monkeypatch.setattr(CN, "BROADCAST_BYTES", small)
+    monkeypatch.setattr(CN, "CELL_BYTES", 2000)
+    monkeypatch.setattr(CN, "probes_of", lambda d: way)
+    texts = made(6, 60, "ab ", 25) + ["", "x" * 60]
+    assert got(spark, texts, start=2) == nearest(texts)
