@@ -79,13 +79,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def shuffle_join(df: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with an exchange on both sides, whatever Spark takes ``other``
+    for: rows that were compressed, exploded or made in Python may be many times
+    the file below them, and a broadcast of them would go through the driver."""
+    return df.join(other.hint("merge"), on, how)
+
+
 def join_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """Semi or anti join of a wide table with an id list.  The list is counted:
     a short one is broadcast, so that the wide rows do not move; a longer one
-    takes Spark's shuffle join."""
+    takes a shuffle join."""
     if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, on, how)
+        return df.join(F.broadcast(ids), on, how)
+    return shuffle_join(df, ids, on, how)
 
 
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -108,10 +115,10 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "min")
-        big = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = shuffle_join(both.filter("v > u"), m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e1 = ws.save(oriented(big), "large")
         m1 = ws.save(e1.groupBy("u").agg(F.min("v").alias("m")), "min")
-        small = e1.join(m1, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = shuffle_join(e1, m1, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e2 = ws.save(oriented(small.unionByName(m1.withColumnRenamed("m", "v"))), "small")
         now = state(e2)
         ws.drop(e, m, e1, m1)

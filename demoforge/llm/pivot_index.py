@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.llm.common import Workspace, connected_components, key_groups
+from demoforge.llm.common import Workspace, connected_components, key_groups, shuffle_join
 
 PIVOTS = 1024
 SAMPLE = 4096
@@ -241,14 +241,14 @@ def _throughout(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     slim = cells.select("cell", "cids", F.expr("aggregate(ns, 0L, (s, n) -> s + n)").alias("total"), F.col("cids")[0].alias("first"))
     whole = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     # weights met by a cell add up before they reach its vectors
-    w = (whole.join(slim.select(F.col("cell").alias("y"), "total"), "y").groupBy("x").agg(F.sum("total").alias("w"))
-         .join(slim.select(F.col("cell").alias("x"), "cids"), "x")
+    w = shuffle_join(whole, slim.select(F.col("cell").alias("y"), "total"), "y").groupBy("x").agg(F.sum("total").alias("w"))
+    w = (shuffle_join(w, slim.select(F.col("cell").alias("x"), "cids"), "x")
          .select(F.explode("cids").alias("a"), F.lit(None).cast("long").alias("b"), "w"))
     # vectors of one cell hang on its first one, the two first ones on each other
-    touched = whole.select(F.col("x").alias("cell")).distinct().join(slim.select("cell", "cids", "first"), "cell")
+    touched = shuffle_join(whole.select(F.col("x").alias("cell")).distinct(), slim.select("cell", "cids", "first"), "cell")
     hang = touched.select(F.explode("cids").alias("a"), F.col("first").alias("b"), F.lit(None).cast("long").alias("w")).filter("a <> b")
-    firsts = (pairs.join(slim.select(F.col("cell").alias("x"), F.col("first").alias("a")), "x")
-              .join(slim.select(F.col("cell").alias("y"), F.col("first").alias("b")), "y").select("a", "b", F.lit(None).cast("long").alias("w")))
+    firsts = shuffle_join(pairs, slim.select(F.col("cell").alias("x"), F.col("first").alias("a")), "x")
+    firsts = (shuffle_join(firsts, slim.select(F.col("cell").alias("y"), F.col("first").alias("b")), "y").select("a", "b", F.lit(None).cast("long").alias("w")))
     return w.unionByName(hang).unionByName(firsts)
 
 
@@ -276,7 +276,7 @@ def near_duplicates(df: DataFrame, cos: float = 0.9, vector: str = "embedding",
     sigs = ws.save(counts.select("sig", "m", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / BLOCK) - 1).cast("int"))).alias("block"))
                    .withColumn("cell", F.monotonically_increasing_id()), "cell-signatures")
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK)).cast("int")
-    members = members.join(counts, "sig").withColumn("block", block).join(sigs.drop("m"), ["sig", "block"])
+    members = shuffle_join(shuffle_join(members, counts, "sig").withColumn("block", block), sigs.drop("m"), ["sig", "block"])
     cells = ws.save(_cells(members), "cells")
     # inverted lists: one entry per combination of shared pivots
     def listed(width: int) -> DataFrame:
@@ -285,25 +285,25 @@ def near_duplicates(df: DataFrame, cos: float = 0.9, vector: str = "embedding",
         return sigs.filter(F.size("sig") == width).select("cell", "sig", combo.alias("k"))
 
     lists = reduce(DataFrame.unionByName, map(listed, sorted(widths or {1})))
-    met = (lists.select(F.col("cell").alias("x"), F.col("sig").alias("sx"), "k")
-           .join(lists.select(F.col("cell").alias("y"), F.col("sig").alias("sy"), "k"), "k")
+    met = (shuffle_join(lists.select(F.col("cell").alias("x"), F.col("sig").alias("sx"), "k"),
+                        lists.select(F.col("cell").alias("y"), F.col("sig").alias("sy"), "k"), "k")
            .filter("x < y").filter(F.slice(F.array_intersect("sx", "sy"), 1, F.size("k")) == F.col("k")).select("x", "y"))
     pairs = ws.save(met, "met")
     ball = cells.select("cell", "centre", "radius")
-    pairs = (pairs.join(ball.select(F.col("cell").alias("x"), F.col("centre").alias("cx"), F.col("radius").alias("rx")), "x")
-             .join(ball.select(F.col("cell").alias("y"), F.col("centre").alias("cy"), F.col("radius").alias("ry")), "y"))
+    pairs = shuffle_join(pairs, ball.select(F.col("cell").alias("x"), F.col("centre").alias("cx"), F.col("radius").alias("rx")), "x")
+    pairs = shuffle_join(pairs, ball.select(F.col("cell").alias("y"), F.col("centre").alias("cy"), F.col("radius").alias("ry")), "y")
     pairs = ws.save(_verdicts(pairs.select("x", "y", "cx", "rx", "cy", "ry"), cos), "pairs")
     body = cells.select("cell", "cids", "ns", "vecs")
-    check = (pairs.filter("not all").join(body.withColumnRenamed("cell", "x"), "x")
-             .join(body.select(F.col("cell").alias("y"), F.col("cids").alias("cids2"), F.col("ns").alias("ns2"), F.col("vecs").alias("vecs2")), "y"))
+    check = shuffle_join(pairs.filter("not all"), body.withColumnRenamed("cell", "x"), "x")
+    check = shuffle_join(check, body.select(F.col("cell").alias("y"), F.col("cids").alias("cids2"), F.col("ns").alias("ns2"), F.col("vecs").alias("vecs2")), "y")
     found = ws.save(_inside(cells, cos).unionByName(_between(check, cos)).unionByName(_throughout(pairs.filter("all").select("x", "y"), cells)), "found")
     comp = connected_components(ws, found.filter("b is not null").select("a", "b"))
-    least = comp.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = comp.join(least, "component").select(F.col("node").alias("cid"), "component_id")
+    least = shuffle_join(comp, classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = shuffle_join(comp, least, "component").select(F.col("node").alias("cid"), "component_id")
     weight = found.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("w"))
-    final = ws.save(classes.join(named, "cid", "left").join(weight, "cid", "left").select(
+    final = ws.save(shuffle_join(shuffle_join(classes, named, "cid", "left"), weight, "cid", "left").select(
         "key", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "final")
-    return rows.select("vec_id", "key").join(final, "key", "left").select(
+    return shuffle_join(rows.select("vec_id", "key"), final, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -101,3 +101,21 @@ def test_driver_table(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in P.near_duplicates(df).collect()}
     rows = df.collect()
     assert got == brute([r.vec_id for r in rows], [r.embedding for r in rows])
+
+
+def test_written_tables_are_never_broadcast(spark, monkeypatch):
+    """A table's file says little about what its exploded rows take in the driver."""
+    from demoforge.llm.common import Workspace
+    plans, save = [], Workspace.save
+
+    def seen(self, df, tag="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, tag)
+
+    monkeypatch.setattr(Workspace, "save", seen)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, [float(y) for y in base[i % 30] + 0.01 * rng.normal(size=8)]) for i in range(60)]
+    out = P.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p]
