@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demoforge.llm.common import Workspace, fresh, join_ids, key_groups
+from demoforge.llm.common import Workspace, fresh, join_ids, key_groups, shuffle_join
 from demoforge.llm.encode import slices
 
 WINDOW = 200
@@ -284,7 +284,7 @@ def _across_chunks(contexts: DataFrame) -> DataFrame:
     """ctx, lo, hi that repeats in other chunks add."""
     windows = _windows(contexts)
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
-    return (windows.filter("beyond").select("ctx", "o", "w").join(twice, "w").groupBy("ctx")
+    return (shuffle_join(windows.filter("beyond").select("ctx", "o", "w"), twice, "w").groupBy("ctx")
             .agg(F.max("o").alias("lo"), (F.lit(WINDOW) - F.min("o")).alias("hi")))
 
 
@@ -295,16 +295,16 @@ class Repeats:
         self.ws = ws = Workspace(docs.sparkSession, "repeats")
         self.rows, self.classes, self.key = _classes(ws, docs)
         key = self.key
-        copies = ws.save(self.rows.join(self.classes, "sha").filter("key <> rep").select("key").distinct(), "copies")
+        copies = ws.save(shuffle_join(self.rows, self.classes, "sha").filter("key <> rep").select("key").distinct(), "copies")
         texts = docs.select(key.alias("key"), _text(F.col("text")).alias("text")).filter(F.octet_length("text") >= WINDOW)
         self.texts = join_ids(texts, copies, ["key"], "left_anti")
         found = ws.save(_anchor_rows(self.texts), "anchors")
         live = ws.save(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "live")
-        at = ws.save(found.join(live, "h").groupBy("key").agg(F.collect_list(F.struct("pos", "h")).alias("at")), "positions")
+        at = ws.save(shuffle_join(found, live, "h").groupBy("key").agg(F.collect_list(F.struct("pos", "h")).alias("at")), "positions")
         ws.drop(found, live)
         ws.release()
         wanted = join_ids(self.texts, at.select("key"), ["key"], "left_semi")
-        self.occurrences = ws.save(_contexts(wanted.join(at, "key").select("key", "text", "at")), "contexts")
+        self.occurrences = ws.save(_contexts(shuffle_join(wanted, at, "key").select("key", "text", "at")), "contexts")
         ws.release()
         self.contexts = ws.save(
             self.occurrences.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right")), "different")
@@ -316,7 +316,7 @@ class Repeats:
     def _chunks(self, whole: bool = False) -> DataFrame:
         """Contexts with a partner, in chunks of about GROUP_ROWS of an anchor
         (``whole``: one chunk), sorted by right context."""
-        rows = self.contexts.join(self.size, "h")
+        rows = shuffle_join(self.contexts, self.size, "h")
         chunk = F.lit(0) if whole else F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / GROUP_ROWS)).cast("int")
         return (rows.select("h", chunk.alias("chunk"), "ctx", "n", "left", "right")
                 .repartition("h", "chunk").sortWithinPartitions("h", "chunk", "right"))
@@ -327,14 +327,14 @@ class Repeats:
         heavy = self.size.filter(F.col("m") > GROUP_ROWS)
         if heavy.isEmpty():
             return out
-        known = self.contexts.join(heavy.select("h"), "h").join(out, "ctx", "left").fillna(0, ["lo", "hi"])
+        known = shuffle_join(shuffle_join(self.contexts, heavy.select("h"), "h"), out, "ctx", "left").fillna(0, ["lo", "hi"])
         more = _across_chunks(self.ws.save(known.select("h", "ctx", "left", "right", "lo", "hi"), "heavy"))
         return self.ws.save(out.unionByName(more).groupBy("ctx").agg(F.max("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi")), "cover")
 
     def spans(self) -> DataFrame:
         """key, spans: unmerged [start, end) that repeats cover, of texts that
         are the only one of their class."""
-        hit = self.occurrences.select("key", "pos", "ctx").join(self.cover(), "ctx")
+        hit = shuffle_join(self.occurrences.select("key", "pos", "ctx"), self.cover(), "ctx")
         return self.ws.save(hit.select("key", F.struct((F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e")).alias("x"))
                             .groupBy("key").agg(F.collect_list("x").alias("spans")), "spans")
 
@@ -345,7 +345,7 @@ class Repeats:
         different contexts of an anchor (below 2 * WINDOW bytes each) are scanned
         by one task, so that its groups are whole."""
         g = _scan(self._chunks(whole=True), groups=True)
-        return g.join(self.occurrences.select("key", "pos", "ctx"), "ctx").select(
+        return shuffle_join(g, self.occurrences.select("key", "pos", "ctx"), "ctx").select(
             "h", "nth", "key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("lo") + F.col("hi")).alias("length"))
 
 
@@ -388,8 +388,8 @@ def remove(docs: DataFrame) -> DataFrame:
     r = Repeats(docs)
     names, key, at = docs.columns, fresh(docs, "_key"), fresh(docs, "_spans")
     spans = r.spans().withColumnsRenamed({"key": key, "spans": at})
-    whole = r.ws.save(r.rows.filter(F.col("n_bytes") >= WINDOW).join(r.classes.select("sha"), "sha").select(F.col("key").alias(key)).distinct(), "whole")
-    part = r.ws.save(spans.select(key).join(whole, key, "left_anti"), "part")
+    whole = r.ws.save(shuffle_join(r.rows.filter(F.col("n_bytes") >= WINDOW), r.classes.select("sha"), "sha").select(F.col("key").alias(key)).distinct(), "whole")
+    part = r.ws.save(shuffle_join(spans.select(key), whole, key, "left_anti"), "part")
     tagged = docs.withColumn(key, r.key)
 
     def run(batches):
@@ -403,7 +403,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(text, pa.string()) if c == "text" else piece.column(c) for c in names], names=names)
 
-    cut = join_ids(tagged, part, [key], "left_semi").join(spans, key).select(*names, at).mapInArrow(run, docs.schema)
+    cut = shuffle_join(join_ids(tagged, part, [key], "left_semi"), spans, key).select(*names, at).mapInArrow(run, docs.schema)
     gone = join_ids(tagged, whole, [key], "left_semi").withColumn("text", F.lit("").cast(docs.schema["text"].dataType))
     same = join_ids(join_ids(tagged, whole, [key], "left_anti"), part, [key], "left_anti")
     changed = cut.unionByName(gone.select(*names))
@@ -416,11 +416,11 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     r = Repeats(docs)
     spans = r.spans()
-    cut = _figures(join_ids(r.texts, spans.select("key"), ["key"], "left_semi").join(spans, "key").select("key", "text", "spans"))
+    cut = _figures(shuffle_join(join_ids(r.texts, spans.select("key"), ["key"], "left_semi"), spans, "key").select("key", "text", "spans"))
     cut = r.ws.save(cut.dropDuplicates(["key"]), "cut")
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= WINDOW)
     empty = hashlib.sha256(b"").hexdigest()
-    return (r.rows.join(r.classes.select("sha", "n"), "sha", "left").join(cut, "key", "left").select(
+    return (shuffle_join(shuffle_join(r.rows, r.classes.select("sha", "n"), "sha", "left"), cut, "key", "left").select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

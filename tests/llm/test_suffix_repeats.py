@@ -174,3 +174,23 @@ def test_remove_keeps_rows_and_columns(spark):
             want.append((r[0], r[1], r[4]))
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.n_chars)) for r in out.collect())
     assert R.remove(empty_docs(spark)).count() == 0
+
+
+def test_made_rows_are_not_broadcast(spark, monkeypatch):
+    """Anchors, contexts and windows are many times the file they are made from;
+    only counted id lists are broadcast."""
+    from demoforge.llm.common import Workspace
+    plans, save = [], Workspace.save
+
+    def seen(self, df, tag="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, tag)
+
+    monkeypatch.setattr(Workspace, "save", seen)
+    monkeypatch.setattr(R, "GROUP_ROWS", 2)
+    rng = random.Random(9)
+    p = prose(rng, 80)
+    docs = spark.createDataFrame([(i, prose(rng, 20) + p + prose(rng, 20)) for i in range(8)], "doc_id long, text string")
+    R.Repeats(docs).spans()
+    heavy = [x for x in plans if "Join" in x and "left_semi" not in x.lower() and "leftanti" not in x.lower() and "leftsemi" not in x.lower()]
+    assert len(heavy) > 5 and not [x for x in heavy if "BroadcastHashJoin" in x]
